@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from corpusmill.llm.common import read
 from corpusmill.llm.quality_classifier import quality_scores
 from corpusmill.llm.quality_rules import quality_rules
+from corpusmill.llm.secrets import secret_scan
 from corpusmill.llm.simhash import simhash_groups
 
 
@@ -20,6 +21,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(read(spark, sf_dir, "documents"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(read(spark, sf_dir, "documents"))
 
@@ -27,6 +32,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op4_quality_rules": op4_quality_rules,
+    "op9_secret_scan": op9_secret_scan,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 

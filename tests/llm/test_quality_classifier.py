@@ -91,8 +91,6 @@ def test_without_both_labels_the_score_is_their_share(spark, quality, score):
 
 def test_temperature_softens_an_overconfident_network():
     rng = np.random.default_rng(1)
-    x = rng.normal(size=(600, 5))
-    y = (x[:, 0] + rng.normal(size=600) > 0).astype(float)
-    net = Network.fit(x, y, Settings(epochs=80))
-    assert net.temperature > 1
-    assert 0.6 < ((net.probability(x) > 0.5) == y).mean()
+    x, y = rng.normal(size=(200, 40)), rng.integers(0, 2, 200).astype(float)
+    net = Network.fit(x, y, Settings(epochs=300))  # learns noise by heart
+    assert net.temperature > 1.5
