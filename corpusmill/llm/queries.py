@@ -12,6 +12,7 @@ from corpusmill.llm.packing import pack_documents
 from corpusmill.llm.quality_classifier import quality_scores
 from corpusmill.llm.quality_rules import quality_rules
 from corpusmill.llm.secrets import secret_scan
+from corpusmill.llm.sentencepiece_codec import encode_documents
 from corpusmill.llm.simhash import simhash_groups
 
 
@@ -27,6 +28,10 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_groups(read(spark, sf_dir, "embeddings"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(read(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"))
 
@@ -43,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op4_quality_rules": op4_quality_rules,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_packing": op8_packing,
     "op9_secret_scan": op9_secret_scan,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
