@@ -8,18 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusmill.llm.common import read
 from corpusmill.llm.embedding_dedup import embedding_groups
+from corpusmill.llm.html_extraction import extract_pages
 from corpusmill.llm.packing import pack_documents
 from corpusmill.llm.quality_classifier import quality_scores
 from corpusmill.llm.quality_rules import quality_rules
 from corpusmill.llm.secrets import secret_scan
 from corpusmill.llm.sentencepiece_codec import encode_documents
 from corpusmill.llm.simhash import simhash_groups
+from corpusmill.llm.url_filter import url_verdicts
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents"))
 
@@ -28,6 +34,10 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_groups(read(spark, sf_dir, "embeddings"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(read(spark, sf_dir, "pages"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read(spark, sf_dir, "documents"))
 
@@ -46,8 +56,10 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op3_url_filter": op3_url_filter,
     "op4_quality_rules": op4_quality_rules,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
+    "op6_html_extraction": op6_html_extraction,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_packing": op8_packing,
     "op9_secret_scan": op9_secret_scan,
