@@ -16,12 +16,19 @@ from corpusmill.llm.secrets import secret_scan
 from corpusmill.llm.sentencepiece_codec import encode_documents
 from corpusmill.llm.simhash import simhash_groups
 from corpusmill.llm.url_filter import url_verdicts
+from corpusmill.llm.warc import ARCHIVE_RECORDS, audit, damaged, records
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op2_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as archives against a replica with planted damage."""
+    pages = read(spark, sf_dir, "pages")
+    return audit(records(pages), damaged(pages))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels"))
 
@@ -56,6 +63,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_warc_fixity": op2_warc_fixity,
     "op3_url_filter": op3_url_filter,
     "op4_quality_rules": op4_quality_rules,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
@@ -66,4 +74,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_warc_fixity": f"""
+        with parts as (
+            select page_id, coalesce(url, '') as url, coalesce(html, '') as html, chr(13) || chr(10) as nl, md5(cast(page_id as varchar)) as mark from pages
+        ), whole as (
+            select *, 'WARC/1.1' || nl || 'WARC-Type: response' || nl || 'WARC-Target-URI: ' || url || nl || 'Content-Type: text/html' || nl || 'Content-Length: '
+                || cast(strlen(html) as varchar) || nl || nl as head,
+                starts_with(mark, '00') and substr(mark, 3, 1) >= '8' as lost,
+                starts_with(mark, '00') and substr(mark, 3, 1) < '8' and substr(html, 1, 1) in ('<', ' ') as broken from parts
+        ), hashed as (
+            select page_id, lost, broken, cast(strlen(head || html || nl || nl) as bigint) as length, sha256(head || html || nl || nl) as digest,
+                sha256(head || '?' || substr(html, 2) || nl || nl) as other, cast(floor(page_id / {ARCHIVE_RECORDS}) as bigint) as archive from whole
+        ), placed as (
+            select *, row_number() over (partition by archive order by page_id) - 1 as number,
+                cast(sum(length) over (partition by archive order by page_id) - length as bigint) as start from hashed
+        )
+        select archive, number, start as left_offset, length as left_length, digest as left_digest, case when lost then null else start end as right_offset,
+            case when lost then null else length end as right_length, case when lost then null else other end as right_digest,
+            case when lost then 'missing_right' else 'corrupt' end as fault
+        from placed where lost or broken
+    """,
+}
