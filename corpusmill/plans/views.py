@@ -1,0 +1,91 @@
+"""Canonical views of the test tables: chat examples, a view with planted defects, documents with planted hazards."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusmill.functions import chat
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(row_id, messages): turns in order; a conversation's turns meet in one row, as training needs them."""
+    turns = table(spark, sf_dir, "conversations")
+    ordered = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
+    messages = F.transform(ordered, lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
+    return turns.groupBy(F.col("conv_id").alias("row_id")).agg(messages.alias("messages"))
+
+
+def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations with an assistant turn."""
+    return conversations(spark, sf_dir).where(chat.has_assistant(F.col("messages")))
+
+
+#: The examples as SQL: row_id, roles, contents (lists in order).
+CHAT_SQL = """
+    conv as (
+        select conv_id as row_id, list(role order by turn) as roles, list(text order by turn) as contents, list({'role': role, 'content': text} order by turn) as messages
+        from conversations group by conv_id
+    ), chat as (select * from conv where list_contains(roles, 'assistant'))"""
+
+
+def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The examples and copies with planted defects, row ids apart by thousands of millions (row_id = kind * 10^9 + conv_id).
+
+    1: all text upper-cased (a duplicate); 2: answers with a mark (a conflict); 3: answers blanked; 4: the last assistant
+    turn doubled; 5: a system turn moved to the end.
+    """
+    base = examples(spark, sf_dir)
+    m = F.col("messages")
+    put = lambda x, content: F.struct(x["role"].alias("role"), content.alias("content"))
+    is_answer = lambda x: x["role"] == "assistant"
+    kinds = {
+        0: m,
+        1: F.transform(m, lambda x: put(x, F.upper(x["content"]))),
+        2: F.transform(m, lambda x: F.when(is_answer(x), put(x, F.concat(x["content"], F.lit(" other")))).otherwise(x)),
+        3: F.transform(m, lambda x: F.when(is_answer(x), put(x, F.lit(" \n"))).otherwise(x)),
+        4: F.flatten(F.transform(m, lambda x: F.when(is_answer(x), F.array(x, x)).otherwise(F.array(x)))),
+        5: F.concat(m, F.array(F.struct(F.lit("system").alias("role"), F.lit("be brief").alias("content")))),
+    }
+    parts = [base.where(F.col("row_id") % 3 == k % 3).select((F.lit(k * 1_000_000_000) + F.col("row_id")).alias("row_id"), messages.alias("messages")) if k else base for k, messages in kinds.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+DIRTY_SQL = (
+    CHAT_SQL
+    + """, dirty as (
+        select row_id, roles, contents from chat
+        union all select 1000000000 + row_id, roles, list_transform(contents, lambda x: upper(x)) from chat where row_id % 3 = 1
+        union all select 2000000000 + row_id, roles, list_transform(messages, lambda x: case when x.role = 'assistant' then x.content || ' other' else x.content end) from chat where row_id % 3 = 2
+        union all select 3000000000 + row_id, roles, list_transform(messages, lambda x: case when x.role = 'assistant' then ' ' || chr(10) else x.content end) from chat where row_id % 3 = 0
+        union all select 4000000000 + row_id, list_transform(d, lambda x: x.role), list_transform(d, lambda x: x.content)
+            from (select row_id, flatten(list_transform(messages, lambda x: case when x.role = 'assistant' then [x, x] else [x] end)) as d from chat where row_id % 3 = 1)
+        union all select 5000000000 + row_id, list_append(roles, 'system'), list_append(contents, 'be brief') from chat where row_id % 3 = 2
+    ), texts as (
+        select row_id, roles, contents,
+            array_to_string(contents[1 : case when list_position(roles, 'assistant') > 0 then list_position(roles, 'assistant') - 1 else len(roles) end], chr(10)) as prompt,
+            array_to_string([contents[i] for i in range(1, len(roles) + 1) if roles[i] = 'assistant'], chr(10)) as response
+        from dirty
+    )"""
+)
+
+#: Appended to documents by id: a hazard of each kind; NFD text at 13, none else.
+HAZARDS = {7: "​", 11: "‮", 5: "\x07", 9: "�", 13: "é"}
+
+
+def hazardous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a hazard appended where doc_id mod 17 is one of HAZARDS' keys."""
+    added = F.lit("")
+    for k, v in HAZARDS.items():
+        added = F.when(F.col("doc_id") % 17 == k, F.lit(v)).otherwise(added)
+    return table(spark, sf_dir, "documents").withColumn("text", F.concat("text", added))
+
+
+HAZARD_SQL = "hazardous as (select doc_id, text || case doc_id % 17 " + " ".join(f"when {k} then {' || '.join(f'chr({ord(c)})' for c in v)}" for k, v in HAZARDS.items()) + " else '' end as text from documents)"
