@@ -1 +1,145 @@
+"""Queries over whole corpora: duplicates, contamination, shards, epochs, mixtures, packs."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from corpusmill.functions import chat, text
+from corpusmill.operators import dedup, sharding, tokens
+from corpusmill.plans.catalog import query
+from corpusmill.plans.queries_text import _NORM, LEN_SQL
+from corpusmill.plans.views import DIRTY_SQL, dirty, examples, table
+
+_DOCS = f"n as (select doc_id as row_id, {_NORM.format('text')} as norm from documents)"
+
+
+def _documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), text.normalized(F.col("text")).alias("norm"))
+
+
+def _keyed(spark, sf_dir):
+    m = F.col("messages")
+    return dirty(spark, sf_dir).select("row_id", text.normalized(chat.prompt_text(m)).alias("prompt_key"), text.normalized(chat.response_text(m)).alias("response_key"))
+
+
+_KEYED_SQL = f"{DIRTY_SQL}, k as (select row_id, {_NORM.format('prompt')} as p, {_NORM.format('response')} as r from texts)"
+
+
+@query(f"with {_DOCS}, f as (select *, min(row_id) over (partition by norm) as first_id from n) select row_id, first_id from f where row_id > first_id")
+def exact_duplicates(spark, sf_dir):
+    return dedup.exact_duplicates(_documents(spark, sf_dir), "norm")
+
+
+@query(f"with {_KEYED_SQL}, f as (select *, min(row_id) over (partition by p, r) as first_id from k) select row_id, first_id from f where row_id > first_id")
+def exact_duplicate_examples(spark, sf_dir):
+    return dedup.exact_duplicates(_keyed(spark, sf_dir), "prompt_key", "response_key")
+
+
+@query(f"with {_KEYED_SQL}, g as (select p, r, min(row_id) as row_id from k where p <> '' group by p, r), f as (select *, min(row_id) over (partition by p) as first_id from g) select row_id, first_id from f where row_id > first_id")
+def label_conflicts(spark, sf_dir):
+    return dedup.label_conflicts(_keyed(spark, sf_dir))
+
+
+@query()
+def near_duplicates(spark, sf_dir):
+    return dedup.near_duplicates(_documents(spark, sf_dir))
+
+
+@query()
+def eval_contamination(spark, sf_dir):
+    """Benchmark items against the documents of at most their size class: whole texts of both."""
+    bench = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("row_id"), text.normalized(F.col("text")).alias("norm"))
+    return dedup.contamination(bench, _documents(spark, sf_dir))
+
+
+@query(f"""with {_DOCS}, f as (select *, min(row_id) over (partition by norm) as first_id from n), d as (select row_id from f where row_id > first_id)
+    select count(*)::bigint as duplicates, (select count(*) from n)::bigint as n, round(count(*) / (select count(*) from n), 6) as duplicate_rate, case when count(*) >= 0.2 * (select count(*) from n) then 'error' else 'warning' end as severity from d""")
+def duplicate_rate(spark, sf_dir):
+    counted = _documents(spark, sf_dir).groupBy("norm").agg(F.count("*").alias("c"))
+    extra, n = F.sum(F.col("c") - 1), F.sum("c")
+    return counted.agg(extra.alias("duplicates"), n.alias("n"), F.round(extra / n, 6).alias("duplicate_rate"), F.when(extra >= 0.2 * n, "error").otherwise("warning").alias("severity"))
+
+
+@query(f"""with {_KEYED_SQL} select count(*)::bigint as n, count(distinct p)::bigint as unique_prompts, count(distinct r)::bigint as unique_responses, count(distinct (p, r))::bigint as unique_pairs from k""")
+def distinct_counts(spark, sf_dir):
+    k = _keyed(spark, sf_dir)
+    return k.agg(F.count("*").alias("n"), F.countDistinct("prompt_key").alias("unique_prompts"), F.countDistinct("response_key").alias("unique_responses"), F.countDistinct("prompt_key", "response_key").alias("unique_pairs"))
+
+
+_SPEC = sharding.ShardSpec(world_size=8)
+
+
+@query()
+def shard_assignment(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", _SPEC.bucket_of(F.col("doc_id")).alias("bucket"), _SPEC.owner_of(F.col("doc_id")).alias("owner"))
+
+
+@query("select count(*)::bigint as n, count(distinct doc_id)::bigint as placed, true as within_world from documents")
+def shard_coverage(spark, sf_dir):
+    """Every document has one owner, within the world."""
+    placed = shard_assignment(spark, sf_dir)
+    return placed.agg(F.count("*").alias("n"), F.countDistinct("doc_id", "owner").alias("placed"), F.every(F.col("owner").between(0, 7)).alias("within_world"))
+
+
+@query()
+def epoch_order(spark, sf_dir):
+    return sharding.epoch_order(table(spark, sf_dir, "documents"), "doc_id", _SPEC, epochs=2, seed=3)
+
+
+@query("select count(*)::bigint * 2 as reads, count(distinct doc_id)::bigint as documents from documents")
+def cursor_resume(spark, sf_dir):
+    """What all ranks read up to a cursor and after it: two epochs, no gap, no repeat."""
+    order = epoch_order(spark, sf_dir)
+    before = order.where("epoch = 0 and index < 40")
+    after = None
+    for rank in range(8):
+        part = sharding.resume(order, sharding.Cursor(0, 40, 8, rank))
+        after = part if after is None else after.unionByName(part)
+    return before.unionByName(after).agg(F.countDistinct("doc_id", "epoch").alias("reads"), F.countDistinct("doc_id").alias("documents"))
+
+
+_WEIGHTS = {"en": 0.7, "de": 0.2, "fr": 0.1, "es": 0.0}
+
+
+@query("""with w as (select * from (values ('en', 0.7), ('de', 0.2), ('fr', 0.1)) as t(source, w)), p as (select temperature, source, pow(w, 1 / temperature) as r from w, (values (1.0), (2.0), (4.0)) as t(temperature))
+    select temperature::double as temperature, source, round(r / sum(r) over (partition by temperature), 6) as probability from p""")
+def mixture_probabilities(spark, sf_dir):
+    rows = [(t, k, v) for t in (1.0, 2.0, 4.0) for k, v in sharding.mixture_probabilities(_WEIGHTS, t).items()]
+    return spark.createDataFrame(rows, "temperature double, source string, probability double").withColumn("probability", F.round("probability", 6))
+
+
+@query()
+def mixture_sample(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("lang").alias("source"), F.col("doc_id").alias("key"))
+    return sharding.mixture(docs, 2000, _WEIGHTS, seed=4)
+
+
+@query()
+def mixture_shares(spark, sf_dir):
+    return sharding.realized_proportions(mixture_sample(spark, sf_dir))
+
+
+@query(f"""with recursive {LEN_SQL}, o as (select row_id, seq_len as len, row_number() over (partition by row_id % 4 order by row_id) as k, row_id % 4 as part from lens),
+    walk as (select part, k, row_id, len, 0::bigint as pack_no, 0::bigint as "offset" from o where k = 1
+        union all select o.part, o.k, o.row_id, o.len, case when w."offset" + w.len + o.len <= 4096 then w.pack_no else w.pack_no + 1 end, case when w."offset" + w.len + o.len <= 4096 then w."offset" + w.len else 0 end
+        from walk w join o on o.part = w.part and o.k = w.k + 1)
+    select part, row_id, len, pack_no, "offset" from walk""")
+def pack_sequences(spark, sf_dir):
+    lens = tokens.token_lengths(examples(spark, sf_dir)).select("row_id", F.col("seq_len").alias("len"), (F.col("row_id") % 4).alias("part"))
+    return tokens.in_order_packs(lens, 4096, by="part")
+
+
+@query(f"""with {LEN_SQL} select row_id, row_id % 4 as part, ((row_number() over (partition by row_id % 4 order by row_id) - 1) // 8)::bigint as batch_no from lens""")
+def batches(spark, sf_dir):
+    rows = examples(spark, sf_dir).select("row_id", (F.col("row_id") % 4).alias("part"))
+    return tokens.batch_numbers(rows, 8, "row_id", "part")
+
+
+@query("""select iteration * 16 + i as draw, iteration, (iteration * 16 + i) % (select count(*) from benchmark) as position, b.item_id as item_id from range(6) as a(iteration), range(16) as c(i),
+    (select item_id, row_number() over (order by item_id) - 1 as k, count(*) over () as n from benchmark) b where b.k = (iteration * 16 + i) % b.n""")
+def round_robin_prompts(spark, sf_dir):
+    """Prompts of six iterations of sixteen, around the list again and again."""
+    from corpusmill.operators.training import round_robin
+
+    return round_robin(table(spark, sf_dir, "benchmark"), "item_id", iterations=6, per_batch=16)
