@@ -31,20 +31,6 @@ def truncation_flags(examples: DataFrame, limit: int, context_length: int | None
     )
 
 
-def rank_pick(values: DataFrame, column: str, picks: dict[str, Column]) -> DataFrame:
-    """One row: for each name the value at a 0-based rank; the rank is an expression of n.
-
-    Values are counted first, so the ranking reads distinct values, not rows; n is the number of rows.
-    """
-    counted = values.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("c"))
-    order = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    upto = counted.select("v", "c", F.sum("c").over(order).alias("upto"))
-    total = counted.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"))
-    ranked = upto.join(F.broadcast(total))  # one row
-    at = lambda rank: F.max(F.when((rank >= F.col("upto") - F.col("c")) & (rank < F.col("upto")), F.col("v")))
-    return ranked.agg(F.max("n").alias("n"), *(at(r).alias(k) for k, r in picks.items()))
-
-
 def upper_median_rank() -> Column:
     return F.floor(F.col("n") / 2)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusmill.functions import chat, text
-from corpusmill.operators import tokens
+from corpusmill.operators import ranks, tokens
 from corpusmill.plans.catalog import query
 from corpusmill.plans.views import CHAT_SQL, DIRTY_SQL, HAZARD_SQL, dirty, examples, hazardous, table
 from corpusmill.sources.registry import MODELS, model_registry
@@ -65,7 +65,7 @@ def context_overflow(spark, sf_dir):
     select max(n)::bigint as n, max(seq_len) filter (where k = n // 2) as p50, max(seq_len) filter (where k = least(n - 1, floor(0.99 * n))) as p99,
     max(seq_len) filter (where k = least(n - 1, floor(0.99 * n))) >= 20 * max(seq_len) filter (where k = n // 2) as length_outliers from r""")
 def length_percentiles(spark, sf_dir):
-    picks = tokens.rank_pick(tokens.token_lengths(examples(spark, sf_dir)), "seq_len", {"p50": tokens.upper_median_rank(), "p99": tokens.tail_rank(0.99)})
+    picks = ranks.pick(tokens.token_lengths(examples(spark, sf_dir)), "seq_len", {"p50": tokens.upper_median_rank(), "p99": tokens.tail_rank(0.99)})
     return picks.withColumn("length_outliers", (F.col("p50") > 0) & (F.col("p99") >= 20 * F.col("p50")))
 
 
