@@ -1 +1,200 @@
+"""Queries over series and records: guards on events, budgets on events, retention on orders, jobs on orders."""
 
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from corpusmill.operators import guards, runs
+from corpusmill.plans.catalog import query
+from corpusmill.plans.views import table
+
+_SERIES = """series as (select user_id as run, row_number() over (partition by user_id order by ts, event_id)::bigint as step, event_id,
+    case when event_id % 101 = 0 then null when event_id % 197 = 0 then 'nan'::double when user_id % 5 = 0 and (event_id // 40) % 3 = 0 then 0.0
+        when event_id % 13 < 2 then value * 12 else value + row_number() over (partition by user_id order by ts, event_id) end as loss,
+    case when event_id % 211 = 0 then 'inf'::double else value * 2.5 end as grad_norm from events)"""
+
+
+def series(spark, sf_dir):
+    """Events as metric series of runs, with planted nulls, NaNs, zeros, spikes and a trend."""
+    step = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
+    e = F.col("event_id")
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), step.alias("step"), "event_id", "value")
+    zero = (F.col("run") % 5 == 0) & (F.floor(e / 40) % 3 == 0)
+    loss = F.when(e % 101 == 0, F.lit(None)).when(e % 197 == 0, F.lit(float("nan"))).when(zero, 0.0).when(e % 13 < 2, F.col("value") * 12).otherwise(F.col("value") + F.col("step"))
+    return rows.select("run", "step", "event_id", loss.alias("loss"), F.when(e % 211 == 0, F.lit(float("inf"))).otherwise(F.col("value") * 2.5).alias("grad_norm"))
+
+
+def _finite(spark, sf_dir):
+    return series(spark, sf_dir).withColumn("loss", F.when(F.isnan("loss"), None).otherwise(F.col("loss")))
+
+
+_FINITE = f"{_SERIES}, fin as (select run, step, grad_norm, case when isnan(loss) then null else loss end as loss from series), told as (select * from fin where loss is not null)"
+_NUMBERS = "case when loss is not null and not isfinite(loss) then 'non_finite_loss' when not isfinite(grad_norm) then 'non_finite_grad' when grad_norm > 600 then 'grad_explosion' end"
+_GUARD = guards.Guard(max_grad_norm=600.0)
+
+
+@query(f"with {_SERIES}, r as (select run, step, {_NUMBERS} as reason from series) select * from r where reason is not null")
+def guard_numbers(spark, sf_dir):
+    return guards.number_guard(series(spark, sf_dir), _GUARD).where("reason is not null").select("run", "step", "reason")
+
+
+_ZERO = "zisl as (select *, sum((loss <> 0)::int) over (partition by run order by step) as island from told), zero as (select run, step, (sum((loss = 0)::int) over (partition by run, island order by step))::bigint as streak from zisl)"
+
+
+@query(f"with {_FINITE}, {_ZERO} select *, streak >= 5 as tripped from zero")
+def guard_zero_loss(spark, sf_dir):
+    return guards.zero_loss(_finite(spark, sf_dir), _GUARD)
+
+
+_SPIKE = """b as (select *, quantile_cont(loss, 0.5) over w as m, count(loss) over w as n from told window w as (partition by run order by step rows between 20 preceding and 1 preceding)),
+    s as (select *, n >= 5 and m > 0 and loss > 5 * m as spike from b), sisl as (select *, sum((n >= 5 and not spike)::int) over (partition by run order by step) as island from s),
+    spikes as (select run, step, case when n >= 5 then m end as base, spike, (sum(spike::int) over (partition by run, island order by step))::bigint as streak from sisl)"""
+
+
+@query(f"with {_FINITE}, {_SPIKE} select run, step, round(base, 6) as base, spike, streak, streak >= 3 as tripped from spikes")
+def guard_spike(spark, sf_dir):
+    return guards.loss_spike(_finite(spark, sf_dir), _GUARD).withColumn("base", F.round("base", 6))
+
+
+_DIVERGE = """k as (select *, row_number() over (partition by run order by step) as k from told),
+    d as (select run, step, k, case when k <= 512 then quantile_cont(case when k <= 20 then loss end, 0.5) over (partition by run order by step) else quantile_cont(loss, 0.5) over (partition by run order by step rows between 511 preceding and 492 preceding) end as early,
+        quantile_cont(loss, 0.5) over (partition by run order by step rows between 19 preceding and current row) as late from k),
+    diverged as (select run, step, case when k >= 40 then early end as early, case when k >= 40 then late end as late, k >= 40 and early > 0 and late > 1.5 * early as tripped from d)"""
+
+
+@query(f"with {_FINITE}, {_DIVERGE} select run, step, round(early, 6) as early, round(late, 6) as late, tripped from diverged")
+def guard_divergence(spark, sf_dir):
+    return guards.divergence(_finite(spark, sf_dir), _GUARD).withColumns({c: F.round(c, 6) for c in ("early", "late")})
+
+
+@query(f"""with {_FINITE}, {_ZERO}, {_SPIKE}, {_DIVERGE}, trips as (select run, step, 0 as rank, {_NUMBERS} as reason from fin where {_NUMBERS} is not null
+    union all select run, step, 1, 'zero_loss' from zero where streak >= 5 union all select run, step, 2, 'loss_spike' from spikes where streak >= 3 union all select run, step, 3, 'divergence' from diverged where tripped)
+    select run, step, reason from trips qualify row_number() over (partition by run order by step, rank) = 1""")
+def guard_first_trip(spark, sf_dir):
+    return guards.first_trip(_finite(spark, sf_dir), _GUARD)
+
+
+@query(f"""with recursive {_SERIES}, v as (select run, row_number() over (partition by run order by step) as k, step, loss as value from series where loss is not null),
+    walk as (select run, k, value as best, step as best_step, 0 as bad, null::bigint as stop_step, null::varchar as reason from v where k = 1 and isfinite(value)
+        union all select run, k, null, null, 0, step, 'non_finite_eval' from v where k = 1 and not isfinite(value)
+        union all select w.run, v.k, case when isfinite(v.value) and v.value < w.best - 0.5 then v.value else w.best end, case when isfinite(v.value) and v.value < w.best - 0.5 then v.step else w.best_step end,
+            case when v.value < w.best - 0.5 then 0 else w.bad + 1 end, case when not isfinite(v.value) or not v.value < w.best - 0.5 and w.bad + 1 > 3 then v.step end,
+            case when not isfinite(v.value) then 'non_finite_eval' when not v.value < w.best - 0.5 and w.bad + 1 > 3 then 'early_stop' end
+        from walk w join v on v.run = w.run and v.k = w.k + 1 where w.reason is null)
+    select run, best, best_step, stop_step, reason from walk qualify row_number() over (partition by run order by k desc) = 1""")
+def early_stopping(spark, sf_dir):
+    return guards.early_stopping(series(spark, sf_dir).select("run", "step", F.col("loss").alias("value")), patience=3, min_delta=0.5)
+
+
+_USAGE = "usage as (select user_id as run, row_number() over (partition by user_id order by ts, event_id)::bigint as step, floor(value * 10)::bigint as train_tokens, event_id % 7 as sample_tokens, 1 as steps, floor(value)::bigint / 128 as cost_usd from events)"
+
+
+def _usage(spark, sf_dir):
+    step = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("run"), step.alias("step"), F.floor(F.col("value") * 10).alias("train_tokens"), (F.col("event_id") % 7).alias("sample_tokens"), F.lit(1).alias("steps"), (F.floor("value") / 128.0).alias("cost_usd"),
+    )
+
+
+_BUDGET = runs.Budget(max_cost_usd=12.0, max_tokens=15000, max_steps=50)
+_RUNNING = """r as (select run, step, sum(train_tokens + sample_tokens) over w as t, sum(steps) over w as s, sum(cost_usd) over w as c, train_tokens + sample_tokens as dt, steps as ds, cost_usd as dc from usage window w as (partition by run order by step)),
+    running as (select run, step, t::bigint as used_tokens, s::bigint as used_steps, c as used_cost_usd, case when c > 12 then 'cost_usd' when t > 15000 then 'tokens' when s > 50 then 'steps' end as breached,
+        concat_ws('+', case when c >= 9.6 and not c - dc >= 9.6 then 'cost_usd' end, case when t >= 12000 and not t - dt >= 12000 then 'tokens' end, case when s >= 40 and not s - ds >= 40 then 'steps' end) as warned from r)"""
+
+
+@query(f"with {_USAGE}, {_RUNNING} select * from running")
+def budget_running(spark, sf_dir):
+    return runs.running_usage(_usage(spark, sf_dir), _BUDGET)
+
+
+@query(f"with {_USAGE}, {_RUNNING} select run, step, breached, used_tokens from running where breached is not null qualify row_number() over (partition by run order by step) = 1")
+def budget_first_breach(spark, sf_dir):
+    return runs.first_breach(_usage(spark, sf_dir), _BUDGET)
+
+
+@query(f"""with {_USAGE}, t as (select run, sum(train_tokens + sample_tokens)::bigint as tokens, sum(steps)::bigint as steps, sum(cost_usd) as cost_usd from usage group by run)
+    select *, greatest(0.0, 12 - cost_usd) as left_cost_usd, greatest(0, 15000 - tokens)::double as left_tokens, greatest(0, 50 - steps)::double as left_steps, greatest(cost_usd / 12, tokens / 15000, steps / 50) as fraction_used from t""")
+def budget_remaining(spark, sf_dir):
+    totals = _usage(spark, sf_dir).groupBy("run").agg(F.sum(F.col("train_tokens") + F.col("sample_tokens")).alias("tokens"), F.sum("steps").alias("steps"), F.sum("cost_usd").alias("cost_usd"))
+    return runs.remaining(totals, _BUDGET)
+
+
+_ENTRIES = "entries as (select o_custkey as run, (row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) // 2 * 100)::bigint as step, o_orderkey as seq, case when o_orderkey % 11 = 0 then null else o_totalprice end as metric, 'step-' || o_orderkey as path from orders)"
+_LAST = "last as (select * from entries qualify row_number() over (partition by run, step order by seq desc) = 1)"
+
+
+def entries(spark, sf_dir):
+    """Orders as checkpoints of a customer's run: two writes to a step, some without a metric."""
+    k = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("run"), (F.floor(k / 2) * 100).alias("step"), F.col("o_orderkey").alias("seq"), F.when(F.col("o_orderkey") % 11 != 0, F.col("o_totalprice")).alias("metric"), F.concat(F.lit("step-"), F.col("o_orderkey").cast("string")).alias("path"))
+
+
+@query(f"with {_ENTRIES}, {_LAST} select run, step, seq, metric, path from last")
+def last_write_dedupe(spark, sf_dir):
+    return runs.last_writes(entries(spark, sf_dir))
+
+
+@query(f"""with {_ENTRIES}, {_LAST}, k as (select *, row_number() over (partition by run order by step desc) as new, max(step) over (partition by run) as latest, case when metric is not null then row_number() over (partition by run order by metric nulls last, step desc) end as best from last),
+    r as (select run, step, concat_ws('+', case when new = 1 then 'final' end, case when new <= 2 then 'last' end, case when best <= 1 then 'best' end, case when step % 400 = 0 then 'every' end, case when latest - step < 150 then 'young' end) as reasons from k)
+    select run, step, case when reasons <> '' then 'keep' else 'delete' end as action, reasons from r""")
+def retention_plan(spark, sf_dir):
+    return runs.retention_plan(runs.last_writes(entries(spark, sf_dir)), runs.Retention(keep_last=2, keep_best=1, keep_every=400, min_age_steps=150))
+
+
+@query(f"with {_ENTRIES} select run, arg_max(step, seq) as step, arg_max(path, seq) as path from entries group by run")
+def latest_checkpoint(spark, sf_dir):
+    return runs.latest_checkpoint(entries(spark, sf_dir))
+
+
+_JOBS = """jobs as (select 'job-' || o_orderkey as id, case o_orderstatus when 'O' then 'running' when 'F' then 'succeeded' else 'pending' end as status, o_orderdate as created_at, o_orderkey % 60 as current_step, o_orderkey % 3 * 25 as total_steps from orders)"""
+
+
+def jobs(spark, sf_dir):
+    s = F.when(F.col("o_orderstatus") == "O", "running").when(F.col("o_orderstatus") == "F", "succeeded").otherwise("pending")
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(F.concat(F.lit("job-"), k.cast("string")).alias("id"), s.alias("status"), F.col("o_orderdate").alias("created_at"), (k % 60).alias("current_step"), (k % 3 * 25).alias("total_steps"), F.lit(None).cast("string").alias("error"))
+
+
+@query(f"with {_JOBS} select id, status from jobs where status = 'succeeded' order by created_at desc, id limit 50")
+def job_list_top(spark, sf_dir):
+    """A top-50 report: the limit is the feature."""
+    return runs.list_jobs(jobs(spark, sf_dir), "succeeded").select("id", "status")
+
+
+@query(f"with {_JOBS} select case status when 'running' then 'failed' else status end as status, count(*)::bigint as n, count(*) filter (where status = 'running')::bigint as interrupted from jobs group by 1")
+def job_reconcile(spark, sf_dir):
+    return runs.reconcile(jobs(spark, sf_dir)).groupBy("status").agg(F.count("*").alias("n"), F.count("error").alias("interrupted"))
+
+
+@query(f"with {_JOBS} select id, case when total_steps > 0 then least(1.0, current_step / total_steps) else 0.0 end::double as progress from jobs")
+def job_progress(spark, sf_dir):
+    return jobs(spark, sf_dir).select("id", runs.progress(F.col("current_step"), F.col("total_steps")).alias("progress"))
+
+
+@query(f"with {_SERIES} select run, step, event_id from series qualify row_number() over (partition by run order by step desc) <= 10")
+def metrics_tail(spark, sf_dir):
+    return runs.metrics_tail(series(spark, sf_dir), 10).select("run", "step", "event_id")
+
+
+@query("select attempt, status, status in (408, 425, 429, 500, 502, 503, 504) as retryable, least(0.5 * pow(2, attempt - 1), 30.0) as delay from range(1, 9) as a(attempt), (values (400), (408), (429), (500), (503), (404)) as s(status)")
+def retry_backoff(spark, sf_dir):
+    statuses = F.explode(F.array(*map(F.lit, (400, 408, 429, 500, 503, 404))))
+    rows = spark.range(1, 9).select(F.col("id").alias("attempt"), statuses.alias("status"))
+    return rows.select("attempt", "status", runs.is_retryable(F.col("status")).alias("retryable"), runs.backoff(F.col("attempt")).alias("delay"))
+
+
+def _seconds():
+    return F.unix_micros("ts") / 1e6
+
+
+@query()
+def token_bucket(spark, sf_dir):
+    requests = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), _seconds().alias("at"), (F.col("event_id") % 3 + 1).alias("amount"))
+    return runs.token_bucket(requests, rate=1 / 3600, capacity=5.0)
+
+
+@query()
+def circuit_breaker(spark, sf_dir):
+    calls = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), _seconds().alias("at"), (F.col("event_type") != "error").alias("ok"))
+    return runs.circuit_breaker(calls, failures=2, recovery=7200.0)

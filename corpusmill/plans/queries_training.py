@@ -1 +1,114 @@
+"""Queries over rewards, preference pairs, evaluations, costs and simulated training."""
 
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from corpusmill.functions import chat
+from corpusmill.operators import tokens, training
+from corpusmill.plans.catalog import query
+from corpusmill.plans.queries_text import LEN_SQL
+from corpusmill.plans.views import CHAT_SQL, examples, table
+from corpusmill.sources.registry import MODELS, model_registry
+
+
+@query("""with s as (select range as step, greatest(1, (200 * 0.03)::int) as warm from range(200)), p as (select step, warm, least(1.0, greatest(0.0, (step - warm) / (200.0 - warm))) as p from s)
+    select step, round(case when step < warm then 1e-4 * (step + 1) / warm else 1e-5 + 9e-5 * 0.5 * (1 + cos(pi() * p)) end, 12) as cosine, round(case when step < warm then 1e-4 * (step + 1) / warm else 1e-4 - 9e-5 * p end, 12) as linear, round(case when step < warm then 1e-4 * (step + 1) / warm else 1e-4 end, 12) as constant from p""")
+def lr_schedule(spark, sf_dir):
+    step = F.col("id")
+    return spark.range(200).select(step.alias("step"), *(F.round(training.learning_rate(step, 200, schedule=s), 12).alias(s) for s in ("cosine", "linear", "constant")))
+
+
+@query("""with g as (select *, avg(o_totalprice) over w as m, stddev_pop(o_totalprice) over w as s from orders window w as (partition by o_custkey))
+    select o_orderkey, round(o_totalprice - m, 6) as reinforce, round((o_totalprice - m) / (s + 1e-6), 6) as grpo from g""")
+def group_advantages(spark, sf_dir):
+    rewards = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    both = training.advantages(rewards, "o_custkey", "o_totalprice", "reinforce").withColumnRenamed("advantage", "reinforce")
+    both = training.advantages(both, "o_custkey", "o_totalprice", "grpo").withColumnRenamed("advantage", "grpo")
+    return both.select("o_orderkey", F.round("reinforce", 6).alias("reinforce"), F.round("grpo", 6).alias("grpo"))
+
+
+@query("select o_custkey % 50 as iteration, round(avg(o_totalprice), 4) as reward_mean from orders group by 1")
+def reward_mean(spark, sf_dir):
+    return table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 50).alias("iteration")).agg(F.round(F.avg("o_totalprice"), 4).alias("reward_mean"))
+
+
+_PAIRS = """pairs as (select l_orderkey % 40 as batch, -l_quantity * 0.9 as pc, -l_extendedprice / 1500 as pr, -l_quantity as rc, -l_extendedprice / 1500 - l_tax as rr from lineitem),
+    m as (select batch, (pc - pr) - (rc - rr) as gap from pairs)"""
+_LOGSIG = "(least(0.0, {0}) - ln(1 + exp(-abs({0}))))"
+
+
+@query(f"with {_PAIRS} select batch, round(avg(-0.9 * {_LOGSIG.format('(0.1 * gap)')} - 0.1 * {_LOGSIG.format('(-0.1 * gap)')}), 6) as loss, round(avg(0.1 * gap), 6) as margin, round(avg((gap > 0)::int), 6) as accuracy from m group by batch")
+def dpo_metrics(spark, sf_dir):
+    return training.dpo_metrics(_pairs(spark, sf_dir), "batch", smoothing=0.1)
+
+
+@query(f"with {_PAIRS} select batch, round(avg(pow(gap - 5, 2)), 6) as loss, round(avg(0.1 * gap), 6) as margin, round(avg((gap > 0)::int), 6) as accuracy from m group by batch")
+def ipo_metrics(spark, sf_dir):
+    return training.dpo_metrics(_pairs(spark, sf_dir), "batch", kind="ipo")
+
+
+def _pairs(spark, sf_dir):
+    q, p = F.col("l_quantity"), F.col("l_extendedprice") / 1500
+    return table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 40).alias("batch"), (-q * 0.9).alias("pc"), (-p).alias("pr"), (-q).alias("rc"), (-p - F.col("l_tax")).alias("rr"))
+
+
+@query(f"""with {LEN_SQL}, b as (select row_id % 16 as batch, supervised_len / 100.0 as loss from lens), m as (select batch, avg(loss) as m from b group by batch) select round(avg(m), 6) as loss, count(*)::bigint as batches from m""")
+def held_out_loss(spark, sf_dir):
+    rows = tokens.token_lengths(examples(spark, sf_dir)).select((F.col("row_id") % 16).alias("batch"), (F.col("supervised_len") / 100.0).alias("loss"))
+    return training.held_out_loss(rows, "batch", "loss").withColumn("loss", F.round("loss", 6))
+
+
+@query(f"""with {CHAT_SQL}, a as (select row_id, contents[len(roles) - list_position(list_reverse(roles), 'assistant') + 1] as answer from chat), b as (select answer, case when row_id % 3 = 0 then lower(answer) || ' ' when row_id % 3 = 1 then answer else answer || '!' end as given from a)
+    select round(avg((trim(regexp_replace(lower(answer), '\\s+', ' ', 'g')) = trim(regexp_replace(lower(given), '\\s+', ' ', 'g')))::int), 6) as accuracy, count(*)::bigint as n from b""")
+def exact_match(spark, sf_dir):
+    a = examples(spark, sf_dir).select("row_id", chat.last_answer(F.col("messages")).alias("answer"))
+    k = F.col("row_id") % 3
+    given = a.withColumn("given", F.when(k == 0, F.concat(F.lower("answer"), F.lit(" "))).when(k == 1, F.col("answer")).otherwise(F.concat("answer", F.lit("!"))))
+    return training.exact_match(given, "given", "answer").withColumn("accuracy", F.round("accuracy", 6))
+
+
+_MODEL_SQL = "m as (select * from (values " + ", ".join(f"({i}, '{r[0]}', {r[3]}::double)" for i, r in enumerate(MODELS)) + ", (13, 'someone/unknown', null::double)) as t(k, model, active_b))"
+
+
+@query(f"with {_MODEL_SQL}, u as (select o_custkey % 14 as k, sum(o_orderkey)::bigint as train_tokens, sum(o_orderkey % 97)::bigint as sample_tokens from orders group by 1) select model, train_tokens, sample_tokens, round(0.02 * coalesce(active_b, 8.0), 6) as train_rate, round(0.005 * coalesce(active_b, 8.0), 6) as sample_rate, round((train_tokens * 0.02 * coalesce(active_b, 8.0) + sample_tokens * 0.005 * coalesce(active_b, 8.0)) / 1e6, 6) as cost_usd from u join m using (k)")
+def cost_model(spark, sf_dir):
+    names = F.array(*(F.lit(r[0]) for r in MODELS), F.lit("someone/unknown"))
+    usage = table(spark, sf_dir, "orders").groupBy(F.get(names, (F.col("o_custkey") % 14).cast("int")).alias("model")).agg(F.sum("o_orderkey").alias("train_tokens"), F.sum(F.col("o_orderkey") % 97).alias("sample_tokens"))
+    return training.costs(usage, model_registry(spark)).withColumns({c: F.round(c, 6) for c in ("train_rate", "sample_rate", "cost_usd")})
+
+
+@query(f"with {LEN_SQL} select (count(*) * avg(seq_len) * 3)::bigint as tokens from lens")
+def token_estimate(spark, sf_dir):
+    return tokens.token_lengths(examples(spark, sf_dir)).agg(F.round(F.sum("seq_len") * 3.0).cast("long").alias("tokens"))
+
+
+@query("select range as step, round(greatest(0.05, 0.4 + 1.6 * exp(-range / 40.0)), 9) as loss, round(greatest(0.01, exp(-range / 60.0)), 9) as grad_norm from range(300)")
+def simulated_training(spark, sf_dir):
+    s = F.col("id")
+    return spark.range(300).select(s.alias("step"), F.round(training.simulated_loss(s), 9).alias("loss"), F.round(training.simulated_grad_norm(s), 9).alias("grad_norm"))
+
+
+@query()
+def simulated_logprobs(spark, sf_dir):
+    """The dry run's log-probabilities of whole examples at three steps."""
+    m = F.col("messages")
+    target = training.byte_sum(chat.rendered(m)) - 60 + chat.EOS_ID
+    rows = examples(spark, sf_dir).select("row_id", chat.supervised_tokens(m).alias("n"), target.alias("target"), F.explode(F.array(F.lit(0), F.lit(40), F.lit(400))).alias("step"))
+    return rows.select("row_id", "step", F.round(training.simulated_logprob(F.col("n"), F.col("target"), F.col("step")), 6).alias("logprob"))
+
+
+@query("""with recursive l as (select supplier.s_suppkey as k, (abs(s_acctbal)::bigint % 900 + 100) as len, row_number() over (order by s_suppkey) as i from supplier),
+    walk as (select i, k, len, 0::bigint as pack_no, 0::bigint as o from l where i = 1
+        union all select l.i, l.k, l.len, case when w.o + w.len + l.len <= 2048 then w.pack_no else w.pack_no + 1 end, case when w.o + w.len + l.len <= 2048 then w.o + w.len else 0 end from walk w join l on l.i = w.i + 1)
+    select count(distinct pack_no)::bigint as n_packs, ceil(count(distinct pack_no) / 8)::bigint as steps_per_epoch, ceil(count(distinct pack_no) / 8)::bigint * 3 as total_steps from walk""")
+def steps_per_epoch(spark, sf_dir):
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("row_id"), (F.round(F.abs("s_acctbal")).cast("long") % 900 + 100).alias("len"))
+    return tokens.steps_per_epoch(tokens.in_order_packs(rows, 2048), batch_size=8, epochs=3)
+
+
+@query("select o_orderkey, round((row_number() over (partition by o_custkey order by o_orderkey)) / (count(*) over (partition by o_custkey)), 4) as epoch from orders")
+def epoch_fraction(spark, sf_dir):
+    by = Window.partitionBy("o_custkey")
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(F.row_number().over(by.orderBy("o_orderkey")) / F.count("*").over(by), 4).alias("epoch"))
