@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import BooleanType, StringType
 
 
 def normalized(text: Column) -> Column:
@@ -17,13 +18,13 @@ def normalized(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), r"(?U)\s+", " "))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def normalized_exact(texts: pd.Series) -> pd.Series:
     """NFKC, case folding, white space to single spaces."""
     return texts.map(lambda t: t if t is None else " ".join(unicodedata.normalize("NFKC", t).casefold().split()))
 
 
-@pandas_udf("boolean")
+@pandas_udf(BooleanType())
 def not_nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t is not None and not unicodedata.is_normalized("NFC", t))
 
@@ -46,7 +47,7 @@ def shingles(norm: Column, k: int = 5) -> Column:
 
 def shingle_hashes(norm: Column, k: int = 5) -> Column:
     """The shingles as 64-bit hashes, distinct."""
-    return F.array_distinct(F.transform(shingles(norm, k), F.xxhash64))
+    return F.array_distinct(F.transform(shingles(norm, k), lambda s: F.xxhash64(s)))
 
 
 def minhash(hashes: Column, num_perm: int = 32) -> Column:
@@ -128,7 +129,7 @@ def luhn_ok_py(match: str) -> bool:
     return sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(reversed(digits))) % 10 == 0
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def redacted_exact(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """`redacted` by Python's own regular expressions, in Arrow batches."""
     patterns = {k: re.compile(p) for k, p in PII_PATTERNS.items()}

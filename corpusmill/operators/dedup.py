@@ -79,14 +79,24 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float = THRESHOL
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must lie in (0, 1]")
-    banded = lambda t, name: t.select(F.col("row_id").alias(name), F.posexplode("keys").alias("band", "key"))
-    pairs = banded(left, "left_id").join(banded(right, "right_id"), ["band", "key"])
+    banded = lambda t, side: t.select(F.col("row_id").alias(f"{side}_id"), F.size("set").alias(f"{side}_n"), F.posexplode("keys").alias("band", "key"))
+    pairs = banded(left, "left").join(banded(right, "right"), ["band", "key"])
     pairs = pairs.where("right_id < left_id") if earlier else pairs
+    pairs = pairs.where(F.least("left_n", "right_n") >= threshold * F.greatest("left_n", "right_n"))  # no larger share can be common
     pairs = pairs.select("left_id", "right_id").distinct()
     sets = pairs.join(left.select(F.col("row_id").alias("left_id"), F.col("set").alias("a")), "left_id").join(right.select(F.col("row_id").alias("right_id"), F.col("set").alias("b")), "right_id")
-    both = F.size(F.array_intersect("a", "b"))
-    scored = sets.select("left_id", "right_id", (both / (F.size("a") + F.size("b") - both)).alias("jaccard"))
-    return scored.where(F.col("jaccard") >= threshold)
+
+    def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.zeros(batch.num_rows)
+            for k, (a, b) in enumerate(zip(batch.column(2), batch.column(3))):
+                x, y = np.asarray(a.values), np.asarray(b.values)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                found[k] = common / (len(x) + len(y) - common)
+            keep = pa.array(found >= threshold)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(found).filter(keep)], ["left_id", "right_id", "jaccard"])
+
+    return sets.select("left_id", "right_id", "a", "b").mapInArrow(score, "left_id long, right_id long, jaccard double")
 
 
 def near_duplicates(texts: DataFrame, threshold: float = THRESHOLD, num_perm: int = NUM_PERM, bands: int = BANDS, k: int = SHINGLE) -> DataFrame:

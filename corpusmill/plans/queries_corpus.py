@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import chat, text
 from corpusmill.operators import dedup, sharding, tokens
+from corpusmill.plans import validate
 from corpusmill.plans.catalog import query
 from corpusmill.plans.queries_text import _NORM, LEN_SQL
 from corpusmill.plans.views import DIRTY_SQL, dirty, examples, table
@@ -47,9 +48,9 @@ def near_duplicates(spark, sf_dir):
 
 @query()
 def eval_contamination(spark, sf_dir):
-    """Benchmark items against the documents of at most their size class: whole texts of both."""
-    bench = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("row_id"), text.normalized(F.col("text")).alias("norm"))
-    return dedup.contamination(bench, _documents(spark, sf_dir))
+    """The clean examples as an evaluation set, their copies with planted defects as the training set."""
+    k = validate.keyed(dirty(spark, sf_dir)).select("row_id", "norm")
+    return dedup.contamination(k.where("row_id < 1000000000"), k.where("row_id >= 1000000000"))
 
 
 @query(f"""with {_DOCS}, f as (select *, min(row_id) over (partition by norm) as first_id from n), d as (select row_id from f where row_id > first_id)
@@ -143,3 +144,31 @@ def round_robin_prompts(spark, sf_dir):
     from corpusmill.operators.training import round_robin
 
     return round_robin(table(spark, sf_dir, "benchmark"), "item_id", iterations=6, per_batch=16)
+
+
+_STATS_SQL = f"""{_KEYED_SQL}, t as (select dirty.row_id, list_sum([13 + strlen(roles[i]) + strlen(contents[i]) + 11 for i in range(1, len(roles) + 1)]) as total,
+    1 + coalesce(list_sum([strlen(contents[i]) + 11 for i in range(1, len(roles) + 1) if roles[i] = 'assistant']), 0) as sup from dirty)"""
+
+
+@query(f"""with {_STATS_SQL}, g as (select p, r, count(*) as c from k group by p, r) select count(*)::bigint as n, sum(total)::bigint as total_tokens, sum(sup)::bigint as supervised_tokens, round(sum(sup) / sum(total), 4) as supervised_ratio,
+    (select count(distinct p) from g)::bigint as unique_prompts, (select count(distinct r) from g)::bigint as unique_responses, round((select sum(c - 1) from g) / count(*), 4) as duplicate_rate,
+    round((select max(s) from (select sum(c) as s from g group by r)) / count(*), 4) as top_response_share from t""")
+def corpus_stats(spark, sf_dir):
+    return validate.corpus_stats(dirty(spark, sf_dir))
+
+
+@query()
+def findings_report(spark, sf_dir):
+    """The lint of the view with planted defects, the clean examples as evaluation set."""
+    view = dirty(spark, sf_dir)
+    return validate.findings(view, evaluation=examples(spark, sf_dir), max_seq_len=2048, context=32768)
+
+
+@query(f"""with {DIRTY_SQL}, f as (select row_id, unnest([case when not regexp_matches(response, '\\S') then 'empty_assistant_turn' end, case when list_contains(roles[2:], 'system') then 'system_turn_not_first' end,
+        case when len([i for i in range(2, len(roles) + 1) if roles[i] = roles[i - 1] and roles[i] in ('user', 'assistant')]) > 0 then 'consecutive_same_role' end, case when roles[-1] = 'user' then 'trailing_user_turn' end]) as code from texts)
+    select code, count(*)::bigint as count, array_to_string(list(row_id order by row_id)[1:5], ',') as examples from f where code is not null group by code""")
+def structure_findings(spark, sf_dir):
+    flags = validate.row_flags(dirty(spark, sf_dir), 2048, 32768)
+    codes = ("empty_assistant_turn", "system_turn_not_first", "consecutive_same_role", "trailing_user_turn")
+    told = flags.select("row_id", F.explode(F.array_compact(F.array(*(F.when(F.col(c), c) for c in codes)))).alias("code"))
+    return dedup.first_examples(told).withColumn("examples", F.array_join(F.transform("examples", lambda x: x.cast("string")), ","))

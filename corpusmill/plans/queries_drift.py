@@ -88,14 +88,17 @@ def categorical_drift(spark, sf_dir):
     return drift.compare_categorical(docs, "source", 0, 1)
 
 
-_SIDE = F.col("row_id") % 2
+def _side():
+    return F.col("row_id") % 2
+
+
 _PREFIX_SQL = """prefixes as (select row_id % 2 as side, row_id as first, regexp_extract_all(lower(contents[list_position(roles, 'assistant')]), '[a-z0-9'']+')[1:2] as w from chat),
     rows as (select side, first, case when len(w) > 0 then array_to_string(w, ' ') else '<empty>' end as key from prefixes)"""
 
 
 @query(f"with {CHAT_SQL}, {_PREFIX_SQL}, " + _categorical_sql("rows", "answer_prefix"))
 def answer_prefix_drift(spark, sf_dir):
-    return drift.compare_categorical(report.features(examples(spark, sf_dir), _SIDE), "answer_prefix", 0, 1)
+    return drift.compare_categorical(report.features(examples(spark, sf_dir), _side()), "answer_prefix", 0, 1)
 
 
 _WORDS_SQL = """told as (select row_id, unnest(messages) as x, generate_subscripts(messages, 1) as pos from chat),
@@ -105,12 +108,12 @@ _WORDS_SQL = """told as (select row_id, unnest(messages) as x, generate_subscrip
 
 @query(f"with {CHAT_SQL}, {_WORDS_SQL}, " + _categorical_sql("rows", "vocabulary"))
 def vocabulary_drift(spark, sf_dir):
-    return drift.compare_categorical(report.vocabulary(examples(spark, sf_dir), _SIDE), "word", 0, 1, feature="vocabulary")
+    return drift.compare_categorical(report.vocabulary(examples(spark, sf_dir), _side()), "word", 0, 1, feature="vocabulary")
 
 
 @query()
 def drift_report(spark, sf_dir):
-    return report.drift_report(examples(spark, sf_dir), _SIDE, 0, 1)
+    return report.drift_report(examples(spark, sf_dir), _side(), 0, 1)
 
 
 @query()
@@ -120,4 +123,4 @@ def drift_overall(spark, sf_dir):
 
 @query(f"with {CHAT_SQL} select round(count(*) filter (where row_id % 2 = 1) / count(*) filter (where row_id % 2 = 0), 4) as ratio, count(*) filter (where row_id % 2 = 1) / count(*) filter (where row_id % 2 = 0) not between 0.5 and 2 as noted from chat")
 def corpus_size_note(spark, sf_dir):
-    return report.size_note(examples(spark, sf_dir), _SIDE, 0, 1)
+    return report.size_note(examples(spark, sf_dir), _side(), 0, 1)

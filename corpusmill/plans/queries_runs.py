@@ -185,7 +185,7 @@ def retry_backoff(spark, sf_dir):
 
 
 def _seconds():
-    return F.unix_micros("ts") / 1e6
+    return F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
 
 
 @query()

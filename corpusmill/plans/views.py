@@ -45,7 +45,7 @@ def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     is_answer = lambda x: x["role"] == "assistant"
     kinds = {
         0: m,
-        1: F.transform(m, lambda x: put(x, F.upper(x["content"]))),
+        1: F.transform(m, lambda x: put(x, F.upper(F.replace(x["content"], F.lit("ß"), F.lit("ss"))))),
         2: F.transform(m, lambda x: F.when(is_answer(x), put(x, F.concat(x["content"], F.lit(" other")))).otherwise(x)),
         3: F.transform(m, lambda x: F.when(is_answer(x), put(x, F.lit(" \n"))).otherwise(x)),
         4: F.flatten(F.transform(m, lambda x: F.when(is_answer(x), F.array(x, x)).otherwise(F.array(x)))),
@@ -62,7 +62,7 @@ DIRTY_SQL = (
     CHAT_SQL
     + """, dirty as (
         select row_id, roles, contents from chat
-        union all select 1000000000 + row_id, roles, list_transform(contents, lambda x: upper(x)) from chat where row_id % 3 = 1
+        union all select 1000000000 + row_id, roles, list_transform(contents, lambda x: upper(replace(x, 'ß', 'ss'))) from chat where row_id % 3 = 1
         union all select 2000000000 + row_id, roles, list_transform(messages, lambda x: case when x.role = 'assistant' then x.content || ' other' else x.content end) from chat where row_id % 3 = 2
         union all select 3000000000 + row_id, roles, list_transform(messages, lambda x: case when x.role = 'assistant' then ' ' || chr(10) else x.content end) from chat where row_id % 3 = 0
         union all select 4000000000 + row_id, list_transform(d, lambda x: x.role), list_transform(d, lambda x: x.content)
