@@ -121,3 +121,7 @@ def round_robin(rows: DataFrame, key: str, iterations: int, per_batch: int) -> D
     n = max(1, rows.count())
     draws = rows.sparkSession.range(iterations * per_batch).select(F.col("id").alias("draw"), F.floor(F.col("id") / per_batch).alias("iteration"), (F.col("id") % n).alias("position"))
     return draws.join(listed, "position").select("draw", "iteration", "position", key)
+
+
+def rollout_seed(seed: Column, iteration: Column, prompt: Column, sample: Column) -> Column:
+    return seed + iteration * 100_000 + prompt * 1000 + sample

@@ -112,3 +112,29 @@ def steps_per_epoch(spark, sf_dir):
 def epoch_fraction(spark, sf_dir):
     by = Window.partitionBy("o_custkey")
     return table(spark, sf_dir, "orders").select("o_orderkey", F.round(F.row_number().over(by.orderBy("o_orderkey")) / F.count("*").over(by), 4).alias("epoch"))
+
+
+@query(f"""with {CHAT_SQL}, p as (select row_id, list_sum(list_transform(messages, lambda x: 24 + strlen(x.role) + strlen(x.content))) as prompt, strlen(contents[list_position(roles, 'assistant')]) as answer from chat)
+    select row_id, (prompt + 33 + answer + 1)::bigint as chosen_tokens, (prompt + 33 + answer + 6 + 1)::bigint as rejected_tokens, (prompt + 33 + answer)::bigint as chosen_input from p""")
+def preference_datums(spark, sf_dir):
+    """Two conversations that share a prompt: an example's messages with its first answer, and with a marked one."""
+    m = F.col("messages")
+    first = F.get(F.transform(F.filter(m, lambda x: x["role"] == "assistant"), lambda x: x["content"]), 0)
+    rows = examples(spark, sf_dir).select("row_id", training.preference_messages(m, first).alias("chosen"), training.preference_messages(m, F.concat(first, F.lit(" other"))).alias("rejected"))
+    return rows.select("row_id", chat.total_tokens(F.col("chosen")).alias("chosen_tokens"), chat.total_tokens(F.col("rejected")).alias("rejected_tokens"), chat.sequence_length(F.col("chosen")).alias("chosen_input"))
+
+
+@query("select l_orderkey, l_linenumber, greatest(0, l_quantity::bigint - greatest(1, l_linenumber) + 1)::bigint as weighted, round(greatest(0, l_quantity::bigint - greatest(1, l_linenumber) + 1) * l_discount, 6) as advantage_sum from lineitem")
+def completion_masks(spark, sf_dir):
+    """Quantity as length, line number as prompt length, discount as advantage: positions whose target is in the completion."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", training.completion_weights(F.col("l_quantity").cast("int"), F.col("l_linenumber"), F.lit(1.0)).alias("w"), "l_discount")
+    on = F.size(F.filter("w", lambda x: x > 0)).cast("long")
+    return rows.select("l_orderkey", "l_linenumber", on.alias("weighted"), F.round(on * F.col("l_discount"), 6).alias("advantage_sum"))
+
+
+@query("select o_orderkey % 10 as iteration, p.k as prompt, g.k as sample, 3 + (o_orderkey % 10) * 100000 + p.k * 1000 + g.k as seed from (select distinct o_orderkey % 10 as o_orderkey from orders) o, range(4) as p(k), range(8) as g(k)")
+def rollout_seeds(spark, sf_dir):
+    """The seed of each sample of a group, for each prompt of an iteration."""
+    its = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 10).alias("iteration")).distinct()
+    each = its.select("iteration", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("prompt")).select("iteration", "prompt", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("sample"))
+    return each.select("iteration", F.col("prompt").cast("long").alias("prompt"), F.col("sample").cast("long").alias("sample"), training.rollout_seed(F.lit(3), F.col("iteration"), F.col("prompt"), F.col("sample")).alias("seed"))
