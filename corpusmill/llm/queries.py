@@ -75,6 +75,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op5_embedding_near_dedup": """
+        with recursive v as (select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings),
+        ok as (select * from v where label is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+        pairs as (select a.vec_id as a, b.vec_id as b from ok a join ok b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.93),
+        reach as (select vec_id as a, vec_id as b from v union select r.a, p.b from reach r join pairs p on r.b = p.a),
+        counts as (select a, count(*) as n from pairs group by a), least as (select a, min(b) as component_id from reach group by a)
+        select v.vec_id, coalesce(n, 0)::bigint as n_links, component_id, v.vec_id = component_id as kept from v join least on least.a = v.vec_id left join counts on counts.a = v.vec_id
+    """,
     "op2_warc_fixity": f"""
         with parts as (
             select page_id, coalesce(url, '') as url, coalesce(html, '') as html, chr(13) || chr(10) as nl, md5(cast(page_id as varchar)) as mark from pages
