@@ -112,8 +112,11 @@ def _repeat_words(words: list[bytes], width: int = 3) -> int:
     return int(covered.sum())
 
 
-def judge(text: str | None, rules: LineRules = LineRules()) -> tuple[int, int, int, int, int, bool, bool, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_lost_words of a whole text."""
+Verdict = tuple[int, int, int, int, int, bool, bool, int]
+
+
+def judge_and_clean(text: str | None, rules: LineRules = LineRules()) -> tuple[Verdict, str]:
+    """The columns of `judge`, and the text without the lines that `clean_lines` drops, or as it was if base_failed."""
     text = text or ""
     words = text.encode().split()
     n = len(words)
@@ -128,8 +131,13 @@ def judge(text: str | None, rules: LineRules = LineRules()) -> tuple[int, int, i
             seen.add(line)
     repeat = _repeat_words(words)
     failed = n < rules.min_words or 100 * repeat > rules.max_repeat_percent * n
-    lost = 0 if failed else clean_lines(text, rules)[1]
-    return n, chars, symbols, dup, repeat, failed, not failed and lost <= rules.max_lost_share * n, lost
+    clean, lost = (text, 0) if failed else clean_lines(text, rules)
+    return (n, chars, symbols, dup, repeat, failed, not failed and lost <= rules.max_lost_share * n, lost), clean
+
+
+def judge(text: str | None, rules: LineRules = LineRules()) -> Verdict:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_lost_words of a whole text."""
+    return judge_and_clean(text, rules)[0]
 
 
 COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_lost_words long"
@@ -153,12 +161,22 @@ def quality_rules(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
-    """The rows whose text is kept, with all their columns as they were. Judged and filtered in one pass, no shuffle."""
+    """The rows whose text is kept, with all their columns; failing and repeated lines are gone from text.
 
+    A long column n_chars, if there, follows the new text. Judged, cleaned and filtered in one pass, no shuffle.
+    """
     at = docs.columns.index("text")
+    size = docs.columns.index("n_chars") if dict(docs.dtypes).get("n_chars") == "bigint" else None
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array([judge(t.as_py(), rules)[6] for t in b.column(at)], pa.bool_()))
+            judged = [judge_and_clean(t.as_py(), rules) for t in b.column(at)]
+            b = b.filter(pa.array([v[6] for v, _ in judged], pa.bool_()))
+            old, new = b.column(at).to_pylist(), [clean for v, clean in judged if v[6]]
+            columns = list(b.columns)
+            columns[at] = pa.array(new, columns[at].type)
+            if size is not None:
+                columns[size] = pa.array([n if x == y else len(y) for n, x, y in zip(columns[size].to_pylist(), old, new)], pa.int64())
+            yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
 
     return docs.mapInArrow(run, docs.schema)

@@ -5,7 +5,7 @@ from collections import defaultdict
 
 from corpusmill.llm.packing import pack
 from corpusmill.llm.quality_classifier import quality_scores
-from corpusmill.llm.quality_rules import judge
+from corpusmill.llm.quality_rules import clean_lines, judge
 from corpusmill.llm.secrets import redact
 from corpusmill.llm.simhash import fingerprint
 from corpusmill.llm.tokens import WordEncoder
@@ -53,3 +53,22 @@ def test_stages_keep_the_columns_of_documents(spark):
         assert stage(spark, empty, SF).collect() == []
         assert len(stage(spark, odd, SF).collect()) <= 3
     assert pipeline.STAGES[-1][1](spark, empty, SF).collect() == []
+
+
+def test_stages_against_plain_python_with_failing_lines_removed(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    raw = {r.doc_id: r.text for r in docs.collect()}
+    likely = {r.doc_id for r in quality_scores(docs, spark.read.parquet(f"{SF}/labels.parquet")).collect() if r.predicted}
+    text = {d: clean_lines(raw[d])[0] for d in sorted(likely) if judge(raw[d])[6]}
+    prints, root = {d: fingerprint(t) for d, t in text.items()}, {d: d for d in text}
+    links = [(a, b) for a in text for b in text if (prints[a] ^ prints[b]).bit_count() <= 3]
+    for _ in text:  # smallest id spreads over links
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    ids = {d: WordEncoder().encode(redact(t)).tolist() + [2] for d, t in text.items() if root[d] == d}
+    assert any(text[d] != raw[d] for d in ids)
+    got = pipeline.run(spark, SF).collect()
+    assert {r.doc_id for r in got} == set(ids)
+    for r in got:
+        assert r.doc_tokens == len(ids[r.doc_id])
+        assert r.ids_crc32 == zlib.crc32(np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4").tobytes())

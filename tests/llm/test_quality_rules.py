@@ -85,3 +85,15 @@ def test_query_on_nulls_repeats_clashes_and_an_empty_table(spark):
 def test_very_long_text():
     words = [f"w{i % 50000}" for i in range(300_000)]
     assert judge(" ".join(words))[4] == 300_000
+
+
+def test_failing_lines_are_gone_from_the_stage_s_output(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    stage = dict(pipeline.STAGES)["quality_rules"]
+    good = "\n".join(f"Line {i} says that {' '.join(f'w{i}x{j}' for j in range(12))} is so." for i in range(8))
+    mixed = f"{good}\nHome | News | Sport | Weather | Contact\nAll rights reserved.\n\n{good.splitlines()[0]}\nEnd of it."
+    menu = "\n".join(f"m{i} | n{i} | o{i} | p{i} | q{i}" for i in range(30))
+    rows = [(len(mixed), "x", mixed, 1), (None, None, mixed, None), (7, "y", good, 3), (9, "z", f"{good}\n{menu}", 4)]
+    got = stage(spark, spark.createDataFrame(rows, "n_chars long, lang string, text string, doc_id long"), "").collect()
+    clean = f"{good}\n\nEnd of it."
+    assert [tuple(r) for r in got] == [(len(clean), "x", clean, 1), (len(clean), None, clean, None), (7, "y", good, 3)]
