@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -102,6 +103,7 @@ class Page:
             k.reverse()
             for j, i in enumerate(k):
                 place[i] = j
+        same = [Counter(nodes[i].tag for i in k) for k in kids]
         log = math.log1p
         for i, v in enumerate(nodes):
             u = up[i]
@@ -117,7 +119,7 @@ class Page:
             j = place[i]
             before, after = sib[j - 1] if j else -1, sib[j + 1] if j + 1 < len(sib) else -1
             c = chars[i]
-            alike = sum(nodes[s].tag == v.tag for s in sib) if len(sib) < 200 else len(sib)
+            alike = same[u][v.tag] if u >= 0 else 1
             out[i, :_NUMBERS] = (
                 depth[i], len(kids[i]), log(c), log(own[i]), c / total, starts[i] / total, (starts[i] + c) / total, links[i] / max(1, c), tags[i] / max(1, c), stops[i] / max(1, c), c / max(1, blocks[i]),
                 log(most[i]), heads[i], listed[i], j, len(sib), alike / len(sib), c / max(1, chars[u]) if u >= 0 else 1, log(chars[before]) if before >= 0 else -1, log(chars[after]) if after >= 0 else -1,

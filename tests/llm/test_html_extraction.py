@@ -108,3 +108,10 @@ def test_query_on_nulls_repeats_clashes_and_an_empty_table(spark):
     assert {r.page_id: r.text for r in got}[1] == {r.page_id: r.text for r in got}[2] == ""
     assert {r.text for r in got if r.page_id == 3} == {"\n\n".join([P] * 3000)}
     assert extract_pages(pages.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("size", [150, 199, 200, 250])
+def test_share_of_siblings_alike_is_exact_at_every_size(size):
+    page = Page("<article>" + f"<p>{P}</p>" * (size - 1) + "<aside>Read on</aside></article>")
+    share = dict(zip([v.tag for v in page.nodes], page.features()[:, 16].tolist()))
+    assert share["p"] == pytest.approx((size - 1) / size) and share["aside"] == pytest.approx(1 / size)
