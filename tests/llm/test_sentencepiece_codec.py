@@ -10,6 +10,7 @@ import sentencepiece
 from corpusmill.llm.sentencepiece_codec import _UNIGRAM, Codec, decode_documents, encode_documents
 
 LIBRARY = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+CODEC = Codec()
 LETTERS = "abcdefthe   \n\tÀé日本😀.,0123ingTHE_-()"
 
 
@@ -45,9 +46,34 @@ def test_viterbi_finds_the_best_sum_of_scores():
         assert sum(codec.score[i] for i in codec.viterbi(text)) == best
 
 
-def test_words_apart_give_what_the_whole_text_gives(codec):
-    text = codec.normalize("  The quick  brown\nfox, don't   stop ")
-    assert codec.words_apart and codec.viterbi(text) == codec.encode("  The quick  brown\nfox, don't   stop ")
+def test_stretches_give_what_the_whole_text_gives(codec):
+    text = "  The quick  brown\nfox, don't   stop -- 日本語,é"
+    whole = codec.normalize(text)
+    assert "".join(codec.stretches(whole)) == whole and len(codec.stretches(whole)) > 8
+    assert codec.viterbi(whole) == codec.encode(text) == LIBRARY.encode(text)
+
+
+def test_both_ways_of_scoring_merges_give_the_library_s_ids():
+    rng, by_scores = random.Random(3), Codec(wide=0)
+    for text in ["a" * 700, "=" * 70, "aaaaa", "ab" * 400, "x" + "   " * 9] + ["".join(rng.choice(LETTERS) for _ in range(rng.randrange(80))) for _ in range(1500)]:
+        assert by_scores.encode(text) == LIBRARY.encode(text) == Codec.encode(CODEC, text), repr(text)
+
+
+def test_merge_orders_are_scores_that_decide():
+    """The best sum over all segmentations, where a piece counts its merges, each more than all later ones together."""
+    def merges(word, at):
+        i = CODEC.usable[word]
+        if len(word) == 1:
+            return []
+        k = CODEC._merged(word)[1]
+        return sorted([(-CODEC.score[i], at), *merges(word[:k], at), *merges(word[k:], at + k)])
+
+    never = [(float("inf"), 0)]  # a merge more is better than none
+    for text in ("▁thereby", "▁stations", "▁ingoing", "aaaaaaa", "▁anlyouin"):
+        cuts = [(0, *c, len(text)) for n in range(len(text)) for c in combinations(range(1, len(text)), n)]
+        cuts = [c for c in cuts if all(text[a:b] in CODEC.usable for a, b in zip(c, c[1:]))]
+        best = min(cuts, key=lambda c: sorted(m for a, b in zip(c, c[1:]) for m in merges(text[a:b], a)) + never)
+        assert CODEC.viterbi(text) == [CODEC.usable[text[a:b]] for a, b in zip(best, best[1:])]
 
 
 def test_query_on_nulls_repeats_clashes_and_an_empty_table(spark):
@@ -62,3 +88,6 @@ def test_query_on_nulls_repeats_clashes_and_an_empty_table(spark):
     back = {r.doc_id: r.text for r in decode_documents(found).collect()}
     assert back[None] == rows[-1][1] and back[1] == back[2] == "" and back[3] == "a   b"
     assert encode_documents(docs.limit(0)).collect() == []
+    odd = spark.createDataFrame([(1, [3, None, -4, 10**6], "x"), (1, [], "x"), (None, None, "x")], "doc_id long, ids array<int>, text string")
+    assert sorted((r.doc_id or 0, r.text) for r in decode_documents(odd).collect()) == [(0, ""), (1, ""), (1, CODEC.text[3] if 3 not in CODEC.special else "\x00")]
+    assert decode_documents(odd.limit(0)).collect() == []
