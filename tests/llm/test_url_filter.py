@@ -54,20 +54,34 @@ def urls(n, seed=3):
 def test_mined_rules_are_those_of_all_token_sets(spark):
     m = Mining(min_support=0.05, min_confidence=0.6, min_lower_bound=0.0)
     rows = urls(400)
-    got = mine(spark.createDataFrame(rows, "page_id long, url string, bad int").select("url", "bad"), m)
-    sets = [(set(url_tokens(u, m)), b) for _, u, b in rows]
-    tokens = sorted(set().union(*(s for s, _ in sets)))
+    rules, item_of = mine(spark.createDataFrame(rows, "page_id long, url string, bad int").select("url", "bad"), m)
+    sets = [(set(url_tokens(u)), b) for _, u, b in rows]
+    where = {t: frozenset(i for i, (s, _) in enumerate(sets) if t in s) for t in set().union(*(s for s, _ in sets))}
+    assert item_of == {t: min((x for x in where if where[x] == w), key=lambda x: (len(x), x)) for t, w in where.items() if len(w) >= 0.05 * len(rows)}
+    assert item_of["host:org"] == item_of["host:example.org"] == "host:org"
+    sets = [({item_of[t] for t in s if t in item_of}, b) for s, b in sets]
     want = {}
     for k in (1, 2):
-        for a in combinations(tokens, k):
+        for a in combinations(sorted(set(item_of.values())), k):
             covers = [b for s, b in sets if s.issuperset(a)]
             if covers and sum(covers) >= 0.05 * len(rows) and sum(covers) / len(covers) >= 0.6:
                 if not any(set(x) < set(a) and c >= sum(covers) / len(covers) for x, (c, _) in want.items()):
                     want[a] = (sum(covers) / len(covers), len(covers))
-    assert {a: (pytest.approx(c), n) for a, c, n in got if len(a) <= 2} == want
+    assert {a: (pytest.approx(c), n) for a, c, n in rules if len(a) <= 2} == want
     assert ("host:win.example.org",) in want
 
 
+def test_all_parts_of_a_url_count(spark):
+    deep = "https://" + ".".join("abcdefgh") + "/" + "/".join(f"p{i}x" for i in range(40)) + "/{}/?" + "&".join(f"k{i}=1" for i in range(30))
+    tokens = url_tokens(deep.format("z"))
+    assert {"host:h", "host:a.b.c.d.e.f.g.h", "path39:p0x", "path40:z", "query:k29"} <= set(tokens)
+    rows = [(deep.format("spam" if i % 3 == 0 else "fine"), int(i % 3 == 0)) for i in range(150)] + [(None, 1), ("no scheme", 1)]
+    rules, item_of = mine(spark.createDataFrame(rows, "url string, bad int"))
+    assert [r[0] for r in rules] == [("path40:spam",)] and len(set(item_of.values())) == 3
+    assert RuleIndex(rules, item_of).best(url_tokens(deep.format("spam"))) and not RuleIndex(rules, item_of).best(tokens)
+    assert mine(spark.createDataFrame([], "url string, bad int")) == ([], {})
+
+
 def test_unlabelled_urls_follow_the_mined_rules(spark):
     rows = urls(600)
     pages = spark.createDataFrame([(i, u, 0) for i, u, _ in rows], PAGES)
