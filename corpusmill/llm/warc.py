@@ -1,6 +1,6 @@
 """WARC records and a Merkle fixity audit of replicas.
 
-A record is a WARC/1.1 response built from a row, or read from a file. An archive is the ordered list of its records,
+A record is a WARC/1.1 response built from a row, or read from files (`read_records`). An archive is the ordered list of its records,
 each at an offset; a leaf is the SHA-256 of a record's place and bytes, an inner node that of its offset range and its
 children; a node at level k covers `fanout`^k record numbers. Trees are grouped hashes, level by level, over all
 archives at once.
@@ -14,10 +14,11 @@ from __future__ import annotations
 import gzip
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import BinaryIO
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import Stash
@@ -49,8 +50,8 @@ def records(pages: DataFrame, per_archive: int = ARCHIVE_RECORDS) -> DataFrame:
 
 
 def leaves(records: DataFrame) -> DataFrame:
-    """(archive, number, offset, length, digest) -> archive, position, first, last, hash; first to last is the offset range."""
-    leaf = F.sha2(F.concat_ws(":", F.lit("0"), "offset", "length", "digest"), 256)
+    """(archive, number, offset, length, digest, copies) -> archive, position, first, last, hash; first to last is the offset range."""
+    leaf = F.sha2(F.concat_ws(":", F.lit("0"), "offset", "length", "digest", "copies"), 256)
     return records.select("archive", F.col("number").alias("position"), F.col("offset").alias("first"), (F.col("offset") + F.col("length")).alias("last"), leaf.alias("hash"))
 
 
@@ -73,11 +74,12 @@ def audit(left: DataFrame, right: DataFrame, fanout: int = FANOUT, levels: int =
     """Two replicas' record tables -> a row for each record place where they differ.
 
     Columns: archive, number, left_offset, left_length, left_digest, right_offset, right_length, right_digest (null
-    where that replica lacks the record) and fault: missing_left, missing_right, moved (the same bytes at another
-    offset) or corrupt. Equal replicas, two empty ones too, give no rows.
+    where that replica lacks the record) and fault: missing_left, missing_right, corrupt, moved (the same bytes at another
+    offset) or copies_differ (the same bytes in the same place, another number of repeated rows). Equal replicas, two
+    empty ones too, give no rows. A table without the column copies has one of each.
     """
     stash = Stash(left.sparkSession, "warc")
-    tables = [stash.put(r.select("archive", "number", "offset", "length", "digest"))[0] for r in (left, right)]
+    tables = [stash.put(r.select("archive", "number", "offset", "length", "digest", F.coalesce("copies", F.lit(1)).alias("copies") if "copies" in r.columns else F.lit(1).alias("copies")))[0] for r in (left, right)]
     trees = [[leaves(r)] for r in tables]
     for tree in trees:
         for level in range(1, levels + 1):
@@ -94,7 +96,8 @@ def audit(left: DataFrame, right: DataFrame, fanout: int = FANOUT, levels: int =
     for r, side in zip(tables, ("left", "right")):
         own = r.join(places, ["archive", "number"], "left_semi").select("archive", "number", *(F.col(c).alias(f"{side}_{c}") for c in ("offset", "length", "digest")))
         both = both.join(own, ["archive", "number"], "left")
-    fault = F.when(F.col("left_digest").isNull(), "missing_left").when(F.col("right_digest").isNull(), "missing_right").when(F.col("left_digest") == F.col("right_digest"), "moved").otherwise("corrupt")
+    same, place = F.col("left_digest") == F.col("right_digest"), F.col("left_offset") == F.col("right_offset")
+    fault = F.when(F.col("left_digest").isNull(), "missing_left").when(F.col("right_digest").isNull(), "missing_right").when(~same, "corrupt").when(~place, "moved").otherwise("copies_differ")
     return both.withColumn("fault", fault)
 
 
@@ -125,6 +128,68 @@ def write_warc(out: BinaryIO, items: Iterator[tuple[str, bytes]], gzipped: bool
     return places
 
 
+#: What stands between two records: the end of one and the beginning of the next.
+_BORDER = "\r\n\r\nWARC/1."
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """WARC files (plain, or gzip as a whole or by record), by any path that Spark reads -> a row for each record:
+    file, type, url, headers (map, lower-cased names), body binary, whole (the body is as long as its header says).
+
+    Files are split at the borders of records by Spark's text reader, so plain ones are read by many tasks. A body that holds
+    such a border itself is put together again by its length, as far as its task's part of the file goes; a record that
+    ends early has whole = false, and is not dropped. Empty files give no rows.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[str, bytes] | None = None
+        border = _BORDER.encode()
+        for b in batches:
+            rows: list[tuple] = []
+            for file, piece in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if held and held[0] == file:
+                    piece = held[1] + border + piece
+                elif held:
+                    rows.append(_parsed(*held))
+                held = (file, piece)
+                row = _parsed(file, piece)
+                if row is None or row[-1]:
+                    rows.append(row)
+                    held = None
+            yield _table(rows)
+        if held:
+            yield _table([_parsed(*held)])
+
+    raw = spark.read.option("lineSep", _BORDER).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("piece"))
+    return raw.mapInArrow(run, "file string, type string, url string, headers map<string,string>, body binary, whole boolean")
+
+
+def _parsed(file: str, piece: bytes) -> tuple | None:
+    """file, type, url, headers, body, whole of a record without what marks its begin; None for what holds no record."""
+    if not piece.strip():
+        return None
+    head, _, body = piece.partition(b"\r\n\r\n")
+    pairs = (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:])
+    headers = {name.strip().lower(): value.strip() for name, _, value in pairs if name.strip()}
+    told = headers.get("content-length", "")
+    size = int(told) if told.isdigit() else len(body)
+    return file, headers.get("warc-type"), headers.get("warc-target-uri"), headers, body[:size], len(body) >= size
+
+
+def _table(rows: list[tuple | None]) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.binary(), pa.bool_()]
+    columns = list(zip(*(r for r in rows if r))) or [()] * len(kinds)
+    columns[3] = [list(h.items()) for h in columns[3]]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["file", "type", "url", "headers", "body", "whole"])
+
+
+def write_records(pages: DataFrame, path: str, compression: str = "none") -> None:
+    """(url, html, ...) -> WARC files of response records, a file for each partition; compression as Spark's text writer has it."""
+    text = record_text(F.col("url"), F.col("html"))
+    # the writer adds the last line end
+    pages.select(F.substring(text, F.lit(1), F.length(text) - 1).alias("value")).write.option("lineSep", "\n").option("compression", compression).text(path)
+
+
 class _Unzipped:
     """Reads gzip members one after another, or plain bytes, with little held."""
 

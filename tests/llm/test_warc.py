@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from corpusmill.llm.warc import audit, damaged, digest, leaves, parents, read_warc, records, write_warc
+from corpusmill.llm.warc import audit, damaged, digest, leaves, parents, read_records, read_warc, records, write_records, write_warc
 
 PAGES = "page_id long, url string, html string, offset int"
 
@@ -90,3 +90,29 @@ def test_planted_damage_is_located(spark):
 
     marks = {i: hashlib.md5(str(i).encode()).hexdigest() for i in range(3000)}
     assert {r.archive * 1024 + r.number: r.fault for r in got} == {i: "missing_right" if m[2] >= "8" else "corrupt" for i, m in marks.items() if m.startswith("00")}
+
+
+@pytest.mark.parametrize("compression", ["none", "gzip"])
+def test_files_come_back_record_by_record(spark, tmp_path, compression):
+    rows = [(i, f"http://x.org/{i}", f"<p>é {i}</p>" * (i + 1)) for i in range(60)] + [(None, None, None), (61, "http://x.org/in", "<pre>\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n</pre>"), (62, "http://x.org/e", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    write_records(pages.repartition(3), str(tmp_path / "w"), compression)
+    got = read_records(spark, str(tmp_path / "w")).collect()
+    assert sorted((r.url, bytes(r.body).decode()) for r in got) == sorted((u or "", h or "") for _, u, h in rows)
+    assert all(r.whole and r.type == "response" and r.headers["content-length"] == str(len(r.body)) for r in got)
+
+
+def test_files_by_record_gzip_and_broken_ones(spark, tmp_path):
+    with open(tmp_path / "a.warc.gz", "wb") as f:
+        write_warc(f, iter([("http://a", b"\xff\x00raw"), ("http://b", b"two")]), gzipped=True)
+    (tmp_path / "b.warc").write_bytes(b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 99\r\n\r\nshort")
+    (tmp_path / "c.warc").write_bytes(b"")
+    got = {(r.url, bytes(r.body), r.whole) for r in read_records(spark, f"{tmp_path}/*.war*").collect()}
+    assert got == {("http://a", b"\xff\x00raw", True), ("http://b", b"two", True), (None, b"short", False)}
+
+
+def test_lost_copies_of_a_record_are_a_fault(spark):
+    pages = spark.createDataFrame([(1, "u", "a"), (2, "v", "b"), (2, "v", "b")], "page_id long, url string, html string")
+    found = audit(records(pages), records(pages.dropDuplicates())).collect()
+    assert [(r.number, r.fault) for r in found] == [(1, "copies_differ")]
+    assert audit(records(pages), records(pages).drop("copies")).count() == 1
