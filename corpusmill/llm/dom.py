@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
-_MARK = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_MARK = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 #: Elements by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg xmp noembed noframes object math".split())  # read to their end tag, without text
-HIDDEN = frozenset("head select option optgroup datalist button canvas audio video map dialog".split())
+RAW = frozenset("script style textarea title noscript template iframe svg xmp noembed noframes object annotation annotation-xml".split())  # read to their end tag, without text
+HIDDEN = frozenset("head select option optgroup datalist button canvas audio video map".split())  # what a browser shows as a control, or only if it can't show the element
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var output meter progress picture".split()
+    "math semantics mrow mi mn mo ms mtext mfrac msqrt mroot msup msub msubsup munder mover munderover mtable mtr mtd mstyle mspace mpadded mphantom menclose mfenced merror a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var output meter progress picture".split()
 )
 _CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
@@ -46,6 +47,7 @@ def parse(html: str) -> Node:
     """The tree under a root node. Unclosed, stray and crossing tags are taken as browsers mostly do."""
     root = node = Node("#root", "", None)
     open_: list[tuple[str, Node | None]] = []  # elements; inline ones have no node
+    opened: Counter[str] = Counter()  # of open_, by tag
     anchors = at = 0
     lower = None
 
@@ -60,6 +62,7 @@ def parse(html: str) -> Node:
         """Ends the open elements from the k-th on."""
         nonlocal node, anchors
         for tag, own in reversed(open_[k:]):
+            opened[tag] -= 1
             if own is not None:
                 node = own.parent
             elif tag == "a":
@@ -68,6 +71,8 @@ def parse(html: str) -> Node:
 
     def shut(tags: set[str] | frozenset[str], scope: set[str] | frozenset[str]) -> None:
         """Ends the innermost open element of these tags, unless one of scope is further in."""
+        if not any(map(opened.__getitem__, tags)):
+            return
         for k in range(len(open_) - 1, -1, -1):
             if open_[k][0] in tags:
                 while k and open_[k - 1][0] in tags and open_[k][0] != open_[k - 1][0]:
@@ -89,8 +94,9 @@ def parse(html: str) -> Node:
             continue
         tag = tag.lower()
         if m[1]:
-            if tag == "p" and not any(t == "p" for t, _ in open_):
-                node.items.append(Node("p", "", node))
+            if not opened[tag]:
+                if tag == "p":
+                    node.items.append(Node("p", "", node))
                 continue
             for k in range(len(open_) - 1, -1, -1):
                 if open_[k][0] == tag:
@@ -98,6 +104,7 @@ def parse(html: str) -> Node:
                     if tag in INLINE and any(own is not None for _, own in open_[k + 1 :]):
                         if tag == "a":
                             anchors -= 1
+                        opened[tag] -= 1
                         del open_[k]
                     else:
                         close(k)
@@ -126,9 +133,10 @@ def parse(html: str) -> Node:
         if tag in INLINE:
             if not m[3].endswith("/"):
                 if tag == "a":
-                    shut({"a"}, {"table", "td", "th"}) if any(t == "a" and own is None for t, own in open_) else None
+                    shut({"a"}, {"table", "td", "th"})
                     anchors += 1
                 node.inline += 1
+                opened[tag] += 1
                 open_.append((tag, None))
             continue
         if tag in _CLOSES_P:
@@ -137,6 +145,7 @@ def parse(html: str) -> Node:
             shut(_CLOSED_BY[tag], _SCOPE[tag])
         child = Node(tag, m[3], node)
         node.items.append(child)
-        if not m[3].endswith("/") or tag not in ("svg", "math"):
+        if not m[3].endswith("/") or tag != "svg":
             node = child
+            opened[tag] += 1
             open_.append((tag, child))
