@@ -1,10 +1,12 @@
 """Quality classifier: random-indexing word vectors, pooled per document, and a small calibrated numpy network.
 
-1. Word vectors cover all documents. A token (a run of word characters or of other visible characters) falls into
-   one of `buckets` hash buckets; each bucket has a fixed sparse random index vector; a bucket's context vector is
-   the sum of the index vectors around its occurrences. The table has buckets x dims cells at any corpus size, so
-   it may be sent to the driver and broadcast. Tasks add up their own counts first and the sums meet in a tree.
-2. A document is pooled to the mean and the adjacent-pair product of its word vectors, and length statistics.
+1. Word vectors cover all documents. A word is a run of word characters or of other visible characters; the bits of its
+   64-bit hash say where its sparse index vector is +1 or -1. The context vector of a word is the sum of the
+   index vectors around its occurrences. Every word that makes up at least `min_share` of all words has one, so
+   there are at most 1 / min_share of them at any corpus size, and the table may be broadcast. Which words these are is
+   told by exact counts. A rarer word takes the context of the occurrence at hand, which for a word seen once is the
+   whole corpus's.
+2. A document is pooled to the mean and the adjacent-pair product of its words' vectors, and length statistics.
 3. A two-layer network is fitted on at most `max_labelled` labelled rows that are not held out, and its logit is
    divided by a temperature fitted on a validation part.
 """
@@ -20,23 +22,28 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import held_out
+from corpusmill.llm.common import Stash, held_out
 
-_TOKEN = re.compile(r"\w+|[^\w\s]+")
+_WORD = re.compile(r"\w+|[^\w\s]+")
 _BLOCKS, _SALTS = 64, 256
+_BLOCK = 1 << 18  #: words whose contexts are added at once
+_SEGMENT = 1 << 21  #: words that a task counts at once
+_SLACK = 8  #: a segment leaves out words under 1 / _SLACK of the least share, so no sum lacks more than that
 
 
 @dataclass(frozen=True)
 class Settings:
-    """buckets: hashed words, the bound of the vector table; max_labelled: the bound of the rows that are fitted."""
+    """min_share: the least share of all words that gives a word a row of the table; max_labelled: the bound of the rows
+    that are fitted; dims: a power of two up to 128; nonzero: at most 8."""
 
-    buckets: int = 1 << 14
+    min_share: float = 2.0**-16
     dims: int = 64
-    nonzero: int = 4
+    nonzero: int = 2
     window: int = 2
     max_labelled: int = 8000
     hidden: int = 32
@@ -45,71 +52,140 @@ class Settings:
     seed: int = 17
 
 
-class _Buckets:
-    """Token -> bucket, with a bounded memory of tokens seen."""
+@dataclass
+class WordVectors:
+    """hashes: sorted, of the words in the table; vectors: a unit row for each and a row of zeros; mean: of all contexts."""
 
-    def __init__(self, buckets: int, most: int = 1 << 19):
-        self.buckets, self.most, self.known = buckets, most, {}
+    hashes: np.ndarray
+    vectors: np.ndarray
+    mean: np.ndarray
 
-    def ids(self, text: str) -> np.ndarray:
-        tokens = _TOKEN.findall(text)
-        known = self.known
+
+class _Words:
+    """Text -> the hash of each word and its row in a table of sorted hashes (-1: none), with a bounded memory of words seen."""
+
+    def __init__(self, table: np.ndarray, most: int = 1 << 18):
+        self.table, self.most = table, most
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.hash, self.row = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.int32)
+
+    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        words = _WORD.findall(text)
         try:
-            return np.fromiter(map(known.__getitem__, tokens), np.int32, len(tokens))
+            ids = np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))
         except KeyError:
-            if len(known) > self.most:
-                known.clear()
-            for t in set(tokens).difference(known):
-                known[t] = zlib.crc32(t.encode()) % self.buckets
-            return np.fromiter(map(known.__getitem__, tokens), np.int32, len(tokens))
-
-
-def index_vectors(s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and signs of each bucket's index vector: buckets x nonzero."""
-    rng = np.random.default_rng(s.seed)
-    return np.argsort(rng.random((s.buckets, s.dims)), axis=1)[:, : s.nonzero].astype(np.int64), rng.choice([-1, 1], (s.buckets, s.nonzero)).astype(np.int64)
-
-
-def _add_contexts(total: np.ndarray, parts: list[np.ndarray], s: Settings, at: np.ndarray, sign: np.ndarray) -> None:
-    """Adds to total (buckets x dims) the index vectors within the window around each token of each document."""
-    ids = np.concatenate([np.concatenate([p, np.full(s.window, -1, np.int32)]) for p in parts])  # -1 keeps documents apart
-    for d in range(1, s.window + 1):
-        a, b = ids[:-d], ids[d:]
-        ok = (a >= 0) & (b >= 0)
-        a, b = a[ok].astype(np.int64), b[ok].astype(np.int64)
-        for w, c in ((a, b), (b, a)):
+            if len(self.known) > self.most:
+                self._clear()
+            new = list(set(words).difference(self.known))
+            a, z = len(self.known), len(self.known) + len(new)
+            if z > len(self.hash):
+                self.hash, self.row = (np.concatenate([x, np.zeros(2 * z, x.dtype)]) for x in (self.hash, self.row))
+            self.hash[a:z] = np.fromiter((xxhash.xxh64_intdigest(w) for w in new), np.uint64, len(new))
+            self.row[a:z] = rows_of(self.hash[a:z], self.table)
+            self.known.update(zip(new, range(a, z)))
+            ids = np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))
+        return self.hash[ids], self.row[ids]
+
+
+def rows_of(hashes: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The place of each hash in the sorted table, or -1."""
+    if not len(table):
+        return np.full(len(hashes), -1, np.int32)
+    at = np.minimum(np.searchsorted(table, hashes), len(table) - 1)
+    return np.where(table[at] == hashes, at, -1).astype(np.int32)
+
+
+def index_vectors(hashes: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """nonzero x words: positions and signs of index vectors, a byte of the hash for each."""
+    part = (hashes[None, :] >> (8 * np.arange(s.nonzero, dtype=np.uint64))[:, None]).astype(np.uint8)
+    return (part & np.uint8(s.dims - 1)).astype(np.int64), 1 - 2 * (part >> np.uint8(7)).astype(np.int64)
+
+
+def _add_contexts(total: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray]], s: Settings) -> None:
+    """Adds to total (rows x dims) the index vectors within the window around each word with a row, document by document."""
+    gap = np.full(s.window, -2, np.int32)  # keeps documents apart
+    row = np.concatenate([x for _, r in parts for x in (r, gap)])
+    hashes = np.concatenate([x for h, _ in parts for x in (h, gap.astype(np.uint64))])
+    flat, n = total.reshape(-1), len(row)
+    for a in range(0, n, _BLOCK):  # bounded scratch space, exact at the borders
+        low, high = max(0, a - s.window), min(n, a + _BLOCK + s.window)
+        at, sign = index_vectors(hashes[low:high], s)
+        centre = a + np.flatnonzero(row[a : a + _BLOCK] >= 0)
+        for d in (*range(-s.window, 0), *range(1, s.window + 1)):
+            near = centre + d
+            ok = (near >= 0) & (near < n)
+            ok[ok] = row[near[ok]] >= -1
+            cell, near = row[centre[ok]].astype(np.int64) * s.dims, near[ok] - low
             for k in range(s.nonzero):
-                total += np.bincount(w * s.dims + at[c, k], weights=sign[c, k], minlength=total.size).astype(np.int64).reshape(total.shape)
+                np.add.at(flat, cell + at[k, near], sign[k, near])
 
 
-def word_vectors(docs: DataFrame, s: Settings = Settings()) -> np.ndarray:
-    """(text, ...) -> buckets x dims unit vectors (zero rows for buckets without a token) from all rows."""
+def frequent_words(docs: DataFrame, s: Settings, stash: Stash) -> tuple[np.ndarray, int]:
+    """Hashes, sorted, of all words that may reach the least share (at most 8/7 / min_share), and the number of words."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, sign = index_vectors(s)
-        total, words = np.zeros((s.buckets, s.dims), np.int64), _Buckets(s.buckets)
-        seen = np.zeros(s.buckets, np.int64)
+        words, waiting, n = _Words(np.zeros(0, np.uint64)), [], 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal waiting, n
+            found, c = np.unique(np.concatenate(waiting), return_counts=True)
+            keep = c * _SLACK >= n * s.min_share
+            out = pa.RecordBatch.from_arrays([pa.array([None, *found[keep].view(np.int64).tolist()], pa.int64()), pa.array([n, *c[keep].tolist()], pa.int64())], ["word", "n"])
+            waiting, n = [], 0
+            return out
+
+        for b in batches:
+            for t in b.column(0):
+                h, _ = words(t.as_py() or "")
+                for k in range(0, len(h), _SEGMENT):
+                    waiting.append(h[k : k + _SEGMENT])
+                    n += len(waiting[-1])
+                    if n >= _SEGMENT:
+                        yield flush()
+        if n:
+            yield flush()
+
+    counts, path = stash.put(docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    total = counts.where("word is null").first()
+    n = total.n if total else 0
+    found = [r.word for r in counts.where(F.col("word").isNotNull() & (F.col("n") >= (1 - 1 / _SLACK) * s.min_share * n)).select("word").collect()]
+    stash.drop(path)
+    return np.sort(np.array(found, np.int64).view(np.uint64)), n
+
+
+def word_vectors(docs: DataFrame, s: Settings = Settings()) -> WordVectors:
+    """(text, ...) -> the vectors of all words that reach the least share, from all rows."""
+    table, n = frequent_words(docs, s, Stash(docs.sparkSession, "words"))
+    sent = docs.sparkSession.sparkContext.broadcast(table)  # at most 8/7 / min_share numbers
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = sent.value
+        words = _Words(table)
+        total, seen = np.zeros((len(table), s.dims), np.int64), np.zeros(len(table) + 1, np.int64)
         waiting, n = [], 0
 
         def flush():
             nonlocal waiting, n
             if waiting:
-                _add_contexts(total, waiting, s, at, sign)
-                np.add(seen, np.bincount(np.concatenate(waiting), minlength=s.buckets), out=seen)
+                _add_contexts(total, waiting, s)
+                np.add(seen, np.bincount(np.concatenate([r for _, r in waiting]) + 1, minlength=len(seen)), out=seen)
             waiting, n = [], 0
 
         for b in batches:
             for t in b.column(0):
-                ids = words.ids(t.as_py() or "")
-                for k in range(0, len(ids), 1 << 20):
-                    waiting.append(ids[k : k + (1 << 20)])
-                    n += len(waiting[-1])
-                    if n >= 1 << 20:
+                h, r = words(t.as_py() or "")
+                if len(h):
+                    waiting.append((h, r))
+                    n += len(h)
+                    if n >= _BLOCK:
                         flush()
         flush()
         task = TaskContext.get().partitionId()
-        table = np.concatenate([total, seen[:, None]], axis=1)
-        for k, part in enumerate(np.array_split(table, _BLOCKS)):
+        whole = np.concatenate([total, seen[1:, None]], axis=1)
+        for k, part in enumerate(np.array_split(whole, _BLOCKS)):
             if part.any():
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([task], pa.int32()), pa.array([_pack(part)], pa.binary())], ["block", "task", "sums"])
 
@@ -121,15 +197,18 @@ def word_vectors(docs: DataFrame, s: Settings = Settings()) -> np.ndarray:
     parts = docs.select("text").mapInArrow(count, "block int, task int, sums binary")
     for keys in ([F.col("block"), F.pmod("task", F.lit(_SALTS))], [F.col("block")]):
         parts = parts.groupBy(*keys).applyInPandas(add, "block int, task int, sums binary")
-    whole = np.zeros((s.buckets, s.dims + 1))
+    whole = np.zeros((len(table), s.dims + 1), np.int64)
     blocks = np.array_split(whole, _BLOCKS)
-    for row in parts.collect():  # at most buckets x (dims + 1) cells
+    for row in parts.collect():  # at most 8/7 / min_share x (dims + 1) cells
         blocks[row.block][:] = _unpack(row.sums).reshape(blocks[row.block].shape)
-    total, seen = whole[:, :-1], whole[:, -1:]
-    mean = total / np.maximum(seen, 1)
-    if seen.sum():
-        mean -= (seen > 0) * (total.sum(0) / seen.sum())  # what all words share tells nothing
-    return (mean / np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+    total, seen = whole[:, :-1], whole[:, -1]
+    mean = total.sum(0) / max(1, seen.sum())  # what all words share tells nothing
+    often = seen >= s.min_share * n
+    return WordVectors(table[often], np.vstack([_unit(total[often] / np.maximum(seen[often], 1)[:, None] - mean), np.zeros((1, s.dims))]).astype(np.float32), mean)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -141,19 +220,36 @@ def _unpack(b: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(b), np.int64)
 
 
-def pooled(ids: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """2 x dims + 3 features of a document's tokens; all but the last of an empty text are 0."""
-    n, dims = len(ids), vectors.shape[1]
+def _vectors(hashes: np.ndarray, rows: np.ndarray, a: int, z: int, words: WordVectors, s: Settings) -> np.ndarray:
+    """Vectors of the words a to z of a document: from the table, or from the context of the occurrence."""
+    out = words.vectors[rows[a:z]]  # a row of -1 is the last one, of zeros
+    rare = np.flatnonzero(rows[a:z] < 0)
+    if len(rare):
+        own, near = np.zeros((len(rare), s.dims)), np.zeros(len(rare))
+        for d in (*range(-s.window, 0), *range(1, s.window + 1)):
+            j = rare + a + d
+            ok = np.flatnonzero((j >= 0) & (j < len(hashes)))
+            at, sign = index_vectors(hashes[j[ok]], s)
+            near[ok] += 1
+            for k in range(s.nonzero):
+                own[ok, at[k]] += sign[k]
+        out[rare] = _unit(own / np.maximum(near, 1)[:, None] - words.mean)
+    return out
+
+
+def pooled(hashes: np.ndarray, rows: np.ndarray, words: WordVectors, s: Settings) -> np.ndarray:
+    """2 x dims + 3 features of a document's words; all but the last of an empty text are 0."""
+    n, dims = len(rows), s.dims
     out = np.zeros(2 * dims + 3, np.float32)
     if n:
         total, pairs, last = np.zeros(dims), np.zeros(dims), None
         for k in range(0, n, 1 << 14):
-            v = vectors[ids[k : k + (1 << 14)]]
+            v = _vectors(hashes, rows, k, min(n, k + (1 << 14)), words, s)
             total += v.sum(0)
             pairs += np.einsum("ij,ij->j", v[:-1], v[1:]) + (last * v[0] if last is not None else 0)
             last = v[-1]
         out[:dims], out[dims : 2 * dims] = total / n, pairs / max(1, n - 1)
-        out[-3] = len(np.unique(ids)) / n**0.8
+        out[-3] = len(np.unique(hashes)) / n**0.8
         out[-2] = math.log1p(n) / 5
     out[-1] = n == 0
     return out
@@ -205,7 +301,7 @@ class Network:
         return net
 
 
-def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> tuple[np.ndarray, Network]:
+def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> tuple[WordVectors, Network]:
     """Word vectors of all docs (doc_id, text, ...) and the network fitted on labels (doc_id, quality, ...).
 
     Labels of null or held-out ids, null qualities and ids with contrary qualities are left out; of the others, at
@@ -218,9 +314,9 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> tuple
     sent = spark.sparkContext.broadcast(vectors)
 
     def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Buckets(s.buckets)
+        words = _Words(sent.value.hashes)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([pooled(words.ids(t.as_py() or ""), sent.value).tobytes() for t in b.column(2)], pa.binary())], ["labelled_id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([pooled(*words(t.as_py() or ""), sent.value, s).tobytes() for t in b.column(2)], pa.binary())], ["labelled_id", "y", "x"])
 
     # at most max_labelled rows, so they may be broadcast
     sample = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("labelled_id"))
@@ -231,10 +327,10 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> tuple
     return vectors, Network.fit(x, np.array([r.y for r in rows], float), s)
 
 
-def _scores(texts: pa.Array, words: _Buckets, vectors: np.ndarray, net: Network) -> np.ndarray:
+def _scores(texts: pa.Array, words: _Words, vectors: WordVectors, net: Network, s: Settings) -> np.ndarray:
     out = np.zeros(len(texts))
     for k in range(0, len(texts), 1024):
-        x = [pooled(words.ids(t.as_py() or ""), vectors) for t in texts[k : k + 1024]]
+        x = [pooled(*words(t.as_py() or ""), vectors, s) for t in texts[k : k + 1024]]
         out[k : k + 1024] = net.probability(np.array(x, float))
     return out
 
@@ -250,23 +346,27 @@ def quality_scores(docs: DataFrame, labels: DataFrame, s: Settings = Settings())
     sent = docs.sparkSession.sparkContext.broadcast((vectors, net))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Buckets(s.buckets)
+        words = _Words(sent.value[0].hashes)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_scores(b.column(1), words, *sent.value))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_scores(b.column(1), words, *sent.value, s))], ["doc_id", "score"])
 
     scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= s.threshold).cast("int").alias("predicted"))
 
 
 def keep_likely(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """The rows whose score reaches the threshold, with all their columns as they were."""
+    """The rows whose score reaches the threshold, with all their columns, whatever their names, as they were.
+
+    Null text scores as the empty text, a null doc_id is scored like any other. Repeated rows score alike, so all stay or
+    all go. Without usable labels every row stays (score 0.5). An empty table gives no rows.
+    """
     vectors, net = train(docs, labels, s)
     sent = docs.sparkSession.sparkContext.broadcast((vectors, net))
     at = docs.columns.index("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Buckets(s.buckets)
+        words = _Words(sent.value[0].hashes)
         for b in batches:
-            yield b.filter(pa.array(_scores(b.column(at), words, *sent.value) >= s.threshold))
+            yield b.filter(pa.array(_scores(b.column(at), words, *sent.value, s) >= s.threshold))
 
     return docs.mapInArrow(run, docs.schema)
