@@ -1,8 +1,10 @@
 """Near-duplicate vectors: sign hashing by random hyperplanes, exact cosines within buckets, connected components.
 
-Equal vectors of a label form a class; only classes are compared. Each of `tables` tables keys a class by the signs of
-its products with `bits` random hyperplanes. Two vectors at cosine c share a table's key with probability
-(1 - arccos(c) / pi)^bits, so at the threshold 0.93 the defaults miss one link in about 35,000, and fewer above.
+Equal vectors of a label form a class; only classes are compared. A table keys a class by the signs of its products with
+some random hyperplanes; two vectors at cosine c share the key with probability (1 - arccos(c) / pi)^bits. A label's
+bits grow with the logarithm of its classes, so that buckets stay about as large at any size, and its tables grow with the
+bits, so that a link at the threshold is missed in all of them with probability `miss` at most, and one above less
+often. A label of up to `fill` classes is one bucket: all its pairs are compared.
 
 A bucket larger than `block` is dealt to pairs of blocks, each its own task unit, so a hot bucket is compared whole
 but nowhere at once. Tasks give link counts and a forest of links, never the pairs: a pair counts in the first table
@@ -11,6 +13,7 @@ that holds it together, which both signatures tell.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import Stash
 from corpusmill.llm.components import connected_components
 
-THRESHOLD, TABLES, BITS, BLOCK, SEED = 0.93, 32, 10, 1024, 29
+THRESHOLD, MISS, FILL, BLOCK, SEED = 0.93, 3e-5, 1024, 2048, 29
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
@@ -31,35 +34,38 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def signatures(x: np.ndarray, tables: int = TABLES, bits: int = BITS, seed: int = SEED) -> np.ndarray:
-    """Unit rows -> rows x tables sign patterns of `bits` (at most 16) bits; the planes depend on seed and dimensions."""
-    planes = np.random.default_rng([seed, x.shape[1]]).normal(size=(x.shape[1], tables * bits))
-    signs = (x @ planes > 0).reshape(len(x), tables, bits)
-    return (signs << np.arange(bits)).sum(axis=2).astype("<u2")
+def tables_for(bits: int, threshold: float = THRESHOLD, miss: float = MISS) -> int:
+    """How many tables of so many bits hold a pair at the threshold together but for the probability `miss`."""
+    alike = (1 - math.acos(threshold) / math.pi) ** bits
+    return 1 if alike >= 1 - miss else math.ceil(math.log(miss) / math.log1p(-alike))
 
 
-def _hashed(classes: DataFrame, tables: int, bits: int, seed: int) -> DataFrame:
-    """(class_no, label, embedding, members) -> class_no, members, label, dims, unit vector, signature, keys by table."""
+def signatures(x: np.ndarray, tables: int, bits: int, seed: int = SEED) -> np.ndarray:
+    """Unit rows -> rows x tables sign patterns; the planes depend on seed, dimensions and bits. No bits: all alike."""
+    out = np.zeros((len(x), tables), np.int32)
+    planes = np.random.default_rng([seed, x.shape[1], bits]).normal(size=(x.shape[1], tables * bits)) if bits else None
+    for k in range(0, len(x) if bits else 0, 4096):
+        signs = (x[k : k + 4096] @ planes > 0).reshape(-1, tables, bits)
+        out[k : k + 4096] = (signs << np.arange(bits)).sum(axis=2)
+    return out
+
+
+def _hashed(classes: DataFrame, threshold: float, miss: float, seed: int) -> DataFrame:
+    """(class_no, label, members, embedding, bits) -> class_no, label, members, embedding, dims, parts: the key in each table."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            values = [np.asarray(v.values, np.float64) for v in b.column(2)]
-            dims = np.array([len(v) for v in values], np.int32)
-            unit, sig = [b""] * len(values), np.zeros((len(values), tables), "<u2")
-            for d in np.unique(dims):
-                at = np.flatnonzero(dims == d)
-                x = unit_rows(np.stack([values[i] for i in at]))
-                sig[at] = signatures(x, tables, bits, seed)
-                for i, row in zip(at, x):
-                    unit[i] = row.tobytes()
-            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * tables), pa.array(sig.astype(np.int32).ravel()))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(3), b.column(1), pa.array(dims), pa.array(unit, pa.binary()), pa.array([s.tobytes() for s in sig], pa.binary()), keys],
-                ["class_no", "members", "label", "dims", "unit", "signature", "parts"],
-            )
-
-    label = classes.schema["label"].dataType.simpleString()
-    return classes.select("class_no", "label", "embedding", "members").mapInArrow(run, f"class_no long, members long, label {label}, dims int, unit binary, signature binary, parts array<int>")
+            values = [np.asarray(v.values, np.float64) for v in b.column(3)]
+            dims, bits = np.array([len(v) for v in values], np.int32), b.column(4).to_numpy()
+            parts: list = [None] * len(values)
+            for d, k in {*zip(dims.tolist(), bits.tolist())}:
+                at = np.flatnonzero((dims == d) & (bits == k))
+                for i, row in zip(at, signatures(unit_rows(np.stack([values[i] for i in at])), tables_for(k, threshold, miss), k, seed)):
+                    parts[i] = row
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(dims), pa.array(parts, pa.list_(pa.int32()))], ["class_no", "label", "members", "embedding", "dims", "parts"])
+
+    kinds = dict(classes.dtypes)
+    return classes.select("class_no", "label", "members", "embedding", "bits").mapInArrow(run, f"class_no long, label {kinds['label']}, members long, embedding {kinds['embedding']}, dims int, parts array<int>")
 
 
 def _links(x: np.ndarray, y: np.ndarray | None, sx: np.ndarray, sy: np.ndarray, table: int, threshold: float, step: int = 512) -> tuple[np.ndarray, np.ndarray]:
@@ -93,7 +99,10 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _compare(threshold: float):
-    """Sorted rows (key, i, j, t, side, class_no, members, unit, signature) -> (a, b, n): link counts (b null) and forest links (n 0)."""
+    """Sorted rows (key, i, j, t, side, class_no, members, embedding, parts) -> (a, b, n): link counts (b null) and forest links (n 0)."""
+
+    def matrix(column: pa.ChunkedArray) -> np.ndarray:
+        return np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks]).reshape(len(column), -1)
 
     def unit(rows: list[pa.RecordBatch]) -> tuple[list, list, list]:
         whole = pa.Table.from_batches(rows)
@@ -102,8 +111,7 @@ def _compare(threshold: float):
         table, i, j = (whole.column(c)[0].as_py() for c in ("t", "i", "j"))
         side = whole.column("side").to_numpy()
         ids, weight = whole.column("class_no").to_numpy(), whole.column("members").to_numpy()
-        x = np.frombuffer(b"".join(whole.column("unit").to_pylist()), np.float64).reshape(len(ids), -1)
-        s = np.frombuffer(b"".join(whole.column("signature").to_pylist()), "<u2").reshape(len(ids), -1)
+        x, s = unit_rows(matrix(whole.column("embedding"))), matrix(whole.column("parts"))
         if i == j:
             a, b = _links(x, None, s, s, table, threshold)
         else:
@@ -153,7 +161,7 @@ def _compare(threshold: float):
     return run
 
 
-def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES, bits: int = BITS, block: int = BLOCK, seed: int = SEED) -> DataFrame:
+def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, miss: float = MISS, fill: int = FILL, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """(vec_id, embedding, label, ...) -> (vec_id, n_links, component_id, kept), a row for each row.
 
     Vectors link within a label at cosine >= threshold. Null labels and vectors that are null, empty, zero or hold a
@@ -168,15 +176,19 @@ def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, tables: i
     usable = F.coalesce(F.col("label").isNotNull() & e.isNotNull() & (F.size(e) > 0) & finite & F.exists(e, lambda v: v != 0), F.lit(False))
     good, odd = rows.where(usable), rows.where(~usable)
     classes, _ = stash.put(good.groupBy("label", "embedding").agg(F.count("*").alias("members"), F.min("vec_id").alias("least")).withColumn("class_no", F.monotonically_increasing_id()))
-    hashed, _ = stash.put(_hashed(classes, tables, bits, seed))
+    thin = classes.select("class_no", F.col("label"), F.size("embedding").alias("dims"))
+    bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / fill))).cast("int")
+    sized = thin.join(thin.groupBy("label", "dims").agg(F.count("*").alias("n")), ["label", "dims"]).select("class_no", bits.alias("bits"))
+    hashed, path = stash.put(_hashed(classes.join(sized, "class_no"), threshold, miss, seed))
     keys = hashed.select("class_no", "label", "dims", F.posexplode("parts").alias("t", "part")).select("class_no", "t", F.xxhash64("label", "dims", "t", "part").alias("key"))
     sizes = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     side = F.pmod(F.xxhash64("class_no", "key"), F.ceil(F.col("size") / block)).cast("int")
     dealt = keys.join(sizes, "key").select("class_no", "key", "t", side.alias("side"), (F.ceil(F.col("size") / block) - 1).cast("int").alias("top"))
     pairs = F.transform(F.sequence(F.lit(0), "top"), lambda k: F.struct(F.least(k, "side").alias("i"), F.greatest(k, "side").alias("j")))
     dealt = dealt.select("class_no", "key", "t", "side", F.explode(pairs).alias("p")).select("class_no", "key", "t", "side", "p.i", "p.j")
-    units = dealt.join(hashed.select("class_no", "members", "unit", "signature"), "class_no").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    found, _ = stash.put(units.select("key", "i", "j", "t", "side", "class_no", "members", "unit", "signature").mapInArrow(_compare(threshold), "a long, b long, n long"))
+    units = dealt.join(hashed.select("class_no", "members", "embedding", "parts"), "class_no").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    found, _ = stash.put(units.select("key", "i", "j", "t", "side", "class_no", "members", "embedding", "parts").mapInArrow(_compare(threshold), "a long, b long, n long"))
+    stash.drop(path)
     counts = found.where("b is null").groupBy(F.col("a").alias("class_no")).agg(F.sum("n").alias("n"))
     roots = connected_components(found.where("b is not null").select("a", "b"), stash)
     rooted = classes.join(roots, classes.class_no == roots.node, "left").select("class_no", "label", "embedding", "members", "least", F.coalesce("root", "class_no").alias("root"))

@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from corpusmill.llm.embedding_dedup import _forest, embedding_groups, signatures, unit_rows
+from corpusmill.llm.embedding_dedup import MISS, _forest, embedding_groups, signatures, tables_for, unit_rows
 
 SCHEMA = "vec_id long, embedding array<float>, label int, n_links string"
 
@@ -55,21 +55,38 @@ def planted(seed=1, dims=16):
     return rows
 
 
-@pytest.mark.parametrize("block", [1024, 7])
-def test_links_and_components_match_brute_force(spark, block):
+@pytest.mark.parametrize("fill, block", [(1024, 2048), (1024, 7), (4, 7)])
+def test_links_and_components_match_brute_force(spark, fill, block):
     rows = planted()
-    got = embedding_groups(spark.createDataFrame(rows, SCHEMA).repartition(3), block=block, tables=48).collect()
+    got = embedding_groups(spark.createDataFrame(rows, SCHEMA).repartition(3), fill=fill, block=block, miss=1e-7).collect()
     assert sorted(((-1 if r.vec_id is None else r.vec_id), r.n_links, -1 if r.component_id is None else r.component_id) for r in got) == brute(rows)
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
 
 
-def test_recall_at_the_threshold():
+@pytest.mark.parametrize("bits", [1, 5, 10, 14])
+def test_recall_at_the_threshold(bits):
     rng = np.random.default_rng(0)
     x = unit_rows(rng.normal(size=(4000, 64)))
     y = rng.normal(size=x.shape)
     y = unit_rows(y - (y * x).sum(1, keepdims=True) * x)
     y = 0.93 * x + math.sqrt(1 - 0.93**2) * y
-    assert (signatures(x) == signatures(y)).any(axis=1).mean() > 0.999
+    tables = tables_for(bits)
+    assert (signatures(x, tables, bits) == signatures(y, tables, bits)).any(axis=1).mean() > 0.999
+    alike = (1 - math.acos(0.93) / math.pi) ** bits
+    assert (1 - alike) ** tables <= MISS < (1 - alike) ** (tables - 1)
+    assert tables_for(0) == 1 and (signatures(x, 1, 0) == 0).all()
+
+
+def test_many_classes_of_a_label_match_brute_force(spark):
+    """Beyond `fill` the label is hashed: 3,000 vectors of one label, links planted around the threshold."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 24))
+    x[1000:2000] = x[:1000] + rng.normal(size=(1000, 24)) * rng.uniform(0.1, 0.6, size=(1000, 1))
+    rows = [(i, v, 0, "") for i, v in enumerate(x.astype(np.float32).tolist())]
+    u = unit_rows(np.array([r[1] for r in rows]))
+    linked = (u @ u.T >= 0.93).sum(axis=1) - 1
+    got = {r.vec_id: r.n_links for r in embedding_groups(spark.createDataFrame(rows, SCHEMA), fill=64).collect()}
+    assert [got[i] for i in range(3000)] == linked.tolist() and linked.sum() > 500
 
 
 def test_empty_table(spark):
