@@ -14,22 +14,21 @@
 from __future__ import annotations
 
 import math
-import re
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import Stash, held_out
 
-_WORD = re.compile(r"\w+|[^\w\s]+")
+_CHARS, _BASE = 1 << 17, 0x5851F42D4C957F2D  #: characters hashed at once; the base
 _BLOCKS, _SALTS = 64, 256
 _BLOCK = 1 << 18  #: words whose contexts are added at once
 _SEGMENT = 1 << 21  #: words that a task counts at once
@@ -61,33 +60,52 @@ class WordVectors:
     mean: np.ndarray
 
 
-class _Words:
-    """Text -> the hash of each word and its row in a table of sorted hashes (-1: none), with a bounded memory of words seen."""
+@lru_cache(maxsize=1)
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The class of each character (0 white space, 1 of words, 2 other), powers of an odd number and of its inverse."""
+    kinds = np.fromiter((1 if c.isalnum() or c == "_" else 0 if c.isspace() else 2 for c in map(chr, range(0x110000))), np.uint8, 0x110000)
+    powers = []
+    for x in (_BASE, pow(_BASE, -1, 1 << 64)):
+        factors = np.full(_CHARS, x, np.uint64)
+        factors[0] = 1
+        powers.append(np.multiply.accumulate(factors))
+    return kinds, *powers
 
-    def __init__(self, table: np.ndarray, most: int = 1 << 18):
-        self.table, self.most = table, most
-        self._clear()
 
-    def _clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.hash, self.row = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.int32)
+def word_hashes(text: str) -> np.ndarray:
+    """A 64-bit hash of each word (a longest run of one class of characters, not white space), in order.
 
-    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        words = _WORD.findall(text)
-        try:
-            ids = np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))
-        except KeyError:
-            if len(self.known) > self.most:
-                self._clear()
-            new = list(set(words).difference(self.known))
-            a, z = len(self.known), len(self.known) + len(new)
-            if z > len(self.hash):
-                self.hash, self.row = (np.concatenate([x, np.zeros(2 * z, x.dtype)]) for x in (self.hash, self.row))
-            self.hash[a:z] = np.fromiter((xxhash.xxh64_intdigest(w) for w in new), np.uint64, len(new))
-            self.row[a:z] = rows_of(self.hash[a:z], self.table)
-            self.known.update(zip(new, range(a, z)))
-            ids = np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))
-        return self.hash[ids], self.row[ids]
+    A word's characters are digits of a number to an odd base, which prefix sums over the whole text give at once. Runs of
+    over _CHARS characters count as several words.
+    """
+    kinds, power, inverse = _tables()
+    codes, out, a = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), [], 0
+    while a < len(codes):
+        c = codes[a : a + _CHARS]
+        kind = kinds[c]
+        if a + len(c) < len(codes) and len(gap := np.flatnonzero(kind == 0)):  # a cut goes through white space, if there is some
+            c, kind = c[: gap[-1] + 1], kind[: gap[-1] + 1]
+        a += len(c)
+        digit = c * np.uint64(0x9E3779B97F4A7C15)
+        digit ^= digit >> np.uint64(29)
+        digit *= power[: len(c)]
+        total = np.zeros(len(c) + 1, np.uint64)
+        np.cumsum(digit, out=total[1:])
+        start = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1]]))
+        end = np.append(start[1:], len(c))
+        word = kind[start] > 0
+        start, end = start[word], end[word]
+        h = (total[end] - total[start]) * inverse[start]
+        for shift in (32, 29):
+            h = (h ^ h >> np.uint64(shift)) * np.uint64(0xD6E8FEB86659FD93)
+        out.append(h ^ h >> np.uint64(32))
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def words_of(text: str, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word and its row in a table of sorted hashes (-1: none)."""
+    hashes = word_hashes(text)
+    return hashes, rows_of(hashes, table)
 
 
 def rows_of(hashes: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -127,7 +145,7 @@ def frequent_words(docs: DataFrame, s: Settings, stash: Stash) -> tuple[np.ndarr
     """Hashes, sorted, of all words that may reach the least share (at most 8/7 / min_share), and the number of words."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, waiting, n = _Words(np.zeros(0, np.uint64)), [], 0
+        waiting, n = [], 0
 
         def flush() -> pa.RecordBatch:
             nonlocal waiting, n
@@ -139,7 +157,7 @@ def frequent_words(docs: DataFrame, s: Settings, stash: Stash) -> tuple[np.ndarr
 
         for b in batches:
             for t in b.column(0):
-                h, _ = words(t.as_py() or "")
+                h = word_hashes(t.as_py() or "")
                 for k in range(0, len(h), _SEGMENT):
                     waiting.append(h[k : k + _SEGMENT])
                     n += len(waiting[-1])
@@ -163,7 +181,6 @@ def word_vectors(docs: DataFrame, s: Settings = Settings()) -> WordVectors:
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sent.value
-        words = _Words(table)
         total, seen = np.zeros((len(table), s.dims), np.int64), np.zeros(len(table) + 1, np.int64)
         waiting, n = [], 0
 
@@ -176,7 +193,7 @@ def word_vectors(docs: DataFrame, s: Settings = Settings()) -> WordVectors:
 
         for b in batches:
             for t in b.column(0):
-                h, r = words(t.as_py() or "")
+                h, r = words_of(t.as_py() or "", table)
                 if len(h):
                     waiting.append((h, r))
                     n += len(h)
@@ -225,15 +242,19 @@ def _vectors(hashes: np.ndarray, rows: np.ndarray, a: int, z: int, words: WordVe
     out = words.vectors[rows[a:z]]  # a row of -1 is the last one, of zeros
     rare = np.flatnonzero(rows[a:z] < 0)
     if len(rare):
-        own, near = np.zeros((len(rare), s.dims)), np.zeros(len(rare))
+        low = max(0, a - s.window)
+        at, sign = index_vectors(hashes[low : z + s.window], s)
+        cells, signs, near = [], [], np.zeros(len(rare))
         for d in (*range(-s.window, 0), *range(1, s.window + 1)):
             j = rare + a + d
             ok = np.flatnonzero((j >= 0) & (j < len(hashes)))
-            at, sign = index_vectors(hashes[j[ok]], s)
             near[ok] += 1
             for k in range(s.nonzero):
-                own[ok, at[k]] += sign[k]
-        out[rare] = _unit(own / np.maximum(near, 1)[:, None] - words.mean)
+                cells.append(ok * s.dims + at[k, j[ok] - low])
+                signs.append(sign[k, j[ok] - low])
+        own = np.bincount(np.concatenate(cells), np.concatenate(signs), len(rare) * s.dims).reshape(-1, s.dims)
+        own -= np.maximum(near, 1)[:, None] * words.mean  # the sum less as many means: the direction of the mean less the mean
+        out[rare] = own / np.maximum(np.sqrt(np.einsum("ij,ij->i", own, own)), 1e-9)[:, None]
     return out
 
 
@@ -314,9 +335,8 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> tuple
     sent = spark.sparkContext.broadcast(vectors)
 
     def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words(sent.value.hashes)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([pooled(*words(t.as_py() or ""), sent.value, s).tobytes() for t in b.column(2)], pa.binary())], ["labelled_id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([pooled(*words_of(t.as_py() or "", sent.value.hashes), sent.value, s).tobytes() for t in b.column(2)], pa.binary())], ["labelled_id", "y", "x"])
 
     # at most max_labelled rows, so they may be broadcast
     sample = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("labelled_id"))
@@ -327,10 +347,10 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> tuple
     return vectors, Network.fit(x, np.array([r.y for r in rows], float), s)
 
 
-def _scores(texts: pa.Array, words: _Words, vectors: WordVectors, net: Network, s: Settings) -> np.ndarray:
+def _scores(texts: pa.Array, vectors: WordVectors, net: Network, s: Settings) -> np.ndarray:
     out = np.zeros(len(texts))
     for k in range(0, len(texts), 1024):
-        x = [pooled(*words(t.as_py() or ""), vectors, s) for t in texts[k : k + 1024]]
+        x = [pooled(*words_of(t.as_py() or "", vectors.hashes), vectors, s) for t in texts[k : k + 1024]]
         out[k : k + 1024] = net.probability(np.array(x, float))
     return out
 
@@ -346,9 +366,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, s: Settings = Settings())
     sent = docs.sparkSession.sparkContext.broadcast((vectors, net))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words(sent.value[0].hashes)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_scores(b.column(1), words, *sent.value, s))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_scores(b.column(1), *sent.value, s))], ["doc_id", "score"])
 
     scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= s.threshold).cast("int").alias("predicted"))
@@ -365,8 +384,7 @@ def keep_likely(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) ->
     at = docs.columns.index("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words(sent.value[0].hashes)
         for b in batches:
-            yield b.filter(pa.array(_scores(b.column(at), words, *sent.value, s) >= s.threshold))
+            yield b.filter(pa.array(_scores(b.column(at), *sent.value, s) >= s.threshold))
 
     return docs.mapInArrow(run, docs.schema)

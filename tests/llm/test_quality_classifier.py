@@ -1,11 +1,12 @@
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
 
 from corpusmill.llm import quality_classifier
-from corpusmill.llm.quality_classifier import Network, Settings, WordVectors, _add_contexts, _Words, index_vectors, keep_likely, pooled, quality_scores, word_vectors
+from corpusmill.llm.quality_classifier import Network, Settings, WordVectors, _add_contexts, index_vectors, keep_likely, pooled, quality_scores, word_hashes, word_vectors
 
 SMALL = Settings(min_share=1 / 512, dims=32, epochs=60)
 DOCS = "doc_id long, text string, lang string, score double"
@@ -22,6 +23,23 @@ def corpus(n=240, seed=5):
     return rows, labels
 
 
+@pytest.mark.parametrize("chars", [1 << 17, 40])
+def test_word_hashes_tell_words_apart_as_a_regular_expression_does(monkeypatch, chars):
+    monkeypatch.setattr(quality_classifier, "_CHARS", chars)
+    quality_classifier._tables.cache_clear()
+    rng, of_word = random.Random(3), {}
+    for _ in range(300):
+        text = "".join(rng.choice(["ab", "ba", "a", "_", "é", "日", "-", "$$", "...", " ", " ", "\n", "\u2003", "7", "x" * 9]) for _ in range(rng.randrange(60)))
+        words, hashes = re.findall(r"\w+|[^\w\s]+", text), word_hashes(text).tolist()
+        if chars > len(text) or max(map(len, re.findall(r"\S+", text)), default=0) < chars:
+            assert len(words) == len(hashes)
+            for w, h in zip(words, hashes):
+                assert of_word.setdefault(w, h) == h
+    assert len(set(of_word.values())) == len(of_word) > 500
+    assert len(word_hashes("x" * (3 * chars))) == 3
+    quality_classifier._tables.cache_clear()
+
+
 def index_vector(h, s):
     """The index vector of a hash, bit by bit."""
     v = np.zeros(s.dims, np.int64)
@@ -57,9 +75,8 @@ def test_every_frequent_word_has_its_own_vector(spark, monkeypatch):
     rows = [(i, " ".join(rng.choice(["alpha", "beta", "gamma", "delta"] * 5 + [f"w{k}" for k in range(12)] + [f"x{rng.randrange(10**6)}"] * 6) for _ in range(50)), "en", 1.0) for i in range(80)]
     docs = spark.createDataFrame(rows, DOCS)
     counts, total, where = {}, 0, {}
-    words = _Words(np.zeros(0, np.uint64))
     for _, t, *_ in rows:
-        h, _ = words(t)
+        h = word_hashes(t)
         for w, v in zip(h.tolist(), contexts(h, SMALL)):
             counts[w] = counts.get(w, 0) + 1
             where[w] = where.get(w, 0) + v
