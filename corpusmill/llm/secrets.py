@@ -1,9 +1,9 @@
 """Secret scan: fixed patterns, and runs of characters that a byte-pair vocabulary spends too many tokens on.
 
-Prose and identifiers made of words take three or more characters a token; random strings take about two. A run
-counts as dense when it mixes letters and digits, its characters per token stay under `max_chars_per_token`, and it
-is neither a digest of a known length nor an identifier (UUID, words joined by punctuation, a date, a number, a
-name with a counter). Runs that touch a fixed pattern's span are left to that span.
+Prose and identifiers made of words take over two characters a token, random strings (letters alone or with digits) fewer.
+A run counts as dense when its characters per token stay under `max_chars_per_token`, and it is neither a digest of a
+known length nor an identifier (UUID, number, alphabet, words or short codes joined by punctuation). What a fixed
+pattern's span covers of a run is left to that span; the rest is judged by itself.
 """
 
 from __future__ import annotations
@@ -30,8 +30,9 @@ _RUN = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
 DIGEST_CHARS = (32, 40, 56, 64, 96, 128)
 _DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
-_PARTS = re.compile(r"[+/_=.-]+|(?<=[a-z])(?=[A-Z])")
+_JOINTS, _HUMPS = re.compile(r"[+/_=.-]+"), re.compile(r"(?<=[a-z])(?=[A-Z])")
 _WORDLIKE = re.compile(r"[A-Za-z]?[a-z]*\d{0,4}|[A-Z]+\d{0,4}|\d+")
+_ALPHABET = "abcdefghijklmnopqrstuvwxyz" * 2
 
 
 @dataclass(frozen=True)
@@ -67,27 +68,46 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def is_identifier(run: str) -> bool:
-    """A digest of a known length, a UUID, or parts that each are a word, a number or a word with a short number."""
-    if len(run) in DIGEST_CHARS and _DIGEST.fullmatch(run) or _UUID.fullmatch(run):
+def chars_per_token(run: str, density: Density = Density()) -> float:
+    return len(run) / len(encoding(density.vocabulary).encode_ordinary(run))
+
+
+def _is_word(part: str, density: Density) -> bool:
+    """A number, a short code of letters and then digits, or words in one or several humps that the vocabulary knows."""
+    humps = [h for h in _HUMPS.split(part) if h]
+    if part.isdigit() or not all(map(_WORDLIKE.fullmatch, humps)):
+        return part.isdigit()
+    return len(part) <= 4 or len(part) >= 3 * len(humps) and chars_per_token(part, density) >= density.max_chars_per_token
+
+
+def is_identifier(run: str, density: Density = Density()) -> bool:
+    """A digest of a known length, a UUID, a stretch of the alphabet, or parts that each are a word, number or short code."""
+    if len(run) in DIGEST_CHARS and _DIGEST.fullmatch(run) or _UUID.fullmatch(run) or run.lower() in _ALPHABET:
         return True
-    parts = [p for p in _PARTS.split(run) if p]
-    return all(_WORDLIKE.fullmatch(p) for p in parts) and sum(map(len, parts)) < 5 * len(parts) + 20
+    return all(_is_word(p, density) for p in _JOINTS.split(run) if p)
+
+
+def _outside(start: int, end: int, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """The parts of a stretch that no span of taken (sorted) covers."""
+    for a, _, z in taken:
+        if z > start and a < end:
+            if a > start:
+                yield start, a
+            start = max(start, z)
+    if start < end:
+        yield start, end
 
 
 def dense_spans(text: str, taken: list[tuple[int, int, int]], density: Density = Density()) -> list[tuple[int, int, int]]:
     out = []
     for m in _RUN.finditer(text):
-        start, run = m.start(), m[0]
-        stripped = run.strip(".-_/")
-        start += run.index(stripped) if stripped else 0
-        end = start + len(stripped)
-        if len(stripped) < density.min_chars or stripped.isalpha() or not any(map(str.isalpha, stripped)) or not any(map(str.isdigit, stripped)):
-            continue
-        if any(a < end and start < z for a, _, z in taken) or is_identifier(stripped):
-            continue
-        if len(stripped) < density.max_chars_per_token * len(encoding(density.vocabulary).encode_ordinary(stripped)):
-            out.append((start, 3, end))
+        for a, z in _outside(m.start(), m.end(), taken):
+            run = text[a:z].strip(".-_/")
+            if len(run) < density.min_chars or not any(map(str.isalpha, run)):
+                continue
+            if chars_per_token(run, density) < density.max_chars_per_token and not is_identifier(run, density):
+                a = text.index(run, a, z)
+                out.append((a, 3, a + len(run)))
     return out
 
 
@@ -138,7 +158,10 @@ def redact(text: str | None, density: Density = Density()) -> str | None:
 
 
 def redact_secrets(docs: DataFrame, density: Density = Density()) -> DataFrame:
-    """All rows and columns, with spans in text replaced; a long column n_chars, if there, follows the new text."""
+    """All rows and columns, whatever their names, with spans in text replaced; a long column n_chars, if there, follows the new text.
+
+    Null and empty texts and null ids stay as they are, repeated rows too. An empty table gives no rows. No shuffle.
+    """
     at = docs.columns.index("text")
     size = docs.columns.index("n_chars") if dict(docs.dtypes).get("n_chars") == "bigint" else None
 
