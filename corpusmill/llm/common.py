@@ -27,7 +27,7 @@ class Stash:
     """Written intermediates: each `put` cuts lineage with a Parquet table in the shared folder.
 
     A lost executor costs only the tasks that read the table again. `drop` removes tables that nothing reads
-    any more; what a returned DataFrame still reads stays.
+    any more; what a returned DataFrame still reads goes when the application ends.
     """
 
     def __init__(self, spark: SparkSession, tag: str):
@@ -38,13 +38,18 @@ class Stash:
         path = f"{self.base}/{self.n}"
         self.n += 1
         df.write.mode("overwrite").parquet(path)
+        place, files = self._place(path)
+        files.deleteOnExit(place)
         # the schema is given: an empty table may have no files with one
         return self.spark.read.schema(df.schema).parquet(path), path
 
     def drop(self, path: str) -> None:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+        place, files = self._place(path)
+        files.delete(place, True)
+
+    def _place(self, path: str):
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return place, place.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
 
 
 def held_out(doc_id: Column | str) -> Column:

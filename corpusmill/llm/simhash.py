@@ -15,13 +15,14 @@ which keeps the guarantee and leaves ever fewer free positions, so the last leve
 from __future__ import annotations
 
 import random
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from corpusmill.llm.common import ASCII_LOWER, Stash
 from corpusmill.llm.components import connected_components
@@ -48,15 +49,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int.from_bytes(np.packbits(2 * counts > len(a)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, text, ...) -> (doc_id, fp long: the 64 bits as a signed number), a row for each row."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, text, ...) -> (doc_id, fp long: the 64 bits as a signed number, and the long columns of keep), a row for each row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.fromiter((fingerprint(t.as_py(), shingle, seed) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), *b.columns[2:]], ["doc_id", "fp", *keep])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    return docs.select("doc_id", "text", *keep).mapInArrow(run, ", ".join([f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long", *(f"{c} long" for c in keep)]))
 
 
 def _signed(x: int) -> int:
@@ -131,24 +132,39 @@ def simhash_groups(docs: DataFrame, radius: int = RADIUS, bucket: int = BUCKET,
     """
     stash = Stash(docs.sparkSession, "simhash")
     prints, _ = stash.put(fingerprints(docs, shingle, seed))
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = connected_components(near_pairs(prints.select("fp").distinct(), stash, radius, bucket), stash)
-    classes = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    classes, _ = stash.put(classes)
+    classes = _classes(prints, stash, radius, bucket)
     named = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     owner = classes.join(named, "root").select("fp", "component_id")
     return prints.join(owner, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _classes(prints: DataFrame, stash: Stash, radius: int, bucket: int) -> DataFrame:
+    """(doc_id, fp, ...) -> fp, least (its smallest doc_id), root (the same for fingerprints that links connect)."""
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    roots = connected_components(near_pairs(distinct.select("fp"), stash, radius, bucket), stash)
+    return stash.put(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))[0]
+
+
 def keep_one_of_each(docs: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """The documents whose doc_id names their component, once each, with all their columns.
+    """One row of each component, with all its columns, whatever their names: the one with the smallest doc_id, a null one only
+    if there is no other; of rows with one doc_id that with the smallest fingerprint, then that with the smallest hash.
 
-    Rows with a null doc_id can't be named; they stay, once for each exact text.
+    Null and wordless texts have fingerprint zero and link like any other; equal rows are one. An empty table gives no rows.
+    What is settled by ids and hashes is settled first; texts are shuffled once, to the hashes of the rows that stay.
     """
-    groups = simhash_groups(docs, radius, bucket)
-    kept = groups.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select("doc_id").distinct()
-    nameless = "__nameless"
-    while nameless in docs.columns:
-        nameless += "_"
-    marked = docs.withColumn(nameless, F.when(F.col("doc_id").isNull(), F.coalesce("text", F.lit(""))))
-    return marked.join(kept, marked.doc_id.eqNullSafe(kept.doc_id), "left_semi").dropDuplicates(["doc_id", nameless]).drop(nameless)
+    stash = Stash(docs.sparkSession, "simhash")
+    columns = [F.col(f"`{c}`") if not isinstance(t, MapType) else F.to_json(F.col(f"`{c}`")) for c, t in ((f.name, f.dataType) for f in docs.schema)]
+    one, two = (_free(docs, f"__row_{k}") for k in (1, 2))
+    marked = docs.withColumns({one: F.xxhash64(F.lit(1), *columns), two: F.xxhash64(F.lit(2), *columns)})
+    prints, _ = stash.put(fingerprints(marked, keep=(one, two)))
+    classes = _classes(prints.select("doc_id", "fp"), stash, radius, bucket)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp", one, two)).alias("r")
+    kept = prints.join(classes, "fp").groupBy("root").agg(first).select(F.col(f"r.{one}").alias(one), F.col(f"r.{two}").alias(two))
+    return marked.join(kept.hint("shuffle_hash"), [one, two], "left_semi").dropDuplicates([one, two]).drop(one, two)
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    """The name, longer by underscores if a column has it."""
+    while name in docs.columns:
+        name += "_"
+    return name

@@ -113,3 +113,20 @@ def test_within_is_a_spanning_forest():
     x = np.arange(600, dtype=np.int64)
     links = list(_within(x, 3))
     assert len(links) == 599
+
+
+def test_one_row_of_each_component_stays(spark):
+    rng = random.Random(9)
+    words = [[rng.choice("the a of and to in is it on as".split()) + str(rng.randrange(99)) for _ in range(300)] for _ in range(4)]
+    a, b, c, d = (" ".join(w) for w in words)
+    near = lambda t: t + " tail"
+    assert all((fingerprint(t) ^ fingerprint(near(t))).bit_count() <= 3 for t in (a, c))
+    rows = [(5, a, "x"), (3, near(a), "y"), (5, b, "z"), (5, b, "z"), (None, c, "u"), (None, near(c), "v"), (None, c, "u"), (7, d, None), (8, None, None), (9, "", None)]
+    kept = keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string, `odd.name` string").repartition(3)).collect()
+    assert len(kept) == 5 and {(r.doc_id, r.text) for r in kept} >= {(3, near(a)), (5, b), (7, d), (8, None)}
+    assert [r.text in (c, near(c)) for r in kept if r.doc_id is None] == [True]
+
+
+def test_a_very_long_text_has_the_fingerprint_of_a_plain_count():
+    text = " ".join(f"w{i % 977} é{i}" for i in range(30_000))
+    assert fingerprint(text) == plain(text)
