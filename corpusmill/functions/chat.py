@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -135,22 +137,42 @@ def byte_ids(text: Column) -> Column:
     return let(F.hex(F.encode(text, "UTF-8")), numbers)
 
 
-def tokens_and_mask(m: Column) -> Column:
-    """struct(tokens, mask): byte ids of the rendered chat with the end id, and 1 where a token is supervised."""
-    def segment(text: Column, supervised: Column) -> Column:
-        return F.transform(byte_ids(text), lambda b: F.struct(b.alias("id"), supervised.cast("int").alias("on")))
+def byte_text(ids: Column) -> Column:
+    """The text of byte ids; ids beyond the bytes are left out, bytes that are no UTF-8 are replaced."""
+    raw = F.array_join(F.transform(F.filter(ids, lambda i: i.between(0, 255)), lambda i: F.lpad(F.hex(i), 2, "0")), "")
+    return F.call_function("make_valid_utf8", F.unhex(raw).cast("string"))
+
+
+def segments(m: Column) -> Column:
+    """array<struct<text, on>>: the rendered chat in pieces that are encoded one by one; on: supervised."""
+    piece = lambda text, on: F.struct(text.alias("text"), F.lit(on).alias("on"))
+    end = F.lit(CLOSE + "\n")
+
+    def of(x: Column) -> Column:
+        head = piece(F.concat(F.lit(OPEN), x["role"], F.lit("\n")), 0)
+        return F.when(x["role"] == "assistant", F.array(head, piece(x["content"], 1), piece(end, 1))).otherwise(F.array(head, piece(F.concat(x["content"], end), 0)))
+
+    return F.flatten(F.transform(m, of))
+
+
+def byte_ids_of_all(texts: Column) -> Column:
+    return F.transform(texts, byte_ids)
+
+
+def tokens_and_mask(m: Column, encode: Callable[[Column], Column] = byte_ids_of_all, end_id: int = EOS_ID) -> Column:
+    """array<struct<id, on>>: ids of the rendered chat and the end id, and 1 where a token is supervised.
+
+    encode: array<string> -> array<array<int>>, by default bytes.
+    """
+
+    def marked(parts: Column) -> Column:
+        ids = encode(F.transform(parts, lambda p: p["text"]))
+        return F.flatten(F.zip_with(ids, parts, lambda x, p: F.transform(x, lambda i: F.struct(i.alias("id"), p["on"].alias("on")))))
 
-    parts = F.transform(
-        m,
-        lambda x: F.concat(
-            segment(F.concat(F.lit(OPEN), x["role"], F.lit("\n")), F.lit(False)),
-            segment(F.concat(x["content"], F.lit(CLOSE + "\n")), x["role"] == "assistant"),
-        ),
-    )
-    return F.concat(F.flatten(parts), F.array(F.struct(F.lit(EOS_ID).alias("id"), F.lit(1).alias("on"))))
+    return F.concat(marked(segments(m)), F.array(F.struct(F.lit(end_id).alias("id"), F.lit(1).alias("on"))))
 
 
-def supervised_datum(m: Column, limit: int) -> Column:
+def supervised_datum(m: Column, limit: int, encode: Callable[[Column], Column] = byte_ids_of_all, end_id: int = EOS_ID) -> Column:
     """struct(input_tokens, target_tokens, weights): the last `limit` tokens, shifted by one; a target's own mask weighs it."""
 
     def shifted(kept: Column) -> Column:
@@ -161,4 +183,33 @@ def supervised_datum(m: Column, limit: int) -> Column:
             F.transform(F.slice(kept, F.lit(2), n), lambda t: t["on"].cast("double")).alias("weights"),
         )
 
-    return let(let(tokens_and_mask(m), lambda t: F.slice(t, F.greatest(F.size(t) - limit + 1, F.lit(1)), F.lit(limit))), shifted)
+    return let(let(tokens_and_mask(m, encode, end_id), lambda t: F.slice(t, F.greatest(F.size(t) - limit + 1, F.lit(1)), F.lit(limit))), shifted)
+
+
+def datum_holds(d: Column) -> Column:
+    """Whether a datum's three arrays are equally long."""
+    n = F.size(d["input_tokens"])
+    return F.coalesce((n == F.size(d["target_tokens"])) & (n == F.size(d["weights"])), F.lit(False))
+
+
+def checked_datum(d: Column) -> Column:
+    """The datum; a row whose arrays differ in length fails the job."""
+    return F.when(datum_holds(d), d).otherwise(F.raise_error(F.lit("a datum's arrays differ in length")))
+
+
+def completion_datum(prompt: Column, completion: Column, signal: Column | None = None) -> Column:
+    """struct(input_tokens, target_tokens, weights) of a prompt (begin id, bytes, end id) and a completion (bytes, end id).
+
+    Targets in the completion weigh 1, or the signal (an advantage).
+    """
+    head, tail = F.concat(F.array(F.lit(BOS_ID)), byte_ids(prompt), F.array(F.lit(EOS_ID))), F.concat(byte_ids(completion), F.array(F.lit(EOS_ID)))
+    weight = F.lit(1.0) if signal is None else signal.cast("double")
+
+    def datum(whole: Column) -> Column:
+        n = F.size(whole) - 1
+        return F.struct(
+            F.slice(whole, F.lit(1), n).alias("input_tokens"), F.slice(whole, F.lit(2), n).alias("target_tokens"),
+            F.transform(F.sequence(F.lit(1), n), lambda i: F.when(i >= F.octet_length(prompt) + 2, weight).otherwise(0.0)).alias("weights"),
+        )
+
+    return let(F.concat(head, tail), datum)

@@ -1,4 +1,4 @@
-"""Text functions: normal forms, shingles, MinHash, personal-data patterns, redaction, unicode hazards, text rewards."""
+"""Text functions: normal forms, shingles, personal-data patterns, redaction, unicode hazards."""
 
 from __future__ import annotations
 
@@ -24,6 +24,16 @@ def normalized_exact(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None else " ".join(unicodedata.normalize("NFKC", t).casefold().split()))
 
 
+#: Characters that NFKC leaves alone and whose case folding is their lower case (ß apart); others send a text to Python.
+_SIMPLE = r"[\x00-\x1b\x20-\x7f¡-§©«¬®°±¶·»¿À-ÖØ-öø-ÿ–—‘’“”„•€]*"
+
+
+def normalized_all(text: Column) -> Column:
+    """The exact normal form of any text: JVM-side for texts of simple characters, and in Arrow batches for the others only."""
+    simple = text.rlike(rf"\A{_SIMPLE}\z")
+    return F.when(simple, normalized(text)).otherwise(normalized_exact(F.when(~simple, text)))
+
+
 @pandas_udf(BooleanType())
 def not_nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t is not None and not unicodedata.is_normalized("NFC", t))
@@ -45,30 +55,6 @@ def shingles(norm: Column, k: int = 5) -> Column:
     return let(norm, windows)
 
 
-def shingle_hashes(norm: Column, k: int = 5) -> Column:
-    """The shingles as 64-bit hashes, distinct."""
-    return F.array_distinct(F.transform(shingles(norm, k), lambda s: F.xxhash64(s)))
-
-
-def minhash(hashes: Column, num_perm: int = 32) -> Column:
-    """The least rehash of a set under each of num_perm functions; null for the empty set."""
-
-    def least(set_: Column) -> Column:
-        found = F.transform(F.sequence(F.lit(0), F.lit(num_perm - 1)), lambda p: F.array_min(F.transform(set_, lambda h: F.xxhash64(h, p))))
-        return F.when(F.size(set_) > 0, found)
-
-    return let(hashes, least)
-
-
-def band_keys(signature: Column, bands: int = 8, num_perm: int = 32) -> Column:
-    """array<struct<band, key>>: a hash of each band's rows."""
-    if num_perm % bands:
-        raise ValueError("bands must divide num_perm")
-    rows = num_perm // bands
-    keys = lambda s: F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.struct(b.alias("band"), F.xxhash64(F.slice(s, b * rows + 1, F.lit(rows))).alias("key")))
-    return let(signature, keys)
-
-
 #: Kinds of personal data and secrets, in the order in which they are redacted.
 PII_PATTERNS: dict[str, str] = {
     "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----",
@@ -90,17 +76,19 @@ def luhn_ok(match: Column) -> Column:
     return F.when(F.length(digits).between(13, 19), F.call_function("luhn_check", digits)).otherwise(F.lit(False))
 
 
-def _cards(text: Column) -> Column:
-    return F.filter(F.regexp_extract_all(text, F.lit("(?U)" + PII_PATTERNS["credit_card"]), F.lit(0)), luhn_ok)
-
-
 def _redact_cards(text: Column) -> Column:
-    """Runs that pass the check are replaced; the text between matches and failing runs stay."""
+    """Runs that pass the check are replaced; failing runs and the text between the runs stay as they are."""
+    pattern = "(?U)" + PII_PATTERNS["credit_card"]
+
+    def joined(t: Column, found: Column) -> Column:
+        card = lambda i: F.when(luhn_ok(F.get(found, i)), F.lit("[REDACTED:credit_card]")).otherwise(F.get(found, i))
+        # the n-th run follows the n-th gap; the last gap has none
+        return F.array_join(F.transform(F.split(t, pattern, -1), lambda gap, i: F.concat(gap, F.coalesce(card(i), F.lit("")))), "")
 
-    def mend(parts: Column) -> Column:
-        return F.array_join(F.transform(parts, lambda p, i: F.when((i % 2 == 1) & luhn_ok(p), F.lit("[REDACTED:credit_card]")).otherwise(p)), "")
+    def mend(t: Column) -> Column:
+        return let(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda found: F.when(F.exists(found, luhn_ok), joined(t, found)).otherwise(t))
 
-    return let(text, lambda t: F.when(F.size(_cards(t)) > 0, mend(F.split(F.regexp_replace(t, f"(?U)({PII_PATTERNS['credit_card']})", "\u0000$1\u0000"), "\u0000"))).otherwise(t))
+    return let(text, mend)
 
 
 def redacted(text: Column) -> Column:
@@ -164,32 +152,6 @@ def lone_surrogate_escape(raw_json: Column) -> Column:
     return paired.rlike(r"(?i)\\ud[89a-f][0-9a-f]{2}")
 
 
-def length_target(completion: Column, target: int = 200) -> Column:
-    """1 at the target length, falling to 0 at twice or none of it."""
-    return F.greatest(F.lit(0.0), 1 - F.abs(F.length(completion) - target) / F.lit(float(target)))
-
-
-_NUMBER = r"-?\d+(?:\.\d+)?"
-
-
-def numeric_match(prompt: Column, completion: Column) -> Column:
-    """1 if the last numbers of both texts are the same string, else 0."""
-    last = lambda t: F.try_element_at(F.regexp_extract_all(t, F.lit(_NUMBER), F.lit(0)), F.lit(-1))
-    return F.coalesce((last(prompt) == last(completion)).cast("double"), F.lit(0.0))
-
-
-def nonempty(completion: Column) -> Column:
-    return completion.rlike(r"(?U)\S").cast("double")
-
-
-def heuristic_score(prompt: Column, completion: Column) -> Column:
-    """Half for length up to 240, 0.4 for distinct words, 0.1 for a hash of both texts; within 0 and 1."""
-    words = F.filter(F.split(completion, r"(?U)\s+"), lambda w: w != "")
-    seed = F.pmod(F.xxhash64(prompt, completion), F.lit(1000)) / 1000.0
-    raw = 0.5 * F.least(F.lit(1.0), F.length(completion) / 240.0) + 0.4 * F.size(F.array_distinct(words)) / (F.size(words) + 1) + 0.1 * seed
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), raw))
-
-
 def squeezed_lower(text: Column) -> Column:
     """Lower case with single spaces, for exact-match comparison."""
     return F.trim(F.regexp_replace(F.lower(text), r"(?U)\s+", " "))

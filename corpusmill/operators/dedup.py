@@ -2,30 +2,42 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-NUM_PERM, BANDS, SHINGLE, THRESHOLD = 32, 8, 5, 0.85
+from corpusmill.operators.folds import walked
+from corpusmill.operators.stored import stored
+
+NUM_PERM, BANDS, SHINGLE, THRESHOLD, BLOCK = 32, 8, 5, 0.85, 128
+
+
+def _digest(*keys: str) -> Column:
+    """SHA-256 over the keys, each with its length, so that no two lists of keys share it but by the odds of the digest."""
+    told = [F.concat(F.coalesce(F.octet_length(k).cast("string"), F.lit("-")), F.lit(":"), F.coalesce(F.col(k), F.lit(""))) for k in keys]
+    return F.unhex(F.sha2(F.concat(*told), 256))
 
 
 def exact_duplicates(keyed: DataFrame, *keys: str) -> DataFrame:
     """(row_id, keys...) -> row_id, first_id of the rows that are not the first with their keys.
 
-    The first row of each key is a grouped minimum (combined before the shuffle), joined back, so a hot key is splittable.
+    Digests are shuffled, never texts. The first row of each key is a grouped minimum (combined before the shuffle), joined
+    back, so a hot key is splittable.
     """
-    first = keyed.groupBy(*keys).agg(F.min("row_id").alias("first_id"))
-    return keyed.join(first, list(keys)).where("row_id > first_id").select("row_id", "first_id")
+    rows = keyed.select("row_id", _digest(*keys).alias("key"))
+    first = rows.groupBy("key").agg(F.min("row_id").alias("first_id"))
+    return rows.join(first, "key").where("row_id > first_id").select("row_id", "first_id")
 
 
 def label_conflicts(keyed: DataFrame) -> DataFrame:
     """(row_id, prompt_key, response_key) -> rows that bring a new response to a prompt that an earlier row had."""
-    pairs = keyed.where("prompt_key <> ''").groupBy("prompt_key", "response_key").agg(F.min("row_id").alias("row_id"))
-    prompts = pairs.groupBy("prompt_key").agg(F.min("row_id").alias("first_id"))
-    return pairs.join(prompts, "prompt_key").where("row_id > first_id").select("row_id", "first_id")
+    rows = keyed.where("prompt_key <> ''").select("row_id", _digest("prompt_key").alias("prompt"), _digest("response_key").alias("response"))
+    pairs = rows.groupBy("prompt", "response").agg(F.min("row_id").alias("row_id"))
+    prompts = pairs.groupBy("prompt").agg(F.min("row_id").alias("first_id"))
+    return pairs.join(prompts, "prompt").where("row_id > first_id").select("row_id", "first_id")
 
 
 def shingle_set(text: str, k: int = SHINGLE) -> np.ndarray:
@@ -47,7 +59,7 @@ def _multipliers(num_perm: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketches(texts: DataFrame, num_perm: int = NUM_PERM, bands: int = BANDS, k: int = SHINGLE) -> DataFrame:
-    """(row_id, norm) -> row_id, set (distinct shingle hashes), keys (a hash for each band of the MinHash signature)."""
+    """(row_id, norm) -> row_id, norm, keys: a hash for each band of the MinHash signature; none for an empty text."""
     if num_perm % bands:
         raise ValueError("bands must divide num_perm")
 
@@ -55,10 +67,9 @@ def sketches(texts: DataFrame, num_perm: int = NUM_PERM, bands: int = BANDS, k:
         a, b = _multipliers(num_perm)
         weights = a[: num_perm // bands]
         for batch in batches:
-            sets, keys = [], []
+            keys = []
             for t in batch.column(1):
                 s = shingle_set(t.as_py() or "", k)
-                sets.append(s.view(np.int64))
                 if not len(s):
                     keys.append([])
                     continue
@@ -67,59 +78,114 @@ def sketches(texts: DataFrame, num_perm: int = NUM_PERM, bands: int = BANDS, k:
                     v = s[at : at + 4096, None] * a + b
                     least = np.minimum(least, (v ^ v >> np.uint64(31)).min(axis=0))
                 keys.append(((least.reshape(bands, -1) ^ least.reshape(bands, -1) >> np.uint64(27)) * weights).sum(axis=1, dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], ["row_id", "set", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64()))], ["row_id", "norm", "keys"])
+
+    return texts.select(F.col("row_id").cast("long").alias("row_id"), "norm").mapInArrow(run, "row_id long, norm string, keys array<long>")
+
+
+def _compared(block: list[tuple], i: int, j: int, threshold: float, k: int, own: bool, best: bool) -> Iterator[tuple[int, int, float]]:
+    """(left_id, right_id, jaccard) of a unit's rows (band, side, role, row_id, norm, keys) at the threshold; with best, for
+    each left row the most similar right one, the earliest of equals. own: one table, right ids below left ids."""
+    sets = [shingle_set(r[4], k) for r in block]
+    sizes = np.array([len(s) for s in sets])
+    ids, sides, roles = (np.array([r[c] for r in block]) for c in (3, 1, 2))
+    keys, band = np.array([r[5] for r in block]), block[0][0]
+    for x in range(len(block)):
+        if roles[x] == 1 and not own:
+            continue
+        fits = (ids < ids[x]) if own else (roles == 1)
+        fits &= np.minimum(sizes, sizes[x]) >= threshold * np.maximum(sizes, sizes[x])  # no larger share can be common
+        if i != j:
+            fits &= sides != sides[x]
+        if band:  # an earlier band that holds both has compared them
+            fits &= ~(keys[:, :band] == keys[x, :band]).any(axis=1)
+        found: list[tuple[float, int]] = []
+        for y in np.flatnonzero(fits):
+            common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+            score = common / (sizes[x] + sizes[y] - common)
+            if score >= threshold:
+                found.append((-score, int(ids[y])))
+        for score, y in [min(found)] if best and found else found:
+            yield int(ids[x]), y, -score
+
+
+def similar(left: DataFrame, right: DataFrame | None = None, threshold: float = THRESHOLD, k: int = SHINGLE, best: bool = False, block: int = BLOCK) -> DataFrame:
+    """Sketch tables -> left_id, right_id, jaccard of the pairs at the threshold, each once; with best, of each left row's pairs
+    the most similar one, the earliest of equals. Without a right table, left is compared with its own earlier rows.
+
+    Candidates share a band's key. The rows of a key are dealt to pairs of blocks of `block` rows, each its own unit of work
+    that holds two blocks' sets, so a hot key is compared whole but nowhere at once; with best, a unit gives at most
+    one row for each of its left rows, whatever the number of pairs.
+    """
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold must lie in (0, 1]")
+    own = right is None
+    rows = left.select("row_id", "norm", "keys", F.lit(0).alias("role"))
+    rows = stored(rows if own else rows.unionByName(right.select("row_id", "norm", "keys", F.lit(1).alias("role"))))
+    banded = rows.select("row_id", "role", F.posexplode("keys").alias("band", "key"))
+    sizes = banded.groupBy("band", "key").agg(F.count("*").alias("n"), F.count_if(F.col("role") == 0).alias("lefts")).where("n > 1" if own else "lefts > 0 and n > lefts").drop("lefts")
+    parts = F.ceil(F.col("n") / block)
+    side = F.pmod(F.xxhash64("row_id", "role"), parts).cast("int")
+    dealt = banded.join(sizes, ["band", "key"]).select("row_id", "role", "band", "key", side.alias("side"), (parts - 1).cast("int").alias("top"))
+    pairs = F.transform(F.sequence(F.lit(0), "top"), lambda x: F.struct(F.least(x, "side").alias("i"), F.greatest(x, "side").alias("j")))
+    units = dealt.withColumn("p", F.explode(pairs)).select("row_id", "role", "band", "key", "side", "p.i", "p.j")
+    full = units.join(rows, ["row_id", "role"]).select("band", "key", "i", "j", "side", "role", "row_id", "norm", "keys")
 
-    return texts.select(F.col("row_id").cast("long").alias("row_id"), "norm").mapInArrow(run, "row_id long, set array<long>, keys array<long>")
+    def compare(ordered: Iterator[tuple]) -> Iterator[tuple]:
+        held = list(ordered)  # at most two blocks of rows
+        return _compared([(r[0], *r[4:]) for r in held], held[0][2], held[0][3], threshold, k, own, best)
 
+    found = walked(full, ["band", "key", "i", "j"], [], compare, "band int, key long, i int, j int, left_id long, right_id long, jaccard double").select("left_id", "right_id", "jaccard")
+    return _best(found) if best else found
 
-def similar_pairs(left: DataFrame, right: DataFrame, threshold: float = THRESHOLD, earlier: bool = False) -> DataFrame:
-    """Two sketch tables -> (left_id, right_id, jaccard) at the threshold; earlier: right ids below left ids only.
 
-    Candidates share a band's key; each pair is verified once on its whole sets.
-    """
-    if not 0 < threshold <= 1:
-        raise ValueError("threshold must lie in (0, 1]")
-    banded = lambda t, side: t.select(F.col("row_id").alias(f"{side}_id"), F.size("set").alias(f"{side}_n"), F.posexplode("keys").alias("band", "key"))
-    pairs = banded(left, "left").join(banded(right, "right"), ["band", "key"])
-    pairs = pairs.where("right_id < left_id") if earlier else pairs
-    pairs = pairs.where(F.least("left_n", "right_n") >= threshold * F.greatest("left_n", "right_n"))  # no larger share can be common
-    pairs = pairs.select("left_id", "right_id").distinct()
-    sets = pairs.join(left.select(F.col("row_id").alias("left_id"), F.col("set").alias("a")), "left_id").join(right.select(F.col("row_id").alias("right_id"), F.col("set").alias("b")), "right_id")
-
-    def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = np.zeros(batch.num_rows)
-            for k, (a, b) in enumerate(zip(batch.column(2), batch.column(3))):
-                x, y = np.asarray(a.values), np.asarray(b.values)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                found[k] = common / (len(x) + len(y) - common)
-            keep = pa.array(found >= threshold)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(found).filter(keep)], ["left_id", "right_id", "jaccard"])
+def _best(pairs: DataFrame) -> DataFrame:
+    top = pairs.groupBy("left_id").agg(F.min(F.struct((-F.col("jaccard")).alias("score"), "right_id")).alias("m"))
+    return top.select("left_id", F.col("m.right_id").alias("right_id"), (-F.col("m.score")).alias("jaccard"))
+
+
+def ranked_hits(pairs: DataFrame) -> DataFrame:
+    """left_id, right_id, jaccard -> with rank: a row's hits from the most similar on, the earliest of equals first."""
+    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("left_id").orderBy(F.desc("jaccard"), "right_id")))
+
 
-    return sets.select("left_id", "right_id", "a", "b").mapInArrow(score, "left_id long, right_id long, jaccard double")
+def _firsts(texts: DataFrame) -> DataFrame:
+    """(row_id, norm) -> key, row_id, norm: the first row of each text that is not empty; texts meet by their digests."""
+    rows = texts.where("norm <> ''").select(F.col("row_id").cast("long").alias("row_id"), "norm", _digest("norm").alias("key"))
+    return rows.groupBy("key").agg(F.min("row_id").alias("row_id"), F.any_value("norm").alias("norm"))
 
 
-def near_duplicates(texts: DataFrame, threshold: float = THRESHOLD, num_perm: int = NUM_PERM, bands: int = BANDS, k: int = SHINGLE) -> DataFrame:
-    """(row_id, norm) -> row_id, match_id, jaccard: rows that are no exact copies but resemble an earlier row; the best match.
+def near_duplicates(texts: DataFrame, threshold: float = THRESHOLD, num_perm: int = NUM_PERM, bands: int = BANDS, k: int = SHINGLE, pair: Sequence[str] = ("norm",)) -> DataFrame:
+    """(row_id, norm, pair...) -> row_id, match_id, jaccard: rows whose pair of texts is new but which resemble an earlier row; the best match.
 
-    Exact copies are left to exact_duplicates; only the first row of each text is compared. An empty text matches none.
+    Rows whose `pair` columns an earlier row has are exact copies, left to exact_duplicates. A new pair whose joined text an
+    earlier row has matches that row with 1. Empty texts match none.
     """
-    firsts = texts.where("norm <> ''").groupBy("norm").agg(F.min("row_id").alias("row_id"))
-    s = sketches(firsts.select("row_id", "norm"), num_perm, bands, k)
-    best = F.max_by(F.struct("right_id", "jaccard"), F.struct("jaccard", -F.col("right_id")))
-    found = similar_pairs(s, s, threshold, earlier=True).groupBy("left_id").agg(best.alias("m"))
-    return found.select(F.col("left_id").alias("row_id"), F.col("m.right_id").alias("match_id"), F.round("m.jaccard", 6).alias("jaccard"))
+    firsts = stored(_firsts(texts))
+    near = similar(sketches(firsts, num_perm, bands, k), threshold=threshold, k=k, best=True)
+    out = near.select(F.col("left_id").alias("row_id"), F.col("right_id").alias("match_id"), F.round("jaccard", 6).alias("jaccard"))
+    if tuple(pair) == ("norm",):
+        return out
+    new = texts.where("norm <> ''").select("row_id", _digest("norm").alias("key"), _digest(*pair).alias("pair")).groupBy("pair").agg(F.min(F.struct("row_id", "key")).alias("r")).select("r.*")
+    equal = new.join(firsts.select("key", F.col("row_id").alias("match_id")), "key").where("row_id > match_id")
+    return out.unionByName(equal.select("row_id", "match_id", F.lit(1.0).alias("jaccard")))
 
 
 def contamination(evaluation: DataFrame, training: DataFrame, threshold: float = THRESHOLD, num_perm: int = NUM_PERM, bands: int = BANDS, k: int = SHINGLE) -> DataFrame:
-    """(row_id, norm) of both -> evaluation rows with an equal or similar training row: row_id, match_id, jaccard."""
-    train = training.where("norm <> ''").groupBy("norm").agg(F.min("row_id").alias("match_id"))
-    exact = evaluation.join(train, "norm").select("row_id", "match_id", F.lit(1.0).alias("jaccard"))
-    rest = evaluation.where("norm <> ''").join(train, "norm", "left_anti")
-    pairs = similar_pairs(sketches(rest.select("row_id", "norm"), num_perm, bands, k), sketches(train.select(F.col("match_id").alias("row_id"), "norm"), num_perm, bands, k), threshold)
-    best = F.max_by(F.struct("right_id", "jaccard"), F.struct("jaccard", -F.col("right_id")))
-    near = pairs.groupBy("left_id").agg(best.alias("m")).select(F.col("left_id").alias("row_id"), F.col("m.right_id").alias("match_id"), F.round("m.jaccard", 6).alias("jaccard"))
-    return exact.unionByName(near)
+    """(row_id, norm) of both -> evaluation rows with an equal or similar training row: row_id, match_id, jaccard of the best."""
+    train = stored(_firsts(training))
+    asked = evaluation.where("norm <> ''").select("row_id", "norm", _digest("norm").alias("key"))
+    exact = asked.join(train.select("key", F.col("row_id").alias("match_id")), "key").select("row_id", "match_id", F.lit(1.0).alias("jaccard"))
+    rest = asked.join(train.select("key"), "key", "left_anti")
+    near = similar(sketches(rest, num_perm, bands, k), sketches(train, num_perm, bands, k), threshold, k, best=True)
+    return exact.unionByName(near.select(F.col("left_id").alias("row_id"), F.col("right_id").alias("match_id"), F.round("jaccard", 6).alias("jaccard")))
+
+
+def contamination_share(found: DataFrame, evaluation: DataFrame) -> DataFrame:
+    """One row: contaminated, evaluated and percent of the evaluation rows."""
+    n = evaluation.agg(F.count("*").alias("evaluated"))
+    hit = found.agg(F.countDistinct("row_id").alias("contaminated"))
+    return hit.join(n).select("contaminated", "evaluated", F.round(F.try_divide(100.0 * F.col("contaminated"), "evaluated"), 1).alias("percent"))
 
 
 def first_examples(rows: DataFrame, code: str = "code", limit: int = 5) -> DataFrame:

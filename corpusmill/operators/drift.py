@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.operators import ranks
+from corpusmill.operators.stored import stored
 from corpusmill.operators.tokens import tail_rank, upper_median_rank
 
 NUM_BINS, TOP_K, EPSILON, WARN, ERROR, SMALL, UNSEEN = 10, 50, 1e-6, 0.1, 0.25, 30, 0.05
@@ -31,18 +32,27 @@ def grade(score: Column, warn: float = WARN, error: float = ERROR) -> Column:
 
 def quantile_edges(values: DataFrame, column: str, num_bins: int = NUM_BINS) -> DataFrame:
     """One row: edges, strictly increasing. Few distinct values give fewer bins; one gives itself; none gives none."""
+    seen = stored(ranks.counted(values.select(F.col(column).cast("double").alias("v")), "v"))
+    return values.sparkSession.createDataFrame([(_edges(seen, ranks.running_totals(seen, "v", "c"), "c", num_bins),)], "edges array<double>")
+
+
+def _edges(counted: DataFrame, upto: DataFrame, c: str, num_bins: int) -> list[float]:
+    """The edges of values v that occur c times (0: not at all), from their running totals upto_c.
+
+    Only the values at the ranks around an edge are collected: two for each.
+    """
     if num_bins < 1:
         raise ValueError("num_bins must be positive")
-    seen = ranks.counted(values.select(F.col(column).cast("double").alias("v")), "v")
-    size = seen.agg(F.count("*").alias("d"), F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.max("v").alias("top")).first()
+    size = counted.where(F.col(c) > 0).agg(F.count("*").alias("d"), F.coalesce(F.sum(c), F.lit(0)).alias("n"), F.max("v").alias("top")).first()
     bins = min(num_bins, size.d)
     if size.d <= 1 or bins == 1:
-        return values.sparkSession.createDataFrame([([size.top] if size.d == 1 and num_bins > 1 else [],)], "edges array<double>")
+        return [size.top] if size.d == 1 and num_bins > 1 else []
     places = [i * (size.n - 1) / bins for i in range(1, bins)]
-    upto = ranks.running_totals(seen, "v", "c")
-    at = lambda rank: F.max(F.when((F.col("upto_c") - F.col("c") <= rank) & (F.col("upto_c") > rank), F.col("v")))
-    edges = [at(int(p)) + (p - int(p)) * (at(min(int(p) + 1, size.n - 1)) - at(int(p))) for p in places]
-    return upto.agg(F.array_sort(F.array_distinct(F.array(*edges))).alias("edges"))
+    asked = sorted({r for p in places for r in (int(p), min(int(p) + 1, size.n - 1))})
+    holds = F.exists(F.array(*map(F.lit, asked)), lambda r: (F.col(f"upto_{c}") - F.col(c) <= r) & (r < F.col(f"upto_{c}")))
+    found = sorted((r.upto, r.v) for r in upto.where(holds).select(F.col(f"upto_{c}").alias("upto"), "v").collect())
+    at = {r: next(v for upto_, v in found if r < upto_) for r in asked}
+    return sorted({at[int(p)] + (p - int(p)) * (at[min(int(p) + 1, size.n - 1)] - at[int(p)]) for p in places})
 
 
 def bucket_of(value: Column, edges: Column) -> Column:
@@ -91,12 +101,20 @@ def divergences(paired: DataFrame, *by: str) -> DataFrame:
 
 def ks(values: DataFrame, column: str, baseline, candidate, side: str = "side") -> DataFrame:
     """One row: the largest gap between both empirical distributions; 1 if one side is empty, 0 if both are."""
-    counts = values.groupBy(side, F.col(column).cast("double").alias("v")).agg(F.count("*").alias("count"))
-    paired = _paired(counts, baseline, candidate, side, "v")
+    paired = stored(_sides(values, column, baseline, candidate, side))
+    return _ks(paired, ranks.running_totals(paired, "v", "b", "c"))
+
+
+def _sides(values: DataFrame, column: str, baseline, candidate, side: str) -> DataFrame:
+    """(side, value) -> v, b, c: how often each value occurs on both sides; one pass, combined before the shuffle."""
+    rows = values.where(F.col(side).isin(baseline, candidate)).groupBy(F.col(column).cast("double").alias("v"))
+    return rows.agg(F.count(F.when(F.col(side) == baseline, 1)).alias("b"), F.count(F.when(F.col(side) == candidate, 1)).alias("c"))
+
+
+def _ks(paired: DataFrame, upto: DataFrame) -> DataFrame:
     totals = paired.agg(F.coalesce(F.sum("b"), F.lit(0)).alias("tb"), F.coalesce(F.sum("c"), F.lit(0)).alias("tc"))
-    steps = ranks.running_totals(paired, "v", "b", "c").select(F.col("upto_b").alias("fb"), F.col("upto_c").alias("fc")).join(F.broadcast(totals))
-    gap = F.max(F.abs(F.try_divide("fb", "tb") - F.try_divide("fc", "tc")))
-    worst = steps.agg(gap.alias("gap"))
+    steps = upto.select(F.col("upto_b").alias("fb"), F.col("upto_c").alias("fc")).join(F.broadcast(totals))  # one row
+    worst = steps.agg(F.max(F.abs(F.try_divide("fb", "tb") - F.try_divide("fc", "tc"))).alias("gap"))
     value = F.when((F.col("tb") == 0) & (F.col("tc") == 0), 0.0).when((F.col("tb") == 0) | (F.col("tc") == 0), 1.0).otherwise(F.col("gap"))
     return totals.join(worst).select(value.alias("ks"))
 
@@ -109,10 +127,15 @@ def summary(values: DataFrame, column: str) -> DataFrame:
 
 def compare_distributions(values: DataFrame, column: str, baseline, candidate, side: str = "side", feature: str | None = None, num_bins: int = NUM_BINS) -> DataFrame:
     """(side, value) -> feature, psi, jsd, ks, severity, detail. Bins come from the baseline; under 30 rows on a side an error is a warning."""
-    edges = quantile_edges(values.where(F.col(side) == baseline), column, num_bins)
-    div = divergences(_paired(histogram(values, column, edges, side), baseline, candidate, side, "bucket"))
-    sizes = values.agg(F.count(F.when(F.col(side) == baseline, 1)).alias("nb"), F.count(F.when(F.col(side) == candidate, 1)).alias("nc"))
-    row = div.join(ks(values, column, baseline, candidate, side)).join(sizes)
+    paired = stored(_sides(values, column, baseline, candidate, side))  # the input is read once; all else comes from this table
+    upto = ranks.running_totals(paired, "v", "b", "c")
+    edges = _edges(paired, upto, "b", num_bins)
+    bucket = bucket_of(F.col("v"), F.array(*map(F.lit, edges)).cast("array<double>"))
+    bins = paired.groupBy(bucket.alias("bucket")).agg(F.sum("b").alias("b"), F.sum("c").alias("c"))
+    grid = values.sparkSession.range(len(edges) + 1).select(F.col("id").cast("int").alias("bucket"))
+    counts = grid.join(bins, "bucket", "left").select(F.coalesce("b", F.lit(0)).alias("b"), F.coalesce("c", F.lit(0)).alias("c"))
+    sizes = paired.agg(F.coalesce(F.sum("b"), F.lit(0)).alias("nb"), F.coalesce(F.sum("c"), F.lit(0)).alias("nc"))
+    row = divergences(counts).join(_ks(paired, upto)).join(sizes)
     small, empty = F.least("nb", "nc") < SMALL, F.least("nb", "nc") == 0
     graded = grade(F.col("psi"))
     severity = F.when(empty, "warning").when(small & (graded == "error"), "warning").otherwise(graded)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.operators.folds import walked
+
 LIMITS = (("cost_usd", "max_cost_usd"), ("tokens", "max_tokens"), ("steps", "max_steps"))
 
 
@@ -95,6 +98,27 @@ def retention_plan(entries: DataFrame, policy: Retention = Retention(), exists:
     return ranked.select("run", "step", action.alias("action"), F.array_join(reasons, "+").alias("reasons"))
 
 
+def retention_summary(plan: DataFrame) -> DataFrame:
+    """(run, step, action, reasons) -> run, summary: steps kept with their reasons, deleted and missing, in order."""
+    listed = lambda action, text: F.coalesce(F.nullif(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("action") == action, F.struct("step", "reasons")))), text), ", "), F.lit("")), F.lit("-"))
+    step = lambda e: e["step"].cast("string")
+    return plan.groupBy("run").agg(F.concat(
+        F.lit("keep "), listed("keep", lambda e: F.concat(step(e), F.lit(" ("), e["reasons"], F.lit(")"))), F.lit("; delete "), listed("delete", step), F.lit("; missing "), listed("missing", step),
+    ).alias("summary"))
+
+
+def bytes_freed(plan: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(run, step, action) and (run, step, bytes) -> run, bytes that deleting frees; unknown sizes count 0."""
+    gone = plan.where("action = 'delete'").join(sizes, ["run", "step"], "left")
+    return gone.groupBy("run").agg(F.sum(F.coalesce("bytes", F.lit(0))).cast("long").alias("bytes"))
+
+
+def submit(jobs: DataFrame, new: DataFrame) -> DataFrame:
+    """The jobs with new ones, pending; of rows with one id the new one holds."""
+    kept = jobs.join(new.select("id"), "id", "left_anti")
+    return kept.unionByName(new.withColumn("status", F.lit("pending")), allowMissingColumns=True)
+
+
 def latest_checkpoint(entries: DataFrame) -> DataFrame:
     """The entry written last, whatever its step."""
     return entries.groupBy("run").agg(F.max_by(F.struct("step", "path"), "seq").alias("e")).select("run", "e.*")
@@ -140,54 +164,76 @@ def progress(step: Column, total: Column) -> Column:
     return F.when(total > 0, F.least(F.lit(1.0), step / total)).otherwise(0.0)
 
 
-#: HTTP statuses that are worth another try.
+#: HTTP statuses that are worth another try, and phrases of errors that have none.
 RETRYABLE = (408, 425, 429, 500, 502, 503, 504)
+RETRYABLE_PHRASES = (
+    "timeout", "timed out", "connection reset", "connection aborted", "temporarily unavailable", "too many requests",
+    "service unavailable", "broken pipe", "econnreset", "rate limit",
+)
+
 
+def is_retryable(status: Column, message: Column | None = None) -> Column:
+    """Whether a status is worth another try; without a status, whether the message has one of the phrases."""
+    told = F.coalesce(F.lower(message).rlike("|".join(RETRYABLE_PHRASES)), F.lit(False)) if message is not None else F.lit(False)
+    return F.when(status.isNull(), told).otherwise(status.isin(*RETRYABLE))
 
-def is_retryable(status: Column) -> Column:
-    return F.coalesce(status.isin(*RETRYABLE), F.lit(False))
 
+def retry_after(headers: Column) -> Column:
+    """Seconds of a Retry-After header (map<string, string>, the name in any case); null if it is missing or no number."""
+    own = F.map_filter(headers, lambda k, v: F.lower(k) == "retry-after")
+    seconds = F.get(F.map_values(own), 0).try_cast("double")
+    return F.when((seconds >= 0) & ~F.isnan(seconds), seconds)
 
-def backoff(attempt: Column, base: float = 0.5, multiplier: float = 2.0, longest: float = 30.0, hint: Column | None = None) -> Column:
-    """Seconds before another try, without jitter; a server's hint may lengthen it up to the longest."""
+
+def backoff(attempt: Column, base: float = 0.5, multiplier: float = 2.0, longest: float = 30.0, hint: Column | None = None, jitter: Column | None = None) -> Column:
+    """Seconds before another try; a jitter in [0, 1) scales them; a server's hint may lengthen them up to the longest."""
+    if base < 0 or longest < 0 or multiplier < 1:
+        raise ValueError("delays are not negative and the multiplier is 1 or more")
     delay = F.least(F.lit(base) * F.pow(F.lit(multiplier), attempt - 1), F.lit(longest))
+    delay = delay if jitter is None else delay * jitter
     return delay if hint is None else F.greatest(delay, F.coalesce(F.least(hint, F.lit(longest)), F.lit(0.0)))
 
 
 def token_bucket(requests: DataFrame, rate: float, capacity: float | None = None) -> DataFrame:
     """(key, at seconds, amount) -> key, at, granted, tokens after: a lazily refilled bucket for each key, folded in order of time."""
-    cap = rate if capacity is None else capacity
-    start = F.struct(F.lit(float(cap)).alias("tokens"), F.lit(None).cast("double").alias("at"), F.array().cast("array<struct<at:double,granted:boolean,tokens:double>>").alias("out"))
+    cap = float(rate if capacity is None else capacity)
 
-    def step(a: Column, x: Column) -> Column:
-        full = F.least(F.lit(float(cap)), a["tokens"] + F.greatest(F.lit(0.0), F.coalesce(x["at"] - a["at"], F.lit(0.0))) * rate)
-        ok = full >= x["amount"]
-        left = F.when(ok, full - x["amount"]).otherwise(full)
-        return F.struct(left.alias("tokens"), x["at"].alias("at"), F.concat(a["out"], F.array(F.struct(x["at"].alias("at"), ok.alias("granted"), left.alias("tokens")))).alias("out"))
+    def granted(ordered: Iterator[tuple]) -> Iterator[tuple]:
+        tokens, last = cap, None
+        for _, at, amount in ordered:
+            tokens = min(cap, tokens + max(0.0, at - (at if last is None else last)) * rate)
+            ok = tokens >= amount
+            tokens, last = tokens - amount if ok else tokens, at
+            yield at, ok, tokens
 
-    ordered = F.array_sort(F.collect_list(F.struct(F.col("at").cast("double").alias("at"), F.col("amount").cast("double").alias("amount"))))
-    return requests.groupBy("key").agg(F.aggregate(ordered, start, step, lambda a: a["out"]).alias("o")).select("key", F.inline("o"))
+    rows = requests.select("key", F.col("at").cast("double").alias("at"), F.col("amount").cast("double").alias("amount"))
+    return walked(rows, ["key"], ["at", "amount"], granted, f"key {requests.schema['key'].dataType.simpleString()}, at double, granted boolean, tokens double")
 
 
 def circuit_breaker(calls: DataFrame, failures: int = 5, recovery: float = 30.0, successes: int = 1, probes: int = 1) -> DataFrame:
     """(key, at seconds, ok) -> key, at, state before the call, rejected: closed opens after `failures` failures in a row;
     after `recovery` it is half open for at most `probes` calls; `successes` of them close it, a failure opens it again."""
-    start = F.struct(F.lit("closed").alias("state"), F.lit(0).alias("bad"), F.lit(0).alias("good"), F.lit(0).alias("tried"), F.lit(0.0).cast("double").alias("opened"), F.array().cast("array<struct<at:double,state:string,rejected:boolean>>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        wakes = (a["state"] == "open") & (x["at"] - a["opened"] >= recovery)
-        state = F.when(wakes, "half_open").otherwise(a["state"])
-        tried, good = F.when(wakes, 0).otherwise(a["tried"]), F.when(wakes, 0).otherwise(a["good"])
-        rejected = (state == "open") | ((state == "half_open") & (tried >= probes))
-        failed = ~rejected & ~x["ok"]
-        opens = failed & ((state == "half_open") | (a["bad"] + 1 >= failures))
-        closes = ~rejected & x["ok"] & (state == "half_open") & (good + 1 >= successes)
-        after = F.when(opens, "open").when(closes, "closed").otherwise(state)
-        return F.struct(
-            after.alias("state"), F.when(rejected, a["bad"]).when(failed, a["bad"] + 1).otherwise(0).alias("bad"), F.when(closes, 0).when(~rejected & x["ok"] & (state == "half_open"), good + 1).otherwise(good).alias("good"),
-            F.when(closes, 0).when(~rejected & (state == "half_open"), tried + 1).otherwise(tried).alias("tried"), F.when(opens, x["at"]).otherwise(a["opened"]).alias("opened"),
-            F.concat(a["out"], F.array(F.struct(x["at"].alias("at"), state.alias("state"), rejected.alias("rejected")))).alias("out"),
-        )
-
-    ordered = F.array_sort(F.collect_list(F.struct(F.col("at").cast("double").alias("at"), "ok")))
-    return calls.groupBy("key").agg(F.aggregate(ordered, start, step, lambda a: a["out"]).alias("o")).select("key", F.inline("o"))
+
+    def states(ordered: Iterator[tuple]) -> Iterator[tuple]:
+        state, bad, good, tried, opened = "closed", 0, 0, 0, 0.0
+        for _, at, ok in ordered:
+            if state == "open" and at - opened >= recovery:
+                state, good, tried = "half_open", 0, 0
+            rejected = state == "open" or state == "half_open" and tried >= probes
+            yield at, state, rejected
+            if rejected:
+                continue
+            tried += state == "half_open"
+            if not ok:
+                bad += 1
+                if state == "half_open" or bad >= failures:
+                    state, opened = "open", at
+            elif state == "closed":
+                bad = 0
+            else:
+                good += 1
+                if good >= successes:
+                    state, bad = "closed", 0
+
+    rows = calls.select("key", F.col("at").cast("double").alias("at"), "ok")
+    return walked(rows, ["key"], ["at", "ok"], states, f"key {calls.schema['key'].dataType.simpleString()}, at double, state string, rejected boolean")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import chat
+from corpusmill.operators.folds import walked
 
 UNLIMITED = 1_000_000
 
@@ -39,29 +42,63 @@ def tail_rank(share: float) -> Column:
     return F.least(F.col("n") - 1, F.floor(F.lit(share) * F.col("n")))
 
 
+def _keyed(rows: DataFrame, by: str | None) -> tuple[DataFrame, str]:
+    return (rows, by) if by else (rows.withColumn("__all", F.lit(0)), "__all")
+
+
 def in_order_packs(lengths: DataFrame, limit: int, by: str | None = None) -> DataFrame:
     """(row_id, len[, by]) -> pack_no, offset: rows in order fill packs; one that does not fit starts the next.
 
-    A row over the limit is alone. The fold is sequential within a value of `by`, which bounds what one task folds;
-    packs never mix its values. Without it the whole table is one sequence, for tables known to be small.
+    A row over the limit is alone. Rows of a value of `by` are one sequence, which a task goes through with nothing
+    gathered; packs never mix values. Without it the whole table is one sequence.
+    """
+    rows, key = _keyed(lengths, by)
+    rows = rows.select(key, F.col("row_id").cast("long").alias("row_id"), F.col("len").cast("long").alias("len"))
+
+    def places(ordered: Iterator[tuple]) -> Iterator[tuple]:
+        pack, used = -1, 0
+        for _, row_id, n in ordered:
+            if pack < 0 or used + n > limit:
+                pack, used = pack + 1, 0
+            yield row_id, n, pack, used
+            used += n
+
+    out = walked(rows, [key], ["row_id"], places, f"{key} {rows.schema[key].dataType.simpleString()}, row_id long, len long, pack_no long, offset long")
+    return out if by else out.drop(key)
+
+
+def packed_datums(datums: DataFrame, limit: int, by: str | None = None) -> DataFrame:
+    """(row_id, datum[, by]) -> a row for each pack: pack_no, row_ids, input_tokens, target_tokens, weights, end to end.
+
+    Packs are those of in_order_packs; a task holds one pack. Rows without tokens fill none.
     """
-    key = by or "__all"
-    rows = lengths if by else lengths.withColumn(key, F.lit(0))
-    start = F.struct(F.lit(-1).cast("long").alias("pack"), F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<row_id:bigint,len:bigint,pack_no:bigint,offset:bigint>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        fits = (acc["pack"] >= 0) & (acc["used"] + x["len"] <= limit)
-        pack = F.when(fits, acc["pack"]).otherwise(acc["pack"] + 1)
-        offset = F.when(fits, acc["used"]).otherwise(F.lit(0).cast("long"))
-        placed = F.struct(x["row_id"].alias("row_id"), x["len"].alias("len"), pack.alias("pack_no"), offset.alias("offset"))
-        return F.struct(pack.alias("pack"), (offset + x["len"]).alias("used"), F.concat(acc["out"], F.array(placed)).alias("out"))
-
-    ordered = F.array_sort(F.collect_list(F.struct(F.col("row_id").cast("long").alias("row_id"), F.col("len").cast("long").alias("len"))))
-    folded = rows.groupBy(key).agg(F.aggregate(ordered, start, step, lambda acc: acc["out"]).alias("placed"))
-    out = folded.select(key, F.inline("placed"))
+    rows, key = _keyed(datums, by)
+    rows = rows.select(key, F.col("row_id").cast("long").alias("row_id"), "datum.input_tokens", "datum.target_tokens", "datum.weights")
+
+    def packs(ordered: Iterator[tuple]) -> Iterator[tuple]:
+        pack, held = 0, ([], [], [], [])
+        for _, row_id, *arrays in ordered:
+            if held[1] and len(held[1]) + len(arrays[0]) > limit:
+                yield pack, *held
+                pack, held = pack + 1, ([], [], [], [])
+            held[0].append(row_id)
+            for own, more in zip(held[1:], arrays):
+                own.extend(more)
+        if held[1]:
+            yield pack, *held
+
+    kind = rows.schema[key].dataType.simpleString()
+    out = walked(rows, [key], ["row_id"], packs, f"{key} {kind}, pack_no long, row_ids array<long>, input_tokens array<int>, target_tokens array<int>, weights array<double>", give=64)
     return out if by else out.drop(key)
 
 
+def collated(packs: DataFrame, size: int, by: str | None = None) -> DataFrame:
+    """Packs -> batch_no and datums: `size` packs of each batch in order (the last batch of a value of `by` may have fewer)."""
+    keys = [by] if by else []
+    datum = F.struct("pack_no", "input_tokens", "target_tokens", "weights")
+    return packs.groupBy(*keys, F.floor(F.col("pack_no") / size).alias("batch_no")).agg(F.array_sort(F.collect_list(datum)).alias("datums"))  # at most `size`
+
+
 def batch_numbers(rows: DataFrame, size: int, order: str, by: str) -> DataFrame:
     """batch_no within each value of `by`: rows in order, `size` at a time."""
     return rows.withColumn("batch_no", F.floor((F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1) / size))
@@ -71,3 +108,9 @@ def steps_per_epoch(packs: DataFrame, batch_size: int, epochs: int = 1) -> DataF
     """(pack_no) -> n_packs, steps per epoch and in total."""
     n = F.countDistinct("pack_no")
     return packs.agg(n.alias("n_packs"), F.ceil(n / batch_size).alias("steps_per_epoch"), (F.ceil(n / batch_size) * epochs).alias("total_steps"))
+
+
+def epoch_fraction(rows: DataFrame, by: str, order: str) -> DataFrame:
+    """epoch: the share of its value of `by` that is done with a row."""
+    whole = Window.partitionBy(by)
+    return rows.withColumn("epoch", F.row_number().over(whole.orderBy(order)) / F.count("*").over(whole))

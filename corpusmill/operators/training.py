@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import chat, text
+from corpusmill.operators import ranks
 
 
 def learning_rate(step: Column, total: int, peak: float = 1e-4, warmup_ratio: float = 0.03, schedule: str = "cosine", min_ratio: float = 0.1) -> Column:
@@ -59,6 +60,11 @@ def preference_messages(prompt: Column, answer: Column) -> Column:
     return F.concat(prompt, F.array(F.struct(F.lit("assistant").alias("role"), answer.alias("content"))))
 
 
+def preference_datums(prompt: Column, chosen: Column, rejected: Column, limit: int) -> Column:
+    """struct(chosen, rejected): the training rows of both answers to a prompt."""
+    return F.struct(chat.supervised_datum(preference_messages(prompt, chosen), limit).alias("chosen"), chat.supervised_datum(preference_messages(prompt, rejected), limit).alias("rejected"))
+
+
 def signed_weights(weights: Column, sign: int) -> Column:
     """+1 or -1 where a token has weight: chosen and rejected rows of a preference batch."""
     return F.transform(weights, lambda w: F.when(w > 0, float(sign)).otherwise(0.0))
@@ -75,6 +81,38 @@ def simulated_logprob(tokens: Column, target_sum: Column, step: Column) -> Colum
     return -0.8 * n * F.exp(-step / 80.0) - 0.2 * n + (F.pmod(target_sum + n, F.lit(1000)) / 1000.0 - 0.5) * 0.1 * n
 
 
+def datum_logprob(d: Column, step: Column) -> Column:
+    """The dry run's log-probability of a training row."""
+    n = F.size(F.filter(d["weights"], lambda w: w > 0))
+    return simulated_logprob(n, F.aggregate(d["target_tokens"], F.lit(0).cast("long"), lambda a, t: a + t), step)
+
+
+def reward_model_score(prompt: Column, completion: Column, step: Column) -> Column:
+    """Logistic of the mean log-probability of a completion given its prompt."""
+    return text.let(chat.completion_datum(prompt, completion), lambda d: mean_logprob_score(datum_logprob(d, step), F.greatest(F.lit(1), F.size(F.filter(d["weights"], lambda w: w > 0)))))
+
+
+def simulated_sample(seed: Column, longest: int) -> Column:
+    """struct(tokens, logprobs, stop): the dry run's completion, 1 to `longest` tokens drawn from hashes of the seed."""
+    draw = lambda *of: F.pmod(F.xxhash64(seed, *map(F.lit, of[:1]), *of[1:]), F.lit(1 << 30))
+    n = (draw("length") % max(1, longest) + 1).cast("int")
+    tokens = F.transform(F.sequence(F.lit(1), n), lambda i: (draw("token", i) % 1991 + 10).cast("int"))
+    logprobs = F.transform(F.sequence(F.lit(1), n), lambda i: -(0.1 + draw("logprob", i) / float(1 << 30) * 1.8))
+    return F.struct(tokens.alias("tokens"), logprobs.alias("logprobs"), F.when(n < longest, "stop").otherwise("length").alias("stop"))
+
+
+def rollouts(prompts: DataFrame, key: str, prompt: str, iteration: int, group: int, seed: int = 0, longest: int = 64) -> DataFrame:
+    """(key, prompt) -> a row for each sample of a prompt: key, prompt_no, sample, seed, completion (tokens, logprobs, stop)."""
+    listed = ranks.numbered(prompts.select(F.lit(0).alias("all"), key, prompt), ["all"], [key], "prompt_no").drop("all")
+    each = listed.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(group - 1)))).withColumn("seed", rollout_seed(F.lit(seed), F.lit(iteration), F.col("prompt_no"), F.col("sample")))
+    return each.withColumn("completion", simulated_sample(F.col("seed"), longest))
+
+
+def lora_scaling(rank: Column, alpha: float = 64.0) -> Column:
+    """An adapter's factor: alpha by rank."""
+    return F.lit(alpha) / rank
+
+
 def simulated_loss(step: Column, base: float = 2.0) -> Column:
     return F.greatest(F.lit(0.05), 0.4 + (base - 0.4) * F.exp(-step / 40.0))
 
@@ -117,9 +155,10 @@ def estimated_tokens(n: Column, average: Column, epochs: Column) -> Column:
 
 def round_robin(rows: DataFrame, key: str, iterations: int, per_batch: int) -> DataFrame:
     """draw, iteration, position, key: iterations of per_batch rows, around the list in key order again and again."""
-    listed = rows.select(key).withColumn("position", (F.row_number().over(Window.orderBy(key)) - 1).cast("long"))  # a prompt list is small
-    n = max(1, rows.count())
-    draws = rows.sparkSession.range(iterations * per_batch).select(F.col("id").alias("draw"), F.floor(F.col("id") / per_batch).alias("iteration"), (F.col("id") % n).alias("position"))
+    listed = ranks.numbered(rows.select(F.lit(0).alias("all"), key), ["all"], [key]).drop("all")
+    n = F.broadcast(listed.agg(F.greatest(F.lit(1), F.count("*")).alias("n")))  # one row
+    ids = rows.sparkSession.range(iterations * per_batch).join(n)
+    draws = ids.select(F.col("id").alias("draw"), F.floor(F.col("id") / per_batch).alias("iteration"), (F.col("id") % F.col("n")).alias("position"))
     return draws.join(listed, "position").select("draw", "iteration", "position", key)
 
 

@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import chat, text
 from corpusmill.operators import dedup, sharding, tokens
+from corpusmill.operators.stored import shared_dir, stored
 from corpusmill.plans import validate
 from corpusmill.plans.catalog import query
-from corpusmill.plans.queries_text import _NORM, LEN_SQL
-from corpusmill.plans.views import DIRTY_SQL, dirty, examples, table
-
+from corpusmill.plans.queries_text import _NORM, LEN_SQL, datum_sql, told_ids, told_weights
+from corpusmill.plans.views import CHAT_SQL, DIRTY_SQL, dirty, examples, table
+from corpusmill.sources import files
+
+#: All pairs by Jaccard, through the shingles they share: texts t(id, norm) -> sim(a, b, jaccard, both orders).
+_JACCARD = """shingled as (select id, unnest(case when length(norm) <= 5 then [norm] else list_distinct(list_transform(range(1, length(norm) - 3), lambda i: substr(norm, i, 5))) end) as g from t where norm <> ''),
+    sizes as (select id, count(*) as n from shingled group by id), common as (select a.id as a, b.id as b, count(*) as c from shingled a join shingled b on a.g = b.g and a.id <> b.id group by all),
+    sim as (select a, b, c / (x.n + y.n - c) as jaccard from common join sizes x on x.id = a join sizes y on y.id = b where c / (x.n + y.n - c) >= 0.85)"""
 _DOCS = f"n as (select doc_id as row_id, {_NORM.format('text')} as norm from documents)"
 
 
@@ -41,16 +50,57 @@ def label_conflicts(spark, sf_dir):
     return dedup.label_conflicts(_keyed(spark, sf_dir))
 
 
-@query()
+@query(f"""with {_DOCS}, t as (select min(row_id) as id, norm from n group by norm), {_JACCARD}
+    select a as row_id, b as match_id, round(jaccard, 6) as jaccard from sim where b < a qualify row_number() over (partition by a order by jaccard desc, b) = 1""")
 def near_duplicates(spark, sf_dir):
     return dedup.near_duplicates(_documents(spark, sf_dir))
 
 
-@query()
-def eval_contamination(spark, sf_dir):
+@query(f"""with {_DOCS}, t as (select row_id as id, norm from n), {_JACCARD}, asked as (select row_id, norm from n where row_id % 3 = 0 and norm <> ''), e as (select q.row_id, min(r.row_id) as id from asked q join n r on r.norm = q.norm and r.row_id % 3 <> 0 group by q.row_id),
+    firsts as (select min(row_id) as id from n where row_id % 3 <> 0 group by norm), near as (select a, b, jaccard from sim where a in (select row_id from asked) and a not in (select row_id from e) and b in (select id from firsts))
+    select a as row_id, b as match_id, round(jaccard, 6) as jaccard, (row_number() over (partition by a order by round(jaccard, 9) desc, b))::int as rank from near""")
+def ranked_hits(spark, sf_dir):
+    """For a third of the documents all similar texts among the others, the most similar first; equal texts are left to the exact lookup."""
+    docs = _documents(spark, sf_dir)
+    asked, known = docs.where("row_id % 3 = 0 and norm <> ''"), docs.where("row_id % 3 <> 0")
+    firsts = dedup._firsts(known)
+    rest = asked.join(known.select("norm"), "norm", "left_anti")
+    hits = dedup.similar(dedup.sketches(rest.select("row_id", "norm")), dedup.sketches(firsts))
+    found = dedup.ranked_hits(hits.withColumn("jaccard", F.round("jaccard", 9)))
+    return found.select(F.col("left_id").alias("row_id"), F.col("right_id").alias("match_id"), F.round("jaccard", 6).alias("jaccard"), "rank")
+
+
+_CONTAMINATED = f"""{_KEYED_SQL}, b as (select row_id, {_NORM.format("prompt || chr(10) || response")} as norm from texts), train as (select norm, min(row_id) as id from b where row_id >= 1000000000 and norm <> '' group by norm),
+    asked as (select row_id as id, norm from b where row_id < 1000000000 and norm <> ''), exact as (select a.id as row_id, r.id as match_id, 1.0::double as jaccard from asked a join train r using (norm)), t as (select id, norm from train union all select id, norm from asked), {_JACCARD},
+    near as (select a as row_id, b as match_id, jaccard from sim where a in (select id from asked) and a not in (select row_id from exact) and b in (select id from train) qualify row_number() over (partition by a order by round(jaccard, 9) desc, b) = 1),
+    contaminated as (select * from exact union all select * from near)"""
+
+
+def _split(spark, sf_dir):
     """The clean examples as an evaluation set, their copies with planted defects as the training set."""
     k = validate.keyed(dirty(spark, sf_dir)).select("row_id", "norm")
-    return dedup.contamination(k.where("row_id < 1000000000"), k.where("row_id >= 1000000000"))
+    return k.where("row_id < 1000000000"), k.where("row_id >= 1000000000")
+
+
+@query(f"with {_CONTAMINATED} select row_id, match_id, round(jaccard, 6) as jaccard from contaminated")
+def eval_contamination(spark, sf_dir):
+    return dedup.contamination(*_split(spark, sf_dir))
+
+
+@query(f"with {_CONTAMINATED} select count(distinct row_id)::bigint as contaminated, (select count(*) from b where row_id < 1000000000)::bigint as evaluated, round(100.0 * count(distinct row_id) / (select count(*) from b where row_id < 1000000000), 1) as percent from contaminated")
+def contamination_percent(spark, sf_dir):
+    evaluation, training = _split(spark, sf_dir)
+    return dedup.contamination_share(dedup.contamination(evaluation, training), evaluation)
+
+
+@query(f"""with {_DOCS}, q as (select item_id as id, {_NORM.format("text")} as norm from benchmark where {_NORM.format("text")} <> ''), train as (select norm, min(row_id) as id from n where norm <> '' group by norm),
+    exact as (select q.id as row_id, r.id as match_id, 1.0::double as jaccard from q join train r using (norm)), t as (select -1 - id as id, norm from q union all select id, norm from train), {_JACCARD},
+    near as (select -1 - a as row_id, b as match_id, jaccard from sim where a < 0 and b >= 0 and -1 - a not in (select row_id from exact) qualify row_number() over (partition by a order by round(jaccard, 9) desc, b) = 1)
+    select row_id, match_id, round(jaccard, 6) as jaccard from (select * from exact union all select * from near)""")
+def benchmark_contamination(spark, sf_dir):
+    """The whole benchmark as an evaluation set against all documents."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("row_id"), text.normalized(F.col("text")).alias("norm"))
+    return dedup.contamination(items, _documents(spark, sf_dir))
 
 
 @query(f"""with {_DOCS}, f as (select *, min(row_id) over (partition by norm) as first_id from n), d as (select row_id from f where row_id > first_id)
@@ -88,16 +138,37 @@ def epoch_order(spark, sf_dir):
     return sharding.epoch_order(table(spark, sf_dir, "documents"), "doc_id", _SPEC, epochs=2, seed=3)
 
 
-@query("select count(*)::bigint * 2 as reads, count(distinct doc_id)::bigint as documents from documents")
+@query("select count(*)::bigint * 2 as reads, 0::bigint as repeats, count(distinct doc_id)::bigint as documents from documents")
 def cursor_resume(spark, sf_dir):
     """What all ranks read up to a cursor and after it: two epochs, no gap, no repeat."""
-    order = epoch_order(spark, sf_dir)
+    order = stored(epoch_order(spark, sf_dir))
     before = order.where("epoch = 0 and index < 40")
     after = None
     for rank in range(8):
         part = sharding.resume(order, sharding.Cursor(0, 40, 8, rank))
         after = part if after is None else after.unionByName(part)
-    return before.unionByName(after).agg(F.countDistinct("doc_id", "epoch").alias("reads"), F.countDistinct("doc_id").alias("documents"))
+    n = F.countDistinct("doc_id", "epoch", "rank")
+    return before.unionByName(after).agg(F.count("*").alias("reads"), (F.count("*") - n).alias("repeats"), F.countDistinct("doc_id").alias("documents"))
+
+
+@query("select e.k as epoch, count(*)::bigint as rows, true as dense, true as shuffled from documents, range(2) as e(k) group by e.k")
+def epoch_positions(spark, sf_dir):
+    """Each epoch's order: every rank's indices run from 0 without a gap, and the second epoch's order is another."""
+    order = stored(epoch_order(spark, sf_dir))
+    by_rank = order.groupBy("epoch", "rank").agg(F.count("*").alias("n"), F.min("index").alias("a"), F.max("index").alias("z"), F.countDistinct("index").alias("d"), F.corr("index", "doc_id").alias("c"))
+    dense = (F.col("a") == 0) & (F.col("z") == F.col("n") - 1) & (F.col("d") == F.col("n"))
+    return by_rank.groupBy("epoch").agg(F.sum("n").alias("rows"), F.every(dense).alias("dense"), (F.avg(F.abs("c")) < 0.5).alias("shuffled"))
+
+
+@query("select count(*)::bigint as n, 8::bigint as ranks, true as balanced, true as moved_few, true as only_to_new from documents")
+def reshard_moves(spark, sf_dir):
+    """From eight ranks to nine: rows move to the new rank only, about a ninth of them."""
+    wider = sharding.ShardSpec(world_size=9)
+    key = F.col("doc_id")
+    moved = table(spark, sf_dir, "documents").select(_SPEC.owner_of(key).alias("a"), wider.owner_of(key).alias("b"))
+    sizes = moved.groupBy("a").agg(F.count("*").alias("n"), F.count_if(F.col("a") != F.col("b")).alias("moved"), F.count_if((F.col("a") != F.col("b")) & (F.col("b") != 8)).alias("stray"))
+    total, shifted = F.sum("n"), F.sum("moved")
+    return sizes.agg(total.alias("n"), F.count("*").alias("ranks"), (F.min("n") > 0.5 * F.avg("n")).alias("balanced"), shifted.between(0.05 * total, 0.2 * total).alias("moved_few"), (F.sum("stray") == 0).alias("only_to_new"))
 
 
 _WEIGHTS = {"en": 0.7, "de": 0.2, "fr": 0.1, "es": 0.0}
@@ -116,6 +187,18 @@ def mixture_sample(spark, sf_dir):
     return sharding.mixture(docs, 2000, _WEIGHTS, seed=4)
 
 
+@query("select source, true as near_weight, true as in_order from (values ('en'), ('de'), ('fr')) as t(source)")
+def mixture_properties(spark, sf_dir):
+    """Draws of each source: about as many as its weight says, and positions that run through its rows in order, again and again."""
+    drawn = mixture_sample(spark, sf_dir)
+    sizes = table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("source")).agg(F.count("*").alias("size"))
+    k = F.row_number().over(Window.partitionBy("source").orderBy("draw")) - 1
+    placed = drawn.withColumn("k", k).join(sizes, "source")
+    told = placed.groupBy("source").agg(F.count("*").alias("n"), F.every(F.col("position") == F.col("k") % F.col("size")).alias("in_order"))
+    weight = F.element_at(F.create_map(*(F.lit(x) for kv in _WEIGHTS.items() for x in kv)), F.col("source"))
+    return told.select("source", (F.abs(F.col("n") / 2000 - weight) < 0.05).alias("near_weight"), "in_order")
+
+
 @query()
 def mixture_shares(spark, sf_dir):
     return sharding.realized_proportions(mixture_sample(spark, sf_dir))
@@ -131,6 +214,32 @@ def pack_sequences(spark, sf_dir):
     return tokens.in_order_packs(lens, 4096, by="part")
 
 
+_PACK_WALK = """o as (select row_id, seq_len as len, row_number() over (partition by row_id % 4 order by row_id) as k, row_id % 4 as part from lens),
+    walk as (select part, k, row_id, len, 0::bigint as pack_no, 0::bigint as used from o where k = 1
+        union all select o.part, o.k, o.row_id, o.len, case when w.used + w.len + o.len <= 4096 then w.pack_no else w.pack_no + 1 end, case when w.used + w.len + o.len <= 4096 then w.used + w.len else 0 end from walk w join o on o.part = w.part and o.k = w.k + 1),
+    packed as (select part, pack_no, string_agg(inputs, '' order by row_id) as inputs, string_agg(weights, '' order by row_id) as weights, count(*) as n from walk join datums using (row_id) group by part, pack_no)"""
+_PACKED_SQL = f"{LEN_SQL}, datums as (select row_id, {datum_sql('messages', 1_000_000)} from lens), {_PACK_WALK}"
+
+
+def _packs(spark, sf_dir):
+    rows = examples(spark, sf_dir).select("row_id", (F.col("row_id") % 4).alias("part"), chat.supervised_datum(F.col("messages"), 1_000_000).alias("datum"))
+    return tokens.packed_datums(rows, 4096, by="part")
+
+
+@query(f"with recursive {_PACKED_SQL} select part, pack_no, n::bigint as n_rows, md5(inputs) as inputs, md5(weights) as weights from packed")
+def packed_arrays(spark, sf_dir):
+    """The packs' token and weight arrays, end to end."""
+    return _packs(spark, sf_dir).select("part", "pack_no", F.size("row_ids").cast("long").alias("n_rows"), F.md5(told_ids(F.col("input_tokens"))).alias("inputs"), F.md5(told_weights(F.col("weights"))).alias("weights"))
+
+
+@query(f"with recursive {_PACKED_SQL} select part, (pack_no // 3)::bigint as batch_no, count(*)::bigint as packs, md5(string_agg(inputs, '|' order by pack_no)) as inputs, sum(strlen(weights))::bigint as tokens from packed group by all")
+def collated_batches(spark, sf_dir):
+    """Batches of three packs with their arrays."""
+    b = tokens.collated(_packs(spark, sf_dir), 3, by="part")
+    d = F.col("datums")
+    return b.select("part", "batch_no", F.size(d).cast("long").alias("packs"), F.md5(F.array_join(F.transform(d, lambda x: told_ids(x["input_tokens"])), "|")).alias("inputs"), F.aggregate(d, F.lit(0).cast("long"), lambda a, x: a + F.size(x["weights"])).alias("tokens"))
+
+
 @query(f"""with {LEN_SQL} select row_id, row_id % 4 as part, ((row_number() over (partition by row_id % 4 order by row_id) - 1) // 8)::bigint as batch_no from lens""")
 def batches(spark, sf_dir):
     rows = examples(spark, sf_dir).select("row_id", (F.col("row_id") % 4).alias("part"))
@@ -157,11 +266,30 @@ def corpus_stats(spark, sf_dir):
     return validate.corpus_stats(dirty(spark, sf_dir))
 
 
-@query()
+_TOTAL = "list_sum([13 + strlen(roles[i]) + strlen(contents[i]) + 11 for i in range(1, len(roles) + 1)])"
+_FINDINGS_SQL = f"""{_KEYED_SQL}, full_ as (select row_id, roles, contents, response, {_NORM.format("prompt || chr(10) || response")} as norm, {_TOTAL} as len, case when roles[-1] = 'assistant' then strlen(contents[-1]) + 12 else 1 end as run, array_to_string(contents, chr(10)) as blob from texts),
+    pairs as (select p, r, min(row_id) as id from k group by p, r), t as (select norm, min(row_id) as id from full_ where norm <> '' group by norm), {_JACCARD},
+    clean as (select row_id from full_ where row_id < 1000000000),
+    told as (
+        select row_id, unnest([case when not regexp_matches(response, '\\S') then 'empty_assistant_turn' end, case when list_contains(roles[2:], 'system') then 'system_turn_not_first' end,
+            case when len([i for i in range(2, len(roles) + 1) if roles[i] = roles[i - 1] and roles[i] in ('user', 'assistant')]) > 0 then 'consecutive_same_role' end, case when roles[-1] = 'user' then 'trailing_user_turn' end,
+            case when len > 2048 and run >= least(len + 1, 2048) - 1 then 'prompt_truncated_away' end, case when len > 32768 then 'context_overflow' end, case when len > 2048 then 'truncation' end,
+            case when regexp_matches(blob, '{text.PII_PATTERNS["email"]}|{text.PII_PATTERNS["ipv4"]}|{text.PII_PATTERNS["aws_access_key"]}') then 'pii_detected' end]) as code from full_
+        union all select k.row_id, 'exact_duplicates' from k join pairs using (p, r) where k.row_id > pairs.id
+        union all select id, 'label_conflict' from (select id, min(id) over (partition by p) as first_ from pairs where p <> '') where id > first_
+        union all select a, 'near_duplicates' from (select distinct a from sim where b < a) union all select pairs.id, 'near_duplicates' from pairs join full_ on full_.row_id = pairs.id join t using (norm) where t.id < pairs.id
+        union all select row_id, 'eval_contamination' from clean),
+    rolled as (select code, count(*) as count, array_to_string(list(row_id order by row_id)[1:5], ',') as examples from told where code is not null group by code),
+    shared as (select 'response_collapse' as code, max(c) as count, '' as examples from (select count(*) as c from k group by r) having max(c) >= 0.5 * (select count(*) from k) and (select count(*) from k) >= 4)"""
+
+
+@query(f"""with {_FINDINGS_SQL}, found as (select * from rolled union all select * from shared) select code, case when code = 'exact_duplicates' and count >= 0.2 * (select count(*) from k) then 'error'
+    when code in ('empty_assistant_turn', 'prompt_truncated_away', 'context_overflow', 'pii_detected', 'eval_contamination') then 'error' when code = 'trailing_user_turn' then 'info' else 'warning' end as severity, count::bigint as count, examples from found""")
 def findings_report(spark, sf_dir):
-    """The lint of the view with planted defects, the clean examples as evaluation set."""
+    """The lint of the view with planted defects, the clean examples (all of them in it) as evaluation set."""
     view = dirty(spark, sf_dir)
-    return validate.findings(view, evaluation=examples(spark, sf_dir), max_seq_len=2048, context=32768)
+    found = validate.findings(view, evaluation=examples(spark, sf_dir), max_seq_len=2048, context=32768)
+    return found.withColumn("examples", F.array_join(F.transform("examples", lambda x: x.cast("string")), ","))
 
 
 @query(f"""with {DIRTY_SQL}, f as (select row_id, unnest([case when not regexp_matches(response, '\\S') then 'empty_assistant_turn' end, case when list_contains(roles[2:], 'system') then 'system_turn_not_first' end,
@@ -172,3 +300,61 @@ def structure_findings(spark, sf_dir):
     codes = ("empty_assistant_turn", "system_turn_not_first", "consecutive_same_role", "trailing_user_turn")
     told = flags.select("row_id", F.explode(F.array_compact(F.array(*(F.when(F.col(c), c) for c in codes)))).alias("code"))
     return dedup.first_examples(told).withColumn("examples", F.array_join(F.transform("examples", lambda x: x.cast("string")), ","))
+
+
+@query("select * from (values ('exact_duplicates', 'warning'), ('pii_detected', 'error'), ('eval_contamination', 'error')) as t(code, severity)")
+def findings_gate(spark, sf_dir):
+    """Of three findings and an informal one those that a gate at warning stops."""
+    rows = [("exact_duplicates", "warning", 3, [1]), ("pii_detected", "error", 1, [2]), ("length_outliers", "info", 1, []), ("eval_contamination", "error", 2, [4])]
+    return validate.at_or_above(spark.createDataFrame(rows, "code string, severity string, count long, examples array<long>"), "warning").select("code", "severity")
+
+
+@query(f"with {CHAT_SQL} select md5(array_to_string(contents, chr(10))) as contents_md5, array_to_string(roles, ',') as roles, (row_number() over (order by row_id) - 1)::bigint as row_id from chat")
+def chat_file_round_trip(spark, sf_dir):
+    """Examples written as JSON lines in one file and read again."""
+    path = f"{shared_dir(spark)}/chat-{uuid.uuid4().hex}"
+    files.write_chat(examples(spark, sf_dir).coalesce(1).sortWithinPartitions("row_id"), path)
+    m = F.col("messages")
+    return files.load_chat(spark, path).select(F.md5(chat.joined_text(m).cast("binary")).alias("contents_md5"), F.array_join(chat.roles(m), ",").alias("roles"), "row_id")
+
+
+@query(f"""with {CHAT_SQL}, p as (select row_id, contents[1] as prompt, contents[list_position(roles, 'assistant')] as chosen from chat)
+    select md5(prompt) as prompt_md5, md5(chosen) as chosen_md5, md5(chosen || '!') as rejected_md5, case when row_id % 2 = 0 then 'user' else 'system,user' end as roles from p""")
+def preference_file_round_trip(spark, sf_dir):
+    """Preference rows written as JSON lines, with prompts as text and as messages, and read again."""
+    path = f"{shared_dir(spark)}/preferences-{uuid.uuid4().hex}"
+    m = F.col("messages")
+    first = F.get(F.transform(F.filter(m, lambda x: x["role"] == "assistant"), lambda x: x["content"]), 0)
+    prompt, turn = F.get(m, 0)["content"], lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    rows = examples(spark, sf_dir).select("row_id", prompt.alias("prompt"), first.alias("chosen"), F.concat(first, F.lit("!")).alias("rejected"))
+    plain = rows.where("row_id % 2 = 0").select(F.to_json(F.struct("prompt", "chosen", "rejected")).alias("value"))
+    listed = rows.where("row_id % 2 = 1").select(F.to_json(F.struct(F.array(turn("system", F.lit("be brief")), turn("user", F.col("prompt"))).alias("prompt"), "chosen", "rejected")).alias("value"))
+    plain.unionByName(listed).write.text(path)
+    got = files.load_preferences(spark, path)
+    digest = lambda c: F.md5(c.cast("binary"))
+    return got.select(digest(F.element_at("prompt", -1)["content"]).alias("prompt_md5"), digest(F.col("chosen")).alias("chosen_md5"), digest(F.col("rejected")).alias("rejected_md5"), F.array_join(chat.roles(F.col("prompt")), ",").alias("roles"))
+
+
+@query("select trim(text) as prompt from benchmark where trim(text) <> '' and not contains(text, chr(10)) and not contains(text, chr(13))")
+def prompt_file(spark, sf_dir):
+    """Benchmark texts of one line as a prompts file with blank lines."""
+    path = f"{shared_dir(spark)}/prompts-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "benchmark").where("not contains(text, char(10)) and not contains(text, char(13))").select(F.concat(F.lit("  "), "text", F.lit(" \n\n")).alias("value")).write.text(path)
+    return files.load_prompts(spark, path)
+
+
+@query("select user_id as run, count(*)::bigint as rows, count(*) filter (where event_id % 7 <> 0)::bigint as losses from events group by 1")
+def metrics_file(spark, sf_dir):
+    """Metrics appended in two batches as JSON lines, null fields left out, and read again."""
+    path = f"{shared_dir(spark)}/metrics-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), "event_id", F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("loss"))
+    for part in (0, 1):
+        files.fan_out([files.chosen_sink(run_dir=path), files.no_sink])(rows.where(F.col("event_id") % 2 == part), part)
+    return spark.read.schema("run long, event_id long, loss double").json(f"{path}/metrics").groupBy("run").agg(F.count("*").alias("rows"), F.count("loss").alias("losses"))
+
+
+@query(f"""with {CHAT_SQL} select row_id, md5(array_to_string(list_transform(messages, lambda x: case when x.role = 'assistant' then x.content || ' mail [REDACTED:email]' else x.content end), chr(10))) as contents_md5 from chat""")
+def redacted_examples(spark, sf_dir):
+    """Messages with an address planted in each answer, redacted one by one."""
+    planted = F.transform("messages", lambda x: F.struct(x["role"].alias("role"), F.when(x["role"] == "assistant", F.concat(x["content"], F.lit(" mail me@example.org"))).otherwise(x["content"]).alias("content")))
+    return examples(spark, sf_dir).select("row_id", F.md5(chat.joined_text(files.redacted_messages(planted)).cast("binary")).alias("contents_md5"))

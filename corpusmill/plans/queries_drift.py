@@ -111,12 +111,30 @@ def vocabulary_drift(spark, sf_dir):
     return drift.compare_categorical(report.vocabulary(examples(spark, sf_dir), _side()), "word", 0, 1, feature="vocabulary")
 
 
-@query()
+def _numeric_sql(feature: str, value: str) -> str:
+    """One row of the report, from a table expression with side (0 or 1) and v."""
+    return f"""select * from (with p as (select row_id % 2 as side, ({value})::double as v from chat), sorted as (select list(v order by v) as s, count(*) - 1 as n, least(10, count(distinct v)) as bins from p where side = 0),
+        edges as (select list_sort(list_distinct(list_transform(range(1, bins), lambda i: s[1 + floor(i * n / bins)::int] + (i * n / bins - floor(i * n / bins)) * (s[1 + least(n, floor(i * n / bins) + 1)::int] - s[1 + floor(i * n / bins)::int])))) as edges from sorted),
+        hist as (select side, len(list_filter(edges, lambda e: e < v)) as bucket, count(*) as n from p, edges group by all), grid as (select unnest(range(0, len(edges) + 1)) as bucket from edges),
+        pairs as (select bucket, coalesce(sum(n) filter (where side = 0), 0) as b, coalesce(sum(n) filter (where side = 1), 0) as c from grid left join hist using (bucket) group by bucket), {_div_sql("pairs")}, {_ks_sql("p", "0", "1")}
+        select '{feature}' as feature, round(psi, 6) as psi, round(jsd, 6) as jsd, round(ks, 6) as ks, case when n < 30 and psi >= 0.1 or psi >= 0.1 and psi < 0.25 then 'warning' when psi >= 0.25 then 'error' else 'info' end as severity, case when n < 30 then 'small sample' else '' end as detail
+        from div, gap, (select least(count(*) filter (where side = 0), count(*) filter (where side = 1)) as n from p))"""
+
+
+_SIDE_CHARS = "length(array_to_string(list_transform(list_filter(messages, lambda x: x.role {} 'assistant'), lambda x: x.content), ' '))"
+_REPORT_SQL = f"{CHAT_SQL}, report as (" + " union all ".join([
+    _numeric_sql("prompt_chars", _SIDE_CHARS.format("<>")), _numeric_sql("answer_chars", _SIDE_CHARS.format("=")), _numeric_sql("turns", "len(messages)"),
+    f"select feature, psi, jsd, null::double as ks, severity, detail from (with {_PREFIX_SQL}, {_categorical_sql('rows', 'answer_prefix')})",
+    f"select feature, psi, jsd, null::double as ks, severity, detail from (with {_WORDS_SQL}, {_categorical_sql('rows', 'vocabulary')})",
+]) + ")"
+
+
+@query(f"with {_REPORT_SQL} select * from report")
 def drift_report(spark, sf_dir):
     return report.drift_report(examples(spark, sf_dir), _side(), 0, 1)
 
 
-@query()
+@query(f"with {_REPORT_SQL} select case max(case severity when 'error' then 2 when 'warning' then 1 else 0 end) when 2 then 'error' when 1 then 'warning' else 'info' end as severity, bool_or(severity <> 'info') as drifted from report")
 def drift_overall(spark, sf_dir):
     return report.overall(drift_report(spark, sf_dir))
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusmill.operators import guards, runs
+from corpusmill.operators.stored import shared_dir
 from corpusmill.plans.catalog import query
 from corpusmill.plans.views import table
+from corpusmill.sources import files
 
 _SERIES = """series as (select user_id as run, row_number() over (partition by user_id order by ts, event_id)::bigint as step, event_id,
     case when event_id % 101 = 0 then null when event_id % 197 = 0 then 'nan'::double when user_id % 5 = 0 and (event_id // 40) % 3 = 0 then 0.0
@@ -188,13 +192,73 @@ def _seconds():
     return F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
 
 
-@query()
-def token_bucket(spark, sf_dir):
-    requests = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), _seconds().alias("at"), (F.col("event_id") % 3 + 1).alias("amount"))
-    return runs.token_bucket(requests, rate=1 / 3600, capacity=5.0)
+_AT = "epoch_us(ts) / 1e6"
 
 
-@query()
+@query(f"""with recursive q as (select user_id as key, {_AT} as t, (event_id % 3 + 1)::double as amount, row_number() over (partition by user_id order by ts, event_id % 3) as k from events),
+    walk as (select key, t, k, 5.0 >= amount as granted, case when 5.0 >= amount then 5.0 - amount else 5.0 end::double as tokens from q where k = 1
+        union all select q.key, q.t, q.k, least(5.0, w.tokens + greatest(0.0, q.t - w.t) / 3600) >= q.amount, case when least(5.0, w.tokens + greatest(0.0, q.t - w.t) / 3600) >= q.amount then least(5.0, w.tokens + greatest(0.0, q.t - w.t) / 3600) - q.amount else least(5.0, w.tokens + greatest(0.0, q.t - w.t) / 3600) end
+        from walk w join q on q.key = w.key and q.k = w.k + 1)
+    select key, round(t, 3) as "at", granted, round(tokens, 6) as tokens from walk""")
+def token_bucket(spark, sf_dir):
+    requests = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), _seconds().alias("at"), (F.col("event_id") % 3 + 1).alias("amount"))
+    return runs.token_bucket(requests, rate=1 / 3600, capacity=5.0).withColumns({"at": F.round("at", 3), "tokens": F.round("tokens", 6)})
+
+
+@query(f"""with recursive q as (select user_id as key, {_AT} as t, event_type <> 'error' and event_id % 4 <> 0 as ok, row_number() over (partition by user_id order by ts, event_type <> 'error' and event_id % 4 <> 0) as k from events),
+    walk as (select key, t, k, ok, 'closed' as state, false as rejected, case when ok then 0 else 1 end as bad, 0.0::double as opened, 'closed' as after from q where k = 1
+        union all select q.key, q.t, q.k, q.ok, case when w.after = 'open' and q.t - w.opened >= 7200 then 'half_open' else w.after end,
+            w.after = 'open' and q.t - w.opened < 7200,
+            case when w.after = 'open' and q.t - w.opened < 7200 then w.bad when q.ok then 0 else w.bad + 1 end,
+            case when not q.ok and (w.after = 'open' and q.t - w.opened >= 7200 or w.after = 'closed' and w.bad + 1 >= 2) then q.t else w.opened end,
+            case when w.after = 'open' and q.t - w.opened < 7200 then 'open' when q.ok then 'closed' when w.after = 'open' or w.bad + 1 >= 2 then 'open' else 'closed' end
+        from walk w join q on q.key = w.key and q.k = w.k + 1)
+    select key, round(t, 3) as "at", state, rejected from walk""")
 def circuit_breaker(spark, sf_dir):
-    calls = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), _seconds().alias("at"), (F.col("event_type") != "error").alias("ok"))
-    return runs.circuit_breaker(calls, failures=2, recovery=7200.0)
+    """Every fourth call fails; one probe at a time, which closes or opens the breaker at once."""
+    ok = (F.col("event_type") != "error") & (F.col("event_id") % 4 != 0)
+    calls = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), _seconds().alias("at"), ok.alias("ok"))
+    return runs.circuit_breaker(calls, failures=2, recovery=7200.0).withColumn("at", F.round("at", 3))
+
+
+@query("""select status, message, case when status is null then regexp_matches(lower(coalesce(message, '')), 'timeout|timed out|connection reset|rate limit|service unavailable') else status in (408, 425, 429, 500, 502, 503, 504) end as retryable, seconds as hint, greatest(1.0, coalesce(least(seconds, 30.0), 0.0)) as delay
+    from (values (429, null, 7.0::double), (503, 'x', 90.0), (404, 'timeout', null), (null, 'Read Timed Out', null), (null, 'bad request', 0.5), (null, null, null)) as t(status, message, seconds)""")
+def retry_decisions(spark, sf_dir):
+    rows = [(429, None, {"Retry-After": "7"}), (503, "x", {"retry-after": "90", "a": "b"}), (404, "timeout", {"Retry-After": "soon"}), (None, "Read Timed Out", {}), (None, "bad request", {"RETRY-AFTER": "0.5"}), (None, None, None)]
+    told = spark.createDataFrame(rows, "status int, message string, headers map<string,string>").withColumn("hint", runs.retry_after(F.col("headers")))
+    return told.select("status", "message", runs.is_retryable(F.col("status"), F.col("message")).alias("retryable"), "hint", runs.backoff(F.lit(2), hint=F.col("hint")).alias("delay"))
+
+
+@query(f"""with {_JOBS}, m as (select id, case when id = 'job-1' then 'running' when id = 'job-2' then 'succeeded' when id = 'job-3' and status not in ('succeeded', 'failed', 'cancelled') then 'cancelled' else status end as status,
+    case when id = 'job-1' then 'now' end as started_at, case when id = 'job-2' then 'later' end as finished_at from jobs) select status, count(*)::bigint as n, count(started_at)::bigint as started, count(finished_at)::bigint as finished from m group by status""")
+def job_marks(spark, sf_dir):
+    """A job set running, one finished, one cancelled, and a finished one that stays when cancelled."""
+    rows = jobs(spark, sf_dir).withColumns({"started_at": F.lit(None).cast("string"), "finished_at": F.lit(None).cast("string")})
+    rows = runs.mark(runs.mark(rows, "job-1", "running", F.lit("now")), "job-2", "succeeded", F.lit("later"))
+    return runs.cancel(runs.cancel(rows, "job-3"), "job-2").groupBy("status").agg(F.count("*").alias("n"), F.count("started_at").alias("started"), F.count("finished_at").alias("finished"))
+
+
+@query(f"with {_JOBS} select id, status, total_steps from jobs where id not in ('job-5', 'job-new') union all select * from (values ('job-5', 'pending', 10), ('job-new', 'pending', 20)) as t(id, status, total_steps)")
+def job_submit(spark, sf_dir):
+    new = spark.createDataFrame([("job-5", 10), ("job-new", 20)], "id string, total_steps long")
+    return runs.submit(jobs(spark, sf_dir), new).select("id", "status", "total_steps")
+
+
+@query(f"with {_JOBS} select id, case status when 'running' then 'failed' else status end as status, current_step, total_steps from jobs")
+def job_file_round_trip(spark, sf_dir):
+    """Job records written as JSON and read after a restart."""
+    path = f"{shared_dir(spark)}/jobs-{uuid.uuid4().hex}"
+    files.write_jobs(jobs(spark, sf_dir).select("id", "status", "current_step", "total_steps"), path)
+    return files.load_jobs(spark, path, lines=True).select("id", "status", "current_step", "total_steps")
+
+
+@query(f"""with {_ENTRIES}, {_LAST}, k as (select *, row_number() over (partition by run order by step desc) as new, case when metric is not null then row_number() over (partition by run order by metric desc nulls last, step desc) end as best from last),
+    r as (select run, step, seq, concat_ws('+', case when new = 1 then 'final' end, case when new <= 2 then 'last' end, case when best <= 1 then 'best' end) as reasons from k)
+    select run, 'keep ' || coalesce(string_agg(step || ' (' || reasons || ')', ', ' order by step) filter (where reasons <> ''), '-') || '; delete ' || coalesce(string_agg(step::varchar, ', ' order by step) filter (where reasons = ''), '-') || '; missing -' as summary,
+        coalesce(sum(seq % 1000) filter (where reasons = ''), 0)::bigint as bytes from r group by run""")
+def retention_summary(spark, sf_dir):
+    """Each run's plan in words (the largest metric is best) and the bytes that deleting frees."""
+    last = runs.last_writes(entries(spark, sf_dir))
+    plan = runs.retention_plan(last, runs.Retention(keep_last=2, keep_best=1, mode="max"))
+    freed = runs.bytes_freed(plan, last.select("run", "step", (F.col("seq") % 1000).alias("bytes")))
+    return runs.retention_summary(plan).join(freed, "run", "left").select("run", "summary", F.coalesce("bytes", F.lit(0)).alias("bytes"))

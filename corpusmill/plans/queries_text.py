@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusmill.functions import chat, text
+from corpusmill.functions import chat, rewards, text
 from corpusmill.operators import ranks, tokens
 from corpusmill.plans.catalog import query
-from corpusmill.plans.views import CHAT_SQL, DIRTY_SQL, HAZARD_SQL, dirty, examples, hazardous, table
-from corpusmill.sources.registry import MODELS, model_registry
+from corpusmill.plans.views import CHAT_SQL, DIRTY_SQL, HAZARD_SQL, PRIVATE_SQL, dirty, examples, hazardous, private, table
+from corpusmill.sources.registry import MODELS, list_models, model_registry
 
 _SEQ = """(list_sum(list_transform(messages, lambda x: 13 + strlen(x.role) + strlen(x.content) + 11)) + 1)::bigint"""
 _SUP = """(coalesce(list_sum(list_transform(messages, lambda x: case when x.role = 'assistant' then strlen(x.content) + 11 else 0 end)), 0) + 1)::bigint"""
@@ -31,12 +31,45 @@ def render_chat(spark, sf_dir):
     return examples(spark, sf_dir).select("row_id", chat.rendered(F.col("messages"), generate=True).alias("rendered"))
 
 
-@query(f"""with {LEN_SQL} select row_id, least(total_tokens, 512) - 1 as n_input,
-    least(supervised_len, least(total_tokens, 512) - 1) >= 1 as any_supervised, total_tokens > 512 as clipped from lens""")
+#: Token ids as text: two hex digits for a byte, E for the end id; and the mask as 0 and 1, a character for each token.
+_IDS = """upper(hex(encode(array_to_string(list_transform({m}, lambda x: '<|im_start|>' || x.role || chr(10) || x.content || '<|im_end|>' || chr(10)), '')))) || 'E'"""
+_MASK = """array_to_string(list_transform({m}, lambda x: repeat('0', 13 + strlen(x.role)) || repeat(case when x.role = 'assistant' then '1' else '0' end, strlen(x.content) + 11)), '') || '1'"""
+
+
+def datum_sql(messages: str, limit: int) -> str:
+    """SQL of inputs, targets and weights as text, from a list of messages."""
+    ids, mask = _IDS.format(m=messages), _MASK.format(m=messages)
+    cut, on = f"right({ids}, {2 * limit - 1})", f"right({mask}, {limit})"
+    return f"{cut}[:-2] as inputs, {cut}[3:] as targets, {on}[2:] as weights"
+
+
+def told_ids(ids):
+    return F.array_join(F.transform(ids, lambda i: F.when(i < 256, F.lpad(F.hex(i), 2, "0")).otherwise("E")), "")
+
+
+def told_weights(weights):
+    return F.array_join(F.transform(weights, lambda w: w.cast("int").cast("string")), "")
+
+
+@query(f"""with {CHAT_SQL}, d as (select row_id, {datum_sql("messages", 512)} from chat) select row_id, strlen(weights)::bigint as n_input, md5(inputs) as inputs, md5(targets) as targets, md5(weights) as weights from d""")
 def supervised_datums(spark, sf_dir):
-    """Real token arrays, cut to 512 from the tail; the SQL states their closed-form sizes."""
-    built = examples(spark, sf_dir).select("row_id", "messages", chat.supervised_datum(F.col("messages"), 512).alias("d"))
-    return built.select("row_id", F.size("d.input_tokens").cast("long").alias("n_input"), F.exists("d.weights", lambda w: w > 0).alias("any_supervised"), (chat.total_tokens(F.col("messages")) > 512).alias("clipped"))
+    """Token arrays, cut to 512 from the tail: ids and weights themselves are compared, as digests."""
+    built = examples(spark, sf_dir).select("row_id", chat.checked_datum(chat.supervised_datum(F.col("messages"), 512)).alias("d"))
+    return built.select("row_id", F.size("d.input_tokens").cast("long").alias("n_input"), F.md5(told_ids(F.col("d.input_tokens"))).alias("inputs"), F.md5(told_ids(F.col("d.target_tokens"))).alias("targets"), F.md5(told_weights(F.col("d.weights"))).alias("weights"))
+
+
+@query(f"""with {LEN_SQL}, w as (select row_id, {_MASK.format(m="messages")} as mask from lens) select row_id, (len(mask) - len(replace(mask, '1', '')))::bigint as supervised, true as holds from w""")
+def datum_invariant(spark, sf_dir):
+    """Whole training rows: supervised targets counted in the arrays, and that the arrays are equally long."""
+    d = examples(spark, sf_dir).select("row_id", chat.supervised_datum(F.col("messages"), 1_000_000).alias("d"))
+    return d.select("row_id", F.size(F.filter("d.weights", lambda w: w > 0)).cast("long").alias("supervised"), chat.datum_holds(F.col("d")).alias("holds"))
+
+
+@query(f"with {CHAT_SQL} select row_id, md5(array_to_string(contents, chr(10))) as text_md5, strlen(array_to_string(contents, chr(10)))::bigint as n from chat")
+def byte_round_trip(spark, sf_dir):
+    """Byte ids of each example's text, and the text that they decode to."""
+    ids = examples(spark, sf_dir).select("row_id", chat.byte_ids(chat.joined_text(F.col("messages"))).alias("ids"))
+    return ids.select("row_id", F.md5(chat.byte_text(F.concat("ids", F.array(F.lit(chat.EOS_ID)))).cast("binary")).alias("text_md5"), F.size("ids").cast("long").alias("n"))
 
 
 @query(f"with {LEN_SQL} select count(*)::bigint as num_examples, round(avg(turns), 2) as avg_turns, round(avg(supervised_len), 2) as avg_assistant_tokens, max(seq_len) as max_tokens from lens")
@@ -51,6 +84,12 @@ def truncation_flags(spark, sf_dir):
     return tokens.truncation_flags(examples(spark, sf_dir), 2048, 32768)
 
 
+@query(f"with {LEN_SQL} select row_id, least(total_tokens, 1) - 1 < 1 as zero_supervised, seq_len > 1 as truncated from lens")
+def zero_supervised(spark, sf_dir):
+    """A limit of one token leaves no target."""
+    return tokens.truncation_flags(examples(spark, sf_dir), 1).select("row_id", "zero_supervised", "truncated")
+
+
 @query(f"""with {LEN_SQL}, m as (select * from (values {", ".join(f"('{r[0]}', {r[4]}::bigint)" for r in MODELS)}) as t(name, context_length))
     select m.name, m.context_length, count(*) filter (where seq_len > context_length)::bigint as overflowing, count(*)::bigint as examples from m, (select seq_len * 8 as seq_len from lens) group by all""")
 def context_overflow(spark, sf_dir):
@@ -106,28 +145,60 @@ def luhn_cards(spark, sf_dir):
     return found.select("doc_id", F.size("c").cast("long").alias("candidates"), F.size(F.filter("c", text.luhn_ok)).cast("long").alias("cards"))
 
 
-_EMAIL, _IPV4 = text.PII_PATTERNS["email"], text.PII_PATTERNS["ipv4"]
-_PHONE = r"(?:^|[^\d\-])((?:\+\d{1,3}[ \-]?)?(?:\(\d{3}\)|\d{3})[ \-]\d{3}[ \-]\d{4})(?:[^\d\-]|$)"
-_KINDS_SQL = f"""counted as (select doc_id, len(regexp_extract_all(text, '{_EMAIL}')) as email, len({_LUHN}) as credit_card, len(regexp_extract_all(text, '{_PHONE}')) as phone, len(regexp_extract_all(text, '{_IPV4}')) as ipv4,
-    len(regexp_extract_all(text, '\\b(?:AKIA|ASIA)[0-9A-Z]{{16}}\\b')) as aws_access_key from documents)"""
+#: The patterns as SQL. Its expressions have no look-around: the number's neighbours are part of a match and put back.
+_SQL_PATTERNS = {k: v.replace("'", "''") for k, v in text.PII_PATTERNS.items()} | {
+    "ssn": r"\b(?:00[1-9]|0[1-9]\d|[1-57]\d\d|8\d\d|6[0-57-9]\d|66[0-57-9])-(?:0[1-9]|[1-9]\d)-(?:000[1-9]|00[1-9]\d|0[1-9]\d\d|[1-9]\d{3})\b",
+    "phone": r"(^|[^\d\-])(?:\+\d{1,3}[ \-]?)?(?:\(\d{3}\)|\d{3})[ \-]\d{3}[ \-]\d{4}([^\d\-]|$)",
+}
+_DIGITS_OK = """len(regexp_replace({0}, '[^0-9]', '', 'g')) between 13 and 19 and list_sum(list_transform(range(1, len(regexp_replace({0}, '[^0-9]', '', 'g')) + 1), lambda i: case when i % 2 = 1 then substr(reverse(regexp_replace({0}, '[^0-9]', '', 'g')), i, 1)::int
+    else (2 * substr(reverse(regexp_replace({0}, '[^0-9]', '', 'g')), i, 1)::int) // 10 + (2 * substr(reverse(regexp_replace({0}, '[^0-9]', '', 'g')), i, 1)::int) % 10 end)) % 10 = 0"""
+
+
+def _redacted_sql() -> str:
+    """Each kind in turn: private -> t9(doc_id, text, redacted)."""
+    steps, last = [], "(select doc_id, text, text as redacted from private)"
+    for n, (kind, pattern) in enumerate(_SQL_PATTERNS.items()):
+        if kind == "credit_card":
+            steps.append(f"c{n} as (select *, string_split_regex(redacted, '{pattern}') as gaps, regexp_extract_all(redacted, '{pattern}') as runs from {last})")
+            step = f"""select doc_id, text, array_to_string(list_transform(range(1, len(gaps) + 1), lambda j: gaps[j] || case when j > len(runs) then '' when {_DIGITS_OK.format("runs[j]")} then '[REDACTED:credit_card]' else runs[j] end), '') as redacted from c{n}"""
+        else:
+            put = rf"\1[REDACTED:{kind}]\2" if kind == "phone" else f"[REDACTED:{kind}]"
+            step = f"select doc_id, text, regexp_replace(redacted, '{pattern}', '{put}', 'g') as redacted from {last}"
+        steps.append(f"t{n} as ({step})")
+        last = f"t{n}"
+    return ", ".join(steps)
+
 
+_REDACTED = f"{PRIVATE_SQL}, {_redacted_sql()}"
+_COUNTED = f"{_REDACTED}, counted as (select doc_id, " + ", ".join(rf"len(regexp_extract_all(redacted, '\[REDACTED:{k}\]')) as {k}" for k in text.PII_PATTERNS) + " from t9)"
+_ALL_KINDS = " + ".join(text.PII_PATTERNS)
 
-@query(f"""with {_KINDS_SQL}, long as (unpivot counted on email, credit_card, phone, ipv4, aws_access_key into name kind value n)
+
+@query(f"""with {_COUNTED}, long as (unpivot counted on {", ".join(text.PII_PATTERNS)} into name kind value n)
     select kind, sum(n)::bigint as matches, count(*)::bigint as documents from long where n > 0 group by kind""")
 def pii_matches_by_kind(spark, sf_dir):
-    kinds = table(spark, sf_dir, "documents").select("doc_id", F.explode(text.pii_counts(F.col("text"))).alias("kind", "n"))
+    kinds = private(spark, sf_dir).select("doc_id", F.explode(text.pii_counts(F.col("text"))).alias("kind", "n"))
     return kinds.groupBy("kind").agg(F.sum("n").cast("long").alias("matches"), F.count("*").alias("documents"))
 
 
-@query(f"with {_KINDS_SQL} select doc_id, (email + credit_card + phone + ipv4 + aws_access_key)::bigint as matches from counted where email + credit_card + phone + ipv4 + aws_access_key > 0")
+@query(f"with {_COUNTED} select doc_id, ({_ALL_KINDS})::bigint as matches from counted where {_ALL_KINDS} > 0")
 def pii_rows(spark, sf_dir):
-    kinds = table(spark, sf_dir, "documents").select("doc_id", text.pii_counts(F.col("text")).alias("kinds")).where(F.size("kinds") > 0)
+    kinds = private(spark, sf_dir).select("doc_id", text.pii_counts(F.col("text")).alias("kinds")).where(F.size("kinds") > 0)
     return kinds.select("doc_id", F.aggregate(F.map_values("kinds"), F.lit(0).cast("long"), lambda a, x: a + x).alias("matches"))
 
 
-@query()
+@query(f"with {_REDACTED} select doc_id, redacted as text from t9")
 def redact_documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.redacted(F.col("text")).alias("text"))
+    return private(spark, sf_dir).select("doc_id", text.redacted(F.col("text")).alias("text"))
+
+
+@query("""with raw as (select doc_id, '{"a": "' || case doc_id % 5 when 0 then chr(92) || 'ud83d' || chr(92) || 'ude00' when 1 then 'x' || chr(92) || 'ud800' when 2 then chr(92) || chr(92) || 'udfff' when 3 then chr(92) || 'uDC00 ' || chr(92) || 'ud83d' else 'plain' end || '"}' as line from documents)
+    select doc_id, doc_id % 5 in (1, 3) as lone_surrogate from raw""")
+def lone_surrogates(spark, sf_dir):
+    """Raw JSON lines with paired, unpaired and escaped escapes by id."""
+    k, slash = F.col("doc_id") % 5, "\\"
+    body = F.when(k == 0, slash + "ud83d" + slash + "ude00").when(k == 1, "x" + slash + "ud800").when(k == 2, slash + slash + "udfff").when(k == 3, slash + "uDC00 " + slash + "ud83d").otherwise("plain")
+    return table(spark, sf_dir, "documents").select("doc_id", text.lone_surrogate_escape(F.concat(F.lit('{"a": "'), body, F.lit('"}'))).alias("lone_surrogate"))
 
 
 @query(f"select doc_id, {_NORM.format('text')} as normalized from documents")
@@ -146,18 +217,37 @@ def shingle_stats(spark, sf_dir):
 def reward_heuristics(spark, sf_dir):
     m = F.col("messages")
     pair = dirty(spark, sf_dir).select("row_id", chat.prompt_text(m).alias("p"), chat.response_text(m).alias("r"))
-    return pair.select("row_id", F.round(text.length_target(F.col("r")), 6).alias("length_target"), text.numeric_match(F.col("p"), F.col("r")).alias("numeric_match"), text.nonempty(F.col("r")).alias("nonempty"))
+    p, r = F.col("p"), F.col("r")
+    return pair.select("row_id", F.round(rewards.reward()(p, r), 6).alias("length_target"), rewards.resolved("numeric_match")(p, r).alias("numeric_match"), rewards.reward("nonempty")(p, r).alias("nonempty"))
 
 
-@query()
+@query("select * from (values ('length_target', true), ('nonempty', false), ('numeric_match', false)) as t(name, is_default)")
+def reward_list(spark, sf_dir):
+    return spark.createDataFrame([(n, n == rewards.DEFAULT) for n in rewards.rewards()], "name string, is_default boolean")
+
+
+@query(f"""with {DIRTY_SQL}, w as (select row_id, response, list_filter(string_split_regex(response, '\\s+'), lambda x: x <> '') as w from texts where row_id < 1000000000)
+    select row_id, round(0.5 * least(1.0, length(response) / 240.0) + 0.4 * len(list_distinct(w)) / (len(w) + 1), 6) as base, true as within from w""")
 def reward_model_scores(spark, sf_dir):
+    """The dry run's scores: the part that is no hash, and that the hash adds at most a tenth."""
     m = F.col("messages")
-    return examples(spark, sf_dir).select("row_id", F.round(text.heuristic_score(chat.prompt_text(m), chat.response_text(m)), 6).alias("score"))
+    pair = examples(spark, sf_dir).select("row_id", chat.prompt_text(m).alias("p"), chat.response_text(m).alias("r"))
+    rest = rewards.resolved("rm:some/model")(F.col("p"), F.col("r")) - rewards.heuristic_base(F.col("r"))
+    return pair.select("row_id", F.round(rewards.heuristic_base(F.col("r")), 6).alias("base"), rest.between(-1e-9, 0.1).alias("within"))
+
 
+_MODELS_SQL = "models as (select *, modalities <> 'text' as is_multimodal from (values " + ", ".join(f"('{r[0]}', '{r[1]}', {r[2]}::double, {r[3]}::double, {r[4]}::bigint, {str(not r[5]).lower()}, '{','.join(r[9])}', '{','.join(r[10])}')" for r in MODELS) + ") as t(name, family, params_b, active_b, context_length, is_dense, modalities, tags))"
 
-@query("select * from (values " + ", ".join(f"('{r[0]}', '{r[1]}', {r[2]}::double, {r[3]}::double, {r[4]}::bigint, {str(not r[5]).lower()}, false)" for r in MODELS) + ") as t(name, family, params_b, active_b, context_length, is_dense, is_multimodal)")
+
+@query(f"with {_MODELS_SQL} select * from models")
 def model_list(spark, sf_dir):
-    return model_registry(spark).select("name", "family", "params_b", "active_b", "context_length", "is_dense", "is_multimodal")
+    joined = {c: F.array_join(c, ",") for c in ("modalities", "tags")}
+    return model_registry(spark).withColumns(joined).select("name", "family", "params_b", "active_b", "context_length", "is_dense", "modalities", "tags", "is_multimodal")
+
+
+@query(f"with {_MODELS_SQL} select name, is_multimodal from models where family = 'inkling'")
+def model_family(spark, sf_dir):
+    return list_models(model_registry(spark), "Inkling").select("name", "is_multimodal")
 
 
 @query(f"""with {CHAT_SQL}, last as (select row_id, contents, roles, len(roles) - list_position(list_reverse(roles), 'assistant') + 1 as k from chat)

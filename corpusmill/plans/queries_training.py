@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import chat
 from corpusmill.operators import tokens, training
 from corpusmill.plans.catalog import query
-from corpusmill.plans.queries_text import LEN_SQL
+from corpusmill.plans.queries_text import LEN_SQL, datum_sql, told_ids, told_weights
 from corpusmill.plans.views import CHAT_SQL, examples, table
 from corpusmill.sources.registry import MODELS, model_registry
 
@@ -69,13 +68,13 @@ def exact_match(spark, sf_dir):
     return training.exact_match(given, "given", "answer").withColumn("accuracy", F.round("accuracy", 6))
 
 
-_MODEL_SQL = "m as (select * from (values " + ", ".join(f"({i}, '{r[0]}', {r[3]}::double)" for i, r in enumerate(MODELS)) + ", (13, 'someone/unknown', null::double)) as t(k, model, active_b))"
+_MODEL_SQL = "m as (select * from (values " + ", ".join(f"({i}, '{r[0]}', {r[3]}::double)" for i, r in enumerate(MODELS)) + f", ({len(MODELS)}, 'someone/unknown', null::double)) as t(k, model, active_b))"
 
 
-@query(f"with {_MODEL_SQL}, u as (select o_custkey % 14 as k, sum(o_orderkey)::bigint as train_tokens, sum(o_orderkey % 97)::bigint as sample_tokens from orders group by 1) select model, train_tokens, sample_tokens, round(0.02 * coalesce(active_b, 8.0), 6) as train_rate, round(0.005 * coalesce(active_b, 8.0), 6) as sample_rate, round((train_tokens * 0.02 * coalesce(active_b, 8.0) + sample_tokens * 0.005 * coalesce(active_b, 8.0)) / 1e6, 6) as cost_usd from u join m using (k)")
+@query(f"with {_MODEL_SQL}, u as (select o_custkey % {len(MODELS) + 1} as k, sum(o_orderkey)::bigint as train_tokens, sum(o_orderkey % 97)::bigint as sample_tokens from orders group by 1) select model, train_tokens, sample_tokens, round(0.02 * coalesce(active_b, 8.0), 6) as train_rate, round(0.005 * coalesce(active_b, 8.0), 6) as sample_rate, round((train_tokens * 0.02 * coalesce(active_b, 8.0) + sample_tokens * 0.005 * coalesce(active_b, 8.0)) / 1e6, 6) as cost_usd from u join m using (k)")
 def cost_model(spark, sf_dir):
     names = F.array(*(F.lit(r[0]) for r in MODELS), F.lit("someone/unknown"))
-    usage = table(spark, sf_dir, "orders").groupBy(F.get(names, (F.col("o_custkey") % 14).cast("int")).alias("model")).agg(F.sum("o_orderkey").alias("train_tokens"), F.sum(F.col("o_orderkey") % 97).alias("sample_tokens"))
+    usage = table(spark, sf_dir, "orders").groupBy(F.get(names, (F.col("o_custkey") % (len(MODELS) + 1)).cast("int")).alias("model")).agg(F.sum("o_orderkey").alias("train_tokens"), F.sum(F.col("o_orderkey") % 97).alias("sample_tokens"))
     return training.costs(usage, model_registry(spark)).withColumns({c: F.round(c, 6) for c in ("train_rate", "sample_rate", "cost_usd")})
 
 
@@ -90,13 +89,52 @@ def simulated_training(spark, sf_dir):
     return spark.range(300).select(s.alias("step"), F.round(training.simulated_loss(s), 9).alias("loss"), F.round(training.simulated_grad_norm(s), 9).alias("grad_norm"))
 
 
-@query()
+_BYTE_SUM = "list_sum(list_transform(range(1, strlen({0}) + 1), lambda i: ('0x' || substr(hex(encode({0})), 2 * i - 1, 2))::int))"
+_LOGPROB = "(-0.8 * n * exp(-step / 80.0) - 0.2 * n + (((target + n) % 1000) / 1000.0 - 0.5) * 0.1 * n)"
+
+
+@query(f"""with {LEN_SQL}, r as (select row_id, supervised_len as n, array_to_string(list_transform(messages, lambda x: '<|im_start|>' || x.role || chr(10) || x.content || '<|im_end|>' || chr(10)), '') as t from lens),
+    s as (select row_id, n, {_BYTE_SUM.format('t')} - 60 + 257 as target from r) select row_id, step, round({_LOGPROB}, 6) as logprob from s, (values (0), (40), (400)) as v(step)""")
 def simulated_logprobs(spark, sf_dir):
     """The dry run's log-probabilities of whole examples at three steps."""
+    rows = examples(spark, sf_dir).select("row_id", chat.supervised_datum(F.col("messages"), 1_000_000).alias("d")).withColumn("step", F.explode(F.array(F.lit(0), F.lit(40), F.lit(400))))
+    return rows.select("row_id", "step", F.round(training.datum_logprob(F.col("d"), F.col("step")), 6).alias("logprob"))
+
+
+_PAIR_SQL = f"""{CHAT_SQL}, one as (select row_id, contents[1] as p, contents[list_position(roles, 'assistant')] as c from chat)"""
+
+
+@query(f"""with {_PAIR_SQL}, s as (select row_id, strlen(c) + 1 as n, {_BYTE_SUM.format("(p || c)")} + 514 as target, 10 as step from one) select row_id, n::bigint as supervised, round(1 / (1 + exp(-{_LOGPROB} / n)), 6) as score from s""")
+def reward_model_datums(spark, sf_dir):
+    """A prompt's and a completion's row as a reward model gets it, and the logistic of its mean log-probability."""
     m = F.col("messages")
-    target = training.byte_sum(chat.rendered(m)) - 60 + chat.EOS_ID
-    rows = examples(spark, sf_dir).select("row_id", chat.supervised_tokens(m).alias("n"), target.alias("target"), F.explode(F.array(F.lit(0), F.lit(40), F.lit(400))).alias("step"))
-    return rows.select("row_id", "step", F.round(training.simulated_logprob(F.col("n"), F.col("target"), F.col("step")), 6).alias("logprob"))
+    first = F.get(F.transform(F.filter(m, lambda x: x["role"] == "assistant"), lambda x: x["content"]), 0)
+    one = examples(spark, sf_dir).select("row_id", F.get(m, 0)["content"].alias("p"), first.alias("c"))
+    d = chat.completion_datum(F.col("p"), F.col("c"))
+    return one.select("row_id", F.size(F.filter(d["weights"], lambda w: w > 0)).cast("long").alias("supervised"), F.round(training.reward_model_score(F.col("p"), F.col("c"), F.lit(10)), 6).alias("score"))
+
+
+@query("select l_orderkey, l_linenumber, repeat('0', least(l_quantity::int, greatest(l_linenumber, 1) - 1)) || repeat('+', greatest(0, l_quantity::int - greatest(l_linenumber, 1) + 1)) as chosen, repeat('0', least(l_quantity::int, greatest(l_linenumber, 1) - 1)) || repeat('-', greatest(0, l_quantity::int - greatest(l_linenumber, 1) + 1)) as rejected from lineitem")
+def signed_weights(spark, sf_dir):
+    """Weights of chosen and rejected rows, as signs."""
+    w = training.completion_weights(F.col("l_quantity").cast("int"), F.col("l_linenumber"), F.lit(1.0))
+    told = lambda sign: F.array_join(F.transform(training.signed_weights(w, sign), lambda x: F.when(x > 0, "+").when(x < 0, "-").otherwise("0")), "")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", told(1).alias("chosen"), told(-1).alias("rejected"))
+
+
+@query("select name, lora_rank, round(64.0 / lora_rank, 6) as scaling from (values " + ", ".join(f"('{r[0]}', {r[6]})" for r in MODELS) + ") as t(name, lora_rank)")
+def lora_scaling(spark, sf_dir):
+    return model_registry(spark).select("name", "lora_rank", F.round(training.lora_scaling(F.col("lora_rank")), 6).alias("scaling"))
+
+
+@query("select p.k as prompt_no, item_id, g.k as sample, 5 + 200000 + p.k * 1000 + g.k as seed, true as holds from (select item_id, row_number() over (order by item_id) - 1 as k from benchmark) p, range(4) as g(k)")
+def rollouts(spark, sf_dir):
+    """Four samples of each prompt of an iteration; the completions' tokens are hashes, so their bounds are told."""
+    rows = training.rollouts(table(spark, sf_dir, "benchmark"), "item_id", "text", iteration=2, group=4, seed=5, longest=64)
+    c = F.col("completion")
+    n = F.size(c["tokens"])
+    holds = n.between(1, 64) & (n == F.size(c["logprobs"])) & F.forall(c["tokens"], lambda t: t.between(10, 2000)) & F.forall(c["logprobs"], lambda x: x < 0) & ((c["stop"] == "length") == (n == 64))
+    return rows.select("prompt_no", "item_id", F.col("sample").cast("long").alias("sample"), "seed", holds.alias("holds"))
 
 
 @query("""with recursive l as (select supplier.s_suppkey as k, (abs(s_acctbal)::bigint % 900 + 100) as len, row_number() over (order by s_suppkey) as i from supplier),
@@ -110,26 +148,30 @@ def steps_per_epoch(spark, sf_dir):
 
 @query("select o_orderkey, round((row_number() over (partition by o_custkey order by o_orderkey)) / (count(*) over (partition by o_custkey)), 4) as epoch from orders")
 def epoch_fraction(spark, sf_dir):
-    by = Window.partitionBy("o_custkey")
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(F.row_number().over(by.orderBy("o_orderkey")) / F.count("*").over(by), 4).alias("epoch"))
+    return tokens.epoch_fraction(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey").select("o_orderkey", F.round("epoch", 4).alias("epoch"))
+
+
+_ANSWERED = "list_append(messages, {'role': 'assistant', 'content': contents[list_position(roles, 'assistant')]})"
+_MARKED = "list_append(messages, {'role': 'assistant', 'content': contents[list_position(roles, 'assistant')] || ' other'})"
 
 
-@query(f"""with {CHAT_SQL}, p as (select row_id, list_sum(list_transform(messages, lambda x: 24 + strlen(x.role) + strlen(x.content))) as prompt, strlen(contents[list_position(roles, 'assistant')]) as answer from chat)
-    select row_id, (prompt + 33 + answer + 1)::bigint as chosen_tokens, (prompt + 33 + answer + 6 + 1)::bigint as rejected_tokens, (prompt + 33 + answer)::bigint as chosen_input from p""")
+@query(f"""with {CHAT_SQL}, a as (select row_id, {datum_sql(_ANSWERED, 256)} from chat), b as (select row_id, {datum_sql(_MARKED, 256)} from chat)
+    select row_id, md5(a.inputs || a.weights) as chosen, md5(b.targets || b.weights) as rejected, strlen(a.weights)::bigint as n_chosen, strlen(b.weights)::bigint as n_rejected from a join b using (row_id)""")
 def preference_datums(spark, sf_dir):
-    """Two conversations that share a prompt: an example's messages with its first answer, and with a marked one."""
+    """Two training rows that share a prompt: an example's messages with its first answer, and with a marked one."""
     m = F.col("messages")
     first = F.get(F.transform(F.filter(m, lambda x: x["role"] == "assistant"), lambda x: x["content"]), 0)
-    rows = examples(spark, sf_dir).select("row_id", training.preference_messages(m, first).alias("chosen"), training.preference_messages(m, F.concat(first, F.lit(" other"))).alias("rejected"))
-    return rows.select("row_id", chat.total_tokens(F.col("chosen")).alias("chosen_tokens"), chat.total_tokens(F.col("rejected")).alias("rejected_tokens"), chat.sequence_length(F.col("chosen")).alias("chosen_input"))
+    d = examples(spark, sf_dir).select("row_id", training.preference_datums(m, first, F.concat(first, F.lit(" other")), 256).alias("d"))
+    c, r = F.col("d.chosen"), F.col("d.rejected")
+    return d.select("row_id", F.md5(F.concat(told_ids(c["input_tokens"]), told_weights(c["weights"]))).alias("chosen"), F.md5(F.concat(told_ids(r["target_tokens"]), told_weights(r["weights"]))).alias("rejected"), F.size(c["weights"]).cast("long").alias("n_chosen"), F.size(r["weights"]).cast("long").alias("n_rejected"))
 
 
-@query("select l_orderkey, l_linenumber, greatest(0, l_quantity::bigint - greatest(1, l_linenumber) + 1)::bigint as weighted, round(greatest(0, l_quantity::bigint - greatest(1, l_linenumber) + 1) * l_discount, 6) as advantage_sum from lineitem")
+@query("select l_orderkey, l_linenumber, repeat('0', least(l_quantity::int, greatest(l_linenumber, 1) - 1)) || repeat('1', greatest(0, l_quantity::int - greatest(l_linenumber, 1) + 1)) as mask, greatest(0, l_quantity::bigint - greatest(1, l_linenumber) + 1)::bigint as weighted, round(greatest(0, l_quantity::bigint - greatest(1, l_linenumber) + 1) * l_discount, 6) as advantage_sum from lineitem")
 def completion_masks(spark, sf_dir):
     """Quantity as length, line number as prompt length, discount as advantage: positions whose target is in the completion."""
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", training.completion_weights(F.col("l_quantity").cast("int"), F.col("l_linenumber"), F.lit(1.0)).alias("w"), "l_discount")
     on = F.size(F.filter("w", lambda x: x > 0)).cast("long")
-    return rows.select("l_orderkey", "l_linenumber", on.alias("weighted"), F.round(on * F.col("l_discount"), 6).alias("advantage_sum"))
+    return rows.select("l_orderkey", "l_linenumber", told_weights(F.col("w")).alias("mask"), on.alias("weighted"), F.round(on * F.col("l_discount"), 6).alias("advantage_sum"))
 
 
 @query("select o_orderkey % 10 as iteration, p.k as prompt, g.k as sample, 3 + (o_orderkey % 10) * 100000 + p.k * 1000 + g.k as seed from (select distinct o_orderkey % 10 as o_orderkey from orders) o, range(4) as p(k), range(8) as g(k)")

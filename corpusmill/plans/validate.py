@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions import chat, text
 from corpusmill.operators import dedup, ranks
+from corpusmill.operators.stored import stored
 from corpusmill.operators.tokens import effective_limit, tail_rank, upper_median_rank
 
 RANK = {"info": 0, "warning": 1, "error": 2}
@@ -35,39 +35,38 @@ def row_flags(examples: DataFrame, limit: int, context: int | None) -> DataFrame
     return examples.select("row_id", *(F.coalesce(c, F.lit(False)).alias(k) for k, c in flags.items()))
 
 
-def keyed(examples: DataFrame, exact_norm: bool = False) -> DataFrame:
-    """row_id, prompt_key, response_key, norm (both texts)."""
-    norm = text.normalized_exact if exact_norm else text.normalized
+def keyed(examples: DataFrame, exact_norm: bool = True) -> DataFrame:
+    """row_id, prompt_key, response_key, norm (both texts); without exact_norm the JVM-side form, exact for text in NFKC."""
+    norm = text.normalized_all if exact_norm else text.normalized
     m = F.col("messages")
     p, r = chat.prompt_text(m), chat.response_text(m)
     return examples.select("row_id", norm(p).alias("prompt_key"), norm(r).alias("response_key"), norm(F.concat(p, F.lit("\n"), r)).alias("norm"))
 
 
-def findings(examples: DataFrame, evaluation: DataFrame | None = None, max_seq_len: int | None = None, context: int | None = None, threshold: float = 0.85, min_examples: int = 8, exact_norm: bool = False) -> DataFrame:
+def findings(examples: DataFrame, evaluation: DataFrame | None = None, max_seq_len: int | None = None, context: int | None = None, threshold: float = 0.85, min_examples: int = 8, exact_norm: bool = True) -> DataFrame:
     """(row_id, messages) -> code, severity, count, examples (first five row ids), by severity and code.
 
     Row flags come from one scan; duplicates, conflicts and similar rows from grouped keys and sketches. Truncation is
     told only where no row overflows the context.
     """
     limit = effective_limit(max_seq_len, context)
-    # read by every branch below; lost blocks are computed again, and clearing the session's cache frees them
-    examples = examples.persist(StorageLevel.DISK_ONLY)
+    examples = stored(examples)  # read by every branch below
     spark, n = examples.sparkSession, examples.count()
     none = spark.createDataFrame([], "code string, severity string, count long, examples array<long>")
     if not n:
         return none.unionByName(spark.createDataFrame([("empty_dataset", "error", 1, [])], none.schema))
     flags = row_flags(examples, limit, context)
     told = flags.select("row_id", F.explode(F.array_compact(F.array(*(F.when(F.col(c), c) for c in flags.columns[1:])))).alias("code"))
-    k = keyed(examples, exact_norm).persist(StorageLevel.DISK_ONLY)
+    k = stored(keyed(examples, exact_norm))
     parts = {
         "exact_duplicates": dedup.exact_duplicates(k, "prompt_key", "response_key"), "label_conflict": dedup.label_conflicts(k),
-        "near_duplicates": dedup.near_duplicates(k.select("row_id", "norm"), threshold),
+        "near_duplicates": dedup.near_duplicates(k, threshold, pair=("prompt_key", "response_key")),
     }
     if evaluation is not None:
         parts["eval_contamination"] = dedup.contamination(keyed(evaluation, exact_norm).select("row_id", "norm"), k.select("row_id", "norm"), threshold)
     for code, rows in parts.items():
         told = told.unionByName(rows.select(F.col("row_id").cast("long").alias("row_id"), F.lit(code).alias("code")))
-    rolled = dedup.first_examples(told.persist(StorageLevel.DISK_ONLY))
+    rolled = dedup.first_examples(stored(told))
     shared = k.groupBy("response_key").agg(F.count("*").alias("c")).agg(F.max("c").alias("count")).where((F.lit(n) >= 4) & (F.col("count") >= 0.5 * n))
     picks = ranks.pick(examples.select(chat.sequence_length(F.col("messages")).alias("v")), "v", {"p50": upper_median_rank(), "p99": tail_rank(0.99)})
     outliers = picks.where("p50 > 0 and p99 >= 20 * p50")

@@ -5,8 +5,9 @@ from __future__ import annotations
 import json
 import os
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,14 +22,35 @@ class CorruptManifestError(ValueError):
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """row_id, path, line_no, line: non-blank lines in file order. Files are split by lines whole, so keep them of bounded size;
-    row_id is the rank of file and line, dense over all files by one pass over line counts."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.posexplode(F.split("value", "\n")).alias("k", "line"))
-    lines = files.where(F.trim("line") != "").select("path", (F.col("k") + 1).alias("line_no"), F.regexp_replace("line", "\r$", "").alias("line"))
-    counts = lines.groupBy("path").agg(F.count("*").alias("n"))
-    offsets = counts.select(F.col("path").alias("__path"), (F.sum("n").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")).alias("__ahead"))  # a row for each file
-    order = Window.partitionBy("path").orderBy("line_no")
-    return lines.withColumn("__k", F.row_number().over(order)).join(offsets, F.col("path") == F.col("__path")).select((F.col("__ahead") + F.col("__k") - 1).alias("row_id"), "path", "line_no", "line")
+    """row_id, path, line_no, line: non-blank lines in order of file and line; row_id counts them from 0 over all files.
+
+    Files are read in splits. A first pass counts each split's lines; in the second a split numbers its own lines, and the
+    numbers before it are added. No line is shuffled for its number.
+    """
+    read = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
+    told = F.trim("line") != ""
+    counts = read.groupBy("path", "block").agg(F.count("*").alias("lines"), F.count_if(told).alias("rows"))
+    ahead = counts.select(  # a row for each split
+        "path", "block", F.coalesce(F.sum("lines").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("lines_ahead"),
+        F.coalesce(F.sum("rows").over(Window.orderBy("path", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("rows_ahead"),
+    )
+
+    def number(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, lines, rows = None, 0, 0
+        for b in batches:
+            out: list[tuple] = []
+            for file, block, line in zip(*(c.to_pylist() for c in b.columns)):
+                if (file, block) != place:
+                    place, lines, rows = (file, block), 0, 0
+                lines += 1
+                if line.strip(" "):
+                    out.append((file, block, lines, rows, line))
+                    rows += 1
+            columns = list(zip(*out)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()))], ["path", "block", "k", "r", "line"])
+
+    own = read.mapInArrow(number, "path string, block long, k long, r long, line string")
+    return own.join(ahead, ["path", "block"]).select((F.col("rows_ahead") + F.col("r")).alias("row_id"), "path", (F.col("lines_ahead") + F.col("k")).alias("line_no"), "line")
 
 
 def _place() -> Column:
@@ -77,10 +99,10 @@ def load_prompts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("prompt")).where("prompt <> ''")
 
 
-def load_jobs(spark: SparkSession, path: str) -> DataFrame:
-    """Job records of a folder of JSON documents; unreadable ones are left out and running ones have failed."""
+def load_jobs(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Job records of a folder of JSON documents, or of JSON lines; unreadable ones are left out and running ones have failed."""
     schema = "id string, type string, status string, base_model string, created_at string, started_at string, finished_at string, current_step long, total_steps long, error string, _corrupt_record string"
-    rows = spark.read.schema(schema).option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+    rows = spark.read.schema(schema).option("multiLine", not lines).option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
     return reconcile(rows.where(F.col("_corrupt_record").isNull() & F.col("id").isNotNull()).drop("_corrupt_record"))
 
 
@@ -113,14 +135,23 @@ def replace_json(path: str, value) -> None:
         raise
 
 
+def redacted_messages(m: Column) -> Column:
+    """The messages with personal data replaced in each."""
+    return F.transform(m, lambda x: F.struct(x["role"].alias("role"), text.redacted(x["content"]).alias("content")))
+
+
 def write_chat(examples: DataFrame, path: str, redact: bool = False) -> None:
     """JSON lines of {"messages": [...]}; redact replaces personal data in each message."""
-    m = F.col("messages")
-    if redact:
-        m = F.transform(m, lambda x: F.struct(x["role"].alias("role"), text.redacted(x["content"]).alias("content")))
+    m = redacted_messages(F.col("messages")) if redact else F.col("messages")
     examples.select(F.to_json(F.struct(m.alias("messages"))).alias("value")).write.text(path)
 
 
+def redaction_total(examples: DataFrame) -> DataFrame:
+    """One row: how many matches a redacted copy of the examples replaces."""
+    per = F.transform("messages", lambda x: F.aggregate(F.map_values(text.pii_counts(x["content"])), F.lit(0).cast("long"), lambda a, n: a + n))
+    return examples.agg(F.coalesce(F.sum(F.aggregate(per, F.lit(0).cast("long"), lambda a, n: a + n)), F.lit(0)).alias("redactions"))
+
+
 def append_metrics(metrics: DataFrame, path: str) -> None:
     """JSON lines without null fields, added to those there."""
     metrics.write.mode("append").option("ignoreNullFields", True).json(path)
@@ -138,3 +169,22 @@ def fan_out(sinks: list) -> Callable[[DataFrame, int], None]:
             batch.unpersist()
 
     return write
+
+
+Sink = Callable[[DataFrame, int], None]
+
+
+def no_sink(batch: DataFrame, batch_id: int) -> None:
+    """Keeps nothing."""
+
+
+def chosen_sink(tracker: Sink | None = None, run_dir: str | None = None) -> Sink:
+    """The tracker if there is one, else JSON lines in the run's folder, else none."""
+    if tracker is not None:
+        return tracker
+    return (lambda batch, batch_id: append_metrics(batch, f"{run_dir}/metrics")) if run_dir else no_sink
+
+
+def write_jobs(jobs: DataFrame, path: str) -> None:
+    """Job records as JSON lines in place of those there; the table must not be read from the same folder."""
+    jobs.write.mode("overwrite").option("ignoreNullFields", False).json(path)

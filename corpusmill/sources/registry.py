@@ -7,24 +7,27 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SCHEMA = "name string, family string, params_b double, active_b double, context_length long, is_moe boolean, lora_rank int, recommended_lr double, license string, modalities array<string>"
+SCHEMA = "name string, family string, params_b double, active_b double, context_length long, is_moe boolean, lora_rank int, recommended_lr double, license string, modalities array<string>, tags array<string>"
 
-_QWEN, _LLAMA1, _LLAMA2, _LLAMA3 = "Apache-2.0", "Llama-3.1-Community", "Llama-3.2-Community", "Llama-3.3-Community"
-#: Name, family, parameters and active parameters in billions, context, mixture of experts, LoRA rank, learning rate, licence, modalities.
+_APACHE, _LLAMA1, _LLAMA2, _LLAMA3 = "Apache-2.0", "Llama-3.1-Community", "Llama-3.2-Community", "Llama-3.3-Community"
+#: Name, family, parameters and active parameters in billions, context, mixture of experts, LoRA rank, learning rate, licence, modalities, tags.
 MODELS: list[tuple] = [
-    ("Qwen/Qwen3-0.6B", "qwen3", 0.6, 0.6, 32768, False, 16, 2e-4, _QWEN, ["text"]),
-    ("Qwen/Qwen3-1.7B", "qwen3", 1.7, 1.7, 32768, False, 16, 2e-4, _QWEN, ["text"]),
-    ("Qwen/Qwen3-4B", "qwen3", 4.0, 4.0, 32768, False, 32, 1e-4, _QWEN, ["text"]),
-    ("Qwen/Qwen3-8B", "qwen3", 8.0, 8.0, 32768, False, 32, 1e-4, _QWEN, ["text"]),
-    ("Qwen/Qwen3-14B", "qwen3", 14.0, 14.0, 32768, False, 32, 8e-5, _QWEN, ["text"]),
-    ("Qwen/Qwen3-32B", "qwen3", 32.0, 32.0, 32768, False, 64, 5e-5, _QWEN, ["text"]),
-    ("Qwen/Qwen3-30B-A3B", "qwen3", 30.0, 3.0, 32768, True, 32, 1e-4, _QWEN, ["text"]),
-    ("Qwen/Qwen3-235B-A22B", "qwen3", 235.0, 22.0, 32768, True, 64, 4e-5, _QWEN, ["text"]),
-    ("meta-llama/Llama-3.1-8B-Instruct", "llama3", 8.0, 8.0, 131072, False, 32, 1e-4, _LLAMA1, ["text"]),
-    ("meta-llama/Llama-3.1-70B-Instruct", "llama3", 70.0, 70.0, 131072, False, 64, 5e-5, _LLAMA1, ["text"]),
-    ("meta-llama/Llama-3.2-1B-Instruct", "llama3", 1.0, 1.0, 131072, False, 16, 2e-4, _LLAMA2, ["text"]),
-    ("meta-llama/Llama-3.2-3B-Instruct", "llama3", 3.0, 3.0, 131072, False, 32, 1e-4, _LLAMA2, ["text"]),
-    ("meta-llama/Llama-3.3-70B-Instruct", "llama3", 70.0, 70.0, 131072, False, 64, 5e-5, _LLAMA3, ["text"]),
+    ("thinkingmachines/Inkling", "inkling", 975.0, 41.0, 1_000_000, True, 64, 3e-5, _APACHE, ["text", "image", "audio"], ["moe", "flagship", "multimodal"]),
+    ("thinkingmachines/Inkling-NVFP4", "inkling", 975.0, 41.0, 1_000_000, True, 64, 3e-5, _APACHE, ["text", "image", "audio"], ["moe", "quantized", "multimodal"]),
+    ("thinkingmachines/Inkling-Small", "inkling", 100.0, 12.0, 1_000_000, True, 32, 5e-5, _APACHE, ["text", "image", "audio"], ["moe", "small", "preview", "multimodal"]),
+    ("Qwen/Qwen3-0.6B", "qwen3", 0.6, 0.6, 32768, False, 16, 2e-4, _APACHE, ["text"], ["dense", "small"]),
+    ("Qwen/Qwen3-1.7B", "qwen3", 1.7, 1.7, 32768, False, 16, 2e-4, _APACHE, ["text"], ["dense", "small"]),
+    ("Qwen/Qwen3-4B", "qwen3", 4.0, 4.0, 32768, False, 32, 1e-4, _APACHE, ["text"], ["dense"]),
+    ("Qwen/Qwen3-8B", "qwen3", 8.0, 8.0, 32768, False, 32, 1e-4, _APACHE, ["text"], ["dense", "default"]),
+    ("Qwen/Qwen3-14B", "qwen3", 14.0, 14.0, 32768, False, 32, 8e-5, _APACHE, ["text"], ["dense"]),
+    ("Qwen/Qwen3-32B", "qwen3", 32.0, 32.0, 32768, False, 64, 5e-5, _APACHE, ["text"], ["dense", "large"]),
+    ("Qwen/Qwen3-30B-A3B", "qwen3", 30.0, 3.0, 32768, True, 32, 1e-4, _APACHE, ["text"], ["moe"]),
+    ("Qwen/Qwen3-235B-A22B", "qwen3", 235.0, 22.0, 32768, True, 64, 4e-5, _APACHE, ["text"], ["moe", "flagship"]),
+    ("meta-llama/Llama-3.1-8B-Instruct", "llama3", 8.0, 8.0, 131072, False, 32, 1e-4, _LLAMA1, ["text"], ["dense"]),
+    ("meta-llama/Llama-3.1-70B-Instruct", "llama3", 70.0, 70.0, 131072, False, 64, 5e-5, _LLAMA1, ["text"], ["dense", "large"]),
+    ("meta-llama/Llama-3.2-1B-Instruct", "llama3", 1.0, 1.0, 131072, False, 16, 2e-4, _LLAMA2, ["text"], ["dense", "small"]),
+    ("meta-llama/Llama-3.2-3B-Instruct", "llama3", 3.0, 3.0, 131072, False, 32, 1e-4, _LLAMA2, ["text"], ["dense"]),
+    ("meta-llama/Llama-3.3-70B-Instruct", "llama3", 70.0, 70.0, 131072, False, 64, 5e-5, _LLAMA3, ["text"], ["dense", "large"]),
 ]
 DEFAULT_MODEL = "Qwen/Qwen3-8B"
 

@@ -8,10 +8,10 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.functions import chat, text
-from corpusmill.operators import dedup, drift, guards, ranks, runs, sharding, tokens, training
-from corpusmill.plans import validate
-from corpusmill.sources import files
+from corpusmill.functions import chat, rewards, text, tokenizers
+from corpusmill.operators import dedup, drift, folds, guards, ranks, resilience, runs, sharding, tokens, training
+from corpusmill.plans import reports, validate
+from corpusmill.sources import checkpoints, files, settings
 from corpusmill.sources.registry import get_model, is_supported, list_models, model_registry
 
 M = f"row_id long, messages {chat.MESSAGES}"
@@ -60,9 +60,17 @@ def test_personal_data_kinds(spark, value, kind):
     assert one(spark, f"see {value} now", text.redacted) == f"see [REDACTED:{kind}] now" == one(spark, f"see {value} now", text.redacted_exact)
 
 
+@pytest.mark.parametrize("value", ["a\0b 4111 1111 1111 1111 end", "\0 4111111111111111 \0 1234567812345678", "4111111111111111", "4111111111111111 4111111111111111", "x 1234 5678 1234 5678 y", "", None])
+def test_cards_are_redacted_whatever_stands_around_them(spark, value):
+    want = value and value.replace("4111 1111 1111 1111", "[REDACTED:credit_card]").replace("4111111111111111", "[REDACTED:credit_card]")
+    assert one(spark, value, text.redacted) == want
+    assert one(spark, value, text.redacted_exact) == want
+    assert (one(spark, value, text.pii_counts) or {}).get("credit_card", 0) == (want or "").count("[RED")
+
+
 def test_redaction_equals_plain_python(spark):
     rng = random.Random(1)
-    parts = ["4111-1111-1111-1111", "1234567812345678", "a@b.com", "10.0.0.1", "415-555-0100", "x", " ", "-", "+1 ", "123-45-6789", "é", "\n", "$1", "\\"]
+    parts = ["\0", "\x07", "4111-1111-1111-1111", "1234567812345678", "a@b.com", "10.0.0.1", "415-555-0100", "x", " ", "-", "+1 ", "123-45-6789", "é", "\n", "$1", "\\"]
     rows = [("".join(rng.choice(parts) for _ in range(12)),) for _ in range(300)]
     got = spark.createDataFrame(rows, "x string").select(text.redacted(F.col("x")).alias("a"), text.redacted_exact("x").alias("b")).collect()
     assert [r.a for r in got] == [r.b for r in got]
@@ -75,6 +83,9 @@ def test_luhn(spark):
 def test_normal_forms(spark):
     assert one(spark, " QUESTION  0\tß ", text.normalized) == "question 0 ss" == one(spark, " QUESTION  0\tß ", text.normalized_exact)
     assert one(spark, "ﬁ", text.normalized_exact) == "fi"
+    odd = ["ﬁ\u00a0X", "ǅ İ", "a\x1cb", "ΣΑΣ", "e\u0301", "½", "Straße", "plain  Text", " ", "", None, "“q” – é…", "日本\u3000語", "\U0001d400"]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(odd)], "i int, x string").select("x", text.normalized_all(F.col("x")).alias("a"), text.normalized_exact("x").alias("b"))
+    assert all(r.a == r.b for r in rows.collect())
     assert one(spark, "é", text.not_nfc) and not one(spark, "é", text.not_nfc)
     assert one(spark, "x‮y", lambda c: text.hazard(c, "bidi_override")) and one(spark, "x​y", lambda c: text.hazard(c, "zero_width_characters"))
     assert one(spark, '{"a": "\\ud800"}', text.lone_surrogate_escape) and not one(spark, '{"a": "\\ud83d\\ude00 \\\\ud800"}', text.lone_surrogate_escape)
@@ -83,8 +94,9 @@ def test_normal_forms(spark):
 def test_shingles(spark):
     assert one(spark, "abcdefg", text.shingles) == ["abcde", "bcdef", "cdefg"]
     assert one(spark, "ab", text.shingles) == ["ab"] and one(spark, "", text.shingles) == []
-    keys = one(spark, "abcdefgh", lambda c: text.band_keys(text.minhash(text.shingle_hashes(c))))
-    assert len(keys) == 8 and len({k.key for k in keys}) == 8
+    rows = spark.createDataFrame([(1, "abcdefgh"), (2, ""), (3, None), (4, "abcdefgh")], "row_id long, norm string")
+    keys = {r.row_id: r["keys"] for r in dedup.sketches(rows).collect()}
+    assert len(set(keys[1])) == 8 and keys[1] == keys[4] and keys[2] == keys[3] == []
 
 
 def jaccard(a, b):
@@ -105,8 +117,31 @@ def test_near_duplicates_match_all_pairs(spark):
     want = {i for j, i in combinations(firsts, 2) if jaccard(texts[i], texts[j]) >= 0.85}
     assert {i for i, _ in got} == want and len(want) > 10
     assert all(v == pytest.approx(jaccard(texts[i], texts[j]), abs=1e-6) for (i, j), v in got.items())
+    small = {(r.row_id, r.match_id): r.jaccard for r in dedup.near_duplicates(rows.repartition(5)).collect()}
+    assert small == got
     held = spark.createDataFrame([(100, texts[1]), (101, "entirely new words"), (102, "")], "row_id long, norm string")
-    assert [r.row_id for r in dedup.contamination(held, rows).collect()] == [100]
+    found = dedup.contamination(held, rows)
+    assert [r.row_id for r in found.collect()] == [100]
+    assert tuple(dedup.contamination_share(found, held).first()) == (1, 3, 33.3)
+
+
+@pytest.mark.parametrize("block", [128, 3])
+def test_all_hits_in_order_whatever_the_blocks(spark, block):
+    base = "".join(random.Random(2).choice("abcdefghij ") for _ in range(400))
+    texts = [base[:k] + "ZQ" + base[k + 2 :] for k in range(0, 360, 15)] + ["something else entirely, of no kin"]
+    s = dedup.sketches(spark.createDataFrame(list(enumerate(texts)), "row_id long, norm string"))
+    for threshold in (0.85, 0.97):
+        got = {(r.left_id, r.right_id): r["rank"] for r in dedup.ranked_hits(dedup.similar(s, threshold=threshold, block=block)).collect()}
+        want = {i: sorted((-jaccard(texts[i], texts[j]), j) for j in range(i) if jaccard(texts[i], texts[j]) >= threshold) for i in range(len(texts))}
+        assert got == {(i, j): k + 1 for i, hits in want.items() for k, (_, j) in enumerate(hits)} and len(got) > 5
+        best = {(r.left_id, r.right_id) for r in dedup.similar(s, threshold=threshold, block=block, best=True).collect()}
+        assert best == {(i, hits[0][1]) for i, hits in want.items() if hits}
+
+
+def test_equal_joined_texts_of_new_pairs_are_near_duplicates(spark):
+    rows = [(0, "a b", "c"), (1, "a", "b c"), (2, "a b", "c"), (3, "", "")]
+    k = spark.createDataFrame([(i, p, r, f"{p} {r}".strip()) for i, p, r in rows], "row_id long, prompt_key string, response_key string, norm string")
+    assert [tuple(r) for r in dedup.near_duplicates(k, pair=("prompt_key", "response_key")).collect()] == [(1, 0, 1.0)]
 
 
 def test_exact_duplicates_and_conflicts(spark):
@@ -230,6 +265,11 @@ def test_sharding(spark):
     third = len(whole) // 3
     cursor = sharding.Cursor(whole[third].epoch, whole[third]["index"], 4, 2, 256)
     assert whole[:third] + sharding.resume(order, sharding.Cursor.from_json(cursor.to_json())).orderBy("epoch", "index").collect() == whole
+    for shuffle in (True, False):
+        each = sharding.epoch_order(keys, "key", four, epochs=2, shuffle=shuffle).groupBy("rank", "epoch").agg(F.sort_array(F.collect_list("index")).alias("i")).collect()
+        assert len(each) == 8 and all(r.i == list(range(len(r.i))) for r in each)
+    assert sorted(b for r in range(4) for b in four.sibling(r).buckets()) == list(range(256))
+    assert {r["rank"]: r["rows"] for r in sharding.owned_count(keys, "key", four).collect()} == dict(enumerate(sizes))
     with pytest.raises(sharding.ReshardError):
         sharding.reconciled(cursor, five)
     assert sharding.reconciled(cursor, five, True).index == 0
@@ -240,6 +280,10 @@ def test_mixture(spark):
     drawn = sharding.mixture(rows, 2000, {"a": 0.75, "b": 0.25}, seed=4)
     assert abs(drawn.where("source = 'a'").count() / 2000 - 0.75) < 0.05 and drawn.count() == 2000
     assert sharding.mixture_probabilities({"a": 3, "b": 1}, 0) == {"a": 1.0}
+    with pytest.raises(ValueError, match="once"):
+        sharding.mixture(rows, 10, [("a", 1.0), ("a", 2.0)])
+    both = sharding.sources({"x": spark.range(3), "y": spark.range(2)}, "id")
+    assert sorted(map(tuple, both.collect())) == [("x", 0), ("x", 1), ("x", 2), ("y", 0), ("y", 1)]
     assert sharding.mixture_probabilities({"a": 3, "b": 1}, 4)["a"] < 0.75
     drained = sharding.mixture(rows, 60, {"a": 1.0, "c": 1.0}, seed=1, policy="drain")
     assert drained.where("source = 'c'").count() == 1 and drained.where("source = 'a'").count() == 40
@@ -256,6 +300,57 @@ def test_packing_and_batches(spark):
     assert [r.pack_no for r in tokens.in_order_packs(rows, 4).orderBy("row_id").collect()] == [0, 1, 2]
 
 
+def test_packed_arrays_and_batches(spark):
+    rows = spark.createDataFrame([(i, ([i] * n, [i + 1] * n, [1.0] * n), "k") for i, n in enumerate([2, 2, 2, 9, 1, 0, 3])], "row_id long, datum struct<input_tokens:array<int>,target_tokens:array<int>,weights:array<double>>, part string")
+    packs = tokens.packed_datums(rows, 4).orderBy("pack_no").collect()
+    assert [r.row_ids for r in packs] == [[0, 1], [2], [3], [4, 5, 6]] and packs[0].input_tokens == [0, 0, 1, 1] and packs[3].target_tokens == [5, 7, 7, 7]
+    batches = tokens.collated(tokens.packed_datums(rows, 4, by="part"), 3, by="part").orderBy("batch_no").collect()
+    assert [[d.pack_no for d in r.datums] for r in batches] == [[0, 1, 2], [3]]
+
+
+def test_datums_by_other_tokenizers(spark, tmp_path):
+    from tokenizers import Tokenizer
+    from tokenizers.models import WordLevel
+    from tokenizers.pre_tokenizers import Whitespace
+
+    own = Tokenizer(WordLevel({"[UNK]": 0, "ping": 1, "pong": 2, "im_start": 3, "im_end": 4, "user": 5, "assistant": 6, "<|": 7, "|>": 8}, unk_token="[UNK]"))
+    own.pre_tokenizer = Whitespace()
+    own.save(str(tmp_path / "t.json"))
+    t = tokenizers.tokenizer(str(tmp_path / "t.json"), end_id=9)
+    rows = spark.createDataFrame([(0, ask(("user", "ping"), ("assistant", "pong")))], M)
+    d = rows.select(chat.supervised_datum(F.col("messages"), 100, t.encode, t.end_id).alias("d")).first().d
+    assert d.input_tokens == [7, 3, 8, 5, 1, 7, 4, 8, 7, 3, 8, 6, 2, 7, 4, 8] and d.target_tokens[-1] == 9
+    assert d.weights == [0.0] * 11 + [1.0] * 5
+    with pytest.warns(UserWarning, match="bytes"):
+        assert tokenizers.tokenizer(str(tmp_path / "none.json")) is tokenizers.BYTES
+    assert one(spark, "é!", lambda c: chat.byte_text(tokenizers.encoded(c, special=True))) == "é!"
+    assert one(spark, [0xFF, 0x41, 300], chat.byte_text, "array<int>") == "\ufffdA"
+
+
+def test_datums_whose_arrays_differ_are_refused(spark):
+    kind = "d struct<input_tokens:array<int>,target_tokens:array<int>,weights:array<double>>"
+    rows = spark.createDataFrame([(([1], [2], [1.0]),), (([1], [2], []),), (None,)], kind)
+    assert [r.h for r in rows.select(chat.datum_holds(F.col("d")).alias("h")).collect()] == [True, False, False]
+    with pytest.raises(Exception, match="differ in length"):
+        rows.select(chat.checked_datum(F.col("d")).alias("c")).collect()
+
+
+def test_walks_hold_one_row_and_reset_by_key(spark):
+    rows = spark.createDataFrame([(k, i, 1) for k in ("a", None, "b") for i in range(5000)], "key string, at int, x int").repartition(7)
+
+    def totals(ordered):
+        n = 0
+        for _, at, x in ordered:
+            n += x
+            if at % 1000 == 999:
+                yield at, n
+
+    got = sorted(((r.key or "", r.at, r.n) for r in folds.walked(rows, ["key"], ["at"], totals, "key string, at int, n long", give=2).collect()))
+    assert got == sorted((k, 1000 * i + 999, 1000 * (i + 1)) for k in ("a", "", "b") for i in range(5))
+    first = folds.walked(rows, ["key"], ["at"], lambda ordered: iter([next(ordered)[1:2]]), "key string, at int")
+    assert sorted((r.key or "", r.at) for r in first.collect()) == [("", 0), ("a", 0), ("b", 0)]
+
+
 def test_training_formulas(spark):
     rows = spark.createDataFrame([(1, x) for x in (1.0, 2.0, 3.0)], "g int, r double")
     assert [x.advantage for x in training.advantages(rows, "g", "r", "reinforce").orderBy("r").collect()] == [-1, 0, 1]
@@ -267,18 +362,121 @@ def test_training_formulas(spark):
         assert one(spark, float(x), training.log_sigmoid, "double") == pytest.approx(math.log(1 / (1 + math.exp(-x))))
     lr = [x.y for x in spark.range(100).select(training.learning_rate(F.col("id"), 100, 1e-3, 0.1).alias("y")).collect()]
     assert max(lr) == pytest.approx(1e-3) and lr.index(max(lr)) in (9, 10) and min(lr[10:]) >= 1e-4
-    assert [one(spark, x, lambda c: text.numeric_match(F.lit("what is 6*7? 42"), c)) for x in ("… 42", "… 41")] == [1.0, 0.0]
+    assert [one(spark, x, lambda c: rewards.reward("numeric_match")(F.lit("what is 6*7? 42"), c)) for x in ("… 42", "… 41")] == [1.0, 0.0]
+    assert one(spark, "   ", lambda c: rewards.reward("nonempty")(F.lit(""), c)) == 0.0 and rewards.reward() is rewards.length_target
+    with pytest.raises(KeyError, match="length_target"):
+        rewards.reward("nope")
+    scores = [one(spark, "some words", lambda c, m=m: rewards.resolved(f"rm:{m}")(F.lit("q"), c)) for m in ("a/b", "c/d")]
+    assert all(0 <= x <= 1 for x in scores) and scores[0] != scores[1]
+    rewards.register("own")(lambda prompt, completion: F.lit(0.5))
+    assert rewards.reward("own") is rewards.resolved("own") and "own" in rewards.rewards() and rewards._KNOWN.pop("own")
     cost = training.costs(spark.createDataFrame([("Qwen/Qwen3-8B", 5_000_000, 0), ("?", 5_000_000, 0)], "model string, train_tokens long, sample_tokens long"), model_registry(spark))
     assert [r.cost_usd for r in cost.collect()] == [pytest.approx(0.8)] * 2
 
 
 def test_registry(spark):
-    models = model_registry(spark, [("x/Y", "own", 41.0, 41.0, 1_000_000, True, 64, 3e-5, "none", ["text", "image"])])
+    models = model_registry(spark, [("x/Y", "own", 41.0, 41.0, 1_000_000, True, 64, 3e-5, "none", ["text", "image"], [])])
     assert {r.name for r in list_models(models, "OWN").collect()} == {"x/Y"} and is_supported(models, "x/Y") and get_model(models, "x/Y")["is_multimodal"]
+    assert models.count() == 17 and list_models(models, "inkling").count() == 3
+    top = get_model(models, "thinkingmachines/Inkling")
+    assert top["is_moe"] and top["active_b"] < top["params_b"] and top["context_length"] == 1_000_000 and top["is_multimodal"] and "flagship" in top["tags"]
     with pytest.raises(KeyError, match="Qwen/Qwen3-8B"):
         get_model(models, "nope")
 
 
+def test_settings_and_configs(tmp_path):
+    (tmp_path / ".env").write_text("# note\nTF_PORT=9000\nexport TF_LOG_JSON='true'\nTF_UNKNOWN=1\n")
+    got = settings.settings({"TF_PORT": "9100", "TINKER_API_KEY": "k", "TF_DRY_RUN": "0"}, str(tmp_path / ".env"))
+    assert (got.port, got.log_json, got.api_key, got.dry_run, got.host) == (9100, True, "k", False, "0.0.0.0")
+    with pytest.raises(ValueError):
+        settings.settings({"TF_DRY_RUN": "perhaps"}, str(tmp_path / "none"))
+    (tmp_path / "run.json").write_text('{"max_cost_usd": 5, "max_steps": 10}')
+    assert settings.typed(settings.read_config(str(tmp_path / "run.json")), runs.Budget) == runs.Budget(max_cost_usd=5.0, max_steps=10)
+    with pytest.raises(ValueError, match="max_thing"):
+        settings.typed({"max_thing": 1}, runs.Budget)
+
+
+def test_checkpoints_and_retention_on_disk(spark, tmp_path):
+    run = checkpoints.Checkpoints(str(tmp_path), "r", runs.Retention(keep_last=2, keep_best=1))
+    for step in range(1, 7):
+        run.save(spark, step, {"lora_rank": 8}, {"eval_loss": 0.01 if step == 3 else 1 / step})
+    assert [e["step"] for e in files.load_manifest(run.manifest)] == [3, 5, 6] and run.latest()["step"] == 6
+    assert sorted(p.name for p in (tmp_path / "r").glob("*.state")) == ["step-000003.state", "step-000005.state", "step-000006.state"]
+    assert run.load(run.latest()["path"]) == {"lora_rank": 8, "step": 6}
+    (tmp_path / "r" / "step-000006.state").unlink()
+    dry = checkpoints.apply_retention(spark, run.manifest, runs.Retention(keep_last=1, keep_best=0, protect_final=False), dry_run=True)
+    assert (dry.keep, dry.delete, dry.missing) == ([5], [3], [6]) and dry.bytes_freed > 0 and len(files.load_manifest(run.manifest)) == 3
+    assert dry.summary == "keep 5 (last); delete 3; missing 6"
+    checkpoints.apply_retention(spark, run.manifest, runs.Retention(keep_last=5))
+    assert [e["step"] for e in files.load_manifest(run.manifest)] == [3, 5]
+    assert checkpoints.apply_retention(spark, str(tmp_path / "none.json")).keep == []
+
+
+def test_guarded_calls():
+    class Http(Exception):
+        def __init__(self, status, after=None):
+            super().__init__("x")
+            self.status_code, self.retry_after = status, after
+
+    now, slept = [0.0], []
+
+    def sleep(s):
+        slept.append(s)
+        now[0] += s
+
+    def failing(errors):
+        left = list(errors)
+
+        def call():
+            if left:
+                raise left.pop(0)
+            return "ok"
+
+        return call
+
+    guard = lambda **o: resilience.Guarded(jitter=False, base=1.0, longest=8.0, clock=lambda: now[0], sleep=sleep, **o)
+    assert guard().call(failing([Http(503), Http(429, after=6)])) == "ok" and slept == [1.0, 6.0]
+    with pytest.raises(Http):
+        guard().call(failing([Http(400)]))
+    g = guard(attempts=1, failures=2, recovery=10.0)
+    for _ in range(2):
+        with pytest.raises(TimeoutError):
+            g.call(failing([TimeoutError()]))
+    with pytest.raises(resilience.Rejected):
+        g.call(lambda: "ok")
+    now[0] += 10
+    assert g.call(lambda: "ok") == "ok" and g.state == "closed"
+    slept.clear()
+    r = guard(rate=2.0, burst=1.0)
+    assert [r.call(lambda: 1) for _ in range(3)] == [1, 1, 1] and slept == [0.5, 0.5]
+    assert [resilience.worth_retrying(e) for e in (Http(408), Http(401), ConnectionError(), RuntimeError("Rate limit hit"), RuntimeError("bad"))] == [True, False, True, True, False]
+    with pytest.raises(ValueError):
+        resilience.Guarded(attempts=0)
+
+
+def test_reports(spark):
+    found = spark.createDataFrame([("pii_detected", "error", 2, [1, 4]), ("tiny_dataset", "warning", 3, [])], "code string, severity string, count long, examples array<long>")
+    r = reports.Findings(found, 3, {"p50": 7})
+    assert not r.ok and r.has("tiny_dataset") and not r.has("x") and r.by_code("pii_detected")["count"] == 2 and len(r.at_or_above("warning")) == 2
+    assert json.loads(r.to_json())["findings"][0]["examples"] == [1, 4] and "pii_detected" in r.text()
+    drifted = spark.createDataFrame([("turns", 0.3, 0.1, 0.2, "error", ""), ("vocabulary", 0.01, 0.0, None, "info", "")], "feature string, psi double, jsd double, ks double, severity string, detail string")
+    d = reports.Drift(drifted, 10, 20, ["candidate is larger"])
+    assert d.severity == "error" and not d.ok and [x["feature"] for x in d.drifted()] == ["turns"] and json.loads(d.to_json())["candidate_rows"] == 20 and "note: candidate" in d.text()
+
+
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.txt").write_text("".join(f"{name}{i}\n" + "\n" * (i % 3 == 0) for i in range(2000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+        rows = files.numbered_lines(spark, str(tmp_path)).orderBy("row_id").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = [(name, n + 1, x) for name in ("a", "b") for n, x in enumerate((tmp_path / f"{name}.txt").read_text().split("\n")) if x]
+    assert [(r.path[-5], r.line_no, r.line) for r in rows] == want and [r.row_id for r in rows] == list(range(4000))
+
+
 def test_chat_files(spark, tmp_path):
     p = tmp_path / "chat.jsonl"
     good = [{"messages": [{"role": "user", "content": "u"}, {"role": "assistant", "content": "a@b.com"}]}, {"prompt": "2 + 2 = ?", "completion": "4"}]
@@ -338,3 +536,11 @@ def test_streams(spark, tmp_path):
     incremental.run_available(stream(), check, str(tmp_path / "ck"))
     incremental.run_available(stream(), check, str(tmp_path / "ck"))
     assert [(r.left_id, r.right_id) for r in seen] == [(1, 9)]
+
+    index, hits = incremental.GrowingIndex(spark, str(tmp_path / "index")), []
+    for batch, rows in enumerate([[(1, "The quick brown fox jumps over the lazy dog in the yard")], [(2, "the quick brown fox jumps over the lazy dog in the yards"), (3, "THE quick brown fox jumps over the lazy dog in the yardss")], [(4, "other words"), (5, "")]]):
+        for _ in range(2):  # a batch that runs again changes nothing
+            hits = sorted((r.left_id, r.right_id, r["rank"]) for r in index.add(spark.createDataFrame(rows, "row_id long, text string"), batch).collect())
+        assert hits == [[], [(2, 1, 1), (3, 1, 2), (3, 2, 1)], []][batch]
+    assert [r.right_id for r in index.query(spark.createDataFrame([(9, "the quick brown fox jumps over the lazy dog in the yard!")], "row_id long, text string")).orderBy("rank").collect()][0] == 1
+    assert index.rows().count() == 5
