@@ -30,6 +30,18 @@ class Boosted:
             at = 2 * at + 1 + (z[rows, features[at]] > bins[at])
         return at - (2**self.depth - 1)
 
+    @staticmethod
+    def _histogram(node: np.ndarray, v: np.ndarray, repeated: np.ndarray, cell: np.ndarray, marks: np.ndarray, flags: np.ndarray, many: np.ndarray, count: int, bins: int) -> np.ndarray:
+        """count x features x bins: sums of v over a node's rows up to each bin. cell: place of each row's bins in the node's histogram."""
+        out = np.zeros((count, len(flags), bins))
+        size = len(many) * bins
+        out[:, many] = np.bincount((cell + node[:, None] * size).ravel(), repeated, count * size).reshape(count, len(many), bins)
+        own = np.zeros((count, len(v)), np.float32)
+        own[node, np.arange(len(v))] = v
+        on, total = own @ marks, np.bincount(node, v, count)[:, None]
+        out[:, flags, 0], out[:, flags, 1] = total - on, on
+        return out.cumsum(2)
+
     @classmethod
     def fit(cls, x: np.ndarray, y: np.ndarray, rounds: int = 140, depth: int = 4, rate: float = 0.2, bins: int = 32, penalty: float = 2.0, part: float = 0.4) -> Boosted:
         """Each split takes the feature and border of the largest gain in the histograms of a random part of the rows."""
@@ -39,20 +51,21 @@ class Boosted:
         z = model.binned(x)
         n, width = z.shape
         raw, inner = np.full(n, model.base), 2**depth - 1
-        flat = z.astype(np.int64) + np.arange(width) * bins
+        flags = np.array([len(e) == 1 for e in edges])  # of two bins: summed by a product of matrices
+        many = np.flatnonzero(~flags)
+        flat, marks = z[:, many].astype(np.int64) + np.arange(len(many)) * bins, z[:, flags].astype(np.float32)
         rng = np.random.default_rng(0)
         for _ in range(rounds):
             take = np.sort(rng.permutation(n)[: max(1, int(part * n))])
             p = 1 / (1 + np.exp(-raw))
             g, h = y - p, np.maximum(p * (1 - p), 1e-6)
             features, borders = np.zeros(inner, np.int64), np.full(inner, bins, np.int64)
+            cell, part_marks = flat[take], marks[take]
+            sums = [(v[take], np.repeat(v[take], len(many))) for v in (g, h)]
             at = np.zeros(n, np.int64)
             for level in range(depth):
                 first, count = 2**level - 1, 2**level
-                key = ((at[take] - first)[:, None] * (width * bins) + flat[take]).ravel()
-                size = count * width * bins
-                gs = np.bincount(key, np.repeat(g[take], width), size).reshape(count, width, bins).cumsum(2)
-                hs = np.bincount(key, np.repeat(h[take], width), size).reshape(count, width, bins).cumsum(2)
+                gs, hs = (cls._histogram(at[take] - first, v, repeated, cell, part_marks, flags, many, count, bins) for v, repeated in sums)
                 gt, ht = gs[:, :, -1:], hs[:, :, -1:]
                 gain = gs**2 / (hs + penalty) + (gt - gs) ** 2 / (ht - hs + penalty) - gt**2 / (ht + penalty)
                 gain[(hs < 1) | (ht - hs < 1)] = 0
