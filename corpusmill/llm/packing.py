@@ -147,33 +147,32 @@ def pack_documents(docs: DataFrame, settings: Packing = Packing(), with_ids: boo
         encoder, high = WordEncoder(settings.vocabulary), TaskContext.get().partitionId() << 33
         end = np.array([settings.end_id], encoder.kind)
         ids: list = []  # doc_id, base of start, whole length, tokens still to place
+        waiting: dict[int, list] = {}  # by size: sequences that do not fill a step group yet
         held = sequence = step = 0
         id_type = None
 
         def flush(last: bool) -> pa.RecordBatch:
             nonlocal ids, held, sequence, step
             sequences, rest = pack([len(x[3]) for x in ids], settings, last)
+            for s in sequences:
+                waiting.setdefault(sum(n for *_, n in s), []).append([(ids[d][0], ids[d][1] + a, ids[d][2], ids[d][3][a : a + n]) for d, a, n in s])
             rows: list[list] = [[] for _ in range(len(_FIELDS) + 1 + with_ids)]
-            by_size: dict[int, list[int]] = {}
-            for i, s in enumerate(sequences):
-                by_size.setdefault(sum(n for *_, n in s), []).append(i)
-            group = [0] * len(sequences)
-            for size, at in sorted(by_size.items()):
-                dealt = step_groups([sum(n * n for *_, n in sequences[i]) for i in at], max(1, settings.step_tokens // size))
-                for i, g in zip(at, dealt):
-                    group[i] = high | step + g
-                step += max(dealt) + 1
-            for s, g in zip(sequences, group):
-                size, offset = sum(n for *_, n in s), 0
-                for doc, start, n in s:
-                    doc_id, base, whole, tokens = ids[doc]
-                    part = tokens[start : start + n].astype("<u4")
-                    for column, value in zip(rows, (doc_id, base + start, n, zlib.crc32(part.tobytes()), whole, high | sequence, offset, size, g)):
-                        column.append(value)
-                    if with_ids:
-                        rows[-1].append(part.astype(np.int32))
-                    offset += n
-                sequence += 1
+            for size, at in sorted(waiting.items()):
+                members = max(1, settings.step_tokens // size)
+                full = len(at) if last else len(at) - len(at) % members
+                groups = step_groups([sum(len(x[3]) ** 2 for x in s) for s in at[:full]], members)
+                for s, group in zip(at[:full], groups):
+                    offset = 0
+                    for doc_id, start, whole, tokens in s:
+                        part = tokens.astype("<u4")
+                        for column, value in zip(rows, (doc_id, start, len(part), zlib.crc32(part.tobytes()), whole, high | sequence, offset, size, high | step + group)):
+                            column.append(value)
+                        if with_ids:
+                            rows[-1].append(part.astype(np.int32))
+                        offset += len(part)
+                    sequence += 1
+                step += max(groups, default=-1) + 1
+                waiting[size] = [[(*x[:3], x[3].copy()) for x in s] for s in at[full:]]
             ids = [(ids[d][0], ids[d][1] + a, ids[d][2], ids[d][3][a : a + n].copy()) for d, a, n in rest]
             held = sum(len(x[3]) for x in ids)
             kinds = [id_type, *(pa.int32() if t == "int" else pa.int64() for _, t in _FIELDS)] + [pa.list_(pa.int32())] * with_ids
@@ -187,7 +186,7 @@ def pack_documents(docs: DataFrame, settings: Packing = Packing(), with_ids: boo
                 held += len(tokens)
                 if held >= settings.window_tokens:
                     yield flush(False)
-        if ids:
+        if ids or any(waiting.values()):
             yield flush(True)
 
     schema = ", ".join([f"doc_id {docs.schema['doc_id'].dataType.simpleString()}", *(f"{f} {t}" for f, t in _FIELDS)] + ["ids array<int>"] * with_ids)

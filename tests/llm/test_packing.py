@@ -97,6 +97,20 @@ def test_query_round_trip(spark, window):
     assert pack_documents(docs.limit(0)).collect() == []
 
 
+def test_step_groups_are_full_across_flushes(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice("rain boat quay storm harbour".split()) for _ in range(rng.randrange(1, 900)))) for i in range(300)]
+    pieces = pack_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), Packing(window_tokens=3000, step_tokens=8192)).collect()
+    groups = defaultdict(set)
+    for p in pieces:
+        groups[p.tier, p.step_group].add(p.sequence_id)
+    under = defaultdict(int)
+    for (tier, group), members in groups.items():
+        assert len(members) <= 8192 // tier
+        under[tier, group >> 33] += len(members) < 8192 // tier
+    assert max(under.values()) == 1 and len(groups) > 20
+
+
 def test_tiers_are_checked():
     with pytest.raises(ValueError):
         Packing(tiers=(512, 1000))
