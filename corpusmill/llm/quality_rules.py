@@ -161,9 +161,11 @@ def quality_rules(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
-    """The rows whose text is kept, with all their columns; failing and repeated lines are gone from text.
+    """The rows whose text is kept, with all their columns, whatever their names; failing and repeated lines are gone from text.
 
-    A long column n_chars, if there, follows the new text. Judged, cleaned and filtered in one pass, no shuffle.
+    Null, empty and short texts go (base_failed); a null doc_id is judged like any other; repeated rows all stay or all go.
+    A long column n_chars, if there, follows the new text. An empty table gives no rows. Judged, cleaned and filtered in
+    one pass, no shuffle.
     """
     at = docs.columns.index("text")
     size = docs.columns.index("n_chars") if dict(docs.dtypes).get("n_chars") == "bigint" else None

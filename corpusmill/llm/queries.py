@@ -11,7 +11,7 @@ from corpusmill.llm.embedding_dedup import embedding_groups
 from corpusmill.llm.html_extraction import extract_pages
 from corpusmill.llm.packing import pack_documents
 from corpusmill.llm.quality_classifier import quality_scores
-from corpusmill.llm.quality_rules import quality_rules
+from corpusmill.llm.quality_rules import BARS, FURNITURE, LineRules, quality_rules
 from corpusmill.llm.secrets import secret_scan
 from corpusmill.llm.sentencepiece_codec import encode_documents
 from corpusmill.llm.simhash import simhash_groups
@@ -74,7 +74,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
+_L = LineRules()
+_GAP = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"  # what Python takes as white space
+#: The base columns and the line rules as SQL: lines are judged one by one, a text by the words it loses.
+_QUALITY_RULES = rf"""
+    with d as (select row_number() over () as no, doc_id, coalesce(text, '') as text from documents),
+    worded as (select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as words, string_split(text, chr(10)) as lines from d),
+    windows as (select no, unnest(list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2])) as w, unnest(range(1, len(words) - 1)) as i from worded),
+    twice as (select no, i, count(*) over (partition by no, w) as c from windows),
+    covered as (select no, count(distinct p) as n_repeat from (select no, unnest([i, i + 1, i + 2]) as p from twice where c > 1) group by no),
+    line as (select no, unnest(lines) as l, generate_subscripts(lines, 1) as k from worded),
+    told as (select *, regexp_extract_all(l, '[^\x20\x09-\x0D]+') as w, list_filter(regexp_split_to_array(l, '{_GAP}'), lambda x: x <> '') as u from line where regexp_matches(l, '[^\x20\x09-\x0D]')),
+    measured as (select *, len(w) as n, len(list_filter(u, lambda x: x in ({", ".join(f"'{c}'" for c in BARS)}))) as bars, len(list_filter(u, lambda x: regexp_matches(x, '[^#*$%&|<>][#*$%&|<>]{{2,}}[.,;:!?]*$'))) as tails,
+        (length(l) - length(replace(l, '!!', ''))) / 2 as bangs, len(list_filter(u, lambda x: regexp_matches(x, '\p{{Lu}}') and not regexp_matches(x, '[\p{{Ll}}\p{{Lt}}]'))) as upper_,
+        len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) as stutters, row_number() over (partition by no, l order by k) as nth from told),
+    judged as (select *, case when not regexp_matches(l, '[\p{{L}}\p{{N}}]') then true when n <= {_L.furniture_words} and ({" or ".join(f"contains(lower(l), '{p}')" for p in FURNITURE)}) then true
+        when n < {_L.share_words} then n <= {_L.stub_words} and bars >= 1 and not regexp_matches(regexp_replace(l, '[\x20\x09-\x0D]+$', ''), '[.!?…:;,"''»”’)\]]$')
+        else bars >= {_L.bar_share}::double * n or tails >= {_L.symbol_share}::double * n and tails > 0 or bangs >= {_L.exclaim_share}::double * n and bangs > 0 or upper_ >= {_L.upper_share}::double * n
+            or len(list_distinct(w)) <= n - {_L.stutter_share}::double * n and stutters >= {_L.stutter_share}::double * n end as fault from measured),
+    lost as (select no, sum(case when fault or nth > 1 then n else 0 end) as lost, sum((nth > 1)::int) as dup from judged group by no),
+    base as (select no, doc_id, len(words) as n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) as word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols from worded),
+    failed as (select *, n_words < {_L.min_words} or 100 * coalesce(n_repeat, 0) > {_L.max_repeat_percent} * n_words as base_failed from base left join covered using (no) left join lost using (no))
+    select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols, coalesce(dup, 0)::bigint as n_dup_lines, coalesce(n_repeat, 0)::bigint as n_repeat_words, base_failed,
+        not base_failed and coalesce(lost, 0) <= {_L.max_lost_share}::double * n_words as kept, case when base_failed then 0 else coalesce(lost, 0) end::bigint as n_lost_words from failed
+"""
+
 ORACLES: dict[str, str] = {
+    "op4_quality_rules": _QUALITY_RULES,
     "op5_embedding_near_dedup": """
         with recursive v as (select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings),
         ok as (select * from v where label is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
@@ -89,8 +115,8 @@ ORACLES: dict[str, str] = {
         ), whole as (
             select *, 'WARC/1.1' || nl || 'WARC-Type: response' || nl || 'WARC-Target-URI: ' || url || nl || 'Content-Type: text/html' || nl || 'Content-Length: '
                 || cast(strlen(html) as varchar) || nl || nl as head,
-                starts_with(mark, '00') and substr(mark, 3, 1) >= '8' as lost,
-                starts_with(mark, '00') and substr(mark, 3, 1) < '8' and substr(html, 1, 1) in ('<', ' ') as broken from parts
+                mark < '04' and substr(mark, 3, 1) >= '8' as lost,
+                mark < '04' and substr(mark, 3, 1) < '8' and substr(html, 1, 1) in ('<', ' ') as broken from parts
         ), hashed as (
             select page_id, lost, broken, cast(strlen(head || html || nl || nl) as bigint) as length, sha256(head || html || nl || nl) as digest,
                 sha256(head || '?' || substr(html, 2) || nl || nl) as other, cast(floor(page_id / {ARCHIVE_RECORDS}) as bigint) as archive from whole

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.common import Stash
 
-FANOUT, LEVELS, ARCHIVE_RECORDS = 16, 3, 1024
+FANOUT, LEVELS, ARCHIVE_RECORDS, NAMELESS = 16, 3, 1024, 1 << 20
 
 
 def record_text(url: Column, body: Column) -> Column:
@@ -38,12 +38,12 @@ def records(pages: DataFrame, per_archive: int = ARCHIVE_RECORDS) -> DataFrame:
 
     Page ids in a range of per_archive form an archive, its records ordered by page_id, then digest and url, and laid
     one after the other: offset counts bytes from the archive's start. Rows equal in id, url and html are one record
-    with their number as copies. Rows with a null id form archives of their own, -1 to -256 by digest.
+    with their number as copies. Rows with a null id form archives of their own, -1 to -NAMELESS by digest.
     """
     body = record_text(F.col("url"), F.col("html"))
     rows = pages.select("page_id", "url", F.octet_length(body).cast("long").alias("length"), F.sha2(body.cast("binary"), 256).alias("digest"))
     rows = rows.groupBy("page_id", "url", "length", "digest").agg(F.count("*").alias("copies"))
-    rows = rows.withColumn("archive", F.coalesce(F.floor(F.col("page_id") / per_archive).cast("long"), -1 - F.pmod(F.xxhash64("digest"), F.lit(256))))
+    rows = rows.withColumn("archive", F.coalesce(F.floor(F.col("page_id") / per_archive).cast("long"), -1 - F.pmod(F.xxhash64("digest"), F.lit(NAMELESS))))
     order = Window.partitionBy("archive").orderBy("page_id", "digest", "url")
     before = F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1))
     return rows.select("archive", (F.row_number().over(order) - 1).cast("long").alias("number"), "page_id", "copies", "length", F.coalesce(before, F.lit(0)).cast("long").alias("offset"), "digest")
@@ -104,11 +104,11 @@ def audit(left: DataFrame, right: DataFrame, fanout: int = FANOUT, levels: int =
 def damaged(pages: DataFrame, per_archive: int = ARCHIVE_RECORDS) -> DataFrame:
     """The record table of a replica with planted damage, for an audit where no second copy exists.
 
-    Of the pages whose id has an MD5 that begins with 00, those with a third digit under 8 have their first
-    character, if it is < or a space, overwritten by ?, the others are lost; all other records stay in their places.
+    Of the pages whose id has an MD5 that begins with 00 to 03 (one in 64), those with a third digit under 8 have their
+    first character, if it is < or a space, overwritten by ?, the others are lost; all other records stay in their places.
     """
     mark = F.md5(F.col("page_id").cast("string").cast("binary"))
-    hit = F.coalesce(mark.startswith("00"), F.lit(False))
+    hit = F.coalesce(mark < "04", F.lit(False))
     lost = hit & (F.substring(mark, 3, 1) >= "8")
     broken = hit & ~lost & F.coalesce(F.substring("html", 1, 1).isin("<", " "), F.lit(False))
     html = F.when(broken, F.concat(F.lit("?"), F.substring("html", 2, 2147483647))).otherwise(F.col("html"))
