@@ -60,16 +60,21 @@ class WordVectors:
     mean: np.ndarray
 
 
+@lru_cache(maxsize=2)
+def _kinds(most: int) -> np.ndarray:
+    """The class of each character below a code point: 0 white space, 1 of words, 2 other."""
+    return np.fromiter((1 if c.isalnum() or c == "_" else 0 if c.isspace() else 2 for c in map(chr, range(most))), np.uint8, most)
+
+
 @lru_cache(maxsize=1)
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The class of each character (0 white space, 1 of words, 2 other), powers of an odd number and of its inverse."""
-    kinds = np.fromiter((1 if c.isalnum() or c == "_" else 0 if c.isspace() else 2 for c in map(chr, range(0x110000))), np.uint8, 0x110000)
+def _powers() -> list[np.ndarray]:
+    """Powers of an odd number and of its inverse."""
     powers = []
     for x in (_BASE, pow(_BASE, -1, 1 << 64)):
         factors = np.full(_CHARS, x, np.uint64)
         factors[0] = 1
         powers.append(np.multiply.accumulate(factors))
-    return kinds, *powers
+    return powers
 
 
 def word_hashes(text: str) -> np.ndarray:
@@ -78,8 +83,9 @@ def word_hashes(text: str) -> np.ndarray:
     A word's characters are digits of a number to an odd base, which prefix sums over the whole text give at once. Runs of
     over _CHARS characters count as several words.
     """
-    kinds, power, inverse = _tables()
+    power, inverse = _powers()
     codes, out, a = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), [], 0
+    kinds = _kinds(0x10000 if not len(codes) or codes.max() < 0x10000 else 0x110000)  # few texts need the large table
     while a < len(codes):
         c = codes[a : a + _CHARS]
         kind = kinds[c]
