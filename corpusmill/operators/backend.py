@@ -1,0 +1,68 @@
+"""What a training service does, as one interface, and a simulated service that needs no network."""
+
+from __future__ import annotations
+
+import json
+import math
+import os
+from dataclasses import dataclass
+from typing import Protocol
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from corpusmill.operators import training
+from corpusmill.sources.files import replace_json
+
+
+class Backend(Protocol):
+    """Batches are tables with a column datum (input_tokens, target_tokens, weights)."""
+
+    def forward_backward(self, batch: DataFrame) -> dict: ...
+
+    def optim_step(self, learning_rate: float, max_norm: float = 1.0) -> dict: ...
+
+    def logprobs(self, batch: DataFrame) -> DataFrame: ...
+
+    def sample(self, prompts: DataFrame, seed: str, longest: int) -> DataFrame: ...
+
+    def save_state(self, path: str) -> str: ...
+
+    def load_state(self, path: str) -> None: ...
+
+
+@dataclass
+class Simulated:
+    """The dry run: losses and norms fall with the step, log-probabilities and samples follow from the rows themselves."""
+
+    model: str = "simulated"
+    lora_rank: int = 32
+    step: int = 0
+    base_loss: float = 2.0
+
+    def forward_backward(self, batch: DataFrame) -> dict:
+        """loss, and tokens: supervised targets of the batch."""
+        on = F.size(F.filter("datum.weights", lambda w: w > 0))
+        loss = max(0.05, 0.4 + (self.base_loss - 0.4) * math.exp(-self.step / 40))
+        return {"loss": loss, "tokens": batch.agg(F.coalesce(F.sum(on), F.lit(0))).first()[0]}
+
+    def optim_step(self, learning_rate: float, max_norm: float = 1.0) -> dict:
+        self.step += 1
+        return {"learning_rate": learning_rate, "grad_norm": max(0.01, max_norm * math.exp(-self.step / 60))}
+
+    def logprobs(self, batch: DataFrame) -> DataFrame:
+        """The batch with logprob."""
+        return batch.withColumn("logprob", training.datum_logprob(F.col("datum"), F.lit(self.step)))
+
+    def sample(self, prompts: DataFrame, seed: str, longest: int) -> DataFrame:
+        """The prompts with completion, by a column of seeds."""
+        return prompts.withColumn("completion", training.simulated_sample(F.col(seed), longest))
+
+    def save_state(self, path: str) -> str:
+        os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+        replace_json(path, {"base_model": self.model, "lora_rank": self.lora_rank, "step": self.step, "fake": True})
+        return path
+
+    def load_state(self, path: str) -> None:
+        with open(path, encoding="utf-8") as f:
+            self.step = int(json.load(f).get("step", 0))

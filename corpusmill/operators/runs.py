@@ -135,6 +135,11 @@ def reconcile(jobs: DataFrame) -> DataFrame:
     return jobs.withColumns({"status": F.when(hit, "failed").otherwise(F.col("status")), "error": F.when(hit, "Interrupted by process restart.").otherwise(F.col("error"))})
 
 
+def utc_now() -> Column:
+    """The time of the query in UTC, as records have it."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+
+
 TERMINAL = ("succeeded", "failed", "cancelled")
 
 

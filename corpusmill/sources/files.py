@@ -28,7 +28,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     numbers before it are added. No line is shuffled for its number.
     """
     read = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
-    told = F.trim("line") != ""
+    told = F.col("line").rlike(r"(?U)[^\s\x1c-\x1f]")
     counts = read.groupBy("path", "block").agg(F.count("*").alias("lines"), F.count_if(told).alias("rows"))
     ahead = counts.select(  # a row for each split
         "path", "block", F.coalesce(F.sum("lines").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("lines_ahead"),
@@ -43,7 +43,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
                 if (file, block) != place:
                     place, lines, rows = (file, block), 0, 0
                 lines += 1
-                if line.strip(" "):
+                if line.strip():
                     out.append((file, block, lines, rows, line))
                     rows += 1
             columns = list(zip(*out)) or [()] * 5

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text
-from corpusmill.operators import dedup, guards
+from corpusmill.operators import dedup, guards, runs
 from corpusmill.operators.stored import stored
 
 
@@ -73,3 +73,24 @@ class GrowingIndex:
 def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     """Works off what is there and stops; a later call goes on where this one stopped, without gaps or repeats."""
     stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def run_until(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, should_stop: Callable[[], bool], poll: float = 0.2) -> None:
+    """Goes on with a stream until should_stop says so, between batches, or the stream ends; a later run goes on from there."""
+    query = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).start()
+    try:
+        while query.isActive and not should_stop():
+            query.awaitTermination(poll)
+    finally:
+        if query.isActive:
+            query.stop()
+
+
+def warning_of(budget: runs.Budget, on_warn: Callable[[str, str], None]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function over usage rows of whole runs: on_warn(run, limits) where a limit is first neared."""
+
+    def warn(batch: DataFrame, batch_id: int) -> None:
+        for r in runs.running_usage(batch, budget).where("warned <> ''").select("run", "warned").collect():  # one row a run and limit
+            on_warn(str(r.run), r.warned)
+
+    return warn

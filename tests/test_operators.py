@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.functions import chat, rewards, text, tokenizers
-from corpusmill.operators import dedup, drift, folds, guards, ranks, resilience, runs, sharding, tokens, training
+from corpusmill.operators import backend, dedup, drift, folds, guards, ranks, resilience, runs, sharding, tokens, training
 from corpusmill.plans import reports, validate
 from corpusmill.sources import checkpoints, files, settings
 from corpusmill.sources.registry import get_model, is_supported, list_models, model_registry
@@ -454,6 +454,35 @@ def test_guarded_calls():
         resilience.Guarded(attempts=0)
 
 
+def test_simulated_backend(spark, tmp_path):
+    b = backend.Simulated("m", lora_rank=8)
+    batch = spark.createDataFrame([(1, ([1, 2], [2, 3], [0.0, 1.0])), (2, ([1], [9], [1.0]))], "i int, datum struct<input_tokens:array<int>,target_tokens:array<int>,weights:array<double>>")
+    first = b.forward_backward(batch)
+    assert first == {"loss": pytest.approx(2.0), "tokens": 2} and b.forward_backward(batch.limit(0))["tokens"] == 0
+    norms = [b.optim_step(1e-4)["grad_norm"] for _ in range(400)]
+    assert norms == sorted(norms, reverse=True) and b.forward_backward(batch)["loss"] < 0.5
+    assert all(r.logprob < 0 for r in b.logprobs(batch).collect())
+    once, again = (b.sample(batch, "i", 5).select("completion").collect() for _ in range(2))
+    assert once == again and all(1 <= len(r.completion.tokens) <= 5 for r in once)
+    other = backend.Simulated()
+    other.load_state(b.save_state(str(tmp_path / "s" / "state.json")))
+    assert other.step == 400
+
+
+def test_streams_stop_and_warn(spark, tmp_path):
+    from corpusmill.streaming import incremental
+
+    source, seen, told = tmp_path / "in", [], []
+    source.mkdir()
+    (source / "a.json").write_text("".join(f'{{"run": "r", "step": {i}, "train_tokens": 30, "sample_tokens": 0, "steps": 1, "cost_usd": 0.0}}\n' for i in range(4)))
+    stream = incremental.read_json_stream(spark, str(source), "run string, step int, train_tokens long, sample_tokens long, steps int, cost_usd double")
+    warn = incremental.warning_of(runs.Budget(max_tokens=100), lambda run, limits: told.append((run, limits)))
+    incremental.run_until(stream, lambda b, i: (seen.append(b.count()), warn(b, i)), str(tmp_path / "ck"), lambda: bool(told))
+    assert seen == [4] and told == [("r", "tokens")]
+    now = spark.range(1).select(runs.utc_now().alias("t")).first().t
+    assert now.endswith("+00:00") and len(now) == 32
+
+
 def test_reports(spark):
     found = spark.createDataFrame([("pii_detected", "error", 2, [1, 4]), ("tiny_dataset", "warning", 3, [])], "code string, severity string, count long, examples array<long>")
     r = reports.Findings(found, 3, {"p50": 7})
@@ -466,14 +495,14 @@ def test_reports(spark):
 
 def test_lines_are_numbered_over_splits(spark, tmp_path):
     for name in ("a", "b"):
-        (tmp_path / f"{name}.txt").write_text("".join(f"{name}{i}\n" + "\n" * (i % 3 == 0) for i in range(2000)))
+        (tmp_path / f"{name}.txt").write_text("".join(f"{name}{i}\n" + ("\n" if i % 2 else " \t\u2003\n") * (i % 3 == 0) for i in range(2000)))
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     try:
         spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
         rows = files.numbered_lines(spark, str(tmp_path)).orderBy("row_id").collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
-    want = [(name, n + 1, x) for name in ("a", "b") for n, x in enumerate((tmp_path / f"{name}.txt").read_text().split("\n")) if x]
+    want = [(name, n + 1, x) for name in ("a", "b") for n, x in enumerate((tmp_path / f"{name}.txt").read_text().split("\n")) if x.strip()]
     assert [(r.path[-5], r.line_no, r.line) for r in rows] == want and [r.row_id for r in rows] == list(range(4000))
 
 
