@@ -14,7 +14,7 @@ PREFIX = "TF_"
 
 @dataclass(frozen=True)
 class Settings:
-    """Fields are read from TF_<FIELD>; the API key from the name that its service expects."""
+    """Fields are read from TF_<FIELD>; the API key also from the name that its service expects, if that is given."""
 
     host: str = "0.0.0.0"
     port: int = 8000
@@ -56,12 +56,12 @@ def _typed(value, kind):
     return kind(value) if kind in (int, float, str, bool) else value
 
 
-def settings(environment: dict[str, str] | None = None, path: str = ".env") -> Settings:
+def settings(environment: dict[str, str] | None = None, path: str = ".env", api_key_name: str | None = None) -> Settings:
     """The environment's values over those of the file; names that no field has are left alone."""
     known = dotenv(path) | dict(os.environ if environment is None else environment)
     known = {k.upper(): v for k, v in known.items()}
     kinds = typing.get_type_hints(Settings)
-    names = {f.name: "TINKER_API_KEY" if f.name == "api_key" else PREFIX + f.name.upper() for f in dataclasses.fields(Settings)}
+    names = {f.name: PREFIX + f.name.upper() for f in dataclasses.fields(Settings)} | ({"api_key": api_key_name} if api_key_name else {})
     return Settings(**{f: _typed(known[n], kinds[f]) for f, n in names.items() if n in known})
 
 

@@ -386,7 +386,7 @@ def test_registry(spark):
 
 def test_settings_and_configs(tmp_path):
     (tmp_path / ".env").write_text("# note\nTF_PORT=9000\nexport TF_LOG_JSON='true'\nTF_UNKNOWN=1\n")
-    got = settings.settings({"TF_PORT": "9100", "TINKER_API_KEY": "k", "TF_DRY_RUN": "0"}, str(tmp_path / ".env"))
+    got = settings.settings({"TF_PORT": "9100", "SERVICE_KEY": "k", "TF_DRY_RUN": "0"}, str(tmp_path / ".env"), api_key_name="SERVICE_KEY")
     assert (got.port, got.log_json, got.api_key, got.dry_run, got.host) == (9100, True, "k", False, "0.0.0.0")
     with pytest.raises(ValueError):
         settings.settings({"TF_DRY_RUN": "perhaps"}, str(tmp_path / "none"))
