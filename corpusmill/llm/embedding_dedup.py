@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import Stash
 from corpusmill.llm.components import connected_components
 
-THRESHOLD, MISS, FILL, BLOCK, SEED = 0.93, 3e-5, 1024, 2048, 29
+THRESHOLD, MISS, FILL, BLOCK, SEED = 0.93, 3e-5, 4096, 4096, 29
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
@@ -68,22 +68,18 @@ def _hashed(classes: DataFrame, threshold: float, miss: float, seed: int) -> Dat
     return classes.select("class_no", "label", "members", "embedding", "bits").mapInArrow(run, f"class_no long, label {kinds['label']}, members long, embedding {kinds['embedding']}, dims int, parts array<int>")
 
 
-def _links(x: np.ndarray, y: np.ndarray | None, sx: np.ndarray, sy: np.ndarray, table: int, threshold: float, step: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of the pairs at the threshold that no earlier table holds together. y None: pairs within x."""
-    left, right = [], []
+def _links(x: np.ndarray, y: np.ndarray | None, sx: np.ndarray, sy: np.ndarray, table: int, threshold: float, step: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of the pairs at the threshold that no earlier table holds together, some at a time. y None: pairs within x."""
     for k in range(0, len(x), step):
         cosines = x[k : k + step] @ (x if y is None else y).T
         a, b = np.nonzero(cosines >= threshold)
         a = a + k
         if y is None:
             a, b = a[a < b], b[a < b]
-        for j in range(0, len(a), 1 << 16):
-            i, z = a[j : j + (1 << 16)], b[j : j + (1 << 16)]
+        for j in range(0, len(a), 1 << 18):
+            i, z = a[j : j + (1 << 18)], b[j : j + (1 << 18)]
             new = ~(sx[i, :table] == sy[z, :table]).any(axis=1)
-            left.append(i[new])
-            right.append(z[new])
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *left]), np.concatenate([none, *right])
+            yield i[new], z[new]
 
 
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -112,16 +108,17 @@ def _compare(threshold: float):
         side = whole.column("side").to_numpy()
         ids, weight = whole.column("class_no").to_numpy(), whole.column("members").to_numpy()
         x, s = unit_rows(matrix(whole.column("embedding"))), matrix(whole.column("parts"))
-        if i == j:
-            a, b = _links(x, None, s, s, table, threshold)
-        else:
-            p, q = np.flatnonzero(side == i), np.flatnonzero(side == j)
-            a, b = _links(x[p], x[q], s[p], s[q], table, threshold)
+        p, q = np.flatnonzero(side == i), np.flatnonzero(side == j)
+        counts, trees = np.zeros(len(ids)), []
+        for a, b in _links(x[p], None if i == j else x[q], s[p], s[q], table, threshold):
             a, b = p[a], q[b]
-        if not len(a):
+            counts += np.bincount(a, weight[b], len(ids)) + np.bincount(b, weight[a], len(ids))
+            low = _forest(len(ids), a, b)  # of so many pairs only what connects the same rows is held
+            hung = np.flatnonzero(low != np.arange(len(ids)))
+            trees.append((hung, low[hung]))
+        if not counts.any():
             return [], [], []
-        counts = np.bincount(a, weight[b], len(ids)) + np.bincount(b, weight[a], len(ids))
-        low = _forest(len(ids), a, b)
+        low = _forest(len(ids), *(np.concatenate(e) for e in zip(*trees)))
         linked, hung = np.flatnonzero(counts), np.flatnonzero(low != np.arange(len(ids)))
         return [*ids[linked], *ids[hung]], [*[None] * len(linked), *ids[low[hung]]], [*counts[linked].astype(np.int64), *[0] * len(hung)]
 
