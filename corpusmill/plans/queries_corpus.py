@@ -18,8 +18,9 @@ from corpusmill.sources import files
 
 #: All pairs by Jaccard, through the shingles they share: texts t(id, norm) -> sim(a, b, jaccard, both orders).
 _JACCARD = """shingled as (select id, unnest(case when length(norm) <= 5 then [norm] else list_distinct(list_transform(range(1, length(norm) - 3), lambda i: substr(norm, i, 5))) end) as g from t where norm <> ''),
-    sizes as (select id, count(*) as n from shingled group by id), common as (select a.id as a, b.id as b, count(*) as c from shingled a join shingled b on a.g = b.g and a.id <> b.id group by all),
-    sim as (select a, b, c / (x.n + y.n - c) as jaccard from common join sizes x on x.id = a join sizes y on y.id = b where c / (x.n + y.n - c) >= 0.85)"""
+    sized as (select id, g, count(*) over (partition by id) as n from shingled),
+    common as (select a.id as x, b.id as y, a.n as nx, b.n as ny, count(*) as c from sized a join sized b on a.g = b.g and a.id < b.id and least(a.n, b.n) >= 0.85 * greatest(a.n, b.n) group by all),
+    alike as (select x, y, c / (nx + ny - c) as jaccard from common where c / (nx + ny - c) >= 0.85), sim as (select x as a, y as b, jaccard from alike union all select y, x, jaccard from alike)"""
 _DOCS = f"n as (select doc_id as row_id, {_NORM.format('text')} as norm from documents)"
 
 
