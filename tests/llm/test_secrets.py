@@ -90,3 +90,12 @@ def test_query_on_nulls_repeats_clashes_and_an_empty_table(spark):
 def test_redaction_keeps_rows_and_columns(spark):
     docs = spark.createDataFrame([(1, "my secret=abcdefgh.", 19), (2, None, None), (3, "plain", 7)], "doc_id long, text string, n_chars long")
     assert sorted(map(tuple, redact_secrets(docs).collect())) == [(1, "my [SECRET:assign]", 18), (2, None, None), (3, "plain", 7)]
+
+
+def test_redaction_on_nulls_repeats_clashes_long_and_empty_tables(spark):
+    long = "word " * 100_000 + "secret=abcdefgh"
+    rows = [(1, "secret=abcdefgh", "a", 1), (1, "secret=abcdefgh", "a", 1), (None, None, None, None), (2, "", "b", 0), (3, long, "c", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string, n_chars int")
+    got = sorted(((r.doc_id or 0, r.text, r.spans, r.n_chars) for r in redact_secrets(docs).collect()), key=str)
+    assert got == sorted([(1, "[SECRET:assign]", "a", 1), (1, "[SECRET:assign]", "a", 1), (0, None, None, None), (2, "", "b", 0), (3, long.replace("secret=abcdefgh", "[SECRET:assign]"), "c", 7)], key=str)
+    assert redact_secrets(docs.limit(0)).collect() == []
