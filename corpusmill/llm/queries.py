@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusmill.llm.chat_format import read_back, with_probe
 from corpusmill.llm.common import read
 from corpusmill.llm.embedding_dedup import embedding_groups
 from corpusmill.llm.html_extraction import extract_pages
+from corpusmill.llm.manifest import manifest_audit
+from corpusmill.llm.oracles import CHAT_FORMAT, MERKLE_MANIFEST, PREFIX_TRIE
 from corpusmill.llm.packing import pack_documents
+from corpusmill.llm.prefix_trie import prefix_trie
 from corpusmill.llm.quality_classifier import quality_scores
 from corpusmill.llm.quality_rules import BARS, FURNITURE, LineRules, quality_rules
 from corpusmill.llm.secrets import secret_scan
@@ -61,6 +65,19 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(read(spark, sf_dir, "documents"))
 
 
+def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one whose texts hold control strings."""
+    return read_back(with_probe(read(spark, sf_dir, "conversations")))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest_audit(read(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(read(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_warc_fixity": op2_warc_fixity,
@@ -72,6 +89,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_secret_scan": op9_secret_scan,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_chat_formatting": op11_chat_formatting,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 _L = LineRules()
@@ -100,6 +120,9 @@ _QUALITY_RULES = rf"""
 """
 
 ORACLES: dict[str, str] = {
+    "op11_chat_formatting": CHAT_FORMAT,
+    "op12_merkle_manifest": MERKLE_MANIFEST,
+    "op13_prefix_trie": PREFIX_TRIE,
     "op4_quality_rules": _QUALITY_RULES,
     "op5_embedding_near_dedup": """
         with recursive v as (select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings),
