@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +15,7 @@ from corpusmill.operators.stored import stored
 NUM_PERM, BANDS, SHINGLE, THRESHOLD, BLOCK = 32, 8, 5, 0.85, 128
 
 
-def _digest(*keys: str) -> Column:
+def digest(*keys: str) -> Column:
     """SHA-256 over the keys, each with its length, so that no two lists of keys share it but by the odds of the digest."""
     told = [F.concat(F.coalesce(F.octet_length(k).cast("string"), F.lit("-")), F.lit(":"), F.coalesce(F.col(k), F.lit(""))) for k in keys]
     return F.unhex(F.sha2(F.concat(*told), 256))
@@ -27,14 +27,14 @@ def exact_duplicates(keyed: DataFrame, *keys: str) -> DataFrame:
     Digests are shuffled, never texts. The first row of each key is a grouped minimum (combined before the shuffle), joined
     back, so a hot key is splittable.
     """
-    rows = keyed.select("row_id", _digest(*keys).alias("key"))
+    rows = keyed.select("row_id", digest(*keys).alias("key"))
     first = rows.groupBy("key").agg(F.min("row_id").alias("first_id"))
     return rows.join(first, "key").where("row_id > first_id").select("row_id", "first_id")
 
 
 def label_conflicts(keyed: DataFrame) -> DataFrame:
     """(row_id, prompt_key, response_key) -> rows that bring a new response to a prompt that an earlier row had."""
-    rows = keyed.where("prompt_key <> ''").select("row_id", _digest("prompt_key").alias("prompt"), _digest("response_key").alias("response"))
+    rows = keyed.where("prompt_key <> ''").select("row_id", digest("prompt_key").alias("prompt"), digest("response_key").alias("response"))
     pairs = rows.groupBy("prompt", "response").agg(F.min("row_id").alias("row_id"))
     prompts = pairs.groupBy("prompt").agg(F.min("row_id").alias("first_id"))
     return pairs.join(prompts, "prompt").where("row_id > first_id").select("row_id", "first_id")
@@ -109,19 +109,19 @@ def _compared(block: list[tuple], i: int, j: int, threshold: float, k: int, own:
             yield int(ids[x]), y, -score
 
 
-def similar(left: DataFrame, right: DataFrame | None = None, threshold: float = THRESHOLD, k: int = SHINGLE, best: bool = False, block: int = BLOCK) -> DataFrame:
+def similar(left: DataFrame, right: DataFrame | None = None, threshold: float = THRESHOLD, k: int = SHINGLE, best: bool = False, block: int = BLOCK, keep: Callable[[DataFrame], DataFrame] = stored) -> DataFrame:
     """Sketch tables -> left_id, right_id, jaccard of the pairs at the threshold, each once; with best, of each left row's pairs
     the most similar one, the earliest of equals. Without a right table, left is compared with its own earlier rows.
 
     Candidates share a band's key. The rows of a key are dealt to pairs of blocks of `block` rows, each its own unit of work
     that holds two blocks' sets, so a hot key is compared whole but nowhere at once; with best, a unit gives at most
-    one row for each of its left rows, whatever the number of pairs.
+    one row for each of its left rows, whatever the number of pairs. keep writes the rows that are read twice.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must lie in (0, 1]")
     own = right is None
     rows = left.select("row_id", "norm", "keys", F.lit(0).alias("role"))
-    rows = stored(rows if own else rows.unionByName(right.select("row_id", "norm", "keys", F.lit(1).alias("role"))))
+    rows = keep(rows if own else rows.unionByName(right.select("row_id", "norm", "keys", F.lit(1).alias("role"))))
     banded = rows.select("row_id", "role", F.posexplode("keys").alias("band", "key"))
     sizes = banded.groupBy("band", "key").agg(F.count("*").alias("n"), F.count_if(F.col("role") == 0).alias("lefts")).where("n > 1" if own else "lefts > 0 and n > lefts").drop("lefts")
     parts = F.ceil(F.col("n") / block)
@@ -151,7 +151,7 @@ def ranked_hits(pairs: DataFrame) -> DataFrame:
 
 def _firsts(texts: DataFrame) -> DataFrame:
     """(row_id, norm) -> key, row_id, norm: the first row of each text that is not empty; texts meet by their digests."""
-    rows = texts.where("norm <> ''").select(F.col("row_id").cast("long").alias("row_id"), "norm", _digest("norm").alias("key"))
+    rows = texts.where("norm <> ''").select(F.col("row_id").cast("long").alias("row_id"), "norm", digest("norm").alias("key"))
     return rows.groupBy("key").agg(F.min("row_id").alias("row_id"), F.any_value("norm").alias("norm"))
 
 
@@ -166,7 +166,7 @@ def near_duplicates(texts: DataFrame, threshold: float = THRESHOLD, num_perm: in
     out = near.select(F.col("left_id").alias("row_id"), F.col("right_id").alias("match_id"), F.round("jaccard", 6).alias("jaccard"))
     if tuple(pair) == ("norm",):
         return out
-    new = texts.where("norm <> ''").select("row_id", _digest("norm").alias("key"), _digest(*pair).alias("pair")).groupBy("pair").agg(F.min(F.struct("row_id", "key")).alias("r")).select("r.*")
+    new = texts.where("norm <> ''").select("row_id", digest("norm").alias("key"), digest(*pair).alias("pair")).groupBy("pair").agg(F.min(F.struct("row_id", "key")).alias("r")).select("r.*")
     equal = new.join(firsts.select("key", F.col("row_id").alias("match_id")), "key").where("row_id > match_id")
     return out.unionByName(equal.select("row_id", "match_id", F.lit(1.0).alias("jaccard")))
 
@@ -174,7 +174,7 @@ def near_duplicates(texts: DataFrame, threshold: float = THRESHOLD, num_perm: in
 def contamination(evaluation: DataFrame, training: DataFrame, threshold: float = THRESHOLD, num_perm: int = NUM_PERM, bands: int = BANDS, k: int = SHINGLE) -> DataFrame:
     """(row_id, norm) of both -> evaluation rows with an equal or similar training row: row_id, match_id, jaccard of the best."""
     train = stored(_firsts(training))
-    asked = evaluation.where("norm <> ''").select("row_id", "norm", _digest("norm").alias("key"))
+    asked = evaluation.where("norm <> ''").select("row_id", "norm", digest("norm").alias("key"))
     exact = asked.join(train.select("key", F.col("row_id").alias("match_id")), "key").select("row_id", "match_id", F.lit(1.0).alias("jaccard"))
     rest = asked.join(train.select("key"), "key", "left_anti")
     near = similar(sketches(rest, num_perm, bands, k), sketches(train, num_perm, bands, k), threshold, k, best=True)

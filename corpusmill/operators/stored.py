@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusmill.sources import shared
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; a folder of the warehouse only where that is unset, as in tests."""
@@ -24,3 +26,21 @@ def stored(rows: DataFrame) -> DataFrame:
     place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(place)
     # the schema is given: an empty table may have no files with one
     return spark.read.schema(rows.schema).parquet(path)
+
+
+class Scratch:
+    """Tables written between the steps of one piece of work, dropped at its end: `with Scratch(spark) as put: a = put(rows)`."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}", 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __call__(self, rows: DataFrame) -> DataFrame:
+        path, self.n = f"{self.base}/{self.n}", self.n + 1
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def __exit__(self, *error) -> None:
+        shared.delete(self.spark, self.base)

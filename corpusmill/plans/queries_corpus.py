@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import chat, text
 from corpusmill.operators import dedup, sharding, tokens
+from corpusmill.operators.band_index import BandIndex
 from corpusmill.operators.stored import shared_dir, stored
 from corpusmill.plans import validate
 from corpusmill.plans.catalog import query
@@ -71,6 +73,19 @@ def ranked_hits(spark, sf_dir):
     return found.select(F.col("left_id").alias("row_id"), F.col("right_id").alias("match_id"), F.round("jaccard", 6).alias("jaccard"), "rank")
 
 
+@query(f"""with {_DOCS}, o as (select row_id, norm, first_value(row_id) over (partition by norm order by row_id % 4, row_id) as first_id from n where norm <> ''),
+    t as (select row_id as id, norm from o where row_id = first_id), {_JACCARD}
+    select row_id, first_id as match_id, 1.0::double as jaccard, 1::int as rank from o where row_id <> first_id
+    union all
+    select a, b, round(jaccard, 6), (row_number() over (partition by a order by jaccard desc, b))::int from sim where (b % 4, b) < (a % 4, a)""")
+def index_batches(spark, sf_dir):
+    """Documents added to a growing index in four batches: each row's matches among all rows before it."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "text")
+    index = BandIndex(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    hits = [stored(index.add(docs.where(F.col("row_id") % 4 == b), b)) for b in range(4)]
+    return reduce(DataFrame.unionByName, hits).withColumn("jaccard", F.round("jaccard", 6))
+
+
 _CONTAMINATED = f"""{_KEYED_SQL}, b as (select row_id, {_NORM.format("prompt || chr(10) || response")} as norm from texts), train as (select norm, min(row_id) as id from b where row_id >= 1000000000 and norm <> '' group by norm),
     asked as (select row_id as id, norm from b where row_id < 1000000000 and norm <> ''), exact as (select a.id as row_id, r.id as match_id, 1.0::double as jaccard from asked a join train r using (norm)), t as (select id, norm from train union all select id, norm from asked), {_JACCARD},
     near as (select a as row_id, b as match_id, jaccard from sim where a in (select id from asked) and a not in (select row_id from exact) and b in (select id from train) qualify row_number() over (partition by a order by round(jaccard, 9) desc, b) = 1),

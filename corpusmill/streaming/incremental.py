@@ -1,4 +1,4 @@
-"""Streaming forms: guards and near-duplicate checks on arriving rows, with Structured Streaming's checkpoints as cursors."""
+"""Streaming forms: guards and near-duplicate checks against a fixed index, with Structured Streaming's checkpoints as cursors."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text
 from corpusmill.operators import dedup, guards, runs
-from corpusmill.operators.stored import stored
 
 
 def read_json_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 100) -> DataFrame:
@@ -37,39 +36,6 @@ def against_index(index: DataFrame, sink: Callable[[DataFrame, int], None], thre
     return check
 
 
-class GrowingIndex:
-    """An index of sketches in a folder: each batch is compared with all earlier batches and with its own earlier rows,
-    then added. A batch that runs again replaces what it added, so restarts neither lose nor repeat rows."""
-
-    SCHEMA = "row_id long, norm string, keys array<long>, batch long"
-
-    def __init__(self, spark: SparkSession, path: str, threshold: float = dedup.THRESHOLD):
-        self.spark, self.path, self.threshold = spark, path, threshold
-
-    def rows(self) -> DataFrame:
-        """row_id, norm, keys, batch of all rows added."""
-        place = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        there = place.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(place)
-        return self.spark.read.schema(self.SCHEMA).parquet(self.path) if there else self.spark.createDataFrame([], self.SCHEMA)
-
-    def add(self, texts: DataFrame, batch_id: int) -> DataFrame:
-        """(row_id, text) -> left_id, right_id, jaccard, rank of each row's matches among earlier rows; the rows are in the index then."""
-        fresh = stored(dedup.sketches(texts.select("row_id", text.normalized_all(F.col("text")).alias("norm"))))
-        known = self.rows().where(F.col("batch") < batch_id).drop("batch")
-        found = stored(dedup.similar(fresh, known, self.threshold).unionByName(dedup.similar(fresh, threshold=self.threshold)))
-        fresh.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
-        return dedup.ranked_hits(found)
-
-    def query(self, texts: DataFrame) -> DataFrame:
-        """(row_id, text) -> ranked matches among all rows of the index, which stays as it is."""
-        asked = dedup.sketches(texts.select("row_id", text.normalized_all(F.col("text")).alias("norm")))
-        return dedup.ranked_hits(dedup.similar(asked, self.rows().drop("batch"), self.threshold))
-
-    def each(self, sink: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
-        """A foreachBatch function that adds batches and hands their matches to the sink."""
-        return lambda batch, batch_id: sink(self.add(batch, batch_id), batch_id)
-
-
 def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     """Works off what is there and stops; a later call goes on where this one stopped, without gaps or repeats."""
     stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
