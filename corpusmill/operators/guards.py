@@ -1,12 +1,19 @@
-"""Guards over metric series: (run, step, loss, grad_norm) -> decisions. A run is an ordered series, one window's partition."""
+"""Guards over metric series: (run, step, loss, grad_norm) -> decisions. A run is an ordered series, gone through by one task."""
 
 from __future__ import annotations
 
+import math
+from collections import deque
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
+from statistics import median
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.operators.folds import walked
+
 
 @dataclass(frozen=True)
 class Guard:
@@ -72,12 +79,67 @@ def divergence(series: DataFrame, g: Guard = Guard()) -> DataFrame:
     return rows.select("run", "step", F.when(enough, F.col("early")).alias("early"), F.when(enough, F.col("late")).alias("late"), F.coalesce(enough & (F.col("early") > 0) & (F.col("late") > g.divergence_factor * F.col("early")), F.lit(False)).alias("tripped"))
 
 
+class Watch:
+    """All guards over one run, a step at a time. It remembers `history` losses and two streaks."""
+
+    def __init__(self, guard: Guard = Guard()):
+        self.guard, self.seen, self.zeros, self.spikes = guard, 0, 0, 0
+        self.losses: deque[float] = deque(maxlen=max(guard.history, guard.window))
+
+    def memory(self) -> tuple[list[float], int, int, int]:
+        return list(self.losses), self.seen, self.zeros, self.spikes
+
+    def recall(self, losses: list[float], seen: int, zeros: int, spikes: int) -> None:
+        self.losses.extend(losses)
+        self.seen, self.zeros, self.spikes = seen, zeros, spikes
+
+    def see(self, loss: float | None, grad_norm: float | None) -> str | None:
+        """The reason to halt at this step, or None; of several the one that is asked first."""
+        g = self.guard
+        if loss is not None and not math.isfinite(loss):
+            return "non_finite_loss"
+        if grad_norm is not None and not math.isfinite(grad_norm):
+            return "non_finite_grad"
+        if grad_norm is not None and g.max_grad_norm is not None and grad_norm > g.max_grad_norm:
+            return "grad_explosion"
+        if loss is None:
+            return None
+        self.zeros = self.zeros + 1 if loss == 0.0 else 0
+        before = self._last(g.window)
+        if len(before) >= max(3, g.window // 4):
+            base = median(before)
+            self.spikes = self.spikes + 1 if base > 0 and loss > g.spike_factor * base else 0
+        self.losses.append(loss)
+        self.seen += 1
+        if self.zeros >= g.zero_patience:
+            return "zero_loss"
+        if self.spikes >= g.spike_patience:
+            return "loss_spike"
+        if self.seen >= max(g.min_steps, 2 * g.window):
+            kept = min(len(self.losses), g.history)
+            early = median(islice(self.losses, len(self.losses) - kept, len(self.losses) - kept + g.window))
+            if early > 0 and median(self._last(g.window)) > g.divergence_factor * early:
+                return "divergence"
+        return None
+
+    def _last(self, n: int) -> list[float]:
+        return list(islice(self.losses, max(0, len(self.losses) - n), None))
+
+
 def first_trip(series: DataFrame, g: Guard = Guard()) -> DataFrame:
-    """run, step, reason of the first decision to halt; of several at a step, the one that is asked first."""
-    trips = number_guard(series, g).where("reason is not null").select("run", "step", "reason", F.lit(0).alias("rank"))
-    for rank, (reason, found) in enumerate((("zero_loss", zero_loss), ("loss_spike", loss_spike), ("divergence", divergence)), 1):
-        trips = trips.unionByName(found(series, g).where("tripped").select("run", "step", F.lit(reason).alias("reason"), F.lit(rank).alias("rank")))
-    return trips.groupBy("run").agg(F.min(F.struct("step", "rank", "reason")).alias("t")).select("run", "t.step", "t.reason")
+    """run, step, reason of the first decision to halt: one pass over each run in order of step, which ends where it trips."""
+
+    def watch(ordered: Iterator[tuple]) -> Iterator[tuple]:
+        own = Watch(g)
+        for _, step, loss, grad_norm in ordered:
+            reason = own.see(loss, grad_norm)
+            if reason:
+                yield step, reason
+                return
+
+    kind = series.schema["run"].dataType.simpleString()
+    rows = series.select("run", F.col("step").cast("long").alias("step"), F.col("loss").cast("double").alias("loss"), F.col("grad_norm").cast("double").alias("grad_norm"))
+    return walked(rows, ["run"], ["step"], watch, f"run {kind}, step long, reason string")
 
 
 def until_trip(series: DataFrame, g: Guard = Guard()) -> DataFrame:
@@ -87,27 +149,29 @@ def until_trip(series: DataFrame, g: Guard = Guard()) -> DataFrame:
 
 
 def early_stopping(series: DataFrame, patience: int = 3, min_delta: float = 0.0, mode: str = "min") -> DataFrame:
-    """(run, step, value) -> run, best, best_step, stop_step, reason: a fold over each run, as an improvement depends on the best so far.
+    """(run, step, value) -> run, best, best_step, stop_step, reason: one pass over each run, as an improvement depends on the best so far.
 
     A value that is not finite stops with non_finite_eval; more than `patience` bad values in a row with early_stop.
     """
     if mode not in ("min", "max") or patience < 0 or min_delta < 0:
         raise ValueError("mode is min or max; patience and min_delta are not negative")
-    start = F.struct(F.lit(None).cast("double").alias("best"), F.lit(None).cast("long").alias("best_step"), F.lit(0).alias("bad"), F.lit(None).cast("long").alias("stop_step"), F.lit(None).cast("string").alias("reason"))
-
-    def step(a: Column, x: Column) -> Column:
-        better = a["best"].isNull() | ((x["value"] < a["best"] - min_delta) if mode == "min" else (x["value"] > a["best"] + min_delta))
-        odd, over = ~is_finite(x["value"]), a["bad"] + 1 > patience
-        put = lambda best, best_step, bad, stop, reason: F.struct(best.alias("best"), best_step.alias("best_step"), bad.cast("int").alias("bad"), stop.cast("long").alias("stop_step"), reason.cast("string").alias("reason"))
-        none = F.lit(None)
-        return (
-            F.when(a["reason"].isNotNull(), a)
-            .when(odd, put(a["best"], a["best_step"], a["bad"], x["step"], F.lit("non_finite_eval")))
-            .when(better, put(x["value"], x["step"], F.lit(0), none, none))
-            .when(over, put(a["best"], a["best_step"], a["bad"] + 1, x["step"], F.lit("early_stop")))
-            .otherwise(put(a["best"], a["best_step"], a["bad"] + 1, none, none))
-        )
-
-    ordered = F.array_sort(F.collect_list(F.struct(F.col("step").cast("long").alias("step"), F.col("value").cast("double").alias("value"))))
-    folded = series.where("value is not null").groupBy("run").agg(F.aggregate(ordered, start, step).alias("s"))
-    return folded.select("run", "s.best", "s.best_step", "s.stop_step", "s.reason")
+    sign = 1.0 if mode == "min" else -1.0
+
+    def follow(ordered: Iterator[tuple]) -> Iterator[tuple]:
+        best, best_step, bad = None, None, 0
+        for _, step, value in ordered:
+            if not math.isfinite(value):
+                yield best, best_step, step, "non_finite_eval"
+                return
+            if best is None or sign * value < sign * best - min_delta:
+                best, best_step, bad = value, step, 0
+                continue
+            bad += 1
+            if bad > patience:
+                yield best, best_step, step, "early_stop"
+                return
+        yield best, best_step, None, None
+
+    kind = series.schema["run"].dataType.simpleString()
+    rows = series.where("value is not null").select("run", F.col("step").cast("long").alias("step"), F.col("value").cast("double").alias("value"))
+    return walked(rows, ["run"], ["step"], follow, f"run {kind}, best double, best_step long, stop_step long, reason string")

@@ -17,6 +17,7 @@ from corpusmill.plans.catalog import query
 from corpusmill.plans.queries_text import _NORM, LEN_SQL, datum_sql, told_ids, told_weights
 from corpusmill.plans.views import CHAT_SQL, DIRTY_SQL, dirty, examples, table
 from corpusmill.sources import files
+from corpusmill.streaming import epochs
 
 #: All pairs by Jaccard, through the shingles they share: texts t(id, norm) -> sim(a, b, jaccard, both orders).
 _JACCARD = """shingled as (select id, unnest(case when length(norm) <= 5 then [norm] else list_distinct(list_transform(range(1, length(norm) - 3), lambda i: substr(norm, i, 5))) end) as g from t where norm <> ''),
@@ -167,6 +168,21 @@ def cursor_resume(spark, sf_dir):
     return before.unionByName(after).agg(F.count("*").alias("reads"), (F.count("*") - n).alias("repeats"), F.countDistinct("doc_id").alias("documents"))
 
 
+@query("select e.k as epoch, doc_id from documents, range(2) as e(k)")
+def epoch_stream(spark, sf_dir):
+    """Two ranks read two epochs as streams, two batches an epoch, each stopped after the second batch and started again."""
+    spec = sharding.ShardSpec(world_size=2)
+    base = f"{shared_dir(spark)}/epochs-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    epochs.write_order(sharding.epoch_order(docs, "doc_id", spec, epochs=2, seed=3), f"{base}/order")
+    size = docs.count() // 3
+    for rank in (0, 1):
+        put = lambda rows, batch_id, rank=rank: rows.select("epoch", "doc_id").write.mode("overwrite").parquet(f"{base}/read/{rank}-{batch_id}")
+        for batches in (2, None):
+            epochs.follow(spark, f"{base}/order", spec.sibling(rank), put, f"{base}/cursor-{rank}", size, 2, batches)
+    return spark.read.schema("epoch int, doc_id long").option("recursiveFileLookup", True).parquet(f"{base}/read")
+
+
 @query("select e.k as epoch, count(*)::bigint as rows, true as dense, true as shuffled from documents, range(2) as e(k) group by e.k")
 def epoch_positions(spark, sf_dir):
     """Each epoch's order: every rank's indices run from 0 without a gap, and the second epoch's order is another."""
@@ -361,10 +377,10 @@ def prompt_file(spark, sf_dir):
 
 @query("select user_id as run, count(*)::bigint as rows, count(*) filter (where event_id % 7 <> 0)::bigint as losses from events group by 1")
 def metrics_file(spark, sf_dir):
-    """Metrics appended in two batches as JSON lines, null fields left out, and read again."""
+    """Metrics written in two batches as JSON lines, the first one twice, null fields left out, and read again."""
     path = f"{shared_dir(spark)}/metrics-{uuid.uuid4().hex}"
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), "event_id", F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("loss"))
-    for part in (0, 1):
+    for part in (0, 0, 1):
         files.fan_out([files.chosen_sink(run_dir=path), files.no_sink])(rows.where(F.col("event_id") % 2 == part), part)
     return spark.read.schema("run long, event_id long, loss double").json(f"{path}/metrics").groupBy("run").agg(F.count("*").alias("rows"), F.count("loss").alias("losses"))
 

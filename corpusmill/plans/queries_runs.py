@@ -8,10 +8,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusmill.operators import guards, runs
-from corpusmill.operators.stored import shared_dir
+from corpusmill.operators.stored import shared_dir, stored
 from corpusmill.plans.catalog import query
 from corpusmill.plans.views import table
 from corpusmill.sources import files
+from corpusmill.streaming import guarded, incremental
 
 _SERIES = """series as (select user_id as run, row_number() over (partition by user_id order by ts, event_id)::bigint as step, event_id,
     case when event_id % 101 = 0 then null when event_id % 197 = 0 then 'nan'::double when user_id % 5 = 0 and (event_id // 40) % 3 = 0 then 0.0
@@ -72,13 +73,30 @@ def guard_divergence(spark, sf_dir):
     return guards.divergence(_finite(spark, sf_dir), _GUARD).withColumns({c: F.round(c, 6) for c in ("early", "late")})
 
 
-@query(f"""with {_FINITE}, {_ZERO}, {_SPIKE}, {_DIVERGE}, trips as (select run, step, 0 as rank, {_NUMBERS} as reason from fin where {_NUMBERS} is not null
+_FIRST_TRIP = f"""with {_FINITE}, {_ZERO}, {_SPIKE}, {_DIVERGE}, trips as (select run, step, 0 as rank, {_NUMBERS} as reason from fin where {_NUMBERS} is not null
     union all select run, step, 1, 'zero_loss' from zero where streak >= 5 union all select run, step, 2, 'loss_spike' from spikes where streak >= 3 union all select run, step, 3, 'divergence' from diverged where tripped)
-    select run, step, reason from trips qualify row_number() over (partition by run order by step, rank) = 1""")
+    select run, step, reason from trips qualify row_number() over (partition by run order by step, rank) = 1"""
+
+
+@query(_FIRST_TRIP)
 def guard_first_trip(spark, sf_dir):
     return guards.first_trip(_finite(spark, sf_dir), _GUARD)
 
 
+@query(_FIRST_TRIP)
+def guard_stream(spark, sf_dir):
+    """The same decisions told by a stream that gets the series in four files, dealt by event, so that steps come late and out of order; the first comes twice."""
+    base = f"{shared_dir(spark)}/guards-{uuid.uuid4().hex}"
+    rows = _finite(spark, sf_dir).select("run", "step", "loss", "grad_norm", F.pmod(F.xxhash64("event_id"), F.lit(4)).alias("part"))
+    rows = stored(rows)
+    for part in (0, 1, 0, 2, 3):
+        rows.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = spark.readStream.schema(rows.drop("part").schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+    put = lambda batch, batch_id: batch.write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
+    incremental.run_available(guarded.guarded(stream, _GUARD), put, f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/out").drop("batch")
+
+
 @query(f"""with recursive {_SERIES}, v as (select run, row_number() over (partition by run order by step) as k, step, loss as value from series where loss is not null),
     walk as (select run, k, value as best, step as best_step, 0 as bad, null::bigint as stop_step, null::varchar as reason from v where k = 1 and isfinite(value)
         union all select run, k, null, null, 0, step, 'non_finite_eval' from v where k = 1 and not isfinite(value)

@@ -157,6 +157,11 @@ def append_metrics(metrics: DataFrame, path: str) -> None:
     metrics.write.mode("append").option("ignoreNullFields", True).json(path)
 
 
+def put_metrics(metrics: DataFrame, path: str, batch_id: int) -> None:
+    """JSON lines of a stream's batch in a folder of its own, in place of what an earlier try of the batch left there."""
+    metrics.write.mode("overwrite").option("ignoreNullFields", True).json(f"{path}/batch={batch_id}")
+
+
 def fan_out(sinks: list) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that hands each batch to all sinks, each a function of (batch, batch_id)."""
 
@@ -179,10 +184,10 @@ def no_sink(batch: DataFrame, batch_id: int) -> None:
 
 
 def chosen_sink(tracker: Sink | None = None, run_dir: str | None = None) -> Sink:
-    """The tracker if there is one, else JSON lines in the run's folder, else none."""
+    """The tracker if there is one, else JSON lines in the run's folder, else none. A batch that is written again replaces itself."""
     if tracker is not None:
         return tracker
-    return (lambda batch, batch_id: append_metrics(batch, f"{run_dir}/metrics")) if run_dir else no_sink
+    return (lambda batch, batch_id: put_metrics(batch, f"{run_dir}/metrics", batch_id)) if run_dir else no_sink
 
 
 def write_jobs(jobs: DataFrame, path: str) -> None:
