@@ -19,6 +19,12 @@ def walked(rows: DataFrame, keys: list[str], order: list[str], walk: Walk, schem
     A key's rows are one sequence, so one task goes through them; it holds what the walk holds and up to `give` output
     rows. The keys come first in the rows that a walk gets. A walk need not read its rows to the end.
     """
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, *order)
+    return walked_there(dealt, keys, walk, schema, give)
+
+
+def walked_there(rows: DataFrame, keys: list[str], walk: Walk, schema: str, give: int = 4096) -> DataFrame:
+    """`walked` over partitions that are sorted by the keys already; a key that several of them hold is walked in each."""
     columns = keys + [c for c in rows.columns if c not in keys]
     kinds = to_arrow_schema(StructType.fromDDL(schema))
     width = len(keys)
@@ -50,4 +56,4 @@ def walked(rows: DataFrame, keys: list[str], order: list[str], walk: Walk, schem
     def batch(out: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), kinds)], schema=kinds)
 
-    return rows.select(*columns).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return rows.select(*columns).mapInArrow(run, schema)
