@@ -137,7 +137,18 @@ def distinct_counts(spark, sf_dir):
 _SPEC = sharding.ShardSpec(world_size=8)
 
 
-@query()
+def _digits(*parts: str) -> str:
+    """`sharding.digits` as SQL."""
+    return f"('0x' || substr(md5(concat_ws('/', {', '.join(parts)})), 1, 13))::bigint"
+
+
+def _owned_sql(world: int, name: str = "owned") -> str:
+    """owned(doc_id, bucket, owner): of all ranks' straws for a bucket, digests of seed, rank and bucket, the greatest wins."""
+    return f"""straws_{name} as (select b as bucket, arg_max(r, sha256('0/' || r || '/' || b)) as owner from range(1024) as t(b), range({world}) as u(r) group by b),
+    {name} as (select doc_id, ({_digits("0", "doc_id")} % 1024)::int as bucket, owner::int as owner from documents join straws_{name} on bucket = {_digits("0", "doc_id")} % 1024)"""
+
+
+@query(f"with {_owned_sql(8)} select doc_id, bucket, owner from owned")
 def shard_assignment(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", _SPEC.bucket_of(F.col("doc_id")).alias("bucket"), _SPEC.owner_of(F.col("doc_id")).alias("owner"))
@@ -150,7 +161,7 @@ def shard_coverage(spark, sf_dir):
     return placed.agg(F.count("*").alias("n"), F.countDistinct("doc_id", "owner").alias("placed"), F.every(F.col("owner").between(0, 7)).alias("within_world"))
 
 
-@query()
+@query(f"""with {_owned_sql(8)} select doc_id, owner as rank, e::int as epoch, (row_number() over (partition by owner, e order by {_digits("3", "e", "doc_id")}, doc_id) - 1)::bigint as index from owned, range(2) as t(e)""")
 def epoch_order(spark, sf_dir):
     return sharding.epoch_order(table(spark, sf_dir, "documents"), "doc_id", _SPEC, epochs=2, seed=3)
 
@@ -213,10 +224,41 @@ def mixture_probabilities(spark, sf_dir):
     return spark.createDataFrame(rows, "temperature double, source string, probability double").withColumn("probability", F.round("probability", 6))
 
 
-@query()
-def mixture_sample(spark, sf_dir):
+_MIX = f"""rows as (select lang as source, doc_id as key, row_number() over (partition by lang order by doc_id) - 1 as position, count(*) over (partition by lang) as size from documents where lang in ('en', 'de', 'fr')),
+    u as (select i as draw, {_digits("4", "i")} / 4503599627370496.0::double as u from range(2000) as t(i)),
+    drawn as (select draw, case when u < 0.7::double / 1.0::double then 'en' when u < 0.9::double then 'de' else 'fr' end as source from u),
+    turn as (select *, row_number() over (partition by source order by draw) - 1 as k from drawn)"""
+_CYCLED = f"{_MIX}, cycled as (select draw, source, position, key from turn join rows using (source) where position = k % size)"
+
+
+def _mixed(spark, sf_dir, policy):
     docs = table(spark, sf_dir, "documents").select(F.col("lang").alias("source"), F.col("doc_id").alias("key"))
-    return sharding.mixture(docs, 2000, _WEIGHTS, seed=4)
+    return sharding.mixture(docs, 2000, _WEIGHTS, seed=4, policy=policy)
+
+
+@query(f"with {_CYCLED} select * from cycled")
+def mixture_sample(spark, sf_dir):
+    return _mixed(spark, sf_dir, "cycle")
+
+
+@query(f"""with {_MIX}, stop as (select coalesce(min(draw), 2000) as last_draw from turn join (select distinct source, size from rows) using (source) where k >= size)
+    select draw, source, position, key from turn join rows using (source) where position = k and draw < (select last_draw from stop)""")
+def mixture_stopped(spark, sf_dir):
+    """Up to the first draw of a source that has no row left."""
+    return _mixed(spark, sf_dir, "stop")
+
+
+@query(f"""with recursive {_MIX}, sizes as (select count(*) filter (where source = 'en') as e, count(*) filter (where source = 'de') as d, count(*) filter (where source = 'fr') as f from rows),
+    walk as (select -1::bigint as draw, 0::bigint as ne, 0::bigint as nd, 0::bigint as nf, 0.7::double as we, 0.2::double as wd, 0.1::double as wf, null::varchar as source, null::bigint as position
+        union all
+        select draw, ne + (s = 'en' and ne < e)::int, nd + (s = 'de' and nd < d)::int, nf + (s = 'fr' and nf < f)::int, case when s = 'en' and ne >= e then 0 else we end, case when s = 'de' and nd >= d then 0 else wd end, case when s = 'fr' and nf >= f then 0 else wf end,
+            case when case s when 'en' then ne < e when 'de' then nd < d else nf < f end then s end, case s when 'en' then ne when 'de' then nd else nf end
+        from (select u.draw, w.ne, w.nd, w.nf, w.we, w.wd, w.wf, case when u < we / (we + wd + wf) then 'en' when u < we / (we + wd + wf) + wd / (we + wd + wf) or wf = 0 then case when wd = 0 then 'en' else 'de' end else 'fr' end as s
+            from walk w join u on u.draw = w.draw + 1 where we + wd + wf > 0) cross join sizes)
+    select draw, source, position, key from walk join rows using (source, position)""")
+def mixture_drained(spark, sf_dir):
+    """A source without rows drops out and the others go on."""
+    return _mixed(spark, sf_dir, "drain")
 
 
 @query("select source, true as near_weight, true as in_order from (values ('en'), ('de'), ('fr')) as t(source)")
@@ -231,7 +273,7 @@ def mixture_properties(spark, sf_dir):
     return told.select("source", (F.abs(F.col("n") / 2000 - weight) < 0.05).alias("near_weight"), "in_order")
 
 
-@query()
+@query(f"with {_CYCLED} select source, count(*)::bigint as emitted, round(count(*) / sum(count(*)) over (), 6) as share from cycled group by source")
 def mixture_shares(spark, sf_dir):
     return sharding.realized_proportions(mixture_sample(spark, sf_dir))
 
@@ -350,14 +392,15 @@ def chat_file_round_trip(spark, sf_dir):
     return files.load_chat(spark, path).select(F.md5(chat.joined_text(m).cast("binary")).alias("contents_md5"), F.array_join(chat.roles(m), ",").alias("roles"), "row_id")
 
 
-@query(f"""with {CHAT_SQL}, p as (select row_id, contents[1] as prompt, contents[list_position(roles, 'assistant')] as chosen from chat)
+@query(f"""with {CHAT_SQL}, p as (select row_id, case when row_id % 4 = 0 then '[INST] ' else '' end || contents[1] as prompt, contents[list_position(roles, 'assistant')] as chosen from chat)
     select md5(prompt) as prompt_md5, md5(chosen) as chosen_md5, md5(chosen || '!') as rejected_md5, case when row_id % 2 = 0 then 'user' else 'system,user' end as roles from p""")
 def preference_file_round_trip(spark, sf_dir):
-    """Preference rows written as JSON lines, with prompts as text and as messages, and read again."""
+    """Preference rows written as JSON lines, with prompts as text (some begin with a bracket) and as messages, and read again."""
     path = f"{shared_dir(spark)}/preferences-{uuid.uuid4().hex}"
     m = F.col("messages")
     first = F.get(F.transform(F.filter(m, lambda x: x["role"] == "assistant"), lambda x: x["content"]), 0)
-    prompt, turn = F.get(m, 0)["content"], lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    prompt = F.concat(F.when(F.col("row_id") % 4 == 0, "[INST] ").otherwise(""), F.get(m, 0)["content"])
+    turn = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
     rows = examples(spark, sf_dir).select("row_id", prompt.alias("prompt"), first.alias("chosen"), F.concat(first, F.lit("!")).alias("rejected"))
     plain = rows.where("row_id % 2 = 0").select(F.to_json(F.struct("prompt", "chosen", "rejected")).alias("value"))
     listed = rows.where("row_id % 2 = 1").select(F.to_json(F.struct(F.array(turn("system", F.lit("be brief")), turn("user", F.col("prompt"))).alias("prompt"), "chosen", "rejected")).alias("value"))
@@ -367,11 +410,13 @@ def preference_file_round_trip(spark, sf_dir):
     return got.select(digest(F.element_at("prompt", -1)["content"]).alias("prompt_md5"), digest(F.col("chosen")).alias("chosen_md5"), digest(F.col("rejected")).alias("rejected_md5"), F.array_join(chat.roles(F.col("prompt")), ",").alias("roles"))
 
 
-@query("select trim(text) as prompt from benchmark where trim(text) <> '' and not contains(text, chr(10)) and not contains(text, chr(13))")
+@query("""select (row_number() over (order by item_id) - 1)::bigint as row_id, trim(text) as prompt from benchmark
+    where trim(text) <> '' and not contains(text, chr(10)) and not contains(text, chr(13))""")
 def prompt_file(spark, sf_dir):
-    """Benchmark texts of one line as a prompts file with blank lines."""
+    """Benchmark texts of one line as a prompts file, in order, with tabs, no-break spaces and blank lines."""
     path = f"{shared_dir(spark)}/prompts-{uuid.uuid4().hex}"
-    table(spark, sf_dir, "benchmark").where("not contains(text, char(10)) and not contains(text, char(13))").select(F.concat(F.lit("  "), "text", F.lit(" \n\n")).alias("value")).write.text(path)
+    told = table(spark, sf_dir, "benchmark").where("not contains(text, char(10)) and not contains(text, char(13))").coalesce(1).sortWithinPartitions("item_id")
+    told.select(F.concat(F.lit("\t "), "text", F.lit(" \u00a0\n \t\u2003\n"))).write.text(path)
     return files.load_prompts(spark, path)
 
 

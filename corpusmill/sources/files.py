@@ -4,99 +4,189 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from corpusmill.functions import chat, text
 from corpusmill.operators.runs import reconcile
-
-CHAT = f"messages {chat.MESSAGES}, prompt string, completion string, _corrupt_record string"
-
+from corpusmill.operators.stored import stored
 
 class CorruptManifestError(ValueError):
     """A checkpoint manifest that is no list of entries with step and path."""
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """row_id, path, line_no, line: non-blank lines in order of file and line; row_id counts them from 0 over all files.
+#: A line -> the rows that it gives, each as the values of a schema's columns.
+Parse = Callable[[str], Iterable[tuple]]
 
-    Files are read in splits. A first pass counts each split's lines; in the second a split numbers its own lines, and the
-    numbers before it are added. No line is shuffled for its number.
+
+def parsed_lines(spark: SparkSession, path: str, parse: Parse, schema: str) -> DataFrame:
+    """row_id, path, line_no and the schema's columns: what `parse` makes of the lines, in order of file and line.
+
+    Files are read once, in splits. A split numbers its own lines and rows and tells, in a row of its own, how many it had; the result is
+    written, and the numbers of the splits before are added when it is read. row_id counts rows from 0 over all files.
     """
-    read = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
-    told = F.col("line").rlike(r"(?U)[^\s\x1c-\x1f]")
-    counts = read.groupBy("path", "block").agg(F.count("*").alias("lines"), F.count_if(told).alias("rows"))
-    ahead = counts.select(  # a row for each split
-        "path", "block", F.coalesce(F.sum("lines").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("lines_ahead"),
-        F.coalesce(F.sum("rows").over(Window.orderBy("path", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("rows_ahead"),
-    )
+    own = StructType.fromDDL(f"path string, block long, k long, r long, ends boolean, {schema}")
+    kinds = to_arrow_schema(own)
+    names = own.names[5:]
 
     def number(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, lines, rows = None, 0, 0
+        out: list[tuple] = []
+
+        def batch() -> pa.RecordBatch:
+            columns = list(zip(*out)) or [()] * len(kinds)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds)], schema=kinds)
+
+        end = lambda: out.append((*place, lines, rows, True, *[None] * len(names)))
         for b in batches:
-            out: list[tuple] = []
             for file, block, line in zip(*(c.to_pylist() for c in b.columns)):
-                if (file, block) != place:
+                if place != (file, block):
+                    if place is not None:
+                        end()
                     place, lines, rows = (file, block), 0, 0
                 lines += 1
-                if line.strip():
-                    out.append((file, block, lines, rows, line))
+                for values in parse(line):
+                    out.append((*place, lines, rows, False, *values))
                     rows += 1
-            columns = list(zip(*out)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()))], ["path", "block", "k", "r", "line"])
+            yield batch()
+        if place is not None:
+            end()
+            yield batch()
+
+    read = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value")
+    table = stored(read.mapInArrow(number, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own)))
+    before = Window.orderBy("path", "block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
+    ahead = table.where("ends").select(
+        "path", "block", F.coalesce(F.sum("k").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("lines_ahead"),
+        F.coalesce(F.sum("r").over(before), F.lit(0)).alias("rows_ahead"),
+    )
+    return table.where("not ends").join(ahead, ["path", "block"]).select((F.col("rows_ahead") + F.col("r")).alias("row_id"), "path", (F.col("lines_ahead") + F.col("k")).alias("line_no"), *names)
 
-    own = read.mapInArrow(number, "path string, block long, k long, r long, line string")
-    return own.join(ahead, ["path", "block"]).select((F.col("rows_ahead") + F.col("r")).alias("row_id"), "path", (F.col("lines_ahead") + F.col("k")).alias("line_no"), "line")
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """row_id, path, line_no, line: the lines that are not blank."""
+    return parsed_lines(spark, path, lambda line: [(line,)] if line.strip() else [], "line string")
 
-def _place() -> Column:
-    return F.concat("path", F.lit(":"), F.col("line_no").cast("string"))
 
+#: The roles of a chat.
+ROLES = ("system", "user", "assistant", "tool")
 
-def load_chat(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """row_id, messages of a JSON-lines file of chats (`messages`) or pairs (`prompt` and `completion`), mixed as they come.
 
-    strict: a line that is no JSON, has neither form or no assistant turn fails with its place, an empty file with a
-    ValueError. Otherwise such lines stay, with messages null and an error.
-    """
-    lines = numbered_lines(spark, path)
-    row = F.from_json("line", CHAT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
-    parsed = lines.withColumn("r", row)
-    pair = F.array(F.struct(F.lit("user").alias("role"), F.col("r.prompt").alias("content")), F.struct(F.lit("assistant").alias("role"), F.col("r.completion").alias("content")))
-    messages = F.when(F.col("r.messages").isNotNull(), F.col("r.messages")).when(F.col("r.prompt").isNotNull() & F.col("r.completion").isNotNull(), pair)
-    error = F.when(F.col("r._corrupt_record").isNotNull(), F.concat(_place(), F.lit(": invalid JSON"))).when(messages.isNull(), F.concat(_place(), F.lit(": needs messages, or prompt and completion"))).when(~chat.has_assistant(messages), F.concat(_place(), F.lit(": no assistant turn")))
-    out = parsed.select("row_id", F.when(error.isNull(), messages).alias("messages"), error.alias("error"), text.lone_surrogate_escape(F.col("line")).alias("lone_surrogate"))
-    return _checked(out, path) if strict else out
+class _Unfit(ValueError):
+    """What is wrong with a line."""
 
 
-def load_preferences(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """row_id, prompt (messages), chosen, rejected; a prompt given as text is one user message."""
-    row = F.from_json("line", "prompt string, chosen string, rejected string, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
-    parsed = numbered_lines(spark, path).withColumn("r", row)
-    listed = F.from_json("r.prompt", chat.MESSAGES)
-    prompt = F.when(F.col("r.prompt").rlike(r"^\s*\["), listed).when(F.col("r.prompt").isNotNull(), F.array(F.struct(F.lit("user").alias("role"), F.col("r.prompt").alias("content"))))
-    error = F.when(F.col("r._corrupt_record").isNotNull(), F.concat(_place(), F.lit(": invalid JSON"))).when(prompt.isNull() | F.col("r.chosen").isNull() | F.col("r.rejected").isNull(), F.concat(_place(), F.lit(": needs prompt, chosen and rejected")))
-    out = parsed.select("row_id", prompt.alias("prompt"), F.col("r.chosen").alias("chosen"), F.col("r.rejected").alias("rejected"), error.alias("error"))
-    return _checked(out, path) if strict else out
+def _turns(value) -> list[tuple[str, str]]:
+    """A list of messages as (role, content)."""
+    if not isinstance(value, list) or not value:
+        raise _Unfit("needs messages, a list with a turn at least")
+    for m in value:
+        if not isinstance(m, dict) or not isinstance(m.get("content"), str):
+            raise _Unfit("a message needs role and content")
+        if m.get("role") not in ROLES:
+            raise _Unfit(f"role {m.get('role')!r} is none of {', '.join(ROLES)}")
+    return [(m["role"], m["content"]) for m in value]
+
+
+def _object(line: str) -> dict:
+    try:
+        row = json.loads(line)
+    except (ValueError, RecursionError) as e:
+        raise _Unfit(f"invalid JSON: {e}") from e
+    if not isinstance(row, dict):
+        raise _Unfit("needs messages, or prompt and completion, in an object")
+    return row
+
+
+def _chat_turns(row: dict) -> list[tuple[str, str]]:
+    if "messages" in row:
+        turns = _turns(row["messages"])
+    elif "prompt" in row and "completion" in row:
+        turns = [("user", str(row["prompt"])), ("assistant", str(row["completion"]))]
+    else:
+        raise _Unfit("needs messages, or prompt and completion")
+    if all(role != "assistant" for role, _ in turns):
+        raise _Unfit("no assistant turn")
+    return turns
+
+
+def _preference(row: dict) -> tuple[list[tuple[str, str]], str, str]:
+    if "chosen" not in row or "rejected" not in row:
+        raise _Unfit("needs prompt, chosen and rejected")
+    prompt = row.get("prompt")
+    if not isinstance(prompt, (list, str)):
+        raise _Unfit("needs prompt, chosen and rejected; the prompt is a text or a list of messages")
+    return [("user", prompt)] if isinstance(prompt, str) else _turns(prompt), str(row["chosen"]), str(row["rejected"])
+
+
+def _sound(text: str) -> str:
+    """The text with U+FFFD for each lone surrogate, which no column can hold."""
+    return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace") if _LONE.search(text) else text
+
+
+_LONE = re.compile("[\ud800-\udfff]")
 
 
 def _checked(rows: DataFrame, path: str) -> DataFrame:
-    """Rows without the error column; the first error, or no row at all, is a ValueError."""
-    bad = rows.where("error is not null").orderBy("row_id").select("error").first()
-    if bad:
-        raise ValueError(bad.error)
-    if rows.isEmpty():
+    """Rows without the error column; the first error, or no row at all, is a ValueError. Only numbers and errors are read for it."""
+    seen = rows.agg(F.count("*").alias("n"), F.min(F.when(F.col("error").isNotNull(), F.struct("row_id", "error"))).alias("bad")).first()
+    if seen.bad:
+        raise ValueError(seen.bad.error)
+    if not seen.n:
         raise ValueError(f"{path} has no rows")
     return rows.drop("error")
 
 
+def _loaded(spark: SparkSession, path: str, of: Callable[[dict], tuple], schema: str, strict: bool) -> DataFrame:
+    """row_id, the schema's columns and whether the line held a lone surrogate, from lines of JSON objects."""
+    width = len(StructType.fromDDL(schema).names)
+
+    def parse(line: str) -> Iterator[tuple]:
+        if line.strip():
+            try:
+                values = of(_object(line))
+            except _Unfit as e:
+                yield *[None] * width, None, _sound(str(e))
+                return
+            told: list = []
+            lone = False
+            for v in values:
+                parts = [x for turn in v for x in turn] if isinstance(v, list) else [v]
+                lone = lone or any(_LONE.search(x) for x in parts)
+                told.append([{"role": r, "content": _sound(c)} for r, c in v] if isinstance(v, list) else _sound(v))
+            yield *told, lone, None
+
+    rows = parsed_lines(spark, path, parse, f"{schema}, lone_surrogate boolean, why string")
+    error = F.when(F.col("why").isNotNull(), F.concat("path", F.lit(":"), F.col("line_no").cast("string"), F.lit(": "), "why"))
+    out = rows.select("row_id", *StructType.fromDDL(schema).names, error.alias("error"), "lone_surrogate")
+    return _checked(out, path) if strict else out
+
+
+def load_chat(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """row_id, messages, lone_surrogate of a JSON-lines file of chats (`messages`) or pairs (`prompt` and `completion`), mixed as they come.
+
+    strict: a line that is no JSON, has neither form, an unknown role or no assistant turn fails with its place, an empty file with a
+    ValueError. Otherwise such lines stay, with messages null and an error.
+    """
+    return _loaded(spark, path, lambda row: (_chat_turns(row),), f"messages {chat.MESSAGES}", strict)
+
+
+def load_preferences(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """row_id, prompt (messages), chosen, rejected; a prompt given as text is one user message."""
+    return _loaded(spark, path, _preference, f"prompt {chat.MESSAGES}, chosen string, rejected string", strict).drop("lone_surrogate")
+
+
 def load_prompts(spark: SparkSession, path: str) -> DataFrame:
-    """prompt: the lines of a text file, trimmed, without blank ones."""
-    return spark.read.text(path).select(F.trim("value").alias("prompt")).where("prompt <> ''")
+    """row_id, prompt: the lines of a text file in order, without white space around them and without blank ones."""
+    return parsed_lines(spark, path, lambda line: [(p,) for x in line.splitlines() if (p := x.strip())], "prompt string").select("row_id", "prompt")
 
 
 def load_jobs(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:

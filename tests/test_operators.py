@@ -1,5 +1,6 @@
 """Small cases of every operator family, worked by hand or against plain Python."""
 
+import hashlib
 import json
 import math
 import random
@@ -291,6 +292,29 @@ def test_mixture(spark):
     assert stopped.where("source = 'c'").count() == 1 and stopped.count() < 60
 
 
+@pytest.mark.parametrize("policy", ["stop", "drain"])
+def test_mixtures_against_the_walk_over_draws(spark, policy):
+    sizes, weights, n = {"a": 4000, "b": 700, "c": 0, "d": 60}, {"a": 0.5, "b": 0.3, "c": 0.1, "d": 0.1}, 9000
+    left, p, want = dict(sizes), sharding.mixture_probabilities(weights), []
+    for draw in range(n):
+        u = int(hashlib.md5(f"5/{draw}".encode()).hexdigest()[:13], 16) / 2**52
+        upto, bounds = 0.0, []
+        for k in p:
+            upto += p[k]
+            bounds.append((upto, k))
+        source = next((k for bound, k in bounds[:-1] if u < bound), bounds[-1][1])
+        if left[source]:
+            want.append((draw, source, sizes[source] - left[source]))
+            left[source] -= 1
+        elif policy == "stop" or len(p) == 1:
+            break
+        else:
+            p = sharding.mixture_probabilities({k: weights[k] for k in p if k != source})
+    rows = spark.createDataFrame([(k, i) for k, m in sizes.items() for i in range(m)], "source string, key long")
+    got = sharding.mixture(rows, n, weights, seed=5, policy=policy).where("position = key").select("draw", "source", "position").orderBy("draw").collect()
+    assert list(map(tuple, got)) == want and len(want) == (4760 if policy == "drain" else len(want))
+
+
 def test_packing_and_batches(spark):
     rows = spark.createDataFrame([(i, 2) for i in range(5)], "row_id long, len long")
     assert [r.pack_no for r in tokens.in_order_packs(rows, 4).orderBy("row_id").collect()] == [0, 0, 1, 1, 2]
@@ -523,6 +547,38 @@ def test_chat_files(spark, tmp_path):
         files.load_chat(spark, str(p))
 
 
+@pytest.mark.parametrize(
+    ("line", "want"),
+    [
+        ('{"messages": [{"role": "robot", "content": "u"}, {"role": "assistant", "content": "a"}]}', ": role 'robot'"), ('{"messages": []}', "needs messages"), ('{"messages": null, "prompt": "a", "completion": "b"}', "needs messages"),
+        ('{"messages": [{"role": "assistant", "content": 5}]}', "role and content"), ("[1]", "in an object"), ('{"prompt": ["a"], "completion": 4}', [("user", "['a']"), ("assistant", "4")]),
+        ('{"prompt": "\\ud800x", "completion": "ok", "extra": {"a": 1}}', [("user", "\ufffdx"), ("assistant", "ok")]), ('  {"messages": [{"role": "tool", "content": "t", "n": 1}, {"role": "assistant", "content": ""}]}\t', [("tool", "t"), ("assistant", "")]),
+    ],
+)
+def test_lines_of_chats(spark, tmp_path, line, want):
+    p = tmp_path / "chat.jsonl"
+    p.write_text(f"\n{line}\n")
+    (row,) = files.load_chat(spark, str(p), strict=False).collect()
+    if isinstance(want, str):
+        assert row.messages is None and want in row.error and "chat.jsonl:2: " in row.error
+    else:
+        assert [tuple(m) for m in row.messages] == want and row.error is None and row.lone_surrogate == ("ud800" in line)
+
+
+def test_preference_lines_and_prompt_order(spark, tmp_path):
+    p = tmp_path / "p.jsonl"
+    p.write_text('{"prompt": "[INST] hi", "chosen": "a", "rejected": "b"}\n{"prompt": "[]", "chosen": 1, "rejected": null}\n')
+    rows = files.load_preferences(spark, str(p)).orderBy("row_id").collect()
+    assert [(r.prompt[0].content, r.chosen, r.rejected) for r in rows] == [("[INST] hi", "a", "b"), ("[]", "1", "None")]
+    for bad in ('{"prompt": {"a": 1}, "chosen": "a", "rejected": "b"}', '{"prompt": [{"role": "bot", "content": "x"}], "chosen": "a", "rejected": "b"}', '{"prompt": "q", "chosen": "a"}'):
+        p.write_text(bad)
+        with pytest.raises(ValueError, match="p.jsonl:1: "):
+            files.load_preferences(spark, str(p))
+    t = tmp_path / "prompts.txt"
+    t.write_text("\tone \n\t\ntwo\u00a0\n a\u2028b\n" + "".join(f"{i}\n" for i in range(500)))
+    assert [r.prompt for r in files.load_prompts(spark, str(t)).orderBy("row_id").collect()] == ["one", "two", "a", "b", *map(str, range(500))]
+
+
 def test_preference_prompt_and_manifest_files(spark, tmp_path):
     p = tmp_path / "p.jsonl"
     p.write_text('{"prompt": "q", "chosen": "a", "rejected": "b"}\n{"prompt": [{"role": "user", "content": "tip"}], "chosen": "c", "rejected": "d"}\n')
