@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -91,22 +92,71 @@ def _redact_cards(text: Column) -> Column:
     return let(text, mend)
 
 
+_NUMBERS = ("credit_card", "ssn", "phone", "ipv4")
+_DIGITS = r"(?U)\d[\d .()\-]{5}"
+
+
+def _literals(text: Column) -> dict[str, Column]:
+    """For each kind that needs one of some literals whether the text holds it, sought in its bytes; the other kinds need a run of digits.
+
+    Marks hold neither, nor a part that could complete one, so what the text lacks at first no replacement brings.
+    """
+    has = lambda *literals: reduce(Column.__or__, (F.contains(text, F.lit(x)) for x in literals))
+    return {"private_key": has("-----BEGIN"), "aws_access_key": has("AKIA", "ASIA"), "github_token": has("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), "api_key": has("sk-"), "jwt": has("eyJ"), "email": has("@")}
+
+
+def _swapped(kind: str, there: Column) -> Callable[[Column], Column]:
+    def swap(x: Column) -> Column:
+        new = _redact_cards(x) if kind == "credit_card" else F.regexp_replace(x, "(?U)" + PII_PATTERNS[kind], f"[REDACTED:{kind}]")
+        return F.when(there, new).otherwise(x)
+
+    return swap
+
+
+def _told(text: Column) -> Column:
+    """struct(text, and a flag for each kind): anchors are sought once, however often they are asked for."""
+    digits = let(text.rlike(_DIGITS), lambda d: F.struct(*(d.alias(k) for k in _NUMBERS)))
+    own = [c.alias(k) for k, c in _literals(text).items()]
+    return F.struct(text.alias("text"), *own, digits.alias("digits"))
+
+
+def _there(told: Column, kind: str) -> Column:
+    return told["digits"][kind] if kind in _NUMBERS else told[kind]
+
+
+def _replaced(told: Column) -> Column:
+    """The text with each kind replaced in turn; a kind's pattern runs only where its anchor is."""
+    now = told["text"]
+    for kind in PII_PATTERNS:
+        now = let(now, _swapped(kind, _there(told, kind)))
+    return now
+
+
+def _suspect(text: Column) -> Column:
+    return reduce(Column.__or__, _literals(text).values()) | text.rlike(_DIGITS)
+
+
 def redacted(text: Column) -> Column:
-    """Each kind in turn is replaced by [REDACTED:kind]; a later kind sees the text that earlier ones left."""
-    for kind, pattern in PII_PATTERNS.items():
-        text = _redact_cards(text) if kind == "credit_card" else F.regexp_replace(text, "(?U)" + pattern, f"[REDACTED:{kind}]")
-    return text
+    """Each kind in turn is replaced by [REDACTED:kind]; a later kind sees the text that earlier ones left.
+
+    Texts without any anchor of a kind, nearly all in most corpora, are only searched for these.
+    """
+    return F.when(_suspect(text), let(_told(text), _replaced)).otherwise(text)
 
 
 def pii_counts(text: Column) -> Column:
     """map<kind, matches> of the kinds that redaction finds, counted in the redacted text beyond marks it had before."""
     count = lambda t, k: F.regexp_count(t, F.lit(rf"\[REDACTED:{k}\]"))
 
-    def counted(after: Column) -> Column:
-        entries = F.array(*(F.struct(F.lit(k).alias("key"), (count(after, k) - count(text, k)).alias("value")) for k in PII_PATTERNS))
-        return F.map_from_entries(F.filter(entries, lambda e: e["value"] > 0))
+    def counted(told: Column) -> Column:
+        def of(after: Column) -> Column:
+            entries = F.array(*(F.struct(F.lit(k).alias("key"), F.when(_there(told, k), count(after, k) - count(told["text"], k)).otherwise(0).alias("value")) for k in PII_PATTERNS))
+            return F.map_from_entries(F.filter(entries, lambda e: e["value"] > 0))
+
+        return let(_replaced(told), of)
 
-    return let(redacted(text), counted)
+    none = F.create_map().cast("map<string,int>")
+    return F.when(_suspect(text), let(_told(text), counted)).when(text.isNotNull(), none)
 
 
 def luhn_ok_py(match: str) -> bool:
