@@ -113,14 +113,6 @@ def lora_scaling(rank: Column, alpha: float = 64.0) -> Column:
     return F.lit(alpha) / rank
 
 
-def simulated_loss(step: Column, base: float = 2.0) -> Column:
-    return F.greatest(F.lit(0.05), 0.4 + (base - 0.4) * F.exp(-step / 40.0))
-
-
-def simulated_grad_norm(step: Column, max_norm: float = 1.0) -> Column:
-    return F.greatest(F.lit(0.01), max_norm * F.exp(-step / 60.0))
-
-
 def mean_logprob_score(total: Column, n: Column) -> Column:
     return 1 / (1 + F.exp(-F.try_divide(total, n)))
 
@@ -141,16 +133,27 @@ def exact_match(rows: DataFrame, answer: str, expected: str) -> DataFrame:
     return rows.agg(F.avg(hit.cast("double")).alias("accuracy"), F.count("*").alias("n"))
 
 
-def costs(usage: DataFrame, registry: DataFrame, per_billion: float = 0.02, sample_discount: float = 0.25, fallback_b: float = 8.0) -> DataFrame:
-    """(model, train_tokens, sample_tokens) -> with rates in USD per million tokens and cost_usd; unknown models count as fallback_b billions."""
+def costs(usage: DataFrame, registry: DataFrame, per_billion: float = 0.02, sample_discount: float = 0.25, fallback_b: float = 8.0, prices: dict[str, tuple[float | None, float | None]] | None = None) -> DataFrame:
+    """(model, train_tokens, sample_tokens) -> with rates in USD per million tokens and cost_usd.
+
+    prices: train and sample rate by model, either may be None. Without a price training costs by active billions (fallback_b for
+    unknown models) and sampling the training rate at a discount. Negative tokens fail the job.
+    """
+    spark = usage.sparkSession
+    told = spark.createDataFrame([(k, *v) for k, v in (prices or {}).items()], "model string, own_train double, own_sample double")
     sizes = registry.select(F.col("name").alias("model"), "active_b")
-    rate = per_billion * F.coalesce("active_b", F.lit(fallback_b))
-    out = usage.join(F.broadcast(sizes), "model", "left").withColumns({"train_rate": rate, "sample_rate": rate * sample_discount}).drop("active_b")  # the registry's few rows
-    return out.withColumn("cost_usd", (F.col("train_tokens") * F.col("train_rate") + F.col("sample_tokens") * F.col("sample_rate")) / 1e6)
+    known = usage.join(F.broadcast(sizes), "model", "left").join(F.broadcast(told), "model", "left")  # few rows
+    priced = known.withColumn("train_rate", F.coalesce("own_train", per_billion * F.coalesce("active_b", F.lit(fallback_b))))
+    priced = priced.withColumn("sample_rate", F.coalesce("own_sample", F.col("train_rate") * sample_discount)).drop("active_b", "own_train", "own_sample")
+    odd = (F.col("train_tokens") < 0) | (F.col("sample_tokens") < 0)
+    cost = (F.col("train_tokens") * F.col("train_rate") + F.col("sample_tokens") * F.col("sample_rate")) / 1e6
+    return priced.withColumn("cost_usd", F.when(odd, F.raise_error(F.lit("tokens are not negative"))).otherwise(cost))
 
 
 def estimated_tokens(n: Column, average: Column, epochs: Column) -> Column:
-    return (n * average * epochs).cast("bigint")
+    """Tokens of a run over n examples; negative inputs fail the job."""
+    odd = F.least(n, average, epochs) < 0
+    return F.when(odd, F.raise_error(F.lit("estimates are not negative"))).otherwise((n * average * epochs).cast("bigint"))
 
 
 def round_robin(rows: DataFrame, key: str, iterations: int, per_batch: int) -> DataFrame:

@@ -13,7 +13,7 @@ from corpusmill.operators import dedup, sharding, tokens
 from corpusmill.operators.band_index import BandIndex
 from corpusmill.operators.stored import shared_dir, stored
 from corpusmill.plans import validate
-from corpusmill.plans.catalog import query
+from corpusmill.plans.catalog import ORACLES, query
 from corpusmill.plans.queries_text import _NORM, LEN_SQL, datum_sql, told_ids, told_weights
 from corpusmill.plans.views import CHAT_SQL, DIRTY_SQL, dirty, examples, table
 from corpusmill.sources import files
@@ -110,28 +110,31 @@ def contamination_percent(spark, sf_dir):
     return dedup.contamination_share(dedup.contamination(evaluation, training), evaluation)
 
 
-@query(f"""with {_DOCS}, q as (select item_id as id, {_NORM.format("text")} as norm from benchmark where {_NORM.format("text")} <> ''), train as (select norm, min(row_id) as id from n where norm <> '' group by norm),
+@query(f"""with {_DOCS}, items as (select item_id as id, text from benchmark union all select 1000000000 + doc_id, text || case when doc_id % 200 = 0 then ' the end' else '' end from documents where doc_id % 100 = 0),
+    q as (select id, {_NORM.format("text")} as norm from items where {_NORM.format("text")} <> ''), train as (select norm, min(row_id) as id from n where norm <> '' group by norm),
     exact as (select q.id as row_id, r.id as match_id, 1.0::double as jaccard from q join train r using (norm)), t as (select -1 - id as id, norm from q union all select id, norm from train), {_JACCARD},
     near as (select -1 - a as row_id, b as match_id, jaccard from sim where a < 0 and b >= 0 and -1 - a not in (select row_id from exact) qualify row_number() over (partition by a order by round(jaccard, 9) desc, b) = 1)
     select row_id, match_id, round(jaccard, 6) as jaccard from (select * from exact union all select * from near)""")
 def benchmark_contamination(spark, sf_dir):
-    """The whole benchmark as an evaluation set against all documents."""
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("row_id"), text.normalized(F.col("text")).alias("norm"))
-    return dedup.contamination(items, _documents(spark, sf_dir))
+    """The whole benchmark, and every hundredth document as a leaked item (half of them changed), as an evaluation set against all documents."""
+    docs = table(spark, sf_dir, "documents").where("doc_id % 100 = 0")
+    leaked = docs.select((F.lit(1_000_000_000) + F.col("doc_id")).alias("row_id"), F.concat("text", F.when(F.col("doc_id") % 200 == 0, " the end").otherwise("")).alias("text"))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("row_id"), "text").unionByName(leaked)
+    return dedup.contamination(items.select("row_id", text.normalized(F.col("text")).alias("norm")), _documents(spark, sf_dir))
 
 
 @query(f"""with {_DOCS}, f as (select *, min(row_id) over (partition by norm) as first_id from n), d as (select row_id from f where row_id > first_id)
     select count(*)::bigint as duplicates, (select count(*) from n)::bigint as n, round(count(*) / (select count(*) from n), 6) as duplicate_rate, case when count(*) >= 0.2 * (select count(*) from n) then 'error' else 'warning' end as severity from d""")
 def duplicate_rate(spark, sf_dir):
-    counted = _documents(spark, sf_dir).groupBy("norm").agg(F.count("*").alias("c"))
-    extra, n = F.sum(F.col("c") - 1), F.sum("c")
-    return counted.agg(extra.alias("duplicates"), n.alias("n"), F.round(extra / n, 6).alias("duplicate_rate"), F.when(extra >= 0.2 * n, "error").otherwise("warning").alias("severity"))
+    docs = _documents(spark, sf_dir)
+    extra = dedup.exact_duplicates(docs, "norm").agg(F.count("*").alias("duplicates"))
+    n = docs.agg(F.count("*").alias("n"))
+    return extra.join(n).select("duplicates", "n", F.round(F.col("duplicates") / F.col("n"), 6).alias("duplicate_rate"), F.when(F.col("duplicates") >= 0.2 * F.col("n"), "error").otherwise("warning").alias("severity"))
 
 
 @query(f"""with {_KEYED_SQL} select count(*)::bigint as n, count(distinct p)::bigint as unique_prompts, count(distinct r)::bigint as unique_responses, count(distinct (p, r))::bigint as unique_pairs from k""")
 def distinct_counts(spark, sf_dir):
-    k = _keyed(spark, sf_dir)
-    return k.agg(F.count("*").alias("n"), F.countDistinct("prompt_key").alias("unique_prompts"), F.countDistinct("response_key").alias("unique_responses"), F.countDistinct("prompt_key", "response_key").alias("unique_pairs"))
+    return validate.distinct_keys(_keyed(spark, sf_dir)).select("n", "unique_prompts", "unique_responses", "unique_pairs")
 
 
 _SPEC = sharding.ShardSpec(world_size=8)
@@ -217,10 +220,13 @@ def reshard_moves(spark, sf_dir):
 _WEIGHTS = {"en": 0.7, "de": 0.2, "fr": 0.1, "es": 0.0}
 
 
-@query("""with w as (select * from (values ('en', 0.7), ('de', 0.2), ('fr', 0.1)) as t(source, w)), p as (select temperature, source, pow(w, 1 / temperature) as r from w, (values (1.0), (2.0), (4.0)) as t(temperature))
-    select temperature::double as temperature, source, round(r / sum(r) over (partition by temperature), 6) as probability from p""")
+@query("""with w as (select lang as source, count(*)::double as w from documents where lang is not null group by lang), p as (select temperature, source, pow(w, 1 / temperature) as r from w, (values (1.0::double), (2.0), (4.0)) as t(temperature))
+    select temperature, source, round(r / sum(r) over (partition by temperature), 6) as probability from p""")
 def mixture_probabilities(spark, sf_dir):
-    rows = [(t, k, v) for t in (1.0, 2.0, 4.0) for k, v in sharding.mixture_probabilities(_WEIGHTS, t).items()]
+    """Languages weighed by their documents, at three temperatures."""
+    counts = table(spark, sf_dir, "documents").where("lang is not null").groupBy("lang").agg(F.count("*").cast("double").alias("n"))
+    weights = {r.lang: r.n for r in counts.collect()}  # a row for each language
+    rows = [(t, k, v) for t in (1.0, 2.0, 4.0) for k, v in (sharding.mixture_probabilities(weights, t).items() if weights else ())]
     return spark.createDataFrame(rows, "temperature double, source string, probability double").withColumn("probability", F.round("probability", 6))
 
 
@@ -376,11 +382,11 @@ def structure_findings(spark, sf_dir):
     return dedup.first_examples(told).withColumn("examples", F.array_join(F.transform("examples", lambda x: x.cast("string")), ","))
 
 
-@query("select * from (values ('exact_duplicates', 'warning'), ('pii_detected', 'error'), ('eval_contamination', 'error')) as t(code, severity)")
+@query(f"select code, severity from ({ORACLES['findings_report']}) where severity <> 'info'")
 def findings_gate(spark, sf_dir):
-    """Of three findings and an informal one those that a gate at warning stops."""
-    rows = [("exact_duplicates", "warning", 3, [1]), ("pii_detected", "error", 1, [2]), ("length_outliers", "info", 1, []), ("eval_contamination", "error", 2, [4])]
-    return validate.at_or_above(spark.createDataFrame(rows, "code string, severity string, count long, examples array<long>"), "warning").select("code", "severity")
+    """Of the lint's findings those that a gate at warning stops."""
+    found = validate.findings(dirty(spark, sf_dir), evaluation=examples(spark, sf_dir), max_seq_len=2048, context=32768)
+    return validate.at_or_above(found, "warning").select("code", "severity")
 
 
 @query(f"with {CHAT_SQL} select md5(array_to_string(contents, chr(10))) as contents_md5, array_to_string(roles, ',') as roles, (row_number() over (order by row_id) - 1)::bigint as row_id from chat")

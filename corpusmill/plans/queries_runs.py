@@ -199,11 +199,14 @@ def metrics_tail(spark, sf_dir):
     return runs.metrics_tail(series(spark, sf_dir), 10).select("run", "step", "event_id")
 
 
-@query("select attempt, status, status in (408, 425, 429, 500, 502, 503, 504) as retryable, least(0.5 * pow(2, attempt - 1), 30.0) as delay from range(1, 9) as a(attempt), (values (400), (408), (429), (500), (503), (404)) as s(status)")
+@query("""with c as (select event_id, event_id % 8 + 1 as attempt, [400, 408, 429, 500, 503, 404][event_id % 6 + 1] as status from events)
+    select event_id, attempt, status, status in (408, 425, 429, 500, 502, 503, 504) as retryable, least(0.5 * pow(2, attempt - 1), 30.0) as delay from c""")
 def retry_backoff(spark, sf_dir):
-    statuses = F.explode(F.array(*map(F.lit, (400, 408, 429, 500, 503, 404))))
-    rows = spark.range(1, 9).select(F.col("id").alias("attempt"), statuses.alias("status"))
-    return rows.select("attempt", "status", runs.is_retryable(F.col("status")).alias("retryable"), runs.backoff(F.col("attempt")).alias("delay"))
+    """Events as failed calls: whether each is worth another attempt, and when."""
+    e = F.col("event_id")
+    status = F.get(F.array(*map(F.lit, (400, 408, 429, 500, 503, 404))), (e % 6).cast("int"))
+    rows = table(spark, sf_dir, "events").select(e, (e % 8 + 1).alias("attempt"), status.alias("status"))
+    return rows.select("event_id", "attempt", "status", runs.is_retryable(F.col("status")).alias("retryable"), runs.backoff(F.col("attempt")).alias("delay"))
 
 
 def _seconds():
@@ -239,12 +242,15 @@ def circuit_breaker(spark, sf_dir):
     return runs.circuit_breaker(calls, failures=2, recovery=7200.0).withColumn("at", F.round("at", 3))
 
 
-@query("""select status, message, case when status is null then regexp_matches(lower(coalesce(message, '')), 'timeout|timed out|connection reset|rate limit|service unavailable') else status in (408, 425, 429, 500, 502, 503, 504) end as retryable, seconds as hint, greatest(1.0, coalesce(least(seconds, 30.0), 0.0)) as delay
-    from (values (429, null, 7.0::double), (503, 'x', 90.0), (404, 'timeout', null), (null, 'Read Timed Out', null), (null, 'bad request', 0.5), (null, null, null)) as t(status, message, seconds)""")
+@query("""select event_id, status, message, case when status is null then regexp_matches(lower(coalesce(message, '')), 'timeout|timed out|connection reset|rate limit|service unavailable') else status in (408, 425, 429, 500, 502, 503, 504) end as retryable, seconds as hint, greatest(1.0, coalesce(least(seconds, 30.0), 0.0)) as delay
+    from events join (values (0, 429, null, 7.0::double), (1, 503, 'x', 90.0), (2, 404, 'timeout', null), (3, null, 'Read Timed Out', null), (4, null, 'bad request', 0.5), (5, null, null, null)) as t(k, status, message, seconds) on event_id % 6 = k""")
 def retry_decisions(spark, sf_dir):
-    rows = [(429, None, {"Retry-After": "7"}), (503, "x", {"retry-after": "90", "a": "b"}), (404, "timeout", {"Retry-After": "soon"}), (None, "Read Timed Out", {}), (None, "bad request", {"RETRY-AFTER": "0.5"}), (None, None, None)]
-    told = spark.createDataFrame(rows, "status int, message string, headers map<string,string>").withColumn("hint", runs.retry_after(F.col("headers")))
-    return told.select("status", "message", runs.is_retryable(F.col("status"), F.col("message")).alias("retryable"), "hint", runs.backoff(F.lit(2), hint=F.col("hint")).alias("delay"))
+    """Events as answers with a status or a message, and headers that ask for a delay."""
+    kinds = [(429, None, "Retry-After", "7"), (503, "x", "retry-after", "90"), (404, "timeout", "Retry-After", "soon"), (None, "Read Timed Out", None, None), (None, "bad request", "RETRY-AFTER", "0.5"), (None, None, None, None)]
+    header = lambda k, v: F.create_map(F.lit(k), F.lit(v)) if k else F.lit(None).cast("map<string,string>")
+    kind = F.array(*(F.struct(F.lit(s).cast("int").alias("status"), F.lit(m).cast("string").alias("message"), header(k, v).alias("headers")) for s, m, k, v in kinds))
+    told = table(spark, sf_dir, "events").select("event_id", F.get(kind, (F.col("event_id") % 6).cast("int")).alias("x")).select("event_id", "x.*").withColumn("hint", runs.retry_after(F.col("headers")))
+    return told.select("event_id", "status", "message", runs.is_retryable(F.col("status"), F.col("message")).alias("retryable"), "hint", runs.backoff(F.lit(2), hint=F.col("hint")).alias("delay"))
 
 
 @query(f"""with {_JOBS}, m as (select id, case when id = 'job-1' then 'running' when id = 'job-2' then 'succeeded' when id = 'job-3' and status not in ('succeeded', 'failed', 'cancelled') then 'cancelled' else status end as status,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import chat, rewards, text
 from corpusmill.operators import ranks, tokens
-from corpusmill.plans.catalog import query
+from corpusmill.plans.catalog import ORACLES, query
 from corpusmill.plans.views import CHAT_SQL, DIRTY_SQL, HAZARD_SQL, PRIVATE_SQL, dirty, examples, hazardous, private, table
 from corpusmill.sources.registry import MODELS, list_models, model_registry
 
@@ -221,9 +221,15 @@ def reward_heuristics(spark, sf_dir):
     return pair.select("row_id", F.round(rewards.reward()(p, r), 6).alias("length_target"), rewards.resolved("numeric_match")(p, r).alias("numeric_match"), rewards.reward("nonempty")(p, r).alias("nonempty"))
 
 
-@query("select * from (values ('length_target', true), ('nonempty', false), ('numeric_match', false)) as t(name, is_default)")
+@query(f"""with h as ({ORACLES['reward_heuristics']}), m as (unpivot (select avg(length_target) as length_target, avg(numeric_match) as numeric_match, avg(nonempty) as nonempty from h) on length_target, numeric_match, nonempty into name name value mean)
+    select name, name = 'length_target' as is_default, round(mean, 5) as mean from m""")
 def reward_list(spark, sf_dir):
-    return spark.createDataFrame([(n, n == rewards.DEFAULT) for n in rewards.rewards()], "name string, is_default boolean")
+    """Every reward by name with its mean over the examples."""
+    m = F.col("messages")
+    pair = dirty(spark, sf_dir).select(chat.prompt_text(m).alias("p"), chat.response_text(m).alias("r"))
+    scores = pair.agg(*(F.avg(rewards.resolved(n)(F.col("p"), F.col("r"))).alias(n) for n in rewards.rewards()))
+    told = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(n == rewards.DEFAULT).alias("is_default"), F.round(F.col(n), 5).alias("mean")) for n in rewards.rewards()))
+    return scores.select(F.inline(told))
 
 
 @query(f"""with {DIRTY_SQL}, w as (select row_id, response, list_filter(string_split_regex(response, '\\s+'), lambda x: x <> '') as w from texts where row_id < 1000000000)
@@ -239,15 +245,25 @@ def reward_model_scores(spark, sf_dir):
 _MODELS_SQL = "models as (select *, modalities <> 'text' as is_multimodal from (values " + ", ".join(f"('{r[0]}', '{r[1]}', {r[2]}::double, {r[3]}::double, {r[4]}::bigint, {str(not r[5]).lower()}, '{','.join(r[9])}', '{','.join(r[10])}')" for r in MODELS) + ") as t(name, family, params_b, active_b, context_length, is_dense, modalities, tags))"
 
 
-@query(f"with {_MODELS_SQL} select * from models")
+_USED = f"u as (select [{', '.join(repr(r[0]) for r in MODELS)}][o_custkey % {len(MODELS)} + 1] as name, count(*) as orders from orders group by 1)"
+
+
+def _used(spark, sf_dir):
+    """How many orders each model of the registry has."""
+    name = F.get(F.array(*(F.lit(r[0]) for r in MODELS)), (F.col("o_custkey") % len(MODELS)).cast("int"))
+    return table(spark, sf_dir, "orders").groupBy(name.alias("name")).agg(F.count("*").alias("orders"))
+
+
+@query(f"with {_MODELS_SQL}, {_USED} select models.*, orders from models join u using (name)")
 def model_list(spark, sf_dir):
     joined = {c: F.array_join(c, ",") for c in ("modalities", "tags")}
-    return model_registry(spark).withColumns(joined).select("name", "family", "params_b", "active_b", "context_length", "is_dense", "modalities", "tags", "is_multimodal")
+    told = model_registry(spark).withColumns(joined).select("name", "family", "params_b", "active_b", "context_length", "is_dense", "modalities", "tags", "is_multimodal")
+    return told.join(_used(spark, sf_dir), "name")
 
 
-@query(f"with {_MODELS_SQL} select name, is_multimodal from models where family = 'inkling'")
+@query(f"with {_MODELS_SQL}, {_USED} select name, is_multimodal, orders from models join u using (name) where family = 'inkling'")
 def model_family(spark, sf_dir):
-    return list_models(model_registry(spark), "Inkling").select("name", "is_multimodal")
+    return list_models(model_registry(spark), "Inkling").select("name", "is_multimodal").join(_used(spark, sf_dir), "name")
 
 
 @query(f"""with {CHAT_SQL}, last as (select row_id, contents, roles, len(roles) - list_position(list_reverse(roles), 'assistant') + 1 as k from chat)

@@ -12,11 +12,12 @@ from corpusmill.plans.views import CHAT_SQL, examples, table
 from corpusmill.sources.registry import MODELS, model_registry
 
 
-@query("""with s as (select range as step, greatest(1, (200 * 0.03)::int) as warm from range(200)), p as (select step, warm, least(1.0, greatest(0.0, (step - warm) / (200.0 - warm))) as p from s)
-    select step, round(case when step < warm then 1e-4 * (step + 1) / warm else 1e-5 + 9e-5 * 0.5 * (1 + cos(pi() * p)) end, 12) as cosine, round(case when step < warm then 1e-4 * (step + 1) / warm else 1e-4 - 9e-5 * p end, 12) as linear, round(case when step < warm then 1e-4 * (step + 1) / warm else 1e-4 end, 12) as constant from p""")
+@query("""with s as (select event_id, event_id % 200 as step, greatest(1, (200 * 0.03)::int) as warm from events), p as (select event_id, step, warm, least(1.0, greatest(0.0, (step - warm) / (200.0 - warm))) as p from s)
+    select event_id, step, round(case when step < warm then 1e-4 * (step + 1) / warm else 1e-5 + 9e-5 * 0.5 * (1 + cos(pi() * p)) end, 12) as cosine, round(case when step < warm then 1e-4 * (step + 1) / warm else 1e-4 - 9e-5 * p end, 12) as linear, round(case when step < warm then 1e-4 * (step + 1) / warm else 1e-4 end, 12) as constant from p""")
 def lr_schedule(spark, sf_dir):
-    step = F.col("id")
-    return spark.range(200).select(step.alias("step"), *(F.round(training.learning_rate(step, 200, schedule=s), 12).alias(s) for s in ("cosine", "linear", "constant")))
+    """The rates of 200 steps, each event at one of them."""
+    step = F.col("event_id") % 200
+    return table(spark, sf_dir, "events").select("event_id", step.alias("step"), *(F.round(training.learning_rate(step, 200, schedule=s), 12).alias(s) for s in ("cosine", "linear", "constant")))
 
 
 @query("""with g as (select *, avg(o_totalprice) over w as m, stddev_pop(o_totalprice) over w as s from orders window w as (partition by o_custkey))
@@ -71,22 +72,20 @@ def exact_match(spark, sf_dir):
 _MODEL_SQL = "m as (select * from (values " + ", ".join(f"({i}, '{r[0]}', {r[3]}::double)" for i, r in enumerate(MODELS)) + f", ({len(MODELS)}, 'someone/unknown', null::double)) as t(k, model, active_b))"
 
 
-@query(f"with {_MODEL_SQL}, u as (select o_custkey % {len(MODELS) + 1} as k, sum(o_orderkey)::bigint as train_tokens, sum(o_orderkey % 97)::bigint as sample_tokens from orders group by 1) select model, train_tokens, sample_tokens, round(0.02 * coalesce(active_b, 8.0), 6) as train_rate, round(0.005 * coalesce(active_b, 8.0), 6) as sample_rate, round((train_tokens * 0.02 * coalesce(active_b, 8.0) + sample_tokens * 0.005 * coalesce(active_b, 8.0)) / 1e6, 6) as cost_usd from u join m using (k)")
+@query(f"""with {_MODEL_SQL}, u as (select o_custkey % {len(MODELS) + 1} as k, sum(o_orderkey)::bigint as train_tokens, sum(o_orderkey % 97)::bigint as sample_tokens from orders group by 1),
+    r as (select *, case when k = 0 then 1.5 else 0.02 * coalesce(active_b, 8.0) end::double as tr, case when k = 1 then 0.125 when k = 0 then 0.375 else 0.005 * coalesce(active_b, 8.0) end::double as sr from u join m using (k))
+    select model, train_tokens, sample_tokens, round(tr, 6) as train_rate, round(sr, 6) as sample_rate, round((train_tokens * tr + sample_tokens * sr) / 1e6, 6) as cost_usd from r""")
 def cost_model(spark, sf_dir):
     names = F.array(*(F.lit(r[0]) for r in MODELS), F.lit("someone/unknown"))
     usage = table(spark, sf_dir, "orders").groupBy(F.get(names, (F.col("o_custkey") % (len(MODELS) + 1)).cast("int")).alias("model")).agg(F.sum("o_orderkey").alias("train_tokens"), F.sum(F.col("o_orderkey") % 97).alias("sample_tokens"))
-    return training.costs(usage, model_registry(spark)).withColumns({c: F.round(c, 6) for c in ("train_rate", "sample_rate", "cost_usd")})
+    prices = {MODELS[0][0]: (1.5, None), MODELS[1][0]: (None, 0.125)}
+    return training.costs(usage, model_registry(spark), prices=prices).withColumns({c: F.round(c, 6) for c in ("train_rate", "sample_rate", "cost_usd")})
 
 
 @query(f"with {LEN_SQL} select (count(*) * avg(seq_len) * 3)::bigint as tokens from lens")
 def token_estimate(spark, sf_dir):
-    return tokens.token_lengths(examples(spark, sf_dir)).agg(F.round(F.sum("seq_len") * 3.0).cast("long").alias("tokens"))
-
-
-@query("select range as step, round(greatest(0.05, 0.4 + 1.6 * exp(-range / 40.0)), 9) as loss, round(greatest(0.01, exp(-range / 60.0)), 9) as grad_norm from range(300)")
-def simulated_training(spark, sf_dir):
-    s = F.col("id")
-    return spark.range(300).select(s.alias("step"), F.round(training.simulated_loss(s), 9).alias("loss"), F.round(training.simulated_grad_norm(s), 9).alias("grad_norm"))
+    seen = tokens.token_lengths(examples(spark, sf_dir)).agg(F.count("*").alias("n"), F.avg("seq_len").alias("mean"))
+    return seen.select(training.estimated_tokens(F.col("n"), F.col("mean"), F.lit(3)).alias("tokens"))
 
 
 _BYTE_SUM = "list_sum(list_transform(range(1, strlen({0}) + 1), lambda i: ('0x' || substr(hex(encode({0})), 2 * i - 1, 2))::int))"
@@ -122,9 +121,11 @@ def signed_weights(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", told(1).alias("chosen"), told(-1).alias("rejected"))
 
 
-@query("select name, lora_rank, round(64.0 / lora_rank, 6) as scaling from (values " + ", ".join(f"('{r[0]}', {r[6]})" for r in MODELS) + ") as t(name, lora_rank)")
+@query("select o_orderkey, o_orderkey % 256 + 1 as lora_rank, round(64.0 / (o_orderkey % 256 + 1), 6)::double as scaling from orders")
 def lora_scaling(spark, sf_dir):
-    return model_registry(spark).select("name", "lora_rank", F.round(training.lora_scaling(F.col("lora_rank")), 6).alias("scaling"))
+    """Ranks from 1 to 256, dealt to orders."""
+    rank = F.col("o_orderkey") % 256 + 1
+    return table(spark, sf_dir, "orders").select("o_orderkey", rank.alias("lora_rank"), F.round(training.lora_scaling(rank), 6).alias("scaling"))
 
 
 @query("select p.k as prompt_no, item_id, g.k as sample, 5 + 200000 + p.k * 1000 + g.k as seed, true as holds from (select item_id, row_number() over (order by item_id) - 1 as k from benchmark) p, range(4) as g(k)")

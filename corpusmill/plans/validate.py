@@ -67,7 +67,7 @@ def findings(examples: DataFrame, evaluation: DataFrame | None = None, max_seq_l
     for code, rows in parts.items():
         told = told.unionByName(rows.select(F.col("row_id").cast("long").alias("row_id"), F.lit(code).alias("code")))
     rolled = dedup.first_examples(stored(told))
-    shared = k.groupBy("response_key").agg(F.count("*").alias("c")).agg(F.max("c").alias("count")).where((F.lit(n) >= 4) & (F.col("count") >= 0.5 * n))
+    shared = k.groupBy(dedup.digest("response_key")).agg(F.count("*").alias("c")).agg(F.max("c").alias("count")).where((F.lit(n) >= 4) & (F.col("count") >= 0.5 * n))
     picks = ranks.pick(examples.select(chat.sequence_length(F.col("messages")).alias("v")), "v", {"p50": upper_median_rank(), "p99": tail_rank(0.99)})
     outliers = picks.where("p50 > 0 and p99 >= 20 * p50")
     lone = F.array().cast("array<long>")
@@ -98,16 +98,25 @@ def gate(found: DataFrame, severity: str = "error") -> None:
         raise ValueError(f"{worst[0].code}: {worst[0].severity}, {worst[0]['count']} rows")
 
 
+def distinct_keys(k: DataFrame) -> DataFrame:
+    """(prompt_key, response_key) -> one row: n, unique_prompts, unique_responses, unique_pairs, top (rows with the commonest response).
+
+    Keys are counted by their digests; no text is shuffled. A digest that is seen in many rows is combined before the shuffle.
+    """
+    rows = k.select(dedup.digest("prompt_key").alias("p"), dedup.digest("response_key").alias("r"))
+    pairs = stored(rows.groupBy("p", "r").agg(F.count("*").alias("c")))
+    whole = pairs.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("unique_pairs"))
+    prompts = pairs.select("p").distinct().agg(F.count("*").alias("unique_prompts"))
+    responses = pairs.groupBy("r").agg(F.sum("c").alias("c")).agg(F.count("*").alias("unique_responses"), F.max("c").alias("top"))
+    return whole.join(prompts).join(responses)  # one row each
+
+
 def corpus_stats(examples: DataFrame) -> DataFrame:
     """One row: token totals, supervised share, distinct keys, duplicate rate, share of the commonest response."""
     m = F.col("messages")
-    sums = examples.agg(F.count("*").alias("n"), F.sum(chat.sequence_length(m)).alias("total_tokens"), F.sum(chat.supervised_tokens(m)).alias("supervised_tokens"))
-    k = keyed(examples)
-    pairs = k.groupBy("prompt_key", "response_key").agg(F.count("*").alias("c"))
-    keys = pairs.agg(F.countDistinct("prompt_key").alias("unique_prompts"), F.countDistinct("response_key").alias("unique_responses"), F.sum(F.col("c") - 1).alias("extra"))
-    top = pairs.groupBy("response_key").agg(F.sum("c").alias("c")).agg(F.max("c").alias("top"))
-    row = sums.join(keys).join(top)
+    sums = examples.agg(F.sum(chat.sequence_length(m)).alias("total_tokens"), F.sum(chat.supervised_tokens(m)).alias("supervised_tokens"))
+    row = sums.join(distinct_keys(keyed(examples)))
     return row.select(
         "n", "total_tokens", "supervised_tokens", F.round(F.try_divide("supervised_tokens", "total_tokens"), 4).alias("supervised_ratio"), "unique_prompts", "unique_responses",
-        F.round(F.try_divide("extra", "n"), 4).alias("duplicate_rate"), F.round(F.try_divide("top", "n"), 4).alias("top_response_share"),
+        F.round(F.try_divide(F.col("n") - F.col("unique_pairs"), "n"), 4).alias("duplicate_rate"), F.round(F.try_divide("top", "n"), 4).alias("top_response_share"),
     )

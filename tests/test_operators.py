@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.functions import chat, rewards, text, tokenizers
-from corpusmill.operators import backend, dedup, drift, folds, guards, ranks, resilience, runs, sharding, tokens, training
+from corpusmill.operators import dedup, drift, folds, guards, ranks, runs, sharding, tokens, training
 from corpusmill.plans import reports, validate
 from corpusmill.sources import checkpoints, files, settings
 from corpusmill.sources.registry import get_model, is_supported, list_models, model_registry
@@ -436,63 +436,6 @@ def test_checkpoints_and_retention_on_disk(spark, tmp_path):
     assert checkpoints.apply_retention(spark, str(tmp_path / "none.json")).keep == []
 
 
-def test_guarded_calls():
-    class Http(Exception):
-        def __init__(self, status, after=None):
-            super().__init__("x")
-            self.status_code, self.retry_after = status, after
-
-    now, slept = [0.0], []
-
-    def sleep(s):
-        slept.append(s)
-        now[0] += s
-
-    def failing(errors):
-        left = list(errors)
-
-        def call():
-            if left:
-                raise left.pop(0)
-            return "ok"
-
-        return call
-
-    guard = lambda **o: resilience.Guarded(jitter=False, base=1.0, longest=8.0, clock=lambda: now[0], sleep=sleep, **o)
-    assert guard().call(failing([Http(503), Http(429, after=6)])) == "ok" and slept == [1.0, 6.0]
-    with pytest.raises(Http):
-        guard().call(failing([Http(400)]))
-    g = guard(attempts=1, failures=2, recovery=10.0)
-    for _ in range(2):
-        with pytest.raises(TimeoutError):
-            g.call(failing([TimeoutError()]))
-    with pytest.raises(resilience.Rejected):
-        g.call(lambda: "ok")
-    now[0] += 10
-    assert g.call(lambda: "ok") == "ok" and g.state == "closed"
-    slept.clear()
-    r = guard(rate=2.0, burst=1.0)
-    assert [r.call(lambda: 1) for _ in range(3)] == [1, 1, 1] and slept == [0.5, 0.5]
-    assert [resilience.worth_retrying(e) for e in (Http(408), Http(401), ConnectionError(), RuntimeError("Rate limit hit"), RuntimeError("bad"))] == [True, False, True, True, False]
-    with pytest.raises(ValueError):
-        resilience.Guarded(attempts=0)
-
-
-def test_simulated_backend(spark, tmp_path):
-    b = backend.Simulated("m", lora_rank=8)
-    batch = spark.createDataFrame([(1, ([1, 2], [2, 3], [0.0, 1.0])), (2, ([1], [9], [1.0]))], "i int, datum struct<input_tokens:array<int>,target_tokens:array<int>,weights:array<double>>")
-    first = b.forward_backward(batch)
-    assert first == {"loss": pytest.approx(2.0), "tokens": 2} and b.forward_backward(batch.limit(0))["tokens"] == 0
-    norms = [b.optim_step(1e-4)["grad_norm"] for _ in range(400)]
-    assert norms == sorted(norms, reverse=True) and b.forward_backward(batch)["loss"] < 0.5
-    assert all(r.logprob < 0 for r in b.logprobs(batch).collect())
-    once, again = (b.sample(batch, "i", 5).select("completion").collect() for _ in range(2))
-    assert once == again and all(1 <= len(r.completion.tokens) <= 5 for r in once)
-    other = backend.Simulated()
-    other.load_state(b.save_state(str(tmp_path / "s" / "state.json")))
-    assert other.step == 400
-
-
 def test_streams_stop_and_warn(spark, tmp_path):
     from corpusmill.streaming import incremental
 
