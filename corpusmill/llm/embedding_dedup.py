@@ -1,10 +1,10 @@
 """Near-duplicate vectors: sign hashing by random hyperplanes, exact cosines within buckets, connected components.
 
 Equal vectors of a label form a class; only classes are compared. A table keys a class by the signs of its products with
-some random hyperplanes; two vectors at cosine c share the key with probability (1 - arccos(c) / pi)^bits. A label's
-bits grow with the logarithm of its classes, so that buckets stay about as large at any size, and its tables grow with the
-bits, so that a link at the threshold is missed in all of them with probability `miss` at most, and one above less
-often. A label of up to `fill` classes is one bucket: all its pairs are compared.
+some random hyperplanes; two vectors at cosine c share the key with probability (1 - arccos(c) / pi)^bits. A label of n
+classes has LEAST_BITS bits at least and `SPARE` more than the logarithm of n, so that a bucket holds about a quarter of a class that has no
+business there, at any size; its tables grow with the bits, so that a link at the threshold is missed in all of them with probability
+`miss` at most, and one above less often.
 
 A bucket larger than `block` is dealt to pairs of blocks, each its own task unit, so a hot bucket is compared whole
 but nowhere at once. Tasks give link counts and a forest of links, never the pairs: a pair counts in the first table
@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import Stash
 from corpusmill.llm.components import connected_components
 
-THRESHOLD, MISS, FILL, BLOCK, SEED = 0.93, 3e-5, 4096, 4096, 29
+THRESHOLD, MISS, BLOCK, SEED = 0.93, 3e-5, 4096, 29
+LEAST_BITS, SPARE = 8, 2
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
@@ -158,7 +159,7 @@ def _compare(threshold: float):
     return run
 
 
-def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, miss: float = MISS, fill: int = FILL, block: int = BLOCK, seed: int = SEED) -> DataFrame:
+def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, miss: float = MISS, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """(vec_id, embedding, label, ...) -> (vec_id, n_links, component_id, kept), a row for each row.
 
     Vectors link within a label at cosine >= threshold. Null labels and vectors that are null, empty, zero or hold a
@@ -174,7 +175,7 @@ def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, miss: flo
     good, odd = rows.where(usable), rows.where(~usable)
     classes, _ = stash.put(good.groupBy("label", "embedding").agg(F.count("*").alias("members"), F.min("vec_id").alias("least")).withColumn("class_no", F.monotonically_increasing_id()))
     thin = classes.select("class_no", F.col("label"), F.size("embedding").alias("dims"))
-    bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / fill))).cast("int")
+    bits = F.greatest(F.lit(LEAST_BITS), F.ceil(F.log2("n")) + SPARE).cast("int")
     sized = thin.join(thin.groupBy("label", "dims").agg(F.count("*").alias("n")), ["label", "dims"]).select("class_no", bits.alias("bits"))
     hashed, path = stash.put(_hashed(classes.join(sized, "class_no"), threshold, miss, seed))
     keys = hashed.select("class_no", "label", "dims", F.posexplode("parts").alias("t", "part")).select("class_no", "t", F.xxhash64("label", "dims", "t", "part").alias("key"))

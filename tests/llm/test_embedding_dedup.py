@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from corpusmill.llm.embedding_dedup import MISS, _forest, embedding_groups, signatures, tables_for, unit_rows
+from corpusmill.llm.embedding_dedup import LEAST_BITS, MISS, SPARE, _forest, embedding_groups, signatures, tables_for, unit_rows
 
 SCHEMA = "vec_id long, embedding array<float>, label int, n_links string"
 
@@ -55,10 +55,10 @@ def planted(seed=1, dims=16):
     return rows
 
 
-@pytest.mark.parametrize("fill, block", [(1024, 2048), (1024, 7), (4, 7)])
-def test_links_and_components_match_brute_force(spark, fill, block):
+@pytest.mark.parametrize("block", [2048, 7])
+def test_links_and_components_match_brute_force(spark, block):
     rows = planted()
-    got = embedding_groups(spark.createDataFrame(rows, SCHEMA).repartition(3), fill=fill, block=block, miss=1e-7).collect()
+    got = embedding_groups(spark.createDataFrame(rows, SCHEMA).repartition(3), block=block, miss=1e-7).collect()
     assert sorted(((-1 if r.vec_id is None else r.vec_id), r.n_links, -1 if r.component_id is None else r.component_id) for r in got) == brute(rows)
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
 
@@ -78,14 +78,14 @@ def test_recall_at_the_threshold(bits):
 
 
 def test_many_classes_of_a_label_match_brute_force(spark):
-    """Beyond `fill` the label is hashed: 3,000 vectors of one label, links planted around the threshold."""
+    """3,000 vectors of one label, links planted around the threshold."""
     rng = np.random.default_rng(3)
     x = rng.normal(size=(3000, 24))
     x[1000:2000] = x[:1000] + rng.normal(size=(1000, 24)) * rng.uniform(0.1, 0.6, size=(1000, 1))
     rows = [(i, v, 0, "") for i, v in enumerate(x.astype(np.float32).tolist())]
     u = unit_rows(np.array([r[1] for r in rows]))
     linked = (u @ u.T >= 0.93).sum(axis=1) - 1
-    got = {r.vec_id: r.n_links for r in embedding_groups(spark.createDataFrame(rows, SCHEMA), fill=64).collect()}
+    got = {r.vec_id: r.n_links for r in embedding_groups(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert [got[i] for i in range(3000)] == linked.tolist() and linked.sum() > 500
 
 
@@ -97,3 +97,18 @@ def test_forest_reaches_over_chains():
     order = list(range(50))
     random.Random(0).shuffle(order)
     assert set(_forest(50, np.array(order[:-1]), np.array(order[1:]))) == {0}
+
+
+@pytest.mark.parametrize("n", [40, 400, 4000])
+def test_fewer_pairs_are_compared_than_all_at_any_size(n):
+    """By the operator's own bits and tables: buckets hold a small part of all pairs, and links at the threshold are found."""
+    rng = np.random.default_rng(n)
+    x = unit_rows(rng.normal(size=(n, 64)))
+    bits = max(LEAST_BITS, math.ceil(math.log2(n)) + SPARE)
+    s = signatures(x, tables_for(bits), bits)
+    compared = sum(int((c * (c - 1) // 2).sum()) for t in range(s.shape[1]) for c in [np.unique(s[:, t], return_counts=True)[1]])
+    assert compared < (0.25 if n < 100 else 0.06) * n * (n - 1) / 2
+    y = unit_rows(rng.normal(size=(n, 64)))
+    y = unit_rows(y - (y * x).sum(axis=1, keepdims=True) * x)
+    near = 0.93 * x + math.sqrt(1 - 0.93**2) * y
+    assert (signatures(near, tables_for(bits), bits) == s).any(axis=1).all()
