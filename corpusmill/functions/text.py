@@ -36,10 +36,16 @@ def normalized_all(text: Column) -> Column:
 
 
 @pandas_udf(BooleanType())
-def not_nfc(texts: pd.Series) -> pd.Series:
+def _not_nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t is not None and not unicodedata.is_normalized("NFC", t))
 
 
+def not_nfc(text: Column | str) -> Column:
+    """Whether a text is not in normal form C. Only texts with a character beyond U+02FF, the first of which may change, go to Python."""
+    text = F.col(text) if isinstance(text, str) else text
+    return _not_nfc(F.when(text.rlike(r"[^\x00-\u02ff]"), text))
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value) with the value computed once, however often and deep in lambdas it is used."""
     return F.get(F.transform(F.array(value), use), 0)

@@ -23,6 +23,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
-    from corpusmill.plans import queries_corpus, queries_drift, queries_runs, queries_text, queries_training  # noqa: F401
+    from corpusmill.plans import queries_corpus, queries_drift, queries_runs, queries_sql, queries_text, queries_training  # noqa: F401
 
     return QUERIES, ORACLES
