@@ -18,6 +18,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ from corpusmill.llm.common import Stash
 from corpusmill.llm.components import connected_components
 
 THRESHOLD, MISS, BLOCK, SEED = 0.93, 3e-5, 4096, 29
-LEAST_BITS, SPARE = 8, 2
+LEAST_BITS, SPARE, FEW = 8, 2, 32
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
@@ -98,8 +99,33 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _compare(threshold: float):
     """Sorted rows (key, i, j, t, side, class_no, members, embedding, parts) -> (a, b, n): link counts (b null) and forest links (n 0)."""
 
-    def matrix(column: pa.ChunkedArray) -> np.ndarray:
-        return np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks]).reshape(len(column), -1)
+    def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+        chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+        return np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in chunks]).reshape(len(column), -1)
+
+    def small(rows: pa.RecordBatch, runs: np.ndarray) -> Iterator[tuple[list, list, list]]:
+        """Many whole buckets at once; runs: the bucket of each row. Pairs are those of neighbours at each distance in a bucket."""
+        shapes = np.stack([pc.list_value_length(rows.column(c)).to_numpy(zero_copy_only=False) for c in ("embedding", "parts")], axis=1)
+        for shape in np.unique(shapes, axis=0):
+            mine = (shapes == shape).all(axis=1)
+            part, run = rows.filter(pa.array(mine)), runs[mine]
+            x, s, table = unit_rows(matrix(part.column("embedding"))), matrix(part.column("parts")), part.column("t").to_numpy()
+            ids, at = np.unique(part.column("class_no").to_numpy(), return_inverse=True)
+            weight, counts, links = part.column("members").to_numpy(), np.zeros(len(ids)), []
+            for step in range(1, len(run)):
+                a = np.flatnonzero(run[:-step] == run[step:])
+                if not len(a):
+                    break
+                a = a[np.einsum("ij,ij->i", x[a], x[a + step]) >= threshold]
+                new = ~((s[a] == s[a + step]) & (np.arange(s.shape[1]) < table[a, None])).any(axis=1)
+                a = a[new]
+                p, q = at[a], at[a + step]
+                counts += np.bincount(p, weight[a + step], len(ids)) + np.bincount(q, weight[a], len(ids))
+                links.append((p, q))
+            if counts.any():
+                low = _forest(len(ids), *(np.concatenate(e) for e in zip(*links)))
+                linked, hung = np.flatnonzero(counts), np.flatnonzero(low != np.arange(len(ids)))
+                yield [*ids[linked], *ids[hung]], [*[None] * len(linked), *ids[low[hung]]], [*counts[linked].astype(np.int64), *[0] * len(hung)]
 
     def unit(rows: list[pa.RecordBatch]) -> tuple[list, list, list]:
         whole = pa.Table.from_batches(rows)
@@ -144,7 +170,17 @@ def _compare(threshold: float):
                 continue
             marks = np.stack([b.column(c).to_numpy() for c in ("key", "i", "j")])
             cuts = np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1
-            for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows]):
+            starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [b.num_rows]])
+            # whole buckets of one block that are small go together; the first and last of a batch may have rows in others
+            few = (ends - starts <= FEW) & (marks[1, starts] == marks[2, starts])
+            few[[0, -1]] = False
+            if few.any():
+                runs = np.repeat(np.arange(len(starts)), ends - starts)
+                rows = few[runs]
+                for found in small(b.filter(pa.array(rows)), runs[rows]):
+                    for c, new in zip(out, found):
+                        c.extend(new)
+            for start, end in zip(starts[~few].tolist(), ends[~few].tolist()):
                 mark = tuple(marks[:, start].tolist())
                 if mark != last and held:
                     close()

@@ -112,3 +112,17 @@ def test_fewer_pairs_are_compared_than_all_at_any_size(n):
     y = unit_rows(y - (y * x).sum(axis=1, keepdims=True) * x)
     near = 0.93 * x + math.sqrt(1 - 0.93**2) * y
     assert (signatures(near, tables_for(bits), bits) == s).any(axis=1).all()
+
+
+def test_buckets_are_compared_whole_wherever_batches_are_cut(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(60, 8))
+    rows = [(i, (base[i % 60] + 0.03 * rng.normal(size=8)).tolist(), i % 3, "x") for i in range(700)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+        got = embedding_groups(spark.createDataFrame(rows, SCHEMA), miss=1e-7).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = brute([(r[0], [float(np.float32(v)) for v in r[1]], r[2]) for r in rows])
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == sorted(want)
