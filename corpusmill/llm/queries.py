@@ -96,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _L = LineRules()
 _GAP = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"  # what Python takes as white space
+_PHRASES = "(" + " + ".join(f"(length(lower(l)) - length(replace(lower(l), '{p}', ''))) / {len(p)} * {p.count(' ') + 1}" for p in FURNITURE) + ")"
 #: The base columns and the line rules as SQL: lines are judged one by one, a text by the words it loses.
 _QUALITY_RULES = rf"""
     with d as (select row_number() over () as no, doc_id, coalesce(text, '') as text from documents),
@@ -104,11 +105,17 @@ _QUALITY_RULES = rf"""
     twice as (select no, i, count(*) over (partition by no, w) as c from windows),
     covered as (select no, count(distinct p) as n_repeat from (select no, unnest([i, i + 1, i + 2]) as p from twice where c > 1) group by no),
     line as (select no, unnest(lines) as l, generate_subscripts(lines, 1) as k from worded),
+    spoken as (select no, l, k, row_number() over (partition by no, l order by k) as nth, coalesce(lag(l) over (partition by no order by k), '') as before, coalesce(lead(l) over (partition by no order by k), '') as after
+        from line where regexp_matches(l, '[^\x20\x09-\x0D]')),
+    sides as (select l, side, count(*) as c from (select l, unnest(['b' || before, 'a' || after]) as side from spoken where nth = 1 and len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) <= {_L.furniture_words}) group by l, side),
+    shared as (select l from (select l, left(side, 1) as s, sum(c) as n, max(c) as top from sides group by all) group by l
+        having max(n) >= {_L.shared_documents} and max(top) <= {_L.shared_neighbour}::double * max(n) and max(n) >= {_L.shared_part}::double * (select count(*) from d)),
     told as (select *, regexp_extract_all(l, '[^\x20\x09-\x0D]+') as w, list_filter(regexp_split_to_array(l, '{_GAP}'), lambda x: x <> '') as u from line where regexp_matches(l, '[^\x20\x09-\x0D]')),
     measured as (select *, len(w) as n, len(list_filter(u, lambda x: x in ({", ".join(f"'{c}'" for c in BARS)}))) as bars, len(list_filter(u, lambda x: regexp_matches(x, '[^#*$%&|<>][#*$%&|<>]{{2,}}[.,;:!?]*$'))) as tails,
         (length(l) - length(replace(l, '!!', ''))) / 2 as bangs, len(list_filter(u, lambda x: regexp_matches(x, '\p{{Lu}}') and not regexp_matches(x, '[\p{{Ll}}\p{{Lt}}]'))) as upper_,
         len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) as stutters, row_number() over (partition by no, l order by k) as nth from told),
-    judged as (select *, case when not regexp_matches(l, '[\p{{L}}\p{{N}}]') then true when n <= {_L.furniture_words} and ({" or ".join(f"contains(lower(l), '{p}')" for p in FURNITURE)}) then true
+    judged as (select *, case when not regexp_matches(l, '[\p{{L}}\p{{N}}]') then true when n <= {_L.furniture_words} and n > 0 and {_PHRASES} >= {_L.furniture_share}::double * n and {_PHRASES} > 0 then true
+        when n <= {_L.furniture_words} and l in (select l from shared) then true
         when n < {_L.share_words} then n <= {_L.stub_words} and bars >= 1 and not regexp_matches(regexp_replace(l, '[\x20\x09-\x0D]+$', ''), '[.!?…:;,"''»”’)\]]$')
         else bars >= {_L.bar_share}::double * n or tails >= {_L.symbol_share}::double * n and tails > 0 or bangs >= {_L.exclaim_share}::double * n and bangs > 0 or upper_ >= {_L.upper_share}::double * n
             or len(list_distinct(w)) <= n - {_L.stutter_share}::double * n and stutters >= {_L.stutter_share}::double * n end as fault from measured),

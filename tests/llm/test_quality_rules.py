@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from corpusmill.llm.quality_rules import LineRules, clean_lines, judge, keep_good, line_fault, quality_rules
+from corpusmill.llm.quality_rules import LineRules, _mark, clean_lines, judge, keep_good, line_fault, neighbours, quality_rules, shared_lines
 
 SCHEMA = "doc_id long, text string"
 SPACE = set(" \t\n\x0b\x0c\r")
@@ -97,3 +97,29 @@ def test_failing_lines_are_gone_from_the_stage_s_output(spark):
     got = stage(spark, spark.createDataFrame(rows, "n_chars long, lang string, text string, doc_id long"), "").collect()
     clean = f"{good}\n\nEnd of it."
     assert [tuple(r) for r in got] == [(len(clean), "x", clean, 1), (len(clean), None, clean, None), (7, "y", good, 3)]
+
+
+@pytest.mark.parametrize("line", ["JavaScript is a programming language that many people learn first.", "He asked her to sign in at the desk before going upstairs.", "She read more books that year than ever before."])
+def test_prose_with_words_of_the_phrases_stays(line):
+    assert line_fault(line) is None
+
+
+def test_lines_that_many_documents_share_go_in_any_language(spark):
+    own = lambda i, k: f"Satz {i} sagt, dass {' '.join(f'w{i}x{k}x{j}' for j in range(10))} so ist."
+    site = [(i, "\n".join([own(i, 0), own(i, 1), "Alle Rechte vorbehalten", *(own(i, k) for k in range(2, 6))])) for i in range(40)]
+    copies = [(100 + i, "\n".join(own(999, k) for k in range(7))) for i in range(60)]
+    passage = [(300 + i, "\n".join([own(i + 50, 0), "Erste Zeile der Stelle", "Zweite Zeile der Stelle", *(own(i + 50, k) for k in range(1, 6))])) for i in range(40)]
+    docs = spark.createDataFrame(site + copies + passage, SCHEMA)
+    assert shared_lines(docs) == {_mark("Alle Rechte vorbehalten")}
+    got = {r.doc_id: r.text for r in keep_good(docs).collect()}
+    assert len(got) == 140 and all("Alle Rechte" not in t for t in got.values())
+    assert got[100] == copies[0][1] and got[300] == passage[0][1]
+    few = spark.createDataFrame(site[:19], SCHEMA)
+    assert shared_lines(few) == frozenset() and shared_lines(docs.limit(0)) == frozenset()
+    assert all(r.n_lost_words == 3 * (r.doc_id < 40) for r in quality_rules(docs).collect())
+
+
+def test_neighbours_of_long_and_repeated_lines():
+    text = "a b\n\n" + "x " * 30 + "\na b\n" + "y" * 100_000
+    assert [m[0] for m in neighbours(text)] == [_mark("a b"), _mark("y" * 100_000)] and next(neighbours(text))[1] == 0
+    assert list(neighbours(None)) == [] and list(neighbours(" \n\t")) == []
