@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from corpusmill.operators import guards, runs
 from corpusmill.operators.stored import shared_dir, stored
 from corpusmill.plans.catalog import query
 from corpusmill.plans.views import table
-from corpusmill.sources import files
+from corpusmill.sources import checkpoints, files, shared
 from corpusmill.streaming import guarded, incremental
 
 _SERIES = """series as (select user_id as run, row_number() over (partition by user_id order by ts, event_id)::bigint as step, event_id,
@@ -286,3 +288,24 @@ def retention_summary(spark, sf_dir):
     plan = runs.retention_plan(last, runs.Retention(keep_last=2, keep_best=1, mode="max"))
     freed = runs.bytes_freed(plan, last.select("run", "step", (F.col("seq") % 1000).alias("bytes")))
     return runs.retention_summary(plan).join(freed, "run", "left").select("run", "summary", F.coalesce("bytes", F.lit(0)).alias("bytes"))
+
+
+@query("""with e as (select s_nationkey as run, s_suppkey as step, s_acctbal as metric, row_number() over (partition by s_nationkey order by s_suppkey desc) as newest,
+        row_number() over (partition by s_nationkey order by s_acctbal, s_suppkey desc) as best from supplier)
+    select run::varchar as run, step::bigint as step, round(metric, 2)::double as metric from e where newest <= 2 or best <= 1""")
+def retention_on_storage(spark, sf_dir):
+    """Nations as runs whose suppliers are snapshots on the shared storage: what the manifests name after retention of all runs, and the files agree."""
+    root = f"{shared_dir(spark)}/checkpoints-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("string").alias("run"), F.col("s_suppkey").cast("long").alias("step"), F.col("s_acctbal").cast("double").alias("metric"))
+    for r in rows.select("run").distinct().collect():  # a small file for each of the nations
+        steps = rows.where(F.col("run") == r.run).orderBy("step").collect()
+        entries = [{"step": s.step, "path": f"{root}/{r.run}/step-{s.step:06d}.state", "metrics": {"eval_loss": s.metric}} for s in steps]
+        shared.replace_text(spark, f"{root}/{r.run}/{checkpoints.MANIFEST}", json.dumps(entries))
+    states = rows.select(F.to_json(F.struct("step")).alias("value"), F.concat_ws("/", "run", F.format_string("step-%06d.state", "step")).alias("file"))
+    states.repartition("file").write.partitionBy("file").text(f"{root}-new")
+    for name in shared.names(spark, f"{root}-new"):
+        if name.startswith("file="):
+            shared.rename(spark, f"{root}-new/{name}", f"{root}/{unquote(name.removeprefix('file='))}")
+    checkpoints.retain_all(spark, root, runs.Retention(keep_last=2, keep_best=1))
+    left = checkpoints.plan_all(spark, root, runs.Retention(keep_last=10**6))
+    return left.where("action = 'keep'").select("run", "step", F.round(F.col("metrics")["eval_loss"], 2).alias("metric"))

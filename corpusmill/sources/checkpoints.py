@@ -1,18 +1,22 @@
-"""Checkpoint folders of a run: snapshots, the manifest, and retention applied to both. Small files, driver-side."""
+"""Checkpoint folders of runs on any storage that Hadoop reads: snapshots, manifests, and retention of one run or of all under a root."""
 
 from __future__ import annotations
 
 import json
-import os
-import shutil
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusmill.operators.runs import Retention, bytes_freed, retention_plan, retention_summary
-from corpusmill.sources.files import load_manifest, replace_json
+from corpusmill.operators.runs import Retention, bytes_freed, last_writes, retention_plan, retention_summary
+from corpusmill.operators.stored import Scratch
+from corpusmill.sources import shared
+from corpusmill.sources.files import manifest_entries
 
 MANIFEST = "checkpoints.json"
+ENTRIES = "array<struct<step:long,path:string,metrics:map<string,double>>>"
 
 
 @dataclass
@@ -26,10 +30,9 @@ class Applied:
     summary: str = ""
 
 
-def _bytes(path: str) -> int:
-    if os.path.isdir(path):
-        return sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(path) for f in files)
-    return os.path.getsize(path) if os.path.exists(path) else 0
+def _entries(spark: SparkSession, manifest: str) -> list[dict]:
+    text = shared.read_text(spark, manifest)
+    return [] if text is None else manifest_entries(text, manifest)
 
 
 def apply_retention(spark: SparkSession, manifest: str, policy: Retention = Retention(), metric: str = "eval_loss", dry_run: bool = False) -> Applied:
@@ -37,11 +40,11 @@ def apply_retention(spark: SparkSession, manifest: str, policy: Retention = Rete
 
     Entries whose file is gone are missing and leave the manifest. A file that can't be deleted does not fail the run.
     """
-    entries = sorted({e["step"]: e for e in load_manifest(manifest)}.values(), key=lambda e: e["step"])
+    entries = sorted({e["step"]: e for e in _entries(spark, manifest)}.values(), key=lambda e: e["step"])
     if not entries:
         return Applied()
-    there = {e["step"]: os.path.exists(e["path"]) for e in entries}
-    rows = spark.createDataFrame([("run", e["step"], e["metrics"].get(metric), there[e["step"]], _bytes(e["path"])) for e in entries], "run string, step long, metric double, there boolean, bytes long")
+    there = {e["step"]: shared.exists(spark, e["path"]) for e in entries}
+    rows = spark.createDataFrame([("run", e["step"], e["metrics"].get(metric), there[e["step"]], shared.size(spark, e["path"])) for e in entries], "run string, step long, metric double, there boolean, bytes long")
     plan = retention_plan(rows.where("there"), policy).unionByName(rows.where("not there").selectExpr("run", "step", "'missing' as action", "'' as reasons"))
     freed = bytes_freed(plan, rows).first()
     done = Applied(bytes_freed=freed.bytes if freed else 0, summary=retention_summary(plan).first().summary)
@@ -51,15 +54,82 @@ def apply_retention(spark: SparkSession, manifest: str, policy: Retention = Rete
         return done
     of_step = {e["step"]: e for e in entries}
     for step in done.delete:
-        path = of_step[step]["path"]
-        try:
-            shutil.rmtree(path) if os.path.isdir(path) else os.unlink(path)
-        except OSError:
-            pass
-    replace_json(manifest, [of_step[step] for step in done.keep])
+        _removed(spark, of_step[step]["path"])
+    shared.replace_text(spark, manifest, json.dumps([of_step[step] for step in done.keep]))
     return done
 
 
+def _removed(spark: SparkSession, path: str) -> bool:
+    try:
+        return shared.delete(spark, path)
+    except Exception:  # a file that can't be deleted stays; the next retention meets it again
+        return False
+
+
+def manifests(spark: SparkSession, root: str) -> DataFrame:
+    """run, step, seq, path, metrics: the entries of all manifests root/<run>/checkpoints.json, read by Spark."""
+    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", MANIFEST).text(root)
+    run = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
+    told = files.select(run.alias("run"), F.posexplode(F.from_json("value", ENTRIES)).alias("seq", "e"))
+    return told.select("run", "e.step", F.col("seq").cast("long").alias("seq"), "e.path", "e.metrics")
+
+
+def _sizes(spark: SparkSession, root: str) -> DataFrame:
+    """path, bytes of each snapshot, a file or a folder, under root/<run>/: told by the listing, no content is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
+    kept = F.regexp_extract("path", r"^[a-z0-9]*:?/*(.*?/[^/]+/step-\d+[^/]*)", 1)
+    return files.select(kept.alias("place"), "length").where("place <> ''").groupBy("place").agg(F.sum("length").alias("bytes"))
+
+
+def plan_all(spark: SparkSession, root: str, policy: Retention = Retention(), metric: str = "eval_loss") -> DataFrame:
+    """run, step, path, metrics, action, reasons, bytes for the snapshots of all runs under a root: one plan, whatever the number of runs."""
+    entries = last_writes(manifests(spark, root))
+    place = F.regexp_extract("path", r"^[a-z0-9]*:?/*(.*)$", 1)
+    seen = entries.withColumn("place", place).join(_sizes(spark, root), "place", "left")
+    rows = seen.select("run", "step", "path", "metrics", F.col("metrics")[metric].alias("metric"), "bytes")
+    plan = retention_plan(rows.where("bytes is not null"), policy)
+    gone = rows.where("bytes is null").select("run", "step", F.lit("missing").alias("action"), F.lit("").alias("reasons"))
+    return plan.unionByName(gone).join(rows.drop("metric"), ["run", "step"])
+
+
+def retain_all(spark: SparkSession, root: str, policy: Retention = Retention(), metric: str = "eval_loss", threads: int = 16, dry_run: bool = False) -> dict[str, int]:
+    """Applies plan_all: snapshots go first, then each touched manifest is replaced by one that names what is kept.
+
+    Executors have no file system client in Python, so the driver's threads delete, as the plan's rows stream by. A run that is interrupted is
+    finished by the next: snapshots that are gone by then are missing and leave the manifest. Returns how many were kept, deleted and missing, and the bytes freed.
+    """
+    with Scratch(spark) as put:
+        plan = put(plan_all(spark, root, policy, metric))
+        told = {r.action: r for r in plan.groupBy("action").agg(F.count("*").alias("n"), F.sum("bytes").alias("b")).collect()}
+        counts = {a: told[a].n if a in told else 0 for a in ("keep", "delete", "missing")} | {"bytes": (told["delete"].b if "delete" in told else 0) or 0}
+        if not dry_run and counts["delete"] + counts["missing"]:
+            touched = plan.where("action <> 'keep'").select("run").distinct()
+            kept = plan.where("action = 'keep'").join(touched, "run", "left_semi").select("run", "step", "path", "metrics")
+            entries = F.transform(F.array_sort(F.collect_list(F.struct("step", "path", F.to_json("metrics").alias("metrics")))), lambda e: e)  # a run's kept snapshots
+            left = touched.join(kept.groupBy("run").agg(entries.alias("entries")), "run", "left")
+
+            def replace(row) -> None:
+                shared.replace_text(spark, f"{root.rstrip('/')}/{row.run}/{MANIFEST}", json.dumps([{"step": e.step, "path": e.path, "metrics": json.loads(e.metrics or "{}")} for e in row.entries or []]))
+
+            with ThreadPoolExecutor(threads) as pool:
+                for chunk in _chunks(plan.where("action = 'delete'").select("path").toLocalIterator()):
+                    list(pool.map(lambda r: _removed(spark, r.path), chunk))
+                for chunk in _chunks(left.toLocalIterator()):
+                    list(pool.map(replace, chunk))
+    return counts
+
+
+def _chunks(rows: Iterator, size: int = 1024) -> Iterator[list]:
+    held = []
+    for r in rows:
+        held.append(r)
+        if len(held) == size:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
 @dataclass
 class Checkpoints:
     """Snapshots of a run under root/run, step by step, and their manifest."""
@@ -71,22 +141,20 @@ class Checkpoints:
 
     @property
     def manifest(self) -> str:
-        return os.path.join(self.root, self.run, MANIFEST)
+        return f"{self.root.rstrip('/')}/{self.run}/{MANIFEST}"
 
     def save(self, spark: SparkSession, step: int, state: dict, metrics: dict | None = None) -> str:
         """Writes the state and appends it to the manifest; then applies the policy, if there is one."""
-        os.makedirs(os.path.join(self.root, self.run), exist_ok=True)
-        path = os.path.join(self.root, self.run, f"step-{step:06d}.state")
-        replace_json(path, {**state, "step": step})
-        replace_json(self.manifest, [*load_manifest(self.manifest), {"step": step, "path": path, "metrics": metrics or {}}])
+        path = f"{self.root.rstrip('/')}/{self.run}/step-{step:06d}.state"
+        shared.replace_text(spark, path, json.dumps({**state, "step": step}))
+        shared.replace_text(spark, self.manifest, json.dumps([*_entries(spark, self.manifest), {"step": step, "path": path, "metrics": metrics or {}}]))
         if self.policy is not None:
             apply_retention(spark, self.manifest, self.policy, self.metric)
         return path
 
     def latest(self) -> dict | None:
         """The entry written last."""
-        return next(reversed(load_manifest(self.manifest)), None)
+        return next(reversed(_entries(SparkSession.active(), self.manifest)), None)
 
     def load(self, path: str) -> dict:
-        with open(path, encoding="utf-8") as f:
-            return json.load(f)
+        return json.loads(shared.read_text(SparkSession.active(), path))

@@ -196,13 +196,10 @@ def load_jobs(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     return reconcile(rows.where(F.col("_corrupt_record").isNull() & F.col("id").isNotNull()).drop("_corrupt_record"))
 
 
-def load_manifest(path: str) -> list[dict]:
-    """Entries of a checkpoint manifest, a small file of one run: step, path and finite metrics. Missing file: none."""
-    if not os.path.exists(path):
-        return []
+def manifest_entries(text: str, path: str) -> list[dict]:
+    """Entries of a manifest's text: step, path and finite metrics."""
     try:
-        with open(path, encoding="utf-8") as f:
-            entries = json.load(f)
+        entries = json.loads(text)
         if not isinstance(entries, list):
             raise TypeError("no list")
         finite = lambda v: isinstance(v, (int, float)) and not isinstance(v, bool) and abs(v) < float("inf")
@@ -211,6 +208,14 @@ def load_manifest(path: str) -> list[dict]:
         raise CorruptManifestError(f"{path}: {e}") from e
 
 
+def load_manifest(path: str) -> list[dict]:
+    """Entries of a checkpoint manifest, a small file of one run on this machine. Missing file: none."""
+    if not os.path.exists(path):
+        return []
+    with open(path, encoding="utf-8") as f:
+        return manifest_entries(f.read(), path)
+
+
 def replace_json(path: str, value) -> None:
     """Writes a JSON file whole or not at all: a temporary file beside it takes its place."""
     handle, temporary = tempfile.mkstemp(dir=os.path.dirname(os.path.abspath(path)))

@@ -43,6 +43,14 @@ def replace_text(spark: SparkSession, path: str, text: str) -> None:
     context.rename(context.makeQualified(fresh), context.makeQualified(place), over)
 
 
+def rename(spark: SparkSession, path: str, to: str) -> bool:
+    """Moves a file or folder; the folder above the new place is made if need be."""
+    place, files = _at(spark, path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(to)
+    files.mkdirs(target.getParent())
+    return files.rename(place, target)
+
+
 def delete(spark: SparkSession, path: str) -> bool:
     place, files = _at(spark, path)
     return files.delete(place, True)

@@ -398,6 +398,33 @@ def test_training_formulas(spark):
     assert [r.cost_usd for r in cost.collect()] == [pytest.approx(0.8)] * 2
 
 
+def test_retention_of_many_runs(spark, tmp_path):
+    policy = runs.Retention(keep_last=1, keep_best=1)
+    for r in range(12):
+        run = checkpoints.Checkpoints(f"file:{tmp_path}", f"run{r}")
+        for step in (1, 2, 3, 4):
+            run.save(spark, step, {"a": r}, {"eval_loss": abs(step - 2) + r})
+    (tmp_path / "run3" / "step-000001.state").unlink()
+    dry = checkpoints.retain_all(spark, f"file:{tmp_path}", policy, dry_run=True)
+    assert dry == {"keep": 24, "delete": 23, "missing": 1, "bytes": dry["bytes"]} and dry["bytes"] > 0
+    assert checkpoints.retain_all(spark, f"file:{tmp_path}", policy) == dry
+    assert sorted(p.name for p in (tmp_path / "run3").glob("*.state")) == ["step-000002.state", "step-000004.state"]
+    assert [e["step"] for e in files.load_manifest(str(tmp_path / "run7" / "checkpoints.json"))] == [2, 4]
+    (tmp_path / "run5" / "step-000002.state").unlink()  # as if a run of the retention had been interrupted
+    assert checkpoints.retain_all(spark, f"file:{tmp_path}", policy) == {"keep": 23, "delete": 0, "missing": 1, "bytes": 0}
+    assert checkpoints.retain_all(spark, f"file:{tmp_path}", policy)["missing"] == 0
+
+
+def test_prices(spark):
+    usage = spark.createDataFrame([("a", 1_000_000, 2_000_000), ("b", 1_000_000, 0)], "model string, train_tokens long, sample_tokens long")
+    told = {r.model: r for r in training.costs(usage, model_registry(spark), prices={"a": (3.0, 0.5)}).collect()}
+    assert told["a"].cost_usd == pytest.approx(4.0) and told["b"].train_rate == pytest.approx(0.16)
+    half = {r.model: r for r in training.costs(usage, model_registry(spark), prices={"a": (3.0, None), "b": (None, 9.0)}).collect()}
+    assert (half["a"].sample_rate, half["b"].sample_rate) == (pytest.approx(0.75), 9.0)
+    with pytest.raises(Exception, match="not negative"):
+        training.costs(usage.withColumn("train_tokens", F.lit(-1)), model_registry(spark)).collect()
+
+
 def test_registry(spark):
     models = model_registry(spark, [("x/Y", "own", 41.0, 41.0, 1_000_000, True, 64, 3e-5, "none", ["text", "image"], [])])
     assert {r.name for r in list_models(models, "OWN").collect()} == {"x/Y"} and is_supported(models, "x/Y") and get_model(models, "x/Y")["is_multimodal"]
