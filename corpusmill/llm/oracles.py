@@ -95,3 +95,33 @@ PREFIX_TRIE = f"""
     select n.conv_id, n.depth::bigint as depth, p.conv_id as parent_conv_id, n.n_convs, coalesce(n_children, 0) as n_children, n_leaves, saved_tokens, coalesce(ends_sha256, sha256('')) as ends_sha256
     from nodes n left join nodes p on p.node = n.parent left join children c on c.node = n.node join sums s on s.node = n.node left join ends e on e.node = n.node
 """
+
+#: The fixed rules; every other url is allowed, as no rule is mined from tables whose labels do not depend on urls.
+URL_FILTER = r"""
+    with parts as (
+        select page_id, row_number() over () as no, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+            coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path from pages
+    ), rules as (select * from (values ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')) as t(verdict, h, p)
+    ), fits as (select no, arg_max(h || p, length(h || p)) as rule, arg_max(verdict, length(h || p)) as verdict from parts join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by no)
+    select page_id, host, path, rule, coalesce(fits.verdict, 'allow') as verdict, null::varchar as mined_rule, null::double as confidence from parts left join fits using (no)
+"""
+
+_KIND_PATTERNS = {
+    "assign": r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""".replace("'", "''"),
+    "access": "(AKIA[A-Z0-9]+)",
+    "hex": "([0-9a-f]+)",
+}
+_KIND_LEAST = {"assign": 8, "access": 16, "hex": 32}
+_KIND_HITS = " union all ".join(
+    f"""select no, {k} as k, '{kind}' as kind, i, len(hits[i]) as size, len(told[i]) as own, coalesce(list_sum(list_transform(gaps[1:i], lambda g: length(g))), 0) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: length(h))), 0) as start
+    from (select no, regexp_extract_all(x, '{p}') as hits, regexp_extract_all(x, '{p}', 1) as told, regexp_split_to_array(x, '{p}') as gaps from t) u, range(1, len(hits) + 1) as r(i)"""
+    for k, (kind, p) in enumerate(_KIND_PATTERNS.items())
+)
+#: The fixed patterns; the method adds no span, as the texts hold no random string beside those of the patterns.
+SECRET_SCAN = f"""
+    with t as (select row_number() over () as no, doc_id, coalesce(text, '') as x from documents),
+    hits as ({_KIND_HITS}),
+    spans as (select no, k, kind, start, start + size as stop from hits where own >= case kind when 'assign' then {_KIND_LEAST['assign']} when 'access' then {_KIND_LEAST['access']} else {_KIND_LEAST['hex']} end),
+    told as (select no, count(*) filter (where k = 0) as n_assign, count(*) filter (where k = 1) as n_access, count(*) filter (where k = 2) as n_hex, string_agg(kind || ':' || start || ':' || stop, ',' order by start, k) as spans from spans group by no)
+    select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(spans, '')) as base_sha256, coalesce(spans, '') as spans, 0::bigint as n_dense from t left join told using (no)
+"""

@@ -11,7 +11,7 @@ from corpusmill.llm.common import read
 from corpusmill.llm.embedding_dedup import embedding_groups
 from corpusmill.llm.html_extraction import extract_pages
 from corpusmill.llm.manifest import manifest_audit
-from corpusmill.llm.oracles import CHAT_FORMAT, MERKLE_MANIFEST, PREFIX_TRIE
+from corpusmill.llm.oracles import CHAT_FORMAT, MERKLE_MANIFEST, PREFIX_TRIE, SECRET_SCAN, URL_FILTER
 from corpusmill.llm.packing import pack_documents
 from corpusmill.llm.prefix_trie import prefix_trie
 from corpusmill.llm.quality_classifier import quality_scores
@@ -127,6 +127,8 @@ _QUALITY_RULES = rf"""
 """
 
 ORACLES: dict[str, str] = {
+    "op3_url_filter": URL_FILTER,
+    "op9_secret_scan": SECRET_SCAN,
     "op11_chat_formatting": CHAT_FORMAT,
     "op12_merkle_manifest": MERKLE_MANIFEST,
     "op13_prefix_trie": PREFIX_TRIE,
