@@ -20,7 +20,7 @@ from corpusmill.llm.secrets import secret_scan
 from corpusmill.llm.sentencepiece_codec import encode_documents
 from corpusmill.llm.simhash import simhash_groups
 from corpusmill.llm.url_filter import url_verdicts
-from corpusmill.llm.warc import ARCHIVE_RECORDS, audit, damaged, records
+from corpusmill.llm.warc import ARCHIVE_RECORDS, DATE, audit, damaged, records
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,9 +143,9 @@ ORACLES: dict[str, str] = {
     """,
     "op2_warc_fixity": f"""
         with parts as (
-            select page_id, coalesce(url, '') as url, coalesce(html, '') as html, chr(13) || chr(10) as nl, md5(cast(page_id as varchar)) as mark from pages
+            select page_id, coalesce(url, '') as url, coalesce(html, '') as html, chr(13) || chr(10) as nl, md5(cast(page_id as varchar)) as mark, md5('{DATE} ' || coalesce(url, '')) as named from pages
         ), whole as (
-            select *, 'WARC/1.1' || nl || 'WARC-Type: response' || nl || 'WARC-Target-URI: ' || url || nl || 'Content-Type: text/html' || nl || 'Content-Length: '
+            select *, 'WARC/1.1' || nl || 'WARC-Type: response' || nl || 'WARC-Record-ID: <urn:uuid:' || concat_ws('-', substr(named, 1, 8), substr(named, 9, 4), substr(named, 13, 4), substr(named, 17, 4), substr(named, 21, 12)) || '>' || nl || 'WARC-Date: {DATE}' || nl || 'WARC-Target-URI: ' || url || nl || 'Content-Type: text/html' || nl || 'Content-Length: '
                 || cast(strlen(html) as varchar) || nl || nl as head,
                 mark < '04' and substr(mark, 3, 1) >= '8' as lost,
                 mark < '04' and substr(mark, 3, 1) < '8' and substr(html, 1, 1) in ('<', ' ') as broken from parts

@@ -26,11 +26,22 @@ from corpusmill.llm.common import Stash
 FANOUT, LEVELS, ARCHIVE_RECORDS, NAMELESS = 16, 3, 1024, 1 << 20
 
 
-def record_text(url: Column, body: Column) -> Column:
-    """A response record's bytes, as text: header lines, an empty line, the body, two line ends."""
+#: When a row without a date of its own was fetched.
+DATE = "1970-01-01T00:00:00Z"
+
+
+def record_id(url: Column, date: str = DATE) -> Column:
+    """A record's identifier: a UUID made of the MD5 of its date and address, the same in every replica."""
+    h = F.md5(F.concat(F.lit(f"{date} "), F.coalesce(url, F.lit(""))).cast("binary"))
+    part = lambda at, n: F.substring(h, at, n)
+    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", part(1, 8), part(9, 4), part(13, 4), part(17, 4), part(21, 12)), F.lit(">"))
+
+
+def record_text(url: Column, body: Column, date: str = DATE) -> Column:
+    """A response record's bytes, as text: header lines, an empty line, the body (text, or bytes as they are), two line ends."""
     size = F.coalesce(F.octet_length(body), F.lit(0)).cast("string")
-    head = F.concat(F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: "), F.coalesce(url, F.lit("")), F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), size, F.lit("\r\n\r\n"))
-    return F.concat(head, F.coalesce(body, F.lit("")), F.lit("\r\n\r\n"))
+    head = F.concat(F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: "), record_id(url, date), F.lit(f"\r\nWARC-Date: {date}\r\nWARC-Target-URI: "), F.coalesce(url, F.lit("")))
+    return F.concat(head, F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), size, F.lit("\r\n\r\n"), F.coalesce(body.cast("string"), F.lit("")), F.lit("\r\n\r\n"))
 
 
 def records(pages: DataFrame, per_archive: int = ARCHIVE_RECORDS) -> DataFrame:
@@ -119,7 +130,9 @@ def write_warc(out: BinaryIO, items: Iterator[tuple[str, bytes]], gzipped: bool
     """Writes (url, body) response records one by one; the (offset, length) of each in the file."""
     at, places = 0, []
     for url, body in items:
-        head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: {url}\r\nContent-Type: text/html\r\nContent-Length: {len(body)}\r\n\r\n".encode()
+        h = hashlib.md5(f"{DATE} {url}".encode()).hexdigest()
+        name = f"<urn:uuid:{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}>"
+        head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: {name}\r\nWARC-Date: {DATE}\r\nWARC-Target-URI: {url}\r\nContent-Type: text/html\r\nContent-Length: {len(body)}\r\n\r\n".encode()
         data = head + body + b"\r\n\r\n"
         data = gzip.compress(data, mtime=0) if gzipped else data
         out.write(data)
@@ -183,11 +196,15 @@ def _table(rows: list[tuple | None]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["file", "type", "url", "headers", "body", "whole"])
 
 
-def write_records(pages: DataFrame, path: str, compression: str = "none") -> None:
-    """(url, html, ...) -> WARC files of response records, a file for each partition; compression as Spark's text writer has it."""
-    text = record_text(F.col("url"), F.col("html"))
+def write_records(pages: DataFrame, path: str, compression: str = "none", date: str = DATE) -> None:
+    """(url, html, ...) -> WARC files of response records, a file for each partition; compression as Spark's text writer has it.
+
+    html is text or binary; null url and html are empty; repeated rows are repeated records. Other columns are not read, an empty
+    table gives files without records.
+    """
+    data = record_text(F.col("url"), F.col("html"), date).cast("binary")
     # the writer adds the last line end
-    pages.select(F.substring(text, F.lit(1), F.length(text) - 1).alias("value")).write.option("lineSep", "\n").option("compression", compression).text(path)
+    pages.select(F.substring(data, F.lit(1), F.length(data) - 1).cast("string").alias("value")).write.option("lineSep", "\n").option("compression", compression).text(path)
 
 
 class _Unzipped:

@@ -116,3 +116,15 @@ def test_lost_copies_of_a_record_are_a_fault(spark):
     found = audit(records(pages), records(pages.dropDuplicates())).collect()
     assert [(r.number, r.fault) for r in found] == [(1, "copies_differ")]
     assert audit(records(pages), records(pages).drop("copies")).count() == 1
+
+
+def test_binary_bodies_dates_and_identifiers(spark, tmp_path):
+    rows = [("http://a", bytearray(range(256))), ("http://b", bytearray(b"\xff\xfe\n\r\n")), (None, None)]
+    pages = spark.createDataFrame(rows, "url string, html binary").selectExpr("*", "1 as digest", "2 as type")
+    write_records(pages, str(tmp_path / "w"), date="2024-05-06T07:08:09Z")
+    got = {r.url: r for r in read_records(spark, str(tmp_path / "w")).collect()}
+    assert {u: bytes(r.body) for u, r in got.items()} == {u or "": bytes(h or b"") for u, h in rows}
+    assert all(r.whole and r.headers["warc-date"] == "2024-05-06T07:08:09Z" and r.headers["warc-record-id"].startswith("<urn:uuid:") for r in got.values())
+    assert len({r.headers["warc-record-id"] for r in got.values()}) == 3
+    write_records(pages.limit(0), str(tmp_path / "none"))
+    assert read_records(spark, str(tmp_path / "none")).collect() == []
