@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import chat
 from corpusmill.operators import drift
+from corpusmill.operators.stored import stored
 
 WORDS_PER_MESSAGE = 200
 
@@ -28,7 +29,7 @@ def vocabulary(examples: DataFrame, side: Column) -> DataFrame:
 
 def drift_report(examples: DataFrame, side: Column, baseline, candidate, num_bins: int = drift.NUM_BINS, top_k: int = drift.TOP_K) -> DataFrame:
     """feature, psi, jsd, ks, severity, detail: three numeric and two categorical features."""
-    f = features(examples, side)
+    f = stored(features(examples, side))  # a few numbers a row; the chats are read once for them and once for the words
     parts = [drift.compare_distributions(f, c, baseline, candidate, num_bins=num_bins) for c in ("prompt_chars", "answer_chars", "turns")]
     for rows, key in ((f, "answer_prefix"), (vocabulary(examples, side), "word")):
         parts.append(drift.compare_categorical(rows, key, baseline, candidate, feature="vocabulary" if key == "word" else key, top_k=top_k).select("feature", "psi", "jsd", F.lit(None).cast("double").alias("ks"), "severity", "detail"))

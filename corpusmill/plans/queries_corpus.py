@@ -67,8 +67,8 @@ def ranked_hits(spark, sf_dir):
     """For a third of the documents all similar texts among the others, the most similar first; equal texts are left to the exact lookup."""
     docs = _documents(spark, sf_dir)
     asked, known = docs.where("row_id % 3 = 0 and norm <> ''"), docs.where("row_id % 3 <> 0")
-    firsts = dedup._firsts(known)
-    rest = asked.join(known.select("norm"), "norm", "left_anti")
+    firsts = stored(dedup._firsts(known))
+    rest = asked.withColumn("key", dedup.digest("norm")).join(firsts.select("key"), "key", "left_anti")
     hits = dedup.similar(dedup.sketches(rest.select("row_id", "norm")), dedup.sketches(firsts))
     found = dedup.ranked_hits(hits.withColumn("jaccard", F.round("jaccard", 9)))
     return found.select(F.col("left_id").alias("row_id"), F.col("right_id").alias("match_id"), F.round("jaccard", 6).alias("jaccard"), "rank")
