@@ -64,7 +64,7 @@ def test_batches_give_the_hits_of_all_earlier_texts(spark, tmp_path):
             got = rows_of(index.add(spark.createDataFrame(batch, T), k))
             assert got == want
     assert sum(r["rows"] for r in index.runs()) == len({" ".join(t.split()) for b in batches for _, t in b if t.strip()})
-    assert max(r["level"] for r in index.runs()) == 2 and len(index.runs()) == 2
+    assert [r["level"] for r in index.runs()] == [2]  # four batches, merged two by two
     with pytest.raises(ValueError, match="batch 1"):
         index.add(spark.createDataFrame(batches[1], T), 1)
     seen = []
