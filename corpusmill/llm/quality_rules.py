@@ -1,7 +1,7 @@
 """Line-first quality rules: judge every line, drop the failing ones, reject texts that lose too much.
 
-Boilerplate is told by the corpus itself, in any language: a short line that many documents hold, each beside other lines. Copies
-and shared passages keep a line's neighbours, so they make none. A line that is to a large part made of a few fixed phrases is
+Boilerplate is told by the corpus itself, in any language: a short line that ends like no sentence and that many documents hold, each
+beside other lines. Short sentences recur in prose, and copies and shared passages keep a line's neighbours, so they make none. A line that is to a large part made of a few fixed phrases is
 boilerplate as well.
 """
 
@@ -34,6 +34,7 @@ BARS = "|»›•·>/"
 _BARS = re.compile(rf"(?<!\S)[{BARS}](?!\S)")
 _SYMBOL = re.compile(r"[#*$%&|<>]")
 _TAILS = re.compile(r"[^\s#*$%&|<>][#*$%&|<>]{2,}[.,;:!?]*(?!\S)")
+_SENTENCE = re.compile(r"[.!?…][\"'»”’)\]]*$")
 _ENDS = re.compile(r"[.!?…:;,\"'»”’)\]]$")
 
 
@@ -41,7 +42,7 @@ _ENDS = re.compile(r"[.!?…:;,\"'»”’)\]]$")
 class LineRules:
     """Limits of the line rules. Shares are of the line's words; a share counts only from `share_words` words on.
 
-    A line of at most furniture_words words is shared if shared_documents documents hold it, and a part of shared_part of all, and
+    A line of at most furniture_words words without a sentence's end is shared if shared_documents documents hold it, and a part of shared_part of all, and
     neither the line before it nor the one after it is the same in over shared_neighbour of them.
     """
 
@@ -57,7 +58,7 @@ class LineRules:
     furniture_share: float = 0.25
     shared_documents: int = 20
     shared_part: float = 1 / 2000
-    shared_neighbour: float = 0.5
+    shared_neighbour: float = 0.25
     stub_words: int = 3
     max_lost_share: float = 0.3
 
@@ -81,7 +82,7 @@ def line_fault(line: str, rules: LineRules = LineRules(), shared: frozenset[int]
         low = line.lower()
         if any(map(low.__contains__, FURNITURE)) and sum(low.count(p) * (p.count(" ") + 1) for p in FURNITURE) >= rules.furniture_share * n:
             return "boilerplate"
-        if shared and _mark(line) in shared:
+        if shared and not _SENTENCE.search(line.rstrip(SPACE)) and _mark(line) in shared:
             return "boilerplate"
     if n < rules.share_words:
         return "stub" if n <= rules.stub_words and len(_BARS.findall(line)) >= 1 and not _ENDS.search(line.rstrip(SPACE)) else None
@@ -165,14 +166,16 @@ def judge(text: str | None, rules: LineRules = LineRules(), shared: frozenset[in
 
 
 def neighbours(text: str | None, rules: LineRules = LineRules()) -> Iterator[tuple[int, int, int]]:
-    """(mark, mark of the line before, mark of the line after) of each short line of a text, where it first stands; 0 for no line."""
+    """(mark, mark of the line before, mark of the line after) of each short line of a text that ends like no sentence, where it first stands.
+
+    The last line stands before the first.
+    """
     lines = [x for x in (text or "").split("\n") if x.strip(SPACE)]
-    marks = [_mark(x) if x.count(" ") < 4 * rules.furniture_words and len(x.encode().split()) <= rules.furniture_words else None for x in lines]
-    seen: set[int] = set()
-    for k, m in enumerate(marks):
-        if m is not None and m not in seen:
-            seen.add(m)
-            yield m, _mark(lines[k - 1]) if k else 0, _mark(lines[k + 1]) if k + 1 < len(lines) else 0
+    seen: set[str] = set()
+    for k, x in enumerate(lines):
+        if x not in seen and not _SENTENCE.search(x.rstrip(SPACE)) and len(x.encode().split()) <= rules.furniture_words:
+            seen.add(x)
+            yield _mark(x), _mark(lines[k - 1]), _mark(lines[(k + 1) % len(lines)])
 
 
 def shared_lines(docs: DataFrame, rules: LineRules = LineRules()) -> frozenset[int]:

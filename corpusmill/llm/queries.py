@@ -105,9 +105,9 @@ _QUALITY_RULES = rf"""
     twice as (select no, i, count(*) over (partition by no, w) as c from windows),
     covered as (select no, count(distinct p) as n_repeat from (select no, unnest([i, i + 1, i + 2]) as p from twice where c > 1) group by no),
     line as (select no, unnest(lines) as l, generate_subscripts(lines, 1) as k from worded),
-    spoken as (select no, l, k, row_number() over (partition by no, l order by k) as nth, coalesce(lag(l) over (partition by no order by k), '') as before, coalesce(lead(l) over (partition by no order by k), '') as after
-        from line where regexp_matches(l, '[^\x20\x09-\x0D]')),
-    sides as (select l, side, count(*) as c from (select l, unnest(['b' || before, 'a' || after]) as side from spoken where nth = 1 and len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) <= {_L.furniture_words}) group by l, side),
+    spoken as (select no, l, k, row_number() over (partition by no, l order by k) as nth, coalesce(lag(l) over w, last_value(l) over (w rows between unbounded preceding and unbounded following)) as before, coalesce(lead(l) over w, first_value(l) over w) as after
+        from line where regexp_matches(l, '[^\x20\x09-\x0D]') window w as (partition by no order by k)),
+    sides as (select l, side, count(*) as c from (select l, unnest(['b' || before, 'a' || after]) as side from spoken where nth = 1 and not regexp_matches(regexp_replace(l, '[\x20\x09-\x0D]+$', ''), '[.!?…]["''»”’)\]]*$') and len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) <= {_L.furniture_words}) group by l, side),
     shared as (select l from (select l, left(side, 1) as s, sum(c) as n, max(c) as top from sides group by all) group by l
         having max(n) >= {_L.shared_documents} and max(top) <= {_L.shared_neighbour}::double * max(n) and max(n) >= {_L.shared_part}::double * (select count(*) from d)),
     told as (select *, regexp_extract_all(l, '[^\x20\x09-\x0D]+') as w, list_filter(regexp_split_to_array(l, '{_GAP}'), lambda x: x <> '') as u from line where regexp_matches(l, '[^\x20\x09-\x0D]')),
