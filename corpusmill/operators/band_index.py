@@ -1,7 +1,7 @@
 """A near-duplicate index that grows by batches: rows kept under a prefix of their band keys, in runs that are merged by size.
 
 A batch adds one run. A run holds its rows twice: `keys` (key, row_id) in folders by a hash prefix of the key, and `texts`
-(row_id, norm, keys) in folders by one of row_id, as many folders as keep each at about `fill` rows. A lookup opens the folders that its own
+(row_id, norm, keys, n, marks) in folders by one of row_id, as many folders as keep each at about `fill` rows. A lookup opens the folders that its own
 keys fall into, takes the rows that share a key, and reads only the folders of texts in which these lie. When `fan` runs of a level are there
 they become one of the next level, so a row is written again as often as the logarithm of the rows says, and a lookup meets that many runs.
 
@@ -26,7 +26,7 @@ from corpusmill.operators.stored import Scratch
 from corpusmill.sources import shared
 
 HITS = "row_id long, match_id long, jaccard double, rank int"
-_KEYS, _TEXTS = "key long, row_id long, part int", "row_id long, norm string, keys array<long>, part int"
+_KEYS, _TEXTS = "key long, row_id long, part int", f"{dedup.SKETCH}, part int"
 
 
 def _folder(value: Column, bits: int) -> Column:
@@ -77,7 +77,7 @@ class BandIndex:
         return max(0, math.ceil(math.log2(max(1, rows) * self.bands / self.fill)))
 
     def _write(self, texts: DataFrame, rows: int, level: int) -> dict:
-        """(row_id, norm, keys) as a run."""
+        """Sketched rows as a run."""
         run = {"id": uuid.uuid4().hex, "level": level, "rows": rows, "bits": self._bits(rows)}
         keys = texts.select(F.explode("keys").alias("key"), "row_id").withColumn("part", _folder(F.col("key"), run["bits"]))
         kept = texts.withColumn("part", _folder(F.col("row_id"), run["bits"]))
@@ -110,11 +110,11 @@ class BandIndex:
     # lookups
 
     def _sketched(self, texts: DataFrame) -> DataFrame:
-        """(row_id, norm, digest) -> row_id, norm, keys: the text's own key and those of its bands, told apart by band."""
+        """(row_id, norm, digest) -> a sketch with the text's own key before those of its bands, told apart by band."""
         own = texts.select(F.col("row_id").alias("id"), _text_key(F.col("digest")).alias("own"))
         banded = dedup.sketches(texts.select("row_id", "norm"), self.num_perm, self.bands, self.k)
         keys = F.concat(F.array("own"), F.transform("keys", lambda x, i: F.xxhash64(i, x)))
-        return banded.join(own, banded.row_id == own.id).select("row_id", "norm", keys.alias("keys"))
+        return banded.join(own, banded.row_id == own.id).select("row_id", "norm", keys.alias("keys"), "n", "marks")
 
     def _known(self, put: Scratch, keys: DataFrame, runs: list[dict]) -> DataFrame:
         """(key) -> key, row_id of the index's rows with such a key. Keys are distinct, so nothing is paired."""
@@ -123,10 +123,10 @@ class BandIndex:
         return put(reduce(DataFrame.unionByName, (self._opened(r, "keys", keys, "key").select("key", "row_id").join(keys, "key", "left_semi") for r in runs)))
 
     def _fetched(self, ids: DataFrame, runs: list[dict]) -> DataFrame:
-        """(row_id) -> row_id, norm, keys."""
+        """(row_id) -> their sketches."""
         if not runs:
             return self.spark.createDataFrame([], _TEXTS).drop("part")
-        return reduce(DataFrame.unionByName, (self._opened(r, "texts", ids, "row_id").select("row_id", "norm", "keys").join(ids, "row_id", "left_semi") for r in runs))
+        return reduce(DataFrame.unionByName, (self._opened(r, "texts", ids, "row_id").drop("part").join(ids, "row_id", "left_semi") for r in runs))
 
     def _matches(self, put: Scratch, texts: DataFrame, runs: list[dict], among: bool) -> tuple[DataFrame, DataFrame]:
         """Hits (HITS) of rows (row_id, text) in the runs and, with among, in their own earlier rows; and the sketches of the new texts."""
@@ -145,7 +145,7 @@ class BandIndex:
         fresh = put(self._sketched(rows.join(asked, "row_id", "left_semi")))
         keys = put(fresh.select(F.explode(F.slice("keys", 2, self.bands)).alias("key")).distinct())
         near = put(self._fetched(put(self._known(put, keys, runs).select("row_id").distinct()), runs))
-        bare = lambda t: t.select("row_id", "norm", F.slice("keys", 2, self.bands).alias("keys"))
+        bare = lambda t: t.withColumn("keys", F.slice("keys", 2, self.bands))
         hits = dedup.similar(bare(fresh), bare(near), self.threshold, self.k, keep=put)
         if among:
             hits = hits.unionByName(dedup.similar(bare(fresh), threshold=self.threshold, k=self.k, keep=put))

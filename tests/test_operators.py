@@ -139,6 +139,18 @@ def test_all_hits_in_order_whatever_the_blocks(spark, block):
         assert best == {(i, hits[0][1]) for i, hits in want.items() if hits}
 
 
+def test_a_hot_key_leaves_few_pairs_and_loses_no_similar_one():
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.choice([3, 30, 200]))) for _ in range(150)]
+    texts += [t[: len(t) // 2] + "zq" + t[len(t) // 2 + 2 :] for t in texts[:75]] + [t + " zq" for t in texts[75:]]
+    sets = [dedup.shingle_set(t) for t in texts]
+    block = [(0, 0, 0, i, [7] * 8, len(s), dedup._marks(s)) for i, s in enumerate(sets)]
+    left = set(dedup._candidates(block, 0, 0, 0.85, True))
+    want = {(i, j) for j, i in combinations(range(len(texts)), 2) if jaccard(texts[i], texts[j]) >= 0.85}
+    assert want <= left and 100 < len(want) and len(left) < 1000  # of 44,850
+
+
 def test_equal_joined_texts_of_new_pairs_are_near_duplicates(spark):
     rows = [(0, "a b", "c"), (1, "a", "b c"), (2, "a b", "c"), (3, "", "")]
     k = spark.createDataFrame([(i, p, r, f"{p} {r}".strip()) for i, p, r in rows], "row_id long, prompt_key string, response_key string, norm string")
