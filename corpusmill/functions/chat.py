@@ -129,18 +129,15 @@ def prompt_truncated_away(m: Column, limit: Column | int) -> Column:
 
 def byte_ids(text: Column) -> Column:
     """UTF-8 bytes of a text as numbers."""
-
-    def numbers(raw: Column) -> Column:
-        n = (F.length(raw) / 2).cast("int")
-        return F.when(n == 0, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(1), n), lambda i: F.conv(F.substring(raw, 2 * i - 1, F.lit(2)), 16, 10).cast("int")))
-
-    return let(F.hex(F.encode(text, "UTF-8")), numbers)
+    # as Latin-1 a byte is a character, and a split by nothing walks once (substring would walk from the start each time)
+    chars = F.split(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"), "")
+    return F.when(text == "", F.array().cast("array<int>")).otherwise(F.transform(chars, lambda c: F.ascii(c)))
 
 
 def byte_text(ids: Column) -> Column:
     """The text of byte ids; ids beyond the bytes are left out, bytes that are no UTF-8 are replaced."""
-    raw = F.array_join(F.transform(F.filter(ids, lambda i: i.between(0, 255)), lambda i: F.lpad(F.hex(i), 2, "0")), "")
-    return F.call_function("make_valid_utf8", F.unhex(raw).cast("string"))
+    chars = F.array_join(F.transform(F.filter(ids, lambda i: i.between(0, 255)), lambda i: F.char(i)), "")
+    return F.call_function("make_valid_utf8", F.encode(chars, "ISO-8859-1").cast("string"))
 
 
 def segments(m: Column) -> Column:

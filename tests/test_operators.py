@@ -603,3 +603,11 @@ def test_streams(spark, tmp_path):
     incremental.run_available(stream(), check, str(tmp_path / "ck"))
     incremental.run_available(stream(), check, str(tmp_path / "ck"))
     assert [(r.left_id, r.right_id) for r in seen] == [(1, 9)]
+
+
+def test_byte_ids_go_through_a_text_once(spark):
+    texts = ["", "\0a\0", "é€😀\n", " x ", "$1\\", "".join(map(chr, range(1, 3000))) * 20]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", chat.byte_ids(F.col("t")).alias("ids"))
+    told = rows.select("t", "ids", chat.byte_text(F.col("ids")).alias("back"))
+    assert all(r.ids == list(r.t.encode()) and r.back == r.t for r in told.collect())
+    assert "substring(" not in told._jdf.queryExecution().optimizedPlan().toString()  # it walks from the text's start for each byte
