@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+TAKE = 64
 #: (rows of one key in order) -> rows of the output
 Walk = Callable[[Iterator[tuple]], Iterator[tuple]]
 
@@ -30,7 +31,9 @@ def walked_there(rows: DataFrame, keys: list[str], walk: Walk, schema: str, give
     width = len(keys)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        source = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns)))
+        # few rows are Python objects at a time, whatever a batch holds
+        slices = (b.slice(at, TAKE) for b in batches for at in range(0, b.num_rows, TAKE))
+        source = (row for b in slices for row in zip(*(c.to_pylist() for c in b.columns)))
         ahead = next(source, None)
 
         def of_key(key: tuple) -> Iterator[tuple]:

@@ -611,3 +611,27 @@ def test_byte_ids_go_through_a_text_once(spark):
     told = rows.select("t", "ids", chat.byte_text(F.col("ids")).alias("back"))
     assert all(r.ids == list(r.t.encode()) and r.back == r.t for r in told.collect())
     assert "substring(" not in told._jdf.queryExecution().optimizedPlan().toString()  # it walks from the text's start for each byte
+
+
+def test_a_walk_turns_few_rows_of_a_batch_into_objects_at_a_time():
+    import pyarrow as pa
+
+    from corpusmill.operators import folds
+
+    class Batch:
+        """An Arrow batch that is only to be read in slices."""
+
+        whole, num_rows, asked = pa.RecordBatch.from_pydict({"k": [1] * 700 + [2] * 300, "v": list(range(1000))}), 1000, 0
+
+        def slice(self, at, n):
+            self.asked = max(self.asked, n)
+            return self.whole.slice(at, n)
+
+    class Rows:
+        columns = ["k", "v"]
+        select = lambda self, *c: self
+        mapInArrow = lambda self, run, schema: run  # noqa: E731, N815
+
+    run = folds.walked_there(Rows(), ["k"], lambda rows: iter([(sum(v for _, v in rows),)]), "k long, s long")
+    batch = Batch()
+    assert [b.to_pydict() for b in run([batch])] == [{"k": [1, 2], "s": [sum(range(700)), sum(range(700, 1000))]}] and 0 < batch.asked <= 64
