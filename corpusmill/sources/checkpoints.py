@@ -52,16 +52,16 @@ def apply_retention(spark: SparkSession, manifest: str, policy: Retention = Rete
         getattr(done, r.action).append(r.step)
     if dry_run:
         return done
-    of_step = {e["step"]: e for e in entries}
+    of_step, files = {e["step"]: e for e in entries}, shared.Files(spark)
     for step in done.delete:
-        _removed(spark, of_step[step]["path"])
+        _removed(files, of_step[step]["path"])
     shared.replace_text(spark, manifest, json.dumps([of_step[step] for step in done.keep]))
     return done
 
 
-def _removed(spark: SparkSession, path: str) -> bool:
+def _removed(files: shared.Files, path: str) -> bool:
     try:
-        return shared.delete(spark, path)
+        return files.delete(path)
     except Exception:  # a file that can't be deleted stays; the next retention meets it again
         return False
 
@@ -108,12 +108,14 @@ def retain_all(spark: SparkSession, root: str, policy: Retention = Retention(),
             entries = F.transform(F.array_sort(F.collect_list(F.struct("step", "path", F.to_json("metrics").alias("metrics")))), lambda e: e)  # a run's kept snapshots
             left = touched.join(kept.groupBy("run").agg(entries.alias("entries")), "run", "left")
 
+            files = shared.Files(spark)
+
             def replace(row) -> None:
                 shared.replace_text(spark, f"{root.rstrip('/')}/{row.run}/{MANIFEST}", json.dumps([{"step": e.step, "path": e.path, "metrics": json.loads(e.metrics or "{}")} for e in row.entries or []]))
 
             with ThreadPoolExecutor(threads) as pool:
                 for chunk in _chunks(plan.where("action = 'delete'").select("path").toLocalIterator()):
-                    list(pool.map(lambda r: _removed(spark, r.path), chunk))
+                    list(pool.map(lambda r: _removed(files, r.path), chunk))
                 for chunk in _chunks(left.toLocalIterator()):
                     list(pool.map(replace, chunk))
     return counts

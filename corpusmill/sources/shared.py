@@ -66,3 +66,26 @@ def size(spark: SparkSession, path: str) -> int:
     """Bytes of a file or of all files of a folder; 0 where there is none."""
     place, files = _at(spark, path)
     return files.getContentSummary(place).getLength() if files.exists(place) else 0
+
+
+class Files:
+    """Moves and deletes of many files: the session's configuration is copied once, not once a file. Threads may share it."""
+
+    def __init__(self, spark: SparkSession):
+        self._path, self._conf, self._made = spark._jvm.org.apache.hadoop.fs.Path, spark._jsparkSession.sessionState().newHadoopConf(), set()
+
+    def rename(self, path: str, to: str) -> bool:
+        place, folder = self._path(path), to.rsplit("/", 1)[0]
+        files = place.getFileSystem(self._conf)
+        if folder not in self._made:
+            files.mkdirs(self._path(folder))
+            self._made.add(folder)
+        return files.rename(place, self._path(to))
+
+    def delete(self, path: str) -> bool:
+        place = self._path(path)
+        return place.getFileSystem(self._conf).delete(place, True)
+
+    def names(self, path: str) -> list[str]:
+        place = self._path(path)
+        return [s.getPath().getName() for s in place.getFileSystem(self._conf).listStatus(place)]

@@ -613,7 +613,7 @@ def test_byte_ids_go_through_a_text_once(spark):
     assert "substring(" not in told._jdf.queryExecution().optimizedPlan().toString()  # it walks from the text's start for each byte
 
 
-def test_a_walk_turns_few_rows_of_a_batch_into_objects_at_a_time():
+def test_a_walk_turns_few_rows_of_a_batch_into_objects_at_a_time(spark):
     import pyarrow as pa
 
     from corpusmill.operators import folds
@@ -635,3 +635,14 @@ def test_a_walk_turns_few_rows_of_a_batch_into_objects_at_a_time():
     run = folds.walked_there(Rows(), ["k"], lambda rows: iter([(sum(v for _, v in rows),)]), "k long, s long")
     batch = Batch()
     assert [b.to_pydict() for b in run([batch])] == [{"k": [1, 2], "s": [sum(range(700)), sum(range(700, 1000))]}] and 0 < batch.asked <= 64
+
+
+def test_many_files_are_moved_and_deleted_with_one_configuration(spark, tmp_path):
+    from corpusmill.sources import shared
+
+    for k in range(5):
+        shared.replace_text(spark, f"{tmp_path}/a/{k}", str(k))
+    files = shared.Files(spark)
+    assert [files.rename(f"{tmp_path}/a/{k}", f"{tmp_path}/b/{k % 2}/{k}") for k in range(5)] == [True] * 5
+    assert files.delete(f"{tmp_path}/b/1/3") and not files.delete(f"{tmp_path}/b/1/9")
+    assert shared.names(spark, f"{tmp_path}/b/0") == ["0", "2", "4"] and shared.names(spark, f"{tmp_path}/b/1") == ["1"]
