@@ -76,6 +76,22 @@ PII_PATTERNS: dict[str, str] = {
     "ipv4": r"\b(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\b",
 }
 
+#: The same kinds as RE2, and so DuckDB, reads them. Word borders and digits are those of ASCII (Java's own \b is not, before
+#: 19); without look-around the neighbours of a phone number belong to its match, so of two numbers with one character between the first counts.
+_BORDER = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+_NUMBERS = ("credit_card", "ssn", "phone", "ipv4")
+ASCII_PATTERNS: dict[str, str] = {k: (p.replace(r"\b", r"(?=\d)(?<!\w)", 1) if k in _NUMBERS else p).replace(r"\b", _BORDER) for k, p in PII_PATTERNS.items()} | {
+    "phone": r"(\A|[^\d\-])(?:\+\d{1,3}[ \-]?)?(?:\(\d{3}\)|\d{3})[ \-]\d{3}[ \-]\d{4}([^\d\-]|\z)",
+}
+
+
+def pattern_and_mark(kind: str, ascii: bool = False) -> tuple[str, str]:
+    """A kind's pattern for Spark's functions and what replaces a match."""
+    mark = f"[REDACTED:{kind}]"
+    if ascii:
+        return ASCII_PATTERNS[kind], f"$1{mark}$2" if kind == "phone" else mark
+    return "(?U)" + PII_PATTERNS[kind], mark
+
 
 def luhn_ok(match: Column) -> Column:
     """13 to 19 digits that pass the mod-10 check; other characters are skipped."""
@@ -83,9 +99,9 @@ def luhn_ok(match: Column) -> Column:
     return F.when(F.length(digits).between(13, 19), F.call_function("luhn_check", digits)).otherwise(F.lit(False))
 
 
-def _redact_cards(text: Column) -> Column:
+def _redact_cards(text: Column, ascii: bool) -> Column:
     """Runs that pass the check are replaced; failing runs and the text between the runs stay as they are."""
-    pattern = "(?U)" + PII_PATTERNS["credit_card"]
+    pattern, _ = pattern_and_mark("credit_card", ascii)
 
     def joined(t: Column, found: Column) -> Column:
         card = lambda i: F.when(luhn_ok(F.get(found, i)), F.lit("[REDACTED:credit_card]")).otherwise(F.get(found, i))
@@ -98,8 +114,11 @@ def _redact_cards(text: Column) -> Column:
     return let(text, mend)
 
 
-_NUMBERS = ("credit_card", "ssn", "phone", "ipv4")
-_DIGITS = r"(?U)\d[\d .()\-]{5}"
+#: For the kinds that need one of some literals these; the other kinds need a run of digits.
+LITERALS: dict[str, tuple[str, ...]] = {
+    "private_key": ("-----BEGIN",), "aws_access_key": ("AKIA", "ASIA"), "github_token": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), "api_key": ("sk-",), "jwt": ("eyJ",), "email": ("@",),
+}
+DIGITS = r"(?U)\d[\d .()\-]{5}"
 
 
 def _literals(text: Column) -> dict[str, Column]:
@@ -107,13 +126,12 @@ def _literals(text: Column) -> dict[str, Column]:
 
     Marks hold neither, nor a part that could complete one, so what the text lacks at first no replacement brings.
     """
-    has = lambda *literals: reduce(Column.__or__, (F.contains(text, F.lit(x)) for x in literals))
-    return {"private_key": has("-----BEGIN"), "aws_access_key": has("AKIA", "ASIA"), "github_token": has("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), "api_key": has("sk-"), "jwt": has("eyJ"), "email": has("@")}
+    return {k: reduce(Column.__or__, (F.contains(text, F.lit(x)) for x in literals)) for k, literals in LITERALS.items()}
 
 
-def _swapped(kind: str, there: Column) -> Callable[[Column], Column]:
+def _swapped(kind: str, there: Column, ascii: bool) -> Callable[[Column], Column]:
     def swap(x: Column) -> Column:
-        new = _redact_cards(x) if kind == "credit_card" else F.regexp_replace(x, "(?U)" + PII_PATTERNS[kind], f"[REDACTED:{kind}]")
+        new = _redact_cards(x, ascii) if kind == "credit_card" else F.regexp_replace(x, *pattern_and_mark(kind, ascii))
         return F.when(there, new).otherwise(x)
 
     return swap
@@ -121,7 +139,7 @@ def _swapped(kind: str, there: Column) -> Callable[[Column], Column]:
 
 def _told(text: Column) -> Column:
     """struct(text, and a flag for each kind): anchors are sought once, however often they are asked for."""
-    digits = let(text.rlike(_DIGITS), lambda d: F.struct(*(d.alias(k) for k in _NUMBERS)))
+    digits = let(text.rlike(DIGITS), lambda d: F.struct(*(d.alias(k) for k in _NUMBERS)))
     own = [c.alias(k) for k, c in _literals(text).items()]
     return F.struct(text.alias("text"), *own, digits.alias("digits"))
 
@@ -130,24 +148,35 @@ def _there(told: Column, kind: str) -> Column:
     return told["digits"][kind] if kind in _NUMBERS else told[kind]
 
 
-def _replaced(told: Column) -> Column:
+def _replaced(told: Column, ascii: bool = False) -> Column:
     """The text with each kind replaced in turn; a kind's pattern runs only where its anchor is."""
     now = told["text"]
     for kind in PII_PATTERNS:
-        now = let(now, _swapped(kind, _there(told, kind)))
+        now = let(now, _swapped(kind, _there(told, kind), ascii))
     return now
 
 
 def _suspect(text: Column) -> Column:
-    return reduce(Column.__or__, _literals(text).values()) | text.rlike(_DIGITS)
+    return reduce(Column.__or__, _literals(text).values()) | text.rlike(DIGITS)
 
 
-def redacted(text: Column) -> Column:
+def redacted(text: Column, ascii: bool = False) -> Column:
     """Each kind in turn is replaced by [REDACTED:kind]; a later kind sees the text that earlier ones left.
 
+    Word borders and digits are Unicode's, as in Python; with ascii they are RE2's, as SQL engines tell them (ASCII_PATTERNS).
     Texts without any anchor of a kind, nearly all in most corpora, are only searched for these.
     """
-    return F.when(_suspect(text), let(_told(text), _replaced)).otherwise(text)
+    return F.when(_suspect(text), let(_told(text), lambda told: _replaced(told, ascii))).otherwise(text)
+
+
+def marks(text: Column) -> Column:
+    """map<kind, marks> of the kinds whose marks a text holds, whoever put them there."""
+
+    def counted(t: Column) -> Column:
+        entries = F.array(*(F.struct(F.lit(k).alias("key"), F.regexp_count(t, F.lit(rf"\[REDACTED:{k}\]")).alias("value")) for k in PII_PATTERNS))
+        return F.map_from_entries(F.filter(entries, lambda e: e["value"] > 0))
+
+    return let(text, lambda t: F.when(F.contains(t, F.lit("[REDACTED:")), counted(t)).when(t.isNotNull(), F.create_map().cast("map<string,int>")))
 
 
 def pii_counts(text: Column) -> Column:
