@@ -24,18 +24,27 @@ def _quoted(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _redaction(of: str) -> str:
-    """The SQL of text.redacted, without its anchors: each kind in turn, cards by their check digits."""
-    for kind, pattern in text.PII_PATTERNS.items():
-        p, mark = _quoted("(?U)" + pattern), _quoted(f"[REDACTED:{kind}]")
-        if kind == "credit_card":
+def _let(name: str, value: str, use: str) -> str:
+    """text.let: use, an expression of the name, with the value computed once."""
+    return f"get(transform(array({value}), {name} -> {use}), 0)"
+
+
+def _redaction(of: str, ascii: bool) -> str:
+    """The SQL of text.redacted: each kind in turn where its anchor is, cards by their check digits."""
+    numbers = "x"
+    for kind in text.PII_PATTERNS:
+        p, mark = map(_quoted, text.pattern_and_mark(kind, ascii))
+        if kind in text.LITERALS:
+            there = " or ".join(f"contains(x, {_quoted(v)})" for v in text.LITERALS[kind])
+            of = _let("x", of, f"if({there}, regexp_replace(x, {p}, {mark}), x)")
+        elif kind == "credit_card":
             digits = "regexp_replace(c, '[^0-9]', '')"
             card = f"if(length({digits}) between 13 and 19 and luhn_check({digits}), {mark}, c)"
-            runs = f"transform(regexp_extract_all({of}, {p}, 0), c -> {card})"
-            of = f"array_join(transform(split({of}, {p}, -1), (gap, i) -> gap || coalesce(get({runs}, i), '')), '')"
+            runs = f"transform(regexp_extract_all(y, {p}, 0), c -> {card})"
+            numbers = _let("y", numbers, _let("runs", runs, f"array_join(transform(split(y, {p}, -1), (gap, i) -> gap || coalesce(get(runs, i), '')), '')"))
         else:
-            of = f"regexp_replace({of}, {p}, {mark})"
-    return of
+            numbers = f"regexp_replace({numbers}, {p}, {mark})"
+    return _let("x", of, f"if(x rlike {_quoted(text.DIGITS)}, {numbers}, x)")
 
 
 def owner_sql(spec: ShardSpec, key: str = "key") -> str:
@@ -58,10 +67,13 @@ class PackRows:
         self.fill += row.len
 
 
-def register(spark: SparkSession, spec: ShardSpec = ShardSpec(1)) -> list[str]:
-    """Makes the functions known to the session and returns their names: the rewards, redact(text), owner_of(key) of a spec, pack_rows."""
+def register(spark: SparkSession, spec: ShardSpec = ShardSpec(1), ascii: bool = False) -> list[str]:
+    """Makes the functions known to the session and returns their names: the rewards, redact(text), owner_of(key) of a spec, pack_rows.
+
+    ascii: redact has the word borders and digits of ASCII, as in text.redacted.
+    """
     made = {name: ("prompt string, completion string", "double", body) for name, body in REWARDS.items()}
-    made["redact"] = ("content string", "string", _redaction("content"))
+    made["redact"] = ("content string", "string", _redaction("content", ascii))
     made["owner_of"] = ("key string", "int", owner_sql(spec))
     for name, (arguments, kind, body) in made.items():
         spark.sql(f"create or replace temporary function {name}({arguments}) returns {kind} return {body}")

@@ -25,7 +25,7 @@ def sql_rewards(spark, sf_dir):
 @query(ORACLES["redact_documents"])
 def sql_redacted(spark, sf_dir):
     """Redaction called from SQL."""
-    sql.register(spark, _SQL_SPEC)
+    sql.register(spark, _SQL_SPEC, ascii=True)
     return spark.sql("select doc_id, redact(text) as text from {docs}", docs=private(spark, sf_dir))
 
 

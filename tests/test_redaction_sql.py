@@ -18,7 +18,7 @@ PARTS = [
 ]
 
 
-@pytest.mark.parametrize("name", ["redact_documents", "pii_rows", "pii_matches_by_kind", "luhn_cards"])
+@pytest.mark.parametrize("name", ["redact_documents", "sql_redacted", "pii_rows", "pii_matches_by_kind", "luhn_cards"])
 def test_queries_follow_their_sql_on_any_text(spark, tmp_path, name):
     rng = random.Random(3)
     texts = TEXTS + ["".join(rng.choices(PARTS, k=rng.randint(1, 9))) for _ in range(1500)]
