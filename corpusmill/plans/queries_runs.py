@@ -88,13 +88,14 @@ def guard_first_trip(spark, sf_dir):
 
 @query(_FIRST_TRIP)
 def guard_stream(spark, sf_dir):
-    """The same decisions told by a stream that gets the series in four files, dealt by event, so that steps come late and out of order; the first comes twice."""
+    """The same decisions told by a stream that gets the series in four parts, dealt by event, so that steps come late and out of order; the first comes twice."""
     base = f"{shared_dir(spark)}/guards-{uuid.uuid4().hex}"
     rows = _finite(spark, sf_dir).select("run", "step", "loss", "grad_norm", F.pmod(F.xxhash64("event_id"), F.lit(4)).alias("part"))
     rows = stored(rows)
+    files_each = 1 + rows.count() // 1_000_000  # of a part
     for part in (0, 1, 0, 2, 3):
-        rows.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(f"{base}/in")
-    stream = spark.readStream.schema(rows.drop("part").schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+        rows.where(F.col("part") == part).drop("part").repartition(files_each).write.mode("append").parquet(f"{base}/in")
+    stream = spark.readStream.schema(rows.drop("part").schema).option("maxFilesPerTrigger", 2 * files_each).parquet(f"{base}/in")
     put = lambda batch, batch_id: batch.write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
     incremental.run_available(guarded.guarded(stream, _GUARD), put, f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/out").drop("batch")

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from corpusmill.operators import guards, sharding
@@ -95,3 +96,62 @@ def test_small_files_are_replaced_whole(spark, tmp_path):
         assert shared.read_text(spark, path) == text
     assert [n for n in shared.names(spark, str(tmp_path / "a")) if not n.startswith(".")] == ["x.json"]
     assert shared.delete(spark, str(tmp_path / "a")) and not shared.exists(spark, path)
+
+
+class Counted:
+    """A state store in memory that counts the accesses to it."""
+
+    def __init__(self):
+        self.value, self.map, self.calls = None, {}, 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def getMapState(self, name, key, schema):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.map.get(key)
+
+    def containsKey(self, key):
+        self.calls += 1
+        return key in self.map
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.map[key] = value
+
+    def removeKey(self, key):
+        self.calls += 1
+        self.map.pop(key, None)
+
+    def clear(self):
+        self.calls += 1
+        self.map.clear()
+
+
+@pytest.mark.parametrize("seed, steps, batches", [(1, 60, 4), (2, 60, 4), (3, 1400, 4), (4, 1400, 9), (5, 1400, 40), (6, 513, 300)])
+def test_rows_that_wait_cost_the_state_an_access_a_chunk(seed, steps, batches):
+    rng = random.Random(seed)
+    guard = guards.Guard(window=6, min_steps=12, history=24, divergence_factor=3.0)
+    rows = [Row(run="r", step=i, loss=rng.choice([1.0, 1.5, None, 2.0]), grad_norm=rng.choice([None, 1.0])) for i in range(1, steps + 1)]
+    if seed % 2:  # a run that trips
+        rows[-40] = Row(run="r", step=rows[-40].step, loss=float("inf"), grad_norm=1.0)
+    watch = guards.Watch(guard)
+    want = next(((r.step, reason) for r in rows if (reason := watch.see(r.loss, r.grad_norm))), None)
+    mixed = rng.sample(rows, len(rows)) + rng.sample(rows, 20)
+    store, processor, got = Counted(), guarded.GuardProcessor(guard, 1), []
+    processor.init(store)
+    for part in [mixed[i::batches] for i in range(batches)]:
+        got += [(r.step, r.reason) for r in processor.handleInputRows(("r",), iter(part), None)]
+    assert got == ([want] if want else []) and bool(want) == bool(seed % 2)
+    assert store.map == {} and store.calls <= batches * (2 + 2 * (steps // guarded.CHUNK + 1))
