@@ -31,8 +31,8 @@ _SIMPLE = r"[\x00-\x1b\x20-\x7f¡-§©«¬®°±¶·»¿À-ÖØ-öø-ÿ–—‘
 
 def normalized_all(text: Column) -> Column:
     """The exact normal form of any text: JVM-side for texts of simple characters, and in Arrow batches for the others only."""
-    simple = text.rlike(rf"\A{_SIMPLE}\z")
-    return F.when(simple, normalized(text)).otherwise(normalized_exact(F.when(~simple, text)))
+    exact = normalized_exact(F.when(~text.rlike(rf"\A{_SIMPLE}\z"), text))  # null for a simple text
+    return F.coalesce(exact, normalized(text))
 
 
 @pandas_udf(BooleanType())
@@ -169,6 +169,14 @@ def redacted(text: Column, ascii: bool = False) -> Column:
     return F.when(_suspect(text), let(_told(text), lambda told: _replaced(told, ascii))).otherwise(text)
 
 
+def has_pii(text: Column) -> Column:
+    """Whether redaction replaces anything: the first kind that does so matches in the text as it is, so nothing needs to be replaced."""
+    has = lambda kind: text.rlike(pattern_and_mark(kind)[0])
+    card = F.exists(F.regexp_extract_all(text, F.lit(pattern_and_mark("credit_card")[0]), F.lit(0)), luhn_ok)
+    numbers = text.rlike(DIGITS) & reduce(Column.__or__, (card if kind == "credit_card" else has(kind) for kind in _NUMBERS))
+    return reduce(Column.__or__, (there & has(kind) for kind, there in _literals(text).items())) | numbers
+
+
 def marks(text: Column) -> Column:
     """map<kind, marks> of the kinds whose marks a text holds, whoever put them there."""
 

@@ -4,8 +4,12 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from corpusmill.functions import text
+from corpusmill.operators import dedup
+from corpusmill.plans import validate
 
 TEXTS = [
     "Müller@example.org señor@example.org. über@ä.de x@exämple.com", "415-555-0100 415-555-0101 415-555-0102", "é4111 1111 1111 1111é", "٤١١١ 1111 1111 1111", "ss 123-45-6789é 123-45-٦٧٨٩",
@@ -30,3 +34,32 @@ def test_queries_follow_their_sql_on_any_text(spark, tmp_path, name):
         columns, want = want.columns, want.fetchall()
     got = entry.queries()[name](spark, str(tmp_path)).select(*columns).collect()
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str) and want
+
+
+def test_a_text_has_personal_data_where_redaction_counts_some(spark):
+    rng = random.Random(8)
+    texts = TEXTS + ["".join(rng.choices(PARTS, k=rng.randint(1, 6))) for _ in range(600)]
+    x = F.col("x")
+    rows = spark.createDataFrame([(t,) for t in texts], "x string").select("x", text.has_pii(x).alias("has"), (F.size(text.pii_counts(x)) > 0).alias("counted")).collect()
+    assert [r.x for r in rows if bool(r.has) != bool(r.counted)] == [] and len({r.has for r in rows}) == 3
+
+
+def test_one_table_of_sketches_serves_both_comparisons(spark, monkeypatch):
+    rng = random.Random(5)
+    words = ["Straße", "ﬁne", "Σίσυφος", "ΣΊΣΥΦΟΣ", "é", "é", "one", " ", "\n", "  two"]
+    said = lambda: " ".join(rng.choices(words, k=rng.randint(0, 12)))
+    rows = [(i, [{"role": "user", "content": said()}, {"role": "assistant", "content": said()}]) for i in range(120)]
+    table = spark.createDataFrame(rows, "row_id long, messages array<struct<role string, content string>>")
+    both = table.select("row_id", F.concat(F.col("messages")[0]["content"], F.lit("\n"), F.col("messages")[1]["content"]).alias("t"))
+    want = {r.row_id: r.n for r in both.select("row_id", text.normalized_exact("t").alias("n")).collect()}
+    k = validate.keyed(table)
+    assert {r.row_id: r.norm for r in k.collect()} == want
+    firsts = dedup.first_sketches(k)
+    pair = ("prompt_key", "response_key")
+    asked = k.select("row_id", "norm")
+    alone = [sorted(map(tuple, d.collect())) for d in (dedup.near_duplicates(k, pair=pair), dedup.contamination(asked, k))]
+    made = []
+    monkeypatch.setattr(dedup, "first_sketches", lambda *a, **b: made.append(a) or firsts)
+    assert [sorted(map(tuple, d.collect())) for d in (dedup.near_duplicates(k, pair=pair, firsts=firsts), dedup.contamination(asked, k, firsts=firsts))] == alone
+    validate.findings(table, evaluation=table)
+    assert len(made) == 1
