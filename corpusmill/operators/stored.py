@@ -14,12 +14,12 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.corpusmill"
 
 
-def stored(rows: DataFrame) -> DataFrame:
-    """The rows, written as Parquet and read again: computed once, and a lost executor costs no lineage.
+def stored(rows: DataFrame, spark: SparkSession | None = None) -> DataFrame:
+    """The rows, written as Parquet and read again (by spark, if another session made them): computed once, and a lost executor costs no lineage.
 
     The table goes when the application ends.
     """
-    spark = rows.sparkSession
+    spark = spark or rows.sparkSession
     path = f"{shared_dir(spark)}/rows-{uuid.uuid4().hex}"
     rows.write.parquet(path)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

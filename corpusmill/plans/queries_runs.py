@@ -4,14 +4,12 @@ from __future__ import annotations
 
 import json
 import uuid
-from concurrent.futures import ThreadPoolExecutor
-from urllib.parse import unquote
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusmill.operators import guards, runs
-from corpusmill.operators.stored import shared_dir, stored
+from corpusmill.operators.stored import Scratch, shared_dir, stored
 from corpusmill.plans.catalog import query
 from corpusmill.plans.views import table
 from corpusmill.sources import checkpoints, files, shared
@@ -302,20 +300,9 @@ def retention_on_storage(spark, sf_dir):
     for r in rows.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("step", "metric"))).alias("steps")).toLocalIterator():  # a manifest for each of the nations
         entries = [{"step": s.step, "path": f"{root}/{r.run}/step-{s.step:06d}.state", "metrics": {"eval_loss": s.metric}} for s in r.steps]
         shared.replace_text(spark, f"{root}/{r.run}/{checkpoints.MANIFEST}", json.dumps(entries))
-    states = rows.select(F.to_json(F.struct("step")).alias("value"), F.concat_ws("/", "run", F.format_string("step-%06d.state", "step")).alias("file"))
-    # tasks move what they wrote, in place of the driver for all of them
-    states.repartition("file").write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("file").text(f"{root}-new")
-    moves = shared.Files(spark)
-
-    def move(folder: str) -> bool:
-        """A snapshot is a file: Spark lists a folder for each of them by a task of its own."""
-        part = next(n for n in moves.names(f"{root}-new/{folder}") if n.startswith("part-"))
-        return moves.rename(f"{root}-new/{folder}/{part}", f"{root}/{unquote(folder.removeprefix('file='))}")
-
-    with ThreadPoolExecutor(16) as pool:
-        if not all(pool.map(move, [n for n in shared.names(spark, f"{root}-new") if n.startswith("file=")])):
-            raise OSError("a snapshot was not moved")
-    shared.delete(spark, f"{root}-new")
+    states = rows.select(F.concat_ws("/", F.lit(root), "run", F.format_string("step-%06d.state", "step")).alias("path"), F.to_json(F.struct("step")).alias("text"))
+    with Scratch(spark) as put:
+        shared.write_texts(states, put)
     checkpoints.retain_all(spark, root, runs.Retention(keep_last=2, keep_best=1))
     left = checkpoints.plan_all(spark, root, runs.Retention(keep_last=10**6))
     return left.where("action = 'keep'").select("run", "step", F.round(F.col("metrics")["eval_loss"], 2).alias("metric"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.operators.runs import Retention, bytes_freed, last_writes, retention_plan, retention_summary
-from corpusmill.operators.stored import Scratch
+from corpusmill.operators.stored import Scratch, stored
 from corpusmill.sources import shared
 from corpusmill.sources.files import manifest_entries
 
@@ -75,10 +74,16 @@ def manifests(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _sizes(spark: SparkSession, root: str) -> DataFrame:
-    """path, bytes of each snapshot, a file or a folder, under root/<run>/: told by the listing, no content is read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
+    """place, bytes of each snapshot, a file or a folder, under root/<run>/: told by the listing, no content is read.
+
+    A session of its own deals the files evenly to tasks, whatever their sizes: by those, and the cost Spark assumes for opening a file, a task would have a few.
+    """
+    apart = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    apart.conf.set("spark.sql.files.openCostInBytes", 1 << 30)
+    apart.conf.set("spark.sql.files.maxPartitionBytes", 1 << 60)
+    files = apart.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
     kept = F.regexp_extract("path", r"^[a-z0-9]*:?/*(.*?/[^/]+/step-\d+[^/]*)", 1)
-    return files.select(kept.alias("place"), "length").where("place <> ''").groupBy("place").agg(F.sum("length").alias("bytes"))
+    return stored(files.select(kept.alias("place"), "length").where("place <> ''").groupBy("place").agg(F.sum("length").alias("bytes")), spark)
 
 
 def plan_all(spark: SparkSession, root: str, policy: Retention = Retention(), metric: str = "eval_loss") -> DataFrame:
@@ -95,8 +100,8 @@ def plan_all(spark: SparkSession, root: str, policy: Retention = Retention(), me
 def retain_all(spark: SparkSession, root: str, policy: Retention = Retention(), metric: str = "eval_loss", threads: int = 16, dry_run: bool = False) -> dict[str, int]:
     """Applies plan_all: snapshots go first, then each touched manifest is replaced by one that names what is kept.
 
-    Executors have no file system client in Python, so the driver's threads delete, as the plan's rows stream by. A run that is interrupted is
-    finished by the next: snapshots that are gone by then are missing and leave the manifest. Returns how many were kept, deleted and missing, and the bytes freed.
+    Tasks delete on a shared local file system, the driver's threads on any other storage, of which executors have no client in Python. A run that is interrupted
+    is finished by the next: snapshots that are gone by then are missing and leave the manifest. Returns how many were kept, deleted and missing, and the bytes freed.
     """
     with Scratch(spark) as put:
         plan = put(plan_all(spark, root, policy, metric))
@@ -108,30 +113,16 @@ def retain_all(spark: SparkSession, root: str, policy: Retention = Retention(),
             entries = F.transform(F.array_sort(F.collect_list(F.struct("step", "path", F.to_json("metrics").alias("metrics")))), lambda e: e)  # a run's kept snapshots
             left = touched.join(kept.groupBy("run").agg(entries.alias("entries")), "run", "left")
 
-            files = shared.Files(spark)
-
             def replace(row) -> None:
                 shared.replace_text(spark, f"{root.rstrip('/')}/{row.run}/{MANIFEST}", json.dumps([{"step": e.step, "path": e.path, "metrics": json.loads(e.metrics or "{}")} for e in row.entries or []]))
 
+            shared.delete_all(plan.where("action = 'delete'"), put, threads)
             with ThreadPoolExecutor(threads) as pool:
-                for chunk in _chunks(plan.where("action = 'delete'").select("path").toLocalIterator()):
-                    list(pool.map(lambda r: _removed(files, r.path), chunk))
-                for chunk in _chunks(left.toLocalIterator()):
+                for chunk in shared._chunks(left.toLocalIterator()):
                     list(pool.map(replace, chunk))
     return counts
 
 
-def _chunks(rows: Iterator, size: int = 1024) -> Iterator[list]:
-    held = []
-    for r in rows:
-        held.append(r)
-        if len(held) == size:
-            yield held
-            held = []
-    if held:
-        yield held
-
-
 @dataclass
 class Checkpoints:
     """Snapshots of a run under root/run, step by step, and their manifest."""

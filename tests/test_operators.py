@@ -646,3 +646,41 @@ def test_many_files_are_moved_and_deleted_with_one_configuration(spark, tmp_path
     assert [files.rename(f"{tmp_path}/a/{k}", f"{tmp_path}/b/{k % 2}/{k}") for k in range(5)] == [True] * 5
     assert files.delete(f"{tmp_path}/b/1/3") and not files.delete(f"{tmp_path}/b/1/9")
     assert shared.names(spark, f"{tmp_path}/b/0") == ["0", "2", "4"] and shared.names(spark, f"{tmp_path}/b/1") == ["1"]
+
+
+def test_snapshots_are_written_and_deleted_by_tasks(spark, tmp_path, monkeypatch):
+    """On a shared local file system no file costs the driver a call; on any other storage its threads write and delete them."""
+    from corpusmill.operators.stored import Scratch
+    from corpusmill.plans import queries_runs
+    from corpusmill.sources import shared
+
+    spark.conf.set("fs.viewfs.mounttable.t.link./in", f"file:{tmp_path}")
+    asked = []
+    for name in ("write", "rename", "delete"):
+        monkeypatch.setattr(shared.Files, name, lambda *a, f=getattr(shared.Files, name): asked.append(a[1]) or f(*a))
+    for root, near in ((f"file:{tmp_path}/a b%20", True), (f"file://{tmp_path}/b", True), (f"{tmp_path}/c", True), ("viewfs://t/in/d", False)):
+        for text in ("old", "new \u00e9"):  # the second is written over the first
+            with Scratch(spark) as put:
+                shared.write_texts(spark.createDataFrame([(f"{root}/r/step-{k:06d}.state", f"{text} {k}") for k in range(6)], "path string, text string"), put)
+        assert [shared.read_text(spark, f"{root}/r/step-{k:06d}.state") for k in range(6)] == [f"new \u00e9 {k}" for k in range(6)]
+        shared.replace_text(spark, f"{root}/r/checkpoints.json", json.dumps([{"step": k, "path": f"{root}/r/step-{k:06d}.state", "metrics": {"eval_loss": k}} for k in range(6)]))
+        assert checkpoints.retain_all(spark, root, runs.Retention(keep_last=2, keep_best=1)) == {"keep": 3, "delete": 3, "missing": 0, "bytes": 24}
+        assert [n for n in shared.names(spark, f"{root}/r") if not n.startswith(".")] == ["checkpoints.json", *(f"step-{k:06d}.state" for k in (0, 4, 5))]
+        assert not [n for n in shared.names(spark, f"{root}/r") if "000001" in n]  # nor its checksums
+        assert bool(asked) != near
+    asked.clear()
+    left = queries_runs.retention_on_storage(spark, "/root/testdata/sf0.001").count()
+    assert left and not asked
+
+
+def test_sizes_of_many_snapshots_take_few_tasks(spark, tmp_path):
+    for k in range(300):
+        (tmp_path / "r").mkdir(exist_ok=True)
+        (tmp_path / "r" / f"step-{k:06d}.state").write_text("x" * (k + 1))
+    opening = spark.conf.get("spark.sql.files.openCostInBytes")
+    before = set(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    sizes = {r.place[-12:-6]: r.bytes for r in checkpoints._sizes(spark, f"file:{tmp_path}").collect()}
+    assert sizes == {f"{k:06d}": k + 1 for k in range(300)}
+    jobs = set(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - before
+    told = [spark.sparkContext.statusTracker().getStageInfo(s) for j in jobs for s in spark.sparkContext.statusTracker().getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in told if s) <= 8 and spark.conf.get("spark.sql.files.openCostInBytes") == opening
