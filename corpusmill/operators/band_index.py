@@ -110,11 +110,10 @@ class BandIndex:
     # lookups
 
     def _sketched(self, texts: DataFrame) -> DataFrame:
-        """(row_id, norm, digest) -> a sketch with the text's own key before those of its bands, told apart by band."""
-        own = texts.select(F.col("row_id").alias("id"), _text_key(F.col("digest")).alias("own"))
+        """(row_id, norm) -> a sketch with the text's own key before those of its bands, told apart by band."""
         banded = dedup.sketches(texts.select("row_id", "norm"), self.num_perm, self.bands, self.k)
-        keys = F.concat(F.array("own"), F.transform("keys", lambda x, i: F.xxhash64(i, x)))
-        return banded.join(own, banded.row_id == own.id).select("row_id", "norm", keys.alias("keys"), "n", "marks")
+        keys = F.concat(F.array(_text_key(dedup.digest("norm"))), F.transform("keys", lambda x, i: F.xxhash64(i, x)))
+        return banded.select("row_id", "norm", keys.alias("keys"), "n", "marks")
 
     def _known(self, put: Scratch, keys: DataFrame, runs: list[dict]) -> DataFrame:
         """(key) -> key, row_id of the index's rows with such a key. Keys are distinct, so nothing is paired."""
@@ -131,7 +130,8 @@ class BandIndex:
     def _matches(self, put: Scratch, texts: DataFrame, runs: list[dict], among: bool) -> tuple[DataFrame, DataFrame]:
         """Hits (HITS) of rows (row_id, text) in the runs and, with among, in their own earlier rows; and the sketches of the new texts."""
         norm = text.normalized_all(F.col("text"))
-        rows = put(texts.select(F.col("row_id").cast("long").alias("row_id"), norm.alias("norm")).where("norm <> ''").withColumn("digest", dedup.digest("norm")))
+        # empty texts go after the write: a filter before it makes each normal form twice
+        rows = put(texts.select(F.col("row_id").cast("long").alias("row_id"), norm.alias("norm")).withColumn("digest", dedup.digest("norm"))).where("norm <> ''")
         keyed = rows.select("row_id", "digest", _text_key(F.col("digest")).alias("key"))
         there = self._known(put, keyed.select("key").distinct(), runs).groupBy("key").agg(F.min("row_id").alias("match_id"))
         firsts = keyed.groupBy("digest").agg(F.min("row_id").alias("first_id"))
@@ -143,12 +143,12 @@ class BandIndex:
         # equal new texts are asked once; of those that are not added every row gets the hits of the first
         asked = told.where("match_id is null and row_id = first_id").select("row_id")
         fresh = put(self._sketched(rows.join(asked, "row_id", "left_semi")))
-        keys = put(fresh.select(F.explode(F.slice("keys", 2, self.bands)).alias("key")).distinct())
-        near = put(self._fetched(put(self._known(put, keys, runs).select("row_id").distinct()), runs))
         bare = lambda t: t.withColumn("keys", F.slice("keys", 2, self.bands))
-        hits = dedup.similar(bare(fresh), bare(near), self.threshold, self.k, keep=put)
-        if among:
-            hits = hits.unionByName(dedup.similar(bare(fresh), threshold=self.threshold, k=self.k, keep=put))
+        near = None if among else fresh.limit(0)  # without a right table rows would be compared with each other
+        if runs:
+            keys = put(fresh.select(F.explode(F.slice("keys", 2, self.bands)).alias("key")).distinct())
+            near = bare(put(self._fetched(put(self._known(put, keys, runs).select("row_id").distinct()), runs)))
+        hits = dedup.similar(bare(fresh), near, self.threshold, self.k, keep=put, both=among, written=True)
         ranked = dedup.ranked_hits(hits).select("left_id", F.col("right_id").alias("match_id"), "jaccard", "rank")
         if not among:
             ranked = ranked.join(told.where("match_id is null").select("row_id", F.col("first_id").alias("left_id")), "left_id").drop("left_id")

@@ -7,6 +7,7 @@ import pytest
 
 from corpusmill.operators import dedup
 from corpusmill.operators.band_index import BandIndex
+from corpusmill.operators.stored import Scratch
 
 T = "row_id long, text string"
 
@@ -138,3 +139,38 @@ def test_as_a_stream(spark, tmp_path):
     (source / "b.json").write_text('{"row_id": 2, "text": "The quick brown fox jumps over the lazy dog in the yards"}\n')
     run()
     assert [r[:2] for r in seen] == [(2, 1)]
+
+
+def test_a_batch_is_compared_with_the_index_and_itself_at_once(spark, tmp_path, monkeypatch):
+    """One pass over the pairs for both, which gives what two passes give; each normal form is made once."""
+    batches = made(5, 2, 40)
+    asked, plans, original, put = [], [], dedup.similar, Scratch.__call__
+    monkeypatch.setattr(dedup, "similar", lambda *a, **k: asked.append(1) or original(*a, **k))
+    monkeypatch.setattr(Scratch, "__call__", lambda self, rows: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or put(self, rows))
+    index = BandIndex(spark, str(tmp_path / "index"))
+    got = [rows_of(index.add(spark.createDataFrame(b, T), k)) for k, b in enumerate(batches)]
+    assert got == plain(batches) and len(asked) == 2
+    assert [p.count("normalized_exact(") for p in plans if "normalized_exact(" in p] == [1, 1]
+    monkeypatch.undo()
+    new, old = (dedup.sketches(dedup._firsts(spark.createDataFrame(b, T).withColumnRenamed("text", "norm"))).localCheckpoint() for b in batches[::-1])
+    pairs = lambda df: sorted((r.left_id, r.right_id, r.jaccard) for r in df.collect())
+    two = pairs(original(new, old)) + pairs(original(new))
+    for block in (512, 3):
+        assert pairs(original(new, old, both=True, block=block)) == sorted(two) != []
+
+
+def test_common_shingles_and_least_hashes(spark):
+    rng = random.Random(6)
+    texts = ["", "ab", "abcab", *("".join(rng.choices("abc ", k=n)) for n in (6, 1030, 5000))]
+    for s in map(dedup.shingle_set, texts):
+        assert (s[1:] > s[:-1]).all()
+        for t in map(dedup.shingle_set, texts):
+            assert dedup._common(s, t) == len(set(s.tolist()) & set(t.tolist()))
+    a, b = (x.tolist() for x in dedup._multipliers(8))
+    mix = lambda v: v ^ v >> 31
+    want = []
+    for t in texts:
+        least = [min((mix((int(x) * p + q) % 2**64) for x in dedup.shingle_set(t)), default=None) for p, q in zip(a, b)]
+        want.append([(sum((v ^ v >> 27) * w for v, w in zip(least[i : i + 4], a)) + 2**63) % 2**64 - 2**63 for i in (0, 4)] if t else [])
+    got = dedup.sketches(spark.createDataFrame(list(enumerate(texts)), "row_id long, norm string"), num_perm=8, bands=2).orderBy("row_id").collect()
+    assert [r["keys"] for r in got] == want
